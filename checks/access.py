@@ -163,7 +163,8 @@ _SQL_SUBQUERY = """SELECT count(*) AS n, max(o_orderkey) AS newest FROM orders o
   SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_quantity > 40) AND o_orderkey NOT IN (
   SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')"""
 _SQL_WINDOW = """SELECT l_orderkey, l_linenumber, total, place FROM (SELECT l_orderkey, l_linenumber, total,
-  row_number() OVER (PARTITION BY l_linenumber ORDER BY total DESC, l_orderkey) AS place
+  CAST(row_number() OVER (PARTITION BY l_linenumber
+  ORDER BY total DESC, l_orderkey) AS int) AS place
   FROM (SELECT l_orderkey, l_linenumber, round(sum(l_quantity), 2) AS total FROM lineitem
   GROUP BY l_orderkey, l_linenumber) t) r WHERE place <= 5"""
 _SQL_SETS = """SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from checks.relations import CONFIG, registered, table
 from palisade.functions import masking, redaction
@@ -202,8 +202,6 @@ def redact_json_keys(spark, sf_dir):
         F.col("user_id").cast("string"), F.lit("}]}"),
     )
     schema = "token string, data struct<k:bigint,Password:string>, list array<struct<api_key:bigint,n:bigint>>"
-    from pyspark.sql import types as T
-
     dtype = T.StructType.fromDDL(schema)
     return events.select("event_id", redaction.redact_json(wrapped, dtype).alias("props"))
 
@@ -243,7 +241,8 @@ def sanitize_credentials(spark, sf_dir):
         F.concat(F.lit("src-"), F.col("s_suppkey").cast("string")).alias("name"),
         F.struct(
             F.struct(F.col("s_acctbal").alias("password"), F.col("s_name").alias("host")).alias("login"),
-            F.array(F.struct(F.col("s_name").alias("apiKey"), F.col("s_name").alias("apikey"))).alias("keys"),
+            F.array(F.struct(F.col("s_name").alias("apiKey"))).alias("keys"),
+            F.struct(F.col("s_name").alias("apikey")).alias("other"),
         ).alias("credentials"),
     )
     clean = list_without_secrets(definitions)
@@ -253,5 +252,5 @@ def sanitize_credentials(spark, sf_dir):
         F.col("credentials.login.password").alias("password"),
         F.col("credentials.login.host").alias("host"),
         F.col("credentials.keys")[0]["apiKey"].alias("api_key"),
-        F.col("credentials.keys")[0]["apikey"].alias("lower_key"),
+        F.col("credentials.other.apikey").alias("lower_key"),
     )

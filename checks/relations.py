@@ -528,13 +528,13 @@ SCOPED = {
   WHERE r.rule_pos IS NOT NULL""",
     "f1": """SELECT agent, source, "table", rule_pos, unnest(fields) AS f, generate_subscripts(fields, 1) AS i FROM hits
   WHERE fields IS NOT NULL""",
-    "f2": 'SELECT agent, source, "table", f, min((rule_pos, i)) AS at FROM f1 GROUP BY ALL',
-    "f3": """SELECT agent, source, "table", string_agg(f, ',' ORDER BY at) AS fields FROM f2 GROUP BY ALL""",
+    "f2": 'SELECT agent, source, "table", f, min((rule_pos, i)) AS place FROM f1 GROUP BY ALL',
+    "f3": """SELECT agent, source, "table", string_agg(f, ',' ORDER BY place) AS fields FROM f2 GROUP BY ALL""",
     "g1": """SELECT agent, source, "table", rule_pos, unnest(filters) AS f, generate_subscripts(filters, 1) AS i
   FROM hits WHERE filters IS NOT NULL""",
-    "g2": """SELECT agent, source, "table", f.key AS k, min((rule_pos, i)) AS at,
+    "g2": """SELECT agent, source, "table", f.key AS k, min((rule_pos, i)) AS place,
   arg_max(f.value || ':' || f.type, (rule_pos, i)) AS v FROM g1 GROUP BY ALL""",
-    "g3": """SELECT agent, source, "table", string_agg(k || '=' || v, ',' ORDER BY at) AS filters FROM g2 GROUP BY ALL""",
+    "g3": """SELECT agent, source, "table", string_agg(k || '=' || v, ',' ORDER BY place) AS filters FROM g2 GROUP BY ALL""",
     "sco": """SELECT r.*, h.agent IS NOT NULL AS permitted,
   CASE WHEN r.agent NOT IN (SELECT agent FROM rules) THEN 'No scope defined for agent: ' || r.agent
        WHEN (r.agent, r.source) NOT IN (SELECT (agent, source) FROM rules)

@@ -135,9 +135,7 @@ def governance_decision(spark, sf_dir):
 @registered(with_sql(_SMALL, DECISION_SELECT))
 def governance_decision_unhinted(spark, sf_dir):
     """The same decisions by the path for policies of unknown size."""
-    from dataclasses import replace
-
-    return flat_decision(decisions.decide(parsed_requests(spark, sf_dir), replace(small_bundle(spark), small=False)))
+    return flat_decision(decisions.decide(parsed_requests(spark, sf_dir), small_bundle(spark).with_tables()))
 
 
 @registered(with_sql(_BIG, DECISION_SELECT))
@@ -317,7 +315,7 @@ _PARSED = f"""SELECT *, {table_sql('query')} AS "table", {operation_sql('query')
     with_sql(
         TEXT_REQUESTS_SQL | {"reqs": _PARSED},
         "SELECT request_id, \"table\", operation, array_to_string(\"columns\", ',') AS names,"
-        " length(query) AS query_length FROM reqs",
+        " CAST(length(query) AS INTEGER) AS query_length FROM reqs",
     )
 )
 def parse_query_log(spark, sf_dir):
@@ -331,7 +329,7 @@ def parse_query_log(spark, sf_dir):
 
 @registered(
     f"""SELECT doc_id, {table_sql('q')} AS "table", {operation_sql('q')} AS operation,
-array_to_string({columns_sql('q')}, ',') AS names, length(q) AS query_length FROM (SELECT doc_id,
+array_to_string({columns_sql('q')}, ',') AS names, CAST(length(q) AS INTEGER) AS query_length FROM (SELECT doc_id,
 CASE WHEN doc_id % 3 = 0 THEN 'Select ' || text || chr(10) || ' FROM  ' || source || ' x' WHEN doc_id % 3 = 1
 THEN ' ' || text ELSE text END AS q FROM documents)"""
 )

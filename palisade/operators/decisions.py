@@ -19,9 +19,7 @@ from palisade.operators.lookups import (
     table_lookup,
     with_agent_policy,
 )
-from palisade.sources.policy import Bundle
-
-MASKS_TYPE = "array<struct<name:string,strategy:string,format:string>>"
+from palisade.sources.policy import MASKS, Bundle
 
 
 def operation_allowed(policy: Column, operation: Column) -> Column:
@@ -81,7 +79,7 @@ def with_masks(requests: DataFrame, bundle: Bundle, name: str = "_masks") -> Dat
         wanted = F.filter("masks", lambda m: F.array_contains(asked, F.lower(m["name"])))
         shaped = F.transform(wanted, lambda m: F.struct(m["name"], m["strategy"], m["format"]))
         joined = requests.join(bundle.hint(masked_lists(bundle)), ["source", "table"], "left")
-        return joined.withColumn(name, shaped.cast(MASKS_TYPE)).drop("masks")
+        return joined.withColumn(name, shaped.cast(MASKS)).drop("masks")
     keys = ["source", "table", "columns"]
     asked = requests.select(*keys).distinct()
     asked = asked.select(*keys, F.explode(F.array_distinct(F.transform("columns", F.lower))).alias("_col"))
@@ -90,7 +88,7 @@ def with_masks(requests: DataFrame, bundle: Bundle, name: str = "_masks") -> Dat
     item = F.struct("pos", "name", F.col("masking").alias("strategy"), F.col("mask_format").alias("format"))
     lists = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     shaped = F.transform("_items", lambda m: F.struct(m["name"], m["strategy"], m["format"]))
-    return requests.join(lists, keys, "left").withColumn(name, shaped.cast(MASKS_TYPE)).drop("_items")
+    return requests.join(lists, keys, "left").withColumn(name, shaped.cast(MASKS)).drop("_items")
 
 
 def column_policies_of(requests: DataFrame, bundle: Bundle) -> DataFrame:
@@ -110,7 +108,7 @@ def decide(requests: DataFrame, bundle: Bundle, name: str = "decision") -> DataF
             F.struct(
                 F.lit(True).alias("allowed"),
                 F.lit(None).cast("string").alias("reason"),
-                F.lit(None).cast(MASKS_TYPE).alias("masked_columns"),
+                F.lit(None).cast(MASKS).alias("masked_columns"),
                 F.lit(None).cast("string").alias("row_filter"),
                 F.lit(0).cast("bigint").alias("max_rows"),
                 F.lit(False).alias("requires_approval"),
@@ -121,7 +119,7 @@ def decide(requests: DataFrame, bundle: Bundle, name: str = "decision") -> DataF
     if "columns" in kept:
         found = with_masks(found, bundle)
     else:
-        found = found.withColumn("_masks", F.lit(None).cast(MASKS_TYPE))
+        found = found.withColumn("_masks", F.lit(None).cast(MASKS))
     return found.select(*kept, _decision().alias(name))
 
 

@@ -18,11 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from palisade.functions.classes import rank_of
 from palisade.functions.masking import REDACTED, mask_frame, masked_names
 from palisade.functions.predicates import equality_filter
-from palisade.operators.decisions import decide
-from palisade.operators.lookups import column_lookup, table_lookup, with_agent_policy
-from palisade.operators.scope import scope_decision
+from palisade.operators.single import judge_one
 from palisade.session import materialise
-from palisade.sources.policy import TEXT, TEXTS, Bundle, fetch, local_frame, struct, typed_value
+from palisade.sources.policy import Bundle, fetch, typed_value
 from palisade.sources.registry import Registry
 
 
@@ -75,63 +73,65 @@ class GovernedTable:
         return [m["name"] for m in self.masked if m["name"].lower() in asked]
 
 
+def policy_slice(bundle: Bundle, agent: str, source: str, tables: Sequence[str]) -> dict[str, list[dict]]:
+    """The policy rows that concern one agent and a few tables of one source."""
+    wanted = [t.lower() for t in tables]
+    if bundle.small:
+        rows = bundle.rows
+        return {
+            "sources": [r for r in rows["sources"] if r["name"] == source],
+            "scope_rules": [r for r in rows["scope_rules"] if r["agent"] == agent],
+            "agent_policy": [r for r in rows["agent_policy"] if r["agent"] == agent],
+            "source_policy": [r for r in rows["source_policy"] if r["source"] == source],
+        } | {
+            name: [r for r in rows[name] if r["source"] == source and r["table"].lower() in wanted]
+            for name in ("table_policy", "column_policy")
+        }
+    same_table = (F.col("source") == source) & F.lower("table").isin(wanted)
+    tests = {
+        "sources": F.col("name") == source,
+        "scope_rules": F.col("agent") == agent,
+        "agent_policy": F.col("agent") == agent,
+        "source_policy": F.col("source") == source,
+        "table_policy": same_table,
+        "column_policy": same_table,
+    }
+    return {name: fetch(getattr(bundle, name).filter(test), name) for name, test in tests.items()}
+
+
 def check_access(
     bundle: Bundle, agent: str, source: str, tables: Sequence[str], operation: str = "SELECT"
 ) -> dict[str, Access]:
-    """Access to each table, or AccessDenied. Runs the batch decisions on one row per table.
+    """Access to each table, or AccessDenied.
 
     Table names compare without regard to case here, as Spark resolves them, so that a
     slip of case cannot step around a table policy.
     """
-    spark = bundle.scope_rules.sparkSession
-    own = bundle.with_tables(
-        scope_rules=bundle.scope_rules.filter(F.col("agent") == agent).withColumn("table", F.lower("table")),
-        agent_policy=bundle.agent_policy.filter(F.col("agent") == agent),
-        source_policy=bundle.source_policy.filter(F.col("source") == source),
-        table_policy=_of_tables(bundle.table_policy, source, tables),
-        column_policy=_of_tables(bundle.column_policy, source, tables),
-    )
-    rows = [
-        {"agent": agent, "source": source, "table": t.lower(), "columns": [], "operation": operation, "asked": t}
-        for t in dict.fromkeys(tables)
-    ]
-    schema = struct(agent=TEXT, source=TEXT, table=TEXT, columns=TEXTS, operation=TEXT, asked=TEXT)
-    known = fetch(bundle.sources.filter(F.col("name") == source).select("name"), "sources")
-    if not known:
+    rows = policy_slice(bundle, agent, source, tables)
+    if not rows["sources"]:
         raise AccessDenied("unknown_source", f"Unknown source: {source}")
-    requests = with_agent_policy(local_frame(spark, rows, schema), own, "policy")
-    judged = fetch(decide(scope_decision(requests, own), own), "requested tables")
-    policies = fetch(table_lookup(own), "table policies")
-    columns = fetch(column_lookup(own).orderBy("table", "pos"), "column policies")
     out = {}
-    for row in judged:
-        scope, decision = row["scope"], row["decision"]
-        if not scope["permitted"]:
-            raise AccessDenied("scope_denied", f"Access denied: {scope['reason']}")
-        if not decision["allowed"]:
-            raise AccessDenied("governance_denied", f"Governance denied: {decision['reason']}")
-        policy = next((p for p in policies if p["table"] == row["table"]), None) if bundle.enabled else None
-        out[row["asked"]] = Access(
+    for table in dict.fromkeys(tables):
+        verdict = judge_one(rows, bundle.enabled, bundle.default_agent, agent, source, table, operation)
+        if verdict.stage:
+            raise AccessDenied(verdict.stage, verdict.reason)
+        policy = verdict.table_policy
+        out[table] = Access(
             agent=agent,
             source=source,
-            table=row["asked"],
-            max_rows=decision["max_rows"],
-            requires_approval=decision["requires_approval"],
-            row_filter=decision["row_filter"],
-            residency=policy and policy["residency"],
-            fields=scope["fields"],
-            filters={f["key"]: typed_value(f) for f in scope["filters"] or []},
-            columns=[c for c in columns if c["table"] == row["table"]] if bundle.enabled else [],
-            rank=row["policy"]["rank"],
+            table=table,
+            max_rows=verdict.max_rows,
+            requires_approval=verdict.requires_approval,
+            row_filter=policy.get("row_filter"),
+            residency=policy.get("residency"),
+            fields=verdict.fields,
+            filters={f["key"]: typed_value(f) for f in verdict.filters or []},
+            columns=verdict.columns,
+            rank=verdict.rank,
         )
     return out
 
 
-def _of_tables(policies: DataFrame, source: str, tables: Sequence[str]) -> DataFrame:
-    named = policies.filter((F.col("source") == source) & F.lower("table").isin([t.lower() for t in tables]))
-    return named.withColumn("table", F.lower("table"))
-
-
 def row_level(df: DataFrame, predicate: str | None) -> DataFrame:
     return df if predicate is None else df.filter(F.expr(predicate))
 

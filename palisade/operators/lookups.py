@@ -1,4 +1,8 @@
-"""First-match policy lookups: one row per key, ready for a left join."""
+"""First-match policy lookups: one row per key, ready for a left join.
+
+Each lookup has two forms with one result: a small bundle is resolved on the driver and
+becomes a literal relation, any other bundle is resolved by Spark.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.classes import clearance
-from palisade.sources.policy import SCHEMAS, Bundle
+from palisade.operators.single import chosen_columns, chosen_tables, first_rows
+from palisade.sources.policy import MASKS, SCHEMAS, TEXT, Bundle, local_frame, struct
 
 
 def first_match(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -42,7 +47,12 @@ def default_agent(bundle: Bundle) -> Column:
 
 def agent_lookup(bundle: Bundle) -> DataFrame:
     """(agent, agent_policy struct)"""
-    return first_match(bundle.agent_policy, ["agent"], ["pos"]).select("agent", agent_struct().alias("agent_policy"))
+    if bundle.small:
+        rows = first_rows(bundle.rows["agent_policy"], ["agent"], ["pos"])
+        found = local_frame(bundle.spark, rows, SCHEMAS["agent_policy"])
+    else:
+        found = first_match(bundle.agent_policy, ["agent"], ["pos"])
+    return found.select("agent", agent_struct().alias("agent_policy"))
 
 
 def with_agent_policy(requests: DataFrame, bundle: Bundle, name: str = "agent_policy") -> DataFrame:
@@ -53,23 +63,28 @@ def with_agent_policy(requests: DataFrame, bundle: Bundle, name: str = "agent_po
 
 
 def source_lookup(bundle: Bundle) -> DataFrame:
-    """(source, source_pos, default_class)"""
+    """(source_pos, source, default_class)"""
+    if bundle.small:
+        rows = first_rows(bundle.rows["source_policy"], ["source"], ["source_pos"])
+        return local_frame(bundle.spark, rows, SCHEMAS["source_policy"])
     return first_match(bundle.source_policy, ["source"], ["source_pos"])
 
 
 def table_lookup(bundle: Bundle) -> DataFrame:
     """Table policies of the first policy entry of their source, first one per table."""
-    chosen = bundle.hint(source_lookup(bundle).select("source", "source_pos"))
-    return first_match(
-        bundle.table_policy.join(chosen, ["source", "source_pos"], "left_semi"), ["source", "table"], ["table_pos"]
-    )
+    if bundle.small:
+        return local_frame(bundle.spark, chosen_tables(bundle.rows), SCHEMAS["table_policy"])
+    chosen = source_lookup(bundle).select("source", "source_pos")
+    own = bundle.table_policy.join(chosen, ["source", "source_pos"], "left_semi")
+    return first_match(own, ["source", "table"], ["table_pos"])
 
 
 def column_lookup(bundle: Bundle) -> DataFrame:
     """Column policies that belong to the chosen table policies, in list order (``pos``)."""
+    if bundle.small:
+        return local_frame(bundle.spark, chosen_columns(bundle.rows), SCHEMAS["column_policy"])
     at = ["source", "source_pos", "table", "table_pos"]
-    chosen = bundle.hint(table_lookup(bundle).select(*at))
-    return bundle.column_policy.join(chosen, at, "left_semi")
+    return bundle.column_policy.join(table_lookup(bundle).select(*at), at, "left_semi")
 
 
 def first_column_lookup(bundle: Bundle) -> DataFrame:
@@ -78,10 +93,12 @@ def first_column_lookup(bundle: Bundle) -> DataFrame:
 
 
 def masked_lists(bundle: Bundle) -> DataFrame:
-    """(source, table, masks): the masked columns of each table in policy order.
-
-    Only for bundles whose size is known; large ones join column by column.
-    """
-    item = F.struct("pos", "name", F.col("masking").alias("strategy"), F.col("mask_format").alias("format"))
-    masked = column_lookup(bundle).filter("masking <> 'none'")
-    return masked.groupBy("source", "table").agg(F.sort_array(F.collect_list(item)).alias("masks"))
+    """(source, table, masks): the masked columns of each table in policy order, for small
+    bundles. Others join column by column."""
+    lists: dict[tuple, list] = {}
+    for c in chosen_columns(bundle.rows):
+        if c["masking"] != "none":
+            mask = {"name": c["name"], "strategy": c["masking"], "format": c.get("mask_format")}
+            lists.setdefault((c["source"], c["table"]), []).append(mask)
+    rows = [{"source": s, "table": t, "masks": m} for (s, t), m in lists.items()]
+    return local_frame(bundle.spark, rows, struct(source=TEXT, table=TEXT, masks=MASKS))

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.sources.policy import Bundle
-
-FILTERS_TYPE = "array<struct<key:string,value:string,type:string>>"
+from palisade.operators.single import active_rule_rows, merge_rule_rows
+from palisade.sources.policy import FILTERS, TEXT, TEXTS, Bundle, local_frame, struct
 
 
 def active_rules(bundle: Bundle) -> DataFrame:
@@ -35,7 +34,7 @@ def merge_items(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
         ),
     )
     filters = F.transform(
-        F.coalesce("filters", F.array().cast(FILTERS_TYPE)),
+        F.coalesce("filters", F.array().cast(FILTERS)),
         lambda f, i: F.struct(
             F.lit("filter").alias("kind"),
             f["key"].alias("name"),
@@ -74,14 +73,17 @@ def merged_filters(items: Column) -> Column:
     return F.when(F.size(tests) > 0, F.transform(keys, winner))
 
 
+SCOPE_TABLE = struct(agent=TEXT, source=TEXT, table=TEXT, fields=TEXTS, filters=FILTERS)
+
+
 def merge_rules(bundle: Bundle) -> DataFrame:
     """One row per (agent, source, table) named by a rule, plus one with an empty table per
     source open through a rule without a table: the merged fields and filters. A named
     table also takes up what the rules without a table say."""
+    if bundle.small:
+        return local_frame(bundle.spark, merge_rule_rows(bundle.rows["scope_rules"]), SCOPE_TABLE)
     rules = active_rules(bundle).filter("rule_pos is not null")
-    wide = bundle.hint(
-        merge_items(rules.filter("table is null"), ["agent", "source"]).withColumnRenamed("items", "wide")
-    )
+    wide = merge_items(rules.filter("table is null"), ["agent", "source"]).withColumnRenamed("items", "wide")
     named = merge_items(rules.filter("table is not null"), ["agent", "source", "table"])
     none = F.array().cast(named.schema["items"].dataType)
     both = named.join(wide, ["agent", "source"], "left").select(
@@ -99,27 +101,45 @@ def merge_rules(bundle: Bundle) -> DataFrame:
     )
 
 
+ANSWER = struct(fields=TEXTS, filters=FILTERS)
+
+
+def _scope_lookups(bundle: Bundle) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three lookups with one row per key: (agent), (agent, source, _wide) and (agent, source,
+    table, _named). Sources listed without any rule are in the second one as well."""
+    if bundle.small:
+        active = active_rule_rows(bundle.rows["scope_rules"])
+        merged = merge_rule_rows(active)
+        wide = {(m["agent"], m["source"]): m for m in merged if m["table"] is None}
+        pairs = dict.fromkeys((r["agent"], r["source"]) for r in active)
+        agents = [{"agent": a} for a in dict.fromkeys(a for a, _ in pairs)]
+        entries = [{"agent": a, "source": s, "_wide": wide.get((a, s))} for a, s in pairs]
+        named = [{**m, "_named": m} for m in merged if m["table"] is not None]
+        return (
+            local_frame(bundle.spark, agents, struct(agent=TEXT)),
+            local_frame(bundle.spark, entries, struct(agent=TEXT, source=TEXT, _wide=ANSWER)),
+            local_frame(bundle.spark, named, struct(agent=TEXT, source=TEXT, table=TEXT, _named=ANSWER)),
+        )
+    answer, merged = F.struct("fields", "filters"), merge_rules(bundle)
+    named = merged.filter("table is not null").select("agent", "source", "table", answer.alias("_named"))
+    wide = merged.filter("table is null").select("agent", "source", answer.alias("_wide"))
+    entries = active_rules(bundle).select("agent", "source").distinct()
+    return entries.select("agent").distinct(), entries.join(wide, ["agent", "source"], "left"), named
+
+
 def scope_decision(requests: DataFrame, bundle: Bundle, name: str = "scope") -> DataFrame:
     """Add struct<permitted, reason, fields, filters> for each (agent, source, table).
 
-    Three left equi joins; rules are merged first, so a request never multiplies. Rules
-    without a table join by (agent, source) and are combined in the row.
+    Equi joins only, each side with one row per key: rules are merged first and those
+    without a table join by (agent, source), so a request never multiplies.
     """
-    rules = active_rules(bundle)
-    agents = rules.groupBy("agent").agg(F.lit(True).alias("_scoped"))
-    entries = rules.groupBy("agent", "source").agg(F.lit(True).alias("_entry"))
-    rules = rules.filter("rule_pos is not null")
-    wide = merge_items(rules.filter("table is null"), ["agent", "source"]).withColumnRenamed("items", "_wide")
-    entries = entries.join(bundle.hint(wide), ["agent", "source"], "left")
-    exact = merge_items(rules.filter("table is not null"), ["agent", "source", "table"])
-    exact = exact.withColumnRenamed("items", "_exact")
-
+    agents, entries, named = _scope_lookups(bundle)
     joined = (
-        requests.join(bundle.hint(agents), "agent", "left")
-        .join(bundle.hint(entries), ["agent", "source"], "left")
-        .join(bundle.hint(exact), ["agent", "source", "table"], "left")
+        requests.join(bundle.hint(agents.withColumn("_scoped", F.lit(True))), "agent", "left")
+        .join(bundle.hint(entries.withColumn("_entry", F.lit(True))), ["agent", "source"], "left")
+        .join(bundle.hint(named), ["agent", "source", "table"], "left")
     )
-    matched = F.col("_exact").isNotNull() | F.col("_wide").isNotNull()
+    found = F.coalesce("_named", "_wide")
     agent, source, table = (F.coalesce(F.col(c), F.lit("null")) for c in ("agent", "source", "table"))
     reason = (
         F.when(F.col("_scoped").isNull(), F.concat(F.lit("No scope defined for agent: "), agent))
@@ -127,16 +147,13 @@ def scope_decision(requests: DataFrame, bundle: Bundle, name: str = "scope") ->
             F.col("_entry").isNull(),
             F.concat(F.lit("Agent "), agent, F.lit(" has no access to source: "), source),
         )
-        .when(~matched, F.concat(F.lit("Table "), table, F.lit(" not in scope for agent "), agent))
+        .when(found.isNull(), F.concat(F.lit("Table "), table, F.lit(" not in scope for agent "), agent))
     )
-    none = F.array().cast(exact.schema["_exact"].dataType)
-    items = F.concat(F.coalesce("_exact", none), F.coalesce("_wide", none))
-    permitted = F.col("_scoped").isNotNull() & F.col("_entry").isNotNull() & matched
+    permitted = F.col("_scoped").isNotNull() & F.col("_entry").isNotNull() & found.isNotNull()
     scope = F.struct(
         permitted.alias("permitted"),
         reason.alias("reason"),
-        F.when(permitted, merged_fields(items)).alias("fields"),
-        F.when(permitted, merged_filters(items)).alias("filters"),
+        F.when(permitted, found["fields"]).alias("fields"),
+        F.when(permitted, found["filters"]).alias("filters"),
     )
-    kept = [c for c in requests.columns]
-    return joined.select(*kept, scope.alias(name))
+    return joined.select(*requests.columns, scope.alias(name))

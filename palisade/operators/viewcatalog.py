@@ -7,9 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.operators.lookups import first_match, table_lookup
-from palisade.operators.scope import FILTERS_TYPE
 from palisade.plans.governed_sql import GovernedSession
-from palisade.sources.policy import Bundle
+from palisade.sources.policy import FILTERS, Bundle
 
 ANY_TABLE = "*"
 
@@ -70,7 +69,7 @@ def view_rows(bundle: Bundle) -> DataFrame:
         "agent",
         described.alias("description"),
         parameters.alias("parameters"),
-        statement(fields, table, F.col("filters").cast(FILTERS_TYPE)).alias("statement"),
+        statement(fields, table, F.col("filters").cast(FILTERS)).alias("statement"),
         "listed",
         "scope_pos",
         "rule_pos",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.functions.querytext import WRITES, query_columns, query_operation, query_table
 from palisade.operators.decisions import decide, decide_distinct
 from palisade.operators.scope import scope_decision
-from palisade.sources.policy import Bundle
+from palisade.sources.policy import TEXT, Bundle, local_frame, struct
 
 # The stages a request can end in, in the order they are tested.
 STAGES = (
@@ -24,14 +24,19 @@ STAGES = (
 
 
 def known_sources(bundle: Bundle) -> DataFrame:
-    return bundle.hint(bundle.sources.groupBy(F.col("name").alias("source")).agg(F.lit(True).alias("_known")))
+    if bundle.small:
+        rows = [{"source": n} for n in dict.fromkeys(r["name"] for r in bundle.rows["sources"])]
+        names = local_frame(bundle.spark, rows, struct(source=TEXT))
+    else:
+        names = bundle.sources.select(F.col("name").alias("source")).distinct()
+    return bundle.hint(names.withColumn("_known", F.lit(True)))
 
 
 def available_sources(bundle: Bundle) -> str:
     """List of source names for messages; large source tables are not spelled out."""
     if not bundle.small:
         return "see the sources table"
-    return ", ".join(r["name"] for r in bundle.sources.orderBy("pos").select("name").collect())
+    return ", ".join(r["name"] for r in bundle.rows["sources"])
 
 
 def _blank(c: Column) -> Column:

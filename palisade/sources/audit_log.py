@@ -14,6 +14,10 @@ AUDIT_SCHEMA = struct(
 )
 
 
+# microseconds, which the JSON writer would otherwise cut to milliseconds
+_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def audit_columns(df: DataFrame) -> DataFrame:
     """Exactly the audit columns, typed; missing ones become NULL."""
     return df.select(
@@ -25,19 +29,19 @@ def audit_columns(df: DataFrame) -> DataFrame:
 
 
 def append_audit(entries: DataFrame, path: str) -> None:
-    audit_columns(entries).write.mode("append").json(path)
+    audit_columns(entries).write.mode("append").options(**_TIMES).json(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT_SCHEMA).json(path)
+    return spark.read.schema(AUDIT_SCHEMA).options(**_TIMES).json(path)
 
 
 def stream_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(AUDIT_SCHEMA).json(path)
+    return spark.readStream.schema(AUDIT_SCHEMA).options(**_TIMES).json(path)
 
 
 def append_audit_stream(entries: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Exactly-once append: the file sink's log and the checkpoint survive a restart."""
     writer = audit_columns(entries).writeStream.format("json").outputMode("append")
-    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
+    writer = writer.options(**_TIMES).option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

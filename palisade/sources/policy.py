@@ -30,6 +30,7 @@ def struct(**fields: T.DataType) -> T.StructType:
 
 
 FILTERS = T.ArrayType(struct(key=TEXT, value=TEXT, type=TEXT))
+MASKS = T.ArrayType(struct(name=TEXT, strategy=TEXT, format=TEXT))
 
 SCHEMAS: dict[str, T.StructType] = {
     "sources": struct(
@@ -54,7 +55,7 @@ SCHEMAS: dict[str, T.StructType] = {
         allowed_ops=TEXTS, approve_writes=FLAG, allowed_sources=TEXTS,
     ),
 }
-_SETTINGS = struct(enabled=FLAG, default_agent=SCHEMAS["agent_policy"], audit_log_days=INT, small=FLAG)
+_SETTINGS = struct(enabled=FLAG, default_agent=SCHEMAS["agent_policy"], audit_log_days=INT)
 
 
 def local_frame(spark: SparkSession, rows: list[Mapping], schema: T.StructType) -> DataFrame:
@@ -172,7 +173,12 @@ def _policy_rows(config: Mapping) -> dict[str, list[dict]]:
 
 @dataclass(frozen=True)
 class Bundle:
-    """All policy tables, plus the few settings that are not tables."""
+    """All policy tables, plus the few settings that are not tables.
+
+    ``rows`` holds the same tables as plain rows while their number is known to be small;
+    lookups then resolve on the driver and are broadcast. Without it the tables may be any
+    size and every lookup is a distributed join.
+    """
 
     sources: DataFrame
     scope_rules: DataFrame
@@ -183,7 +189,7 @@ class Bundle:
     enabled: bool = True
     default_agent: dict = field(default_factory=lambda: agent_row(-1, {**AGENT_DEFAULTS, **DEFAULT_AGENT}))
     audit_log_days: int = AUDIT_LOG_DAYS
-    small: bool = False
+    rows: Mapping[str, list[dict]] | None = field(default=None, repr=False)
 
     @staticmethod
     def from_config(spark: SparkSession, raw: Mapping) -> Bundle:
@@ -195,26 +201,24 @@ class Bundle:
             enabled=g["enabled"],
             default_agent=agent_row(-1, g["defaultAgentPolicy"]),
             audit_log_days=g["retention"]["auditLogDays"],
-            small=all(len(r) <= BROADCAST_ROWS for r in rows.values()),
+            rows=rows if all(len(r) <= BROADCAST_ROWS for r in rows.values()) else None,
         )
 
     @staticmethod
-    def from_tables(spark: SparkSession, small: bool = False, **given) -> Bundle:
+    def from_tables(spark: SparkSession, **given) -> Bundle:
         """Tables of any size; those not given are empty. Extra keywords are settings."""
         tables = {n: given.pop(n, None) for n in SCHEMAS}
         tables = {n: local_frame(spark, [], SCHEMAS[n]) if d is None else d for n, d in tables.items()}
-        return Bundle(**tables, small=small, **given)
+        return Bundle(**tables, **given)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Bundle:
         s = spark.read.json(f"{path}/settings", schema=_SETTINGS).first()
-        tables = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}") for n in SCHEMAS}
         return Bundle(
-            **tables,
+            **{n: spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}") for n in SCHEMAS},
             enabled=s["enabled"],
             default_agent=s["default_agent"].asDict(recursive=True),
             audit_log_days=s["audit_log_days"],
-            small=s["small"],
         )
 
     def write(self, path: str) -> None:
@@ -224,12 +228,30 @@ class Bundle:
             "enabled": self.enabled,
             "default_agent": self.default_agent,
             "audit_log_days": self.audit_log_days,
-            "small": self.small,
         }
-        local_frame(self.agent_policy.sparkSession, [settings], _SETTINGS).write.json(f"{path}/settings")
+        local_frame(self.spark, [settings], _SETTINGS).write.json(f"{path}/settings")
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.scope_rules.sparkSession
+
+    @property
+    def small(self) -> bool:
+        return self.rows is not None
+
+    def localised(self, most: int = BROADCAST_ROWS) -> Bundle:
+        """With ``rows`` if every table has at most ``most`` of them, else unchanged."""
+        rows = {}
+        for name in SCHEMAS:
+            found = getattr(self, name).limit(most + 1).collect()
+            if len(found) > most:
+                return self
+            rows[name] = [r.asDict(recursive=True) for r in found]
+        return replace(self, rows=rows)
 
     def with_tables(self, **tables: DataFrame) -> Bundle:
-        return replace(self, **tables)
+        """Other tables; their size is unknown until ``localised`` checks it."""
+        return replace(self, rows=None, **tables)
 
     def hint(self, df: DataFrame) -> DataFrame:
         """Broadcast policy rows only while their number is known to be small."""

@@ -6,7 +6,7 @@ counts keep one number per agent and open window and drop rows later than the wa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade.operators.audit import audit_of_outcomes, quota_windows, rate_windows
@@ -20,16 +20,31 @@ def stream_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", *
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def _watermarked(audit: DataFrame, lateness: str) -> DataFrame:
+    """Watermarks need an instant: the UTC wall clock of the trail, read as one."""
+    wall = F.col("timestamp").cast("timestamp_ntz")
+    instant = F.lit(f"{_EPOCH}Z").cast("timestamp") + (wall - F.lit(_EPOCH).cast("timestamp_ntz"))
+    return audit.withColumn("timestamp", instant).withWatermark("timestamp", lateness)
+
+
+def _wall(windows: DataFrame) -> DataFrame:
+    start = F.lit(_EPOCH).cast("timestamp_ntz") + (F.col("window_start") - F.lit(f"{_EPOCH}Z").cast("timestamp"))
+    return windows.withColumn("window_start", start)
+
+
 def stream_rate_limit(
     audit: DataFrame, most: int = 100, length: str = "1 minute", lateness: str = "10 minutes"
 ) -> DataFrame:
     """Windows in which an agent sent more than ``most`` requests."""
-    return rate_windows(audit.withWatermark("timestamp", lateness), length).filter(f"requests > {int(most)}")
+    return _wall(rate_windows(_watermarked(audit, lateness), length)).filter(F.col("requests") > most)
 
 
 def stream_row_quota(audit: DataFrame, length: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Rows each agent received per window."""
-    return quota_windows(audit.withWatermark("timestamp", lateness), length)
+    return _wall(quota_windows(_watermarked(audit, lateness), length))
 
 
 def stream_decisions(requests: DataFrame, bundle: Bundle, **options) -> DataFrame:
