@@ -96,35 +96,31 @@ THEN 6 ELSE 0 END >= c_nationkey % 7, false) AS cleared FROM customer"""
 def clearance_test(spark, sf_dir):
     """Highest allowed rank against the rank asked for; an empty list clears nothing and an
     unknown class ranks lowest."""
-    allowed = F.expr(
+    allowed = (
         "CASE c_mktsegment WHEN 'BUILDING' THEN CAST(array() AS array<string>) WHEN 'AUTOMOBILE' THEN array('public')"
         " WHEN 'FURNITURE' THEN array('confidential', 'public') WHEN 'HOUSEHOLD' THEN array('pci')"
         " ELSE array('made-up') END"
     )
-    asked = F.expr(
+    asked = (
         "element_at(array('public','internal','confidential','restricted','pii','phi','pci'),"
         " CAST(1 + c_nationkey % 7 AS int))"
     )
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
-        clearance(allowed).alias("clearance"),
-        class_rank(F.lower("c_mktsegment")).alias("label_rank"),
-        (class_rank(asked) <= clearance(allowed)).alias("cleared"),
+        F.expr(clearance(allowed)).alias("clearance"),
+        F.expr(class_rank("lower(c_mktsegment)")).alias("label_rank"),
+        F.expr(f"{class_rank(asked)} <= {clearance(allowed)}").alias("cleared"),
     )
 
 
 @registered(with_sql(_BIG, "SELECT operation, op_ok, src_ok, cls, count(*) AS n FROM tested GROUP BY ALL"))
 def request_gates(spark, sf_dir):
     """Operation gate, source allow-list and effective class over all requests."""
-    bundle = big_bundle(spark, sf_dir)
-    found = lookups.with_agent_policy(big_requests(spark, sf_dir), bundle, "policy")
-    found = decisions.with_table_policy(found, bundle)
-    return found.groupBy(
-        "operation",
-        decisions.operation_allowed(F.col("policy"), F.col("operation")).alias("op_ok"),
-        decisions.source_allowed(F.col("policy"), F.col("source")).alias("src_ok"),
-        F.col("_class").alias("cls"),
-    ).agg(F.count("*").alias("n"))
+    found = decisions.with_policies(big_requests(spark, sf_dir), lookups.resolve(big_bundle(spark, sf_dir)))
+    tested = found.selectExpr(
+        "operation", f"{decisions.OPERATION_OK} AS op_ok", f"{decisions.SOURCE_OK} AS src_ok", "_class AS cls"
+    )
+    return tested.groupBy("operation", "op_ok", "src_ok", "cls").agg(F.count("*").alias("n"))
 
 
 @registered(with_sql(_SMALL, DECISION_SELECT))
@@ -141,11 +137,8 @@ def governance_decision_unhinted(spark, sf_dir):
 @registered(with_sql(_BIG, DECISION_SELECT))
 def governance_decision_large(spark, sf_dir):
     """Every line item as a request, against policies that grow with the data."""
-    asked = big_requests(spark, sf_dir)
-    keys = ["agent", "source", "table", "operation", "columns"]
-    bundle = big_bundle(spark, sf_dir)
-    judged = decisions.decide_distinct(asked, keys, lambda rows: decisions.decide(rows, bundle), bundle)
-    return flat_decision(judged)
+    bundle = lookups.resolve(big_bundle(spark, sf_dir))
+    return flat_decision(decisions.decide(big_requests(spark, sf_dir), bundle))
 
 
 @registered(
@@ -167,16 +160,14 @@ def masked_columns_of_request(spark, sf_dir):
     )
 )
 def write_approval_flag(spark, sf_dir):
-    bundle = big_bundle(spark, sf_dir)
-    found = lookups.with_agent_policy(big_requests(spark, sf_dir), bundle, "policy")
-    found = decisions.with_table_policy(found, bundle)
-    agent, own = F.col("policy.approve_writes"), F.coalesce("_table_approve", F.lit(True))
-    return found.groupBy(
+    found = decisions.with_policies(big_requests(spark, sf_dir), lookups.resolve(big_bundle(spark, sf_dir)))
+    flags = found.selectExpr(
         "operation",
-        agent.alias("agent_approve"),
-        own.alias("table_approve"),
-        decisions.approval_needed(F.col("operation"), agent, F.col("_table_approve")).alias("needed"),
-    ).agg(F.count("*").alias("n"))
+        "_policy.approve_writes AS agent_approve",
+        "coalesce(_table_approve, true) AS table_approve",
+        f"{decisions.APPROVAL} AS needed",
+    )
+    return flags.groupBy("operation", "agent_approve", "table_approve", "needed").agg(F.count("*").alias("n"))
 
 
 _READS = {"reqs": """SELECT request_id, agent, source, "table", 'SELECT' AS operation, [] :: VARCHAR[] AS "columns"
@@ -203,7 +194,7 @@ def preflight(spark, sf_dir):
 )
 def access_matrix(spark, sf_dir):
     """Preflight of every (agent, source, table) the log mentions."""
-    return decisions.access_matrix(big_requests(spark, sf_dir), big_bundle(spark, sf_dir))
+    return decisions.access_matrix(big_requests(spark, sf_dir), lookups.resolve(big_bundle(spark, sf_dir)))
 
 
 @registered(
@@ -238,7 +229,8 @@ def scope_decision(spark, sf_dir):
 @registered(with_sql(BIG_REQUESTS_SQL | BIG_SQL | SCOPED, _SCOPE_SELECT))
 def scope_decision_large(spark, sf_dir):
     """Rules from every order: wildcards, shadowed scopes, ordered union, last value wins."""
-    return flat_scope(scope.scope_decision(big_requests(spark, sf_dir), big_bundle(spark, sf_dir)))
+    bundle = scope.resolve_scopes(big_bundle(spark, sf_dir))
+    return flat_scope(scope.scope_decision(big_requests(spark, sf_dir), bundle))
 
 
 @registered(
@@ -257,7 +249,7 @@ LEFT JOIN g3 ON g3.agent = r.agent AND g3.source = r.source AND g3."table" IS NO
     )
 )
 def rule_merge(spark, sf_dir):
-    merged = scope.merge_rules(big_bundle(spark, sf_dir))
+    merged = scope.merge_rules(scope.resolve_scopes(big_bundle(spark, sf_dir)))
     return merged.select(
         "agent",
         "source",

@@ -1,22 +1,20 @@
-"""Data classes and clearance."""
+"""Data classes and clearance, as SQL expressions over given SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 # Data classes from least to most sensitive; the rank is the position.
 CLASSES = ("public", "internal", "confidential", "restricted", "pii", "phi", "pci")
+_KNOWN = ", ".join(f"'{c}'" for c in CLASSES)
 
 
-def class_rank(name: Column) -> Column:
-    """Rank of a class; unknown and missing classes rank 0."""
-    known = F.array(*[F.lit(c) for c in CLASSES])
-    return F.greatest(F.array_position(known, name) - 1, F.lit(0)).cast("int")
+def class_rank(name: str) -> str:
+    """SQL: rank of a class; unknown and missing classes rank 0."""
+    return f"CAST(greatest(array_position(array({_KNOWN}), {name}) - 1, 0) AS int)"
 
 
-def clearance(allowed: Column) -> Column:
-    """Highest rank of a list of classes; -1 (clears nothing) when the list is empty."""
-    return F.coalesce(F.array_max(F.transform(allowed, class_rank)), F.lit(-1))
+def clearance(allowed: str) -> str:
+    """SQL: highest rank of a list of classes; -1 (clears nothing) when the list is empty."""
+    return f"coalesce(array_max(transform({allowed}, c -> {class_rank('c')})), -1)"
 
 
 def rank_of(name: str) -> int:

@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The white space and line ends of the log format.
-_BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-_LINE_ENDS = r"\n\r\u2028\u2029"
-_GAP = f"[{_BLANKS}]+"
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LINE_ENDS = "\n\r\u2028\u2029"
+_GAP = f"[{BLANKS}]+"
 
 _FROM = rf"(?i)FROM{_GAP}(\w+)"
-_FIRST_PIECE = rf"\A([^{_BLANKS}]*)"
-_SELECT_LIST = rf"(?i)SELECT{_GAP}([^{_LINE_ENDS}]+?){_GAP}FROM"
-_OUTER_BLANKS = rf"\A{_GAP}|{_GAP}\z"
+_FIRST_PIECE = rf"\A([^{BLANKS}]*)"
+_SELECT_LIST = rf"(?i)SELECT{_GAP}([^{LINE_ENDS}]+?){_GAP}FROM"
 _ALIAS = rf"(?i){_GAP}AS{_GAP}(\w+)\z"
 _QUALIFIED = r"\.(\w+)\z"
 
+# The writing operations.
 WRITES = ("INSERT", "UPDATE", "DELETE")
 
 
@@ -28,7 +28,7 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, _OUTER_BLANKS, "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def query_table(query: Column) -> Column:
@@ -38,24 +38,20 @@ def query_table(query: Column) -> Column:
 
 def query_operation(query: Column) -> Column:
     """INSERT, UPDATE or DELETE by prefix; everything else counts as SELECT."""
-    head = F.upper(_trim(query))
-    out = F.lit("SELECT")
-    for word in WRITES:
-        out = F.when(head.startswith(word), F.lit(word)).otherwise(out)
-    return out
+    head = F.upper(F.substring(F.ltrim(query, F.lit(BLANKS)), 1, len(WRITES[0])))
+    return F.when(head.isin(*WRITES), head).otherwise(F.lit("SELECT"))
 
 
 def query_columns(query: Column) -> Column:
     """Output names of the first SELECT list; ``*`` and texts without a list give none."""
-    listed = _found(query, _SELECT_LIST)
+    listed = F.nullif(_trim(F.regexp_extract(query, _SELECT_LIST, 1)), F.lit("*"))
 
     def name(piece: Column) -> Column:
         item = _trim(piece)
         return F.coalesce(_found(item, _ALIAS), _found(item, _QUALIFIED), item)
 
     names = F.filter(F.transform(F.split(listed, ","), name), lambda n: n != "")
-    nothing = F.array().cast("array<string>")
-    return F.when(listed.isNull() | (_trim(listed) == "*"), nothing).otherwise(names)
+    return F.coalesce(names, F.array().cast("array<string>"))
 
 
 def query_length(query: Column) -> Column:

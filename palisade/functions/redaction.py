@@ -90,7 +90,8 @@ def redact_headers(headers: Column, keys: SecretKeys = LOG_SECRETS) -> Column:
 def redact_json(text: Column, schema: T.DataType | str, keys: SecretKeys = LOG_SECRETS) -> Column:
     """Secret removal inside a JSON text column of known schema; NULL fields are kept."""
     dtype = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
-    clean = redact_keys(F.from_json(text, dtype), dtype, keys)
+    # bound to a variable: field by field, the optimizer would parse the text once per field
+    clean = F.transform(F.array(F.from_json(text, dtype)), lambda v: redact_keys(v, dtype, keys))[0]
     return F.to_json(clean, {"ignoreNullFields": "false"})
 
 

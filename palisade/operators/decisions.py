@@ -1,12 +1,12 @@
 """Governance decisions for tables of requests.
 
-``requests`` carries agent, source, table, operation and (for masked columns) columns.
+``requests`` carries agent, source, table, operation and (for masked columns) columns. The
+rules are SQL expressions over the columns the lookups add: ``_policy`` (the agent's),
+``_class``, ``_row_filter``, ``_table_cap`` and ``_table_approve`` (the table's).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.classes import class_rank
@@ -14,81 +14,95 @@ from palisade.functions.querytext import WRITES
 from palisade.operators.lookups import (
     column_lookup,
     first_column_lookup,
-    masked_lists,
+    masked_tables,
     source_lookup,
     table_lookup,
     with_agent_policy,
 )
 from palisade.sources.policy import MASKS, Bundle
 
-
-def operation_allowed(policy: Column, operation: Column) -> Column:
-    return F.coalesce(F.array_contains(policy["allowed_ops"], operation), F.lit(False))
-
-
-def source_allowed(policy: Column, source: Column) -> Column:
-    """No list, or an empty one, opens every source."""
-    listed = policy["allowed_sources"]
-    return listed.isNull() | (F.size(listed) == 0) | F.coalesce(F.array_contains(listed, source), F.lit(False))
-
-
-def effective_class(table_class: Column, default_class: Column) -> Column:
-    return F.coalesce(F.nullif(table_class, F.lit("")), F.nullif(default_class, F.lit("")), F.lit("internal"))
-
-
-def row_cap(table_cap: Column, agent_cap: Column) -> Column:
-    """The smaller of two caps; 0 means no cap."""
-    table_cap = F.coalesce(table_cap, F.lit(0))
-    both = (table_cap > 0) & (agent_cap > 0)
-    return F.when(both, F.least(table_cap, agent_cap)).otherwise(F.greatest(table_cap, agent_cap))
-
-
-def approval_needed(operation: Column, agent_flag: Column, table_flag: Column) -> Column:
-    write = F.coalesce(operation.isin(*WRITES), F.lit(False))
-    return write & (F.coalesce(agent_flag, F.lit(False)) | F.coalesce(table_flag, F.lit(True)))
+OPERATION_OK = "coalesce(array_contains(_policy.allowed_ops, operation), false)"
+# no list, or an empty one, opens every source
+SOURCE_OK = (
+    "(_policy.allowed_sources IS NULL OR size(_policy.allowed_sources) = 0"
+    " OR coalesce(array_contains(_policy.allowed_sources, source), false))"
+)
+CLASS_OK = f"{class_rank('_class')} <= _policy.rank"
+ALLOWED = f"({OPERATION_OK} AND {SOURCE_OK} AND {CLASS_OK})"
+REASON = f"""CASE
+    WHEN NOT {OPERATION_OK} THEN
+        concat('Agent ', ifnull(agent, 'null'), ' is not allowed to perform ', ifnull(operation, 'null'), ' operations')
+    WHEN NOT {SOURCE_OK} THEN
+        concat('Agent ', ifnull(agent, 'null'), ' is not allowed to access source: ', ifnull(source, 'null'))
+    WHEN NOT {CLASS_OK} THEN
+        concat('Agent ', ifnull(agent, 'null'), ' cannot access ', _class, '-classified data in ',
+            ifnull(source, 'null'), '.', ifnull(table, 'null')) END"""
+# the smaller of two caps; 0 means no cap
+ROW_CAP = """CASE WHEN ifnull(_table_cap, 0) > 0 AND _policy.max_rows > 0 THEN least(_table_cap, _policy.max_rows)
+    ELSE greatest(ifnull(_table_cap, 0), _policy.max_rows) END"""
+APPROVAL = f"""ifnull(operation IN {WRITES}, false) AND (_policy.approve_writes OR ifnull(_table_approve, true))"""
+
+DECISION = f"""named_struct(
+    'allowed', {ALLOWED},
+    'reason', {REASON},
+    'masked_columns', CASE WHEN {ALLOWED} AND size(_masks) > 0 THEN _masks END,
+    'row_filter', CASE WHEN {ALLOWED} THEN _row_filter END,
+    'max_rows', CAST(CASE WHEN {ALLOWED} THEN {ROW_CAP} ELSE 0 END AS bigint),
+    'requires_approval', {ALLOWED} AND {APPROVAL})"""
+UNGOVERNED = f"""named_struct(
+    'allowed', true,
+    'reason', CAST(NULL AS string),
+    'masked_columns', CAST(NULL AS {MASKS.simpleString()}),
+    'row_filter', CAST(NULL AS string),
+    'max_rows', CAST(0 AS bigint),
+    'requires_approval', false)"""
 
 
 def with_table_policy(requests: DataFrame, bundle: Bundle) -> DataFrame:
-    """Add _class, _row_filter, _table_cap, _table_approve by source and (source, table)."""
-    tables = table_lookup(bundle).select(
-        "source",
-        "table",
-        F.col("classification").alias("_table_class"),
-        F.col("row_filter").alias("_row_filter"),
-        F.col("max_rows").alias("_table_cap"),
-        F.col("approve_writes").alias("_table_approve"),
-    )
+    """Add _class, _row_filter, _table_cap and _table_approve by source and (source, table);
+    for small bundles also _table_masks."""
+    tables = masked_tables(bundle) if bundle.small else table_lookup(bundle)
+    renamed = {
+        "classification": "_table_class",
+        "row_filter": "_row_filter",
+        "max_rows": "_table_cap",
+        "approve_writes": "_table_approve",
+        "masks": "_table_masks",
+    }
+    own = [F.col(c).alias(n) for c, n in renamed.items() if c in tables.columns]
+    tables = tables.select("source", "table", *own)
     sources = source_lookup(bundle).select("source", F.col("default_class").alias("_default_class"))
-    return (
-        requests.join(bundle.hint(sources), "source", "left")
-        .join(bundle.hint(tables), ["source", "table"], "left")
-        .withColumn("_class", effective_class(F.col("_table_class"), F.col("_default_class")))
-        .drop("_table_class", "_default_class")
-    )
+    joined = requests.join(bundle.hint(sources), "source", "left").join(bundle.hint(tables), ["source", "table"], "left")
+    label = "coalesce(nullif(_table_class, ''), nullif(_default_class, ''), 'internal') AS _class"
+    return joined.selectExpr(*_quoted(requests.columns), label, *[n for n in renamed.values() if n in joined.columns])
 
 
 def with_masks(requests: DataFrame, bundle: Bundle, name: str = "_masks") -> DataFrame:
     """Add the masked ones among the requested columns, in policy order.
 
-    A small bundle brings each table's list to the request. With a large one, each distinct
+    A small bundle has brought each table's list along. With a large one, each distinct
     (source, table, columns) is joined column by column, so that no table's policy is ever
     gathered whole.
     """
-    if bundle.small:
-        asked = F.transform("columns", F.lower)
-        wanted = F.filter("masks", lambda m: F.array_contains(asked, F.lower(m["name"])))
-        shaped = F.transform(wanted, lambda m: F.struct(m["name"], m["strategy"], m["format"]))
-        joined = requests.join(bundle.hint(masked_lists(bundle)), ["source", "table"], "left")
-        return joined.withColumn(name, shaped.cast(MASKS)).drop("masks")
+    if "_table_masks" in requests.columns:
+        wanted = "filter(_table_masks, m -> array_contains(transform(columns, c -> lower(c)), lower(m.name)))"
+        return requests.withColumn(name, F.expr(wanted))
     keys = ["source", "table", "columns"]
     asked = requests.select(*keys).distinct()
-    asked = asked.select(*keys, F.explode(F.array_distinct(F.transform("columns", F.lower))).alias("_col"))
+    asked = asked.select(*keys, F.expr("explode(array_distinct(transform(columns, c -> lower(c)))) AS _col"))
     masked = column_lookup(bundle).filter("masking <> 'none'").withColumn("_col", F.lower("name"))
     hits = asked.join(masked, ["source", "table", "_col"])
     item = F.struct("pos", "name", F.col("masking").alias("strategy"), F.col("mask_format").alias("format"))
     lists = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    shaped = F.transform("_items", lambda m: F.struct(m["name"], m["strategy"], m["format"]))
-    return requests.join(lists, keys, "left").withColumn(name, shaped.cast(MASKS)).drop("_items")
+    lists = lists.select(
+        *keys,
+        F.expr("transform(_items, m -> struct(m.name AS name, m.strategy AS strategy, m.format AS format))").alias(name),
+    )
+    return requests.join(lists, keys, "left")
+
+
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
 def column_policies_of(requests: DataFrame, bundle: Bundle) -> DataFrame:
@@ -97,80 +111,25 @@ def column_policies_of(requests: DataFrame, bundle: Bundle) -> DataFrame:
     return asked.join(bundle.hint(first_column_lookup(bundle)), ["source", "table", "name"])
 
 
+def with_policies(requests: DataFrame, bundle: Bundle) -> DataFrame:
+    """All lookups of a decision. With a small bundle they are broadcast and the requests do
+    not move; otherwise Catalyst decides by the size of the resolved tables."""
+    return with_table_policy(with_agent_policy(requests, bundle, "_policy"), bundle)
+
+
 def decide(requests: DataFrame, bundle: Bundle, name: str = "decision") -> DataFrame:
     """Add struct<allowed, reason, masked_columns, row_filter, max_rows, requires_approval>.
 
     The first failing test gives the reason: operation, source, classification.
     """
     if not bundle.enabled:
-        return requests.withColumn(
-            name,
-            F.struct(
-                F.lit(True).alias("allowed"),
-                F.lit(None).cast("string").alias("reason"),
-                F.lit(None).cast(MASKS).alias("masked_columns"),
-                F.lit(None).cast("string").alias("row_filter"),
-                F.lit(0).cast("bigint").alias("max_rows"),
-                F.lit(False).alias("requires_approval"),
-            ),
-        )
-    kept = requests.columns
-    found = with_table_policy(with_agent_policy(requests, bundle, "_policy"), bundle)
-    if "columns" in kept:
+        return requests.withColumn(name, F.expr(UNGOVERNED))
+    found = with_policies(requests, bundle)
+    if "columns" in requests.columns:
         found = with_masks(found, bundle)
     else:
         found = found.withColumn("_masks", F.lit(None).cast(MASKS))
-    return found.select(*kept, _decision().alias(name))
-
-
-def _decision() -> Column:
-    policy, label = F.col("_policy"), F.col("_class")
-    agent, source, table, operation = (
-        F.coalesce(F.col(c), F.lit("null")) for c in ("agent", "source", "table", "operation")
-    )
-    operation_ok = operation_allowed(policy, F.col("operation"))
-    source_ok = source_allowed(policy, F.col("source"))
-    class_ok = class_rank(label) <= policy["rank"]
-    allowed = operation_ok & source_ok & class_ok
-    who = F.concat(F.lit("Agent "), agent)
-    reason = (
-        F.when(
-            ~operation_ok,
-            F.concat(who, F.lit(" is not allowed to perform "), operation, F.lit(" operations")),
-        )
-        .when(~source_ok, F.concat(who, F.lit(" is not allowed to access source: "), source))
-        .when(
-            ~class_ok,
-            F.concat(who, F.lit(" cannot access "), label, F.lit("-classified data in "), source, F.lit("."), table),
-        )
-    )
-    masks = F.when(allowed & (F.size("_masks") > 0), F.col("_masks"))
-    cap = row_cap(F.col("_table_cap"), policy["max_rows"])
-    approval = approval_needed(F.col("operation"), policy["approve_writes"], F.col("_table_approve"))
-    return F.struct(
-        allowed.alias("allowed"),
-        reason.alias("reason"),
-        masks.alias("masked_columns"),
-        F.when(allowed, F.col("_row_filter")).alias("row_filter"),
-        F.when(allowed, cap).otherwise(F.lit(0)).cast("bigint").alias("max_rows"),
-        (allowed & approval).alias("requires_approval"),
-    )
-
-
-def decide_distinct(requests: DataFrame, keys: Sequence[str], add, bundle: Bundle) -> DataFrame:
-    """Run ``add`` once per distinct key combination and join the answers back.
-
-    Logs repeat themselves, so with policy tables too large to broadcast this moves the
-    requests twice instead of once per lookup. With a small bundle nothing is shuffled at
-    all and ``add`` runs on the requests directly.
-    """
-    if bundle.small:
-        return add(requests)
-    answered = add(requests.select(*keys).distinct())
-    extra = [c for c in answered.columns if c not in keys]
-    answered = answered.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *extra)
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return requests.join(answered, same, "left").select(*requests.columns, *extra)
+    return found.select(*requests.columns, F.expr(DECISION).alias(name))
 
 
 def preflight(pairs: DataFrame, bundle: Bundle) -> DataFrame:
@@ -192,21 +151,16 @@ def clearance_coverage(agent_sources: DataFrame, catalog: DataFrame, bundle: Bun
     before it meets the agents, so agents and tables are never paired one by one.
     """
     ranked = with_table_policy(catalog.select("source", "table").distinct(), bundle)
-    per_rank = ranked.groupBy("source", class_rank(F.col("_class")).alias("rank")).agg(F.count("*").alias("n"))
+    per_rank = ranked.groupBy("source", F.expr(class_rank("_class")).alias("rank")).agg(F.count("*").alias("n"))
     histogram = per_rank.groupBy("source").agg(
         F.collect_list(F.struct("rank", "n")).alias("_ranks"), F.sum("n").alias("tables_total")
     )
     pairs = agent_sources.select("agent", "source").distinct().join(histogram, "source")
     pairs = with_agent_policy(pairs, bundle, "_policy")
-    policy = F.col("_policy")
-    ok = operation_allowed(policy, F.lit("SELECT")) & source_allowed(policy, F.col("source"))
-    cleared = F.filter("_ranks", lambda r: r["rank"] <= F.col("_policy.rank"))
-    count = F.aggregate(cleared, F.lit(0).cast("bigint"), lambda acc, r: acc + r["n"])
-    return pairs.select(
-        "agent",
-        "source",
-        "tables_total",
-        F.when(ok, count).otherwise(F.lit(0)).cast("bigint").alias("tables_allowed"),
+    cleared = "aggregate(filter(_ranks, r -> r.rank <= _policy.rank), 0L, (acc, r) -> acc + r.n)"
+    readable = "coalesce(array_contains(_policy.allowed_ops, 'SELECT'), false) AND " + SOURCE_OK
+    return pairs.selectExpr(
+        "agent", "source", "tables_total", f"CASE WHEN {readable} THEN {cleared} ELSE 0L END AS tables_allowed"
     )
 
 

@@ -7,12 +7,14 @@ becomes a literal relation, any other bundle is resolved by Spark.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.classes import clearance
 from palisade.operators.single import chosen_columns, chosen_tables, first_rows
-from palisade.sources.policy import MASKS, SCHEMAS, TEXT, Bundle, local_frame, struct
+from palisade.session import materialise
+from palisade.sources.policy import FLAG, LONG, MASKS, SCHEMAS, TEXT, Bundle, local_frame, struct
 
 
 def first_match(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -22,48 +24,45 @@ def first_match(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return df.withColumn("_match", rank).filter("_match = 1").drop("_match")
 
 
-def agent_struct(source: dict[str, Column] | None = None) -> Column:
-    c = source or {f: F.col(f) for f in SCHEMAS["agent_policy"].fieldNames()}
-    return F.struct(
-        clearance(c["allowed_classes"]).alias("rank"),
-        c["allowed_ops"].alias("allowed_ops"),
-        c["allowed_sources"].alias("allowed_sources"),
-        c["max_rows"].alias("max_rows"),
-        F.coalesce(c["approve_writes"], F.lit(False)).alias("approve_writes"),
-        c["max_concurrency"].alias("max_concurrency"),
-        c["timeout_ms"].alias("timeout_ms"),
-    )
-
-
-def default_agent(bundle: Bundle) -> Column:
-    """The policy of agents without one, as a literal."""
-    parts = {}
-    for f in SCHEMAS["agent_policy"].fields:
-        value = bundle.default_agent.get(f.name)
-        lit = F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
-        parts[f.name] = lit.cast(f.dataType)
-    return agent_struct(parts)
+AGENT_POLICY = f"""named_struct(
+    'rank', {clearance('allowed_classes')},
+    'allowed_ops', allowed_ops,
+    'allowed_sources', allowed_sources,
+    'max_rows', max_rows,
+    'approve_writes', coalesce(approve_writes, false),
+    'max_concurrency', max_concurrency,
+    'timeout_ms', timeout_ms)"""
 
 
 def agent_lookup(bundle: Bundle) -> DataFrame:
     """(agent, agent_policy struct)"""
+    if "agents" in bundle.resolved:
+        return bundle.resolved["agents"]
     if bundle.small:
         rows = first_rows(bundle.rows["agent_policy"], ["agent"], ["pos"])
         found = local_frame(bundle.spark, rows, SCHEMAS["agent_policy"])
     else:
         found = first_match(bundle.agent_policy, ["agent"], ["pos"])
-    return found.select("agent", agent_struct().alias("agent_policy"))
+    return found.select("agent", F.expr(AGENT_POLICY).alias("agent_policy"))
+
+
+def default_agent(bundle: Bundle) -> Column:
+    """The policy of agents without one: a one-row relation as a scalar."""
+    row = local_frame(bundle.spark, [bundle.default_agent], SCHEMAS["agent_policy"])
+    return row.select(F.expr(AGENT_POLICY).alias("agent_policy")).scalar()
 
 
 def with_agent_policy(requests: DataFrame, bundle: Bundle, name: str = "agent_policy") -> DataFrame:
     """Add the explicit policy of the agent, else the default one."""
     found = agent_lookup(bundle).withColumnRenamed("agent_policy", "_found")
     joined = requests.join(bundle.hint(found), "agent", "left")
-    return joined.withColumn(name, F.coalesce("_found", default_agent(bundle))).drop("_found")
+    return joined.select(*requests.columns, F.coalesce("_found", default_agent(bundle)).alias(name))
 
 
 def source_lookup(bundle: Bundle) -> DataFrame:
     """(source_pos, source, default_class)"""
+    if "sources" in bundle.resolved:
+        return bundle.resolved["sources"]
     if bundle.small:
         rows = first_rows(bundle.rows["source_policy"], ["source"], ["source_pos"])
         return local_frame(bundle.spark, rows, SCHEMAS["source_policy"])
@@ -72,6 +71,8 @@ def source_lookup(bundle: Bundle) -> DataFrame:
 
 def table_lookup(bundle: Bundle) -> DataFrame:
     """Table policies of the first policy entry of their source, first one per table."""
+    if "tables" in bundle.resolved:
+        return bundle.resolved["tables"]
     if bundle.small:
         return local_frame(bundle.spark, chosen_tables(bundle.rows), SCHEMAS["table_policy"])
     chosen = source_lookup(bundle).select("source", "source_pos")
@@ -81,6 +82,8 @@ def table_lookup(bundle: Bundle) -> DataFrame:
 
 def column_lookup(bundle: Bundle) -> DataFrame:
     """Column policies that belong to the chosen table policies, in list order (``pos``)."""
+    if "columns" in bundle.resolved:
+        return bundle.resolved["columns"]
     if bundle.small:
         return local_frame(bundle.spark, chosen_columns(bundle.rows), SCHEMAS["column_policy"])
     at = ["source", "source_pos", "table", "table_pos"]
@@ -92,13 +95,35 @@ def first_column_lookup(bundle: Bundle) -> DataFrame:
     return first_match(column_lookup(bundle), ["source", "table", "name"], ["pos"])
 
 
-def masked_lists(bundle: Bundle) -> DataFrame:
-    """(source, table, masks): the masked columns of each table in policy order, for small
-    bundles. Others join column by column."""
-    lists: dict[tuple, list] = {}
+MASKED_TABLE = struct(
+    source=TEXT, table=TEXT, classification=TEXT, row_filter=TEXT, max_rows=LONG, approve_writes=FLAG, masks=MASKS
+)
+
+
+def masked_tables(bundle: Bundle) -> DataFrame:
+    """For small bundles: table policies together with their masked columns in policy order."""
+    masks: dict[tuple, list] = {}
     for c in chosen_columns(bundle.rows):
         if c["masking"] != "none":
             mask = {"name": c["name"], "strategy": c["masking"], "format": c.get("mask_format")}
-            lists.setdefault((c["source"], c["table"]), []).append(mask)
-    rows = [{"source": s, "table": t, "masks": m} for (s, t), m in lists.items()]
-    return local_frame(bundle.spark, rows, struct(source=TEXT, table=TEXT, masks=MASKS))
+            masks.setdefault((c["source"], c["table"]), []).append(mask)
+    rows = [{**t, "masks": masks.get((t["source"], t["table"]))} for t in chosen_tables(bundle.rows)]
+    return local_frame(bundle.spark, rows, MASKED_TABLE)
+
+
+def resolve(bundle: Bundle) -> Bundle:
+    """Work out the policy lookups of a large bundle once and keep them as tables in the
+    shared folder. Decisions then scan small resolved tables whose size Catalyst knows,
+    however often they are asked. Redo it when policies change."""
+    if bundle.small:
+        return bundle
+    kept: dict[str, DataFrame] = {}
+    bundle = replace(bundle, resolved=kept)
+    for name, lookup in (
+        ("agents", agent_lookup),
+        ("sources", source_lookup),
+        ("tables", table_lookup),
+        ("columns", column_lookup),
+    ):
+        kept[name] = materialise(lookup(bundle), name)
+    return bundle

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.operators.single import active_rule_rows, merge_rule_rows
+from palisade.session import materialise
 from palisade.sources.policy import FILTERS, TEXT, TEXTS, Bundle, local_frame, struct
 
 
 def active_rules(bundle: Bundle) -> DataFrame:
     """Rules of each agent's first scope and, in it, of the first entry of each source."""
+    if "rules" in bundle.resolved:
+        return bundle.resolved["rules"]
     rules = bundle.scope_rules
     scopes = rules.groupBy("agent").agg(F.min("scope_pos").alias("scope_pos"))
     rules = rules.join(bundle.hint(scopes), ["agent", "scope_pos"], "left_semi")
@@ -80,6 +84,8 @@ def merge_rules(bundle: Bundle) -> DataFrame:
     """One row per (agent, source, table) named by a rule, plus one with an empty table per
     source open through a rule without a table: the merged fields and filters. A named
     table also takes up what the rules without a table say."""
+    if "merged" in bundle.resolved:
+        return bundle.resolved["merged"]
     if bundle.small:
         return local_frame(bundle.spark, merge_rule_rows(bundle.rows["scope_rules"]), SCOPE_TABLE)
     rules = active_rules(bundle).filter("rule_pos is not null")
@@ -127,6 +133,17 @@ def _scope_lookups(bundle: Bundle) -> tuple[DataFrame, DataFrame, DataFrame]:
     return entries.select("agent").distinct(), entries.join(wide, ["agent", "source"], "left"), named
 
 
+def resolve_scopes(bundle: Bundle) -> Bundle:
+    """Work out the rules in force and their merge once, as tables in the shared folder."""
+    if bundle.small:
+        return bundle
+    kept = dict(bundle.resolved)
+    bundle = replace(bundle, resolved=kept)
+    kept["rules"] = materialise(active_rules(bundle), "rules")
+    kept["merged"] = materialise(merge_rules(bundle), "merged")
+    return bundle
+
+
 def scope_decision(requests: DataFrame, bundle: Bundle, name: str = "scope") -> DataFrame:
     """Add struct<permitted, reason, fields, filters> for each (agent, source, table).
 

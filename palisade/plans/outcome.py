@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.querytext import WRITES, query_columns, query_operation, query_table
-from palisade.operators.decisions import decide, decide_distinct
+from palisade.operators.decisions import decide
 from palisade.operators.scope import scope_decision
 from palisade.sources.policy import TEXT, Bundle, local_frame, struct
 
@@ -61,13 +61,8 @@ def request_outcome(
     parsed = requests.withColumns(
         {"table": query_table(q), "operation": query_operation(q), "columns": query_columns(q)}
     )
-    keys = ["agent", "source", "table", "operation", "columns"]
-
-    def judge(rows: DataFrame) -> DataFrame:
-        scoped = scope_decision(rows.join(known_sources(bundle), "source", "left"), bundle)
-        return decide(scoped, bundle)
-
-    judged = decide_distinct(parsed, keys, judge, bundle)
+    scoped = scope_decision(parsed.join(known_sources(bundle), "source", "left"), bundle)
+    judged = decide(scoped, bundle)
     if approvals is None:
         judged = judged.withColumn("_approved", F.lit(False))
     else:
@@ -109,11 +104,7 @@ def scope_only_outcome(requests: DataFrame, bundle: Bundle) -> DataFrame:
     """The variant that checks presence, source and scope only; an empty query is allowed.
     Adds table, status_code, reason and the merged scope."""
     parsed = requests.withColumn("table", query_table(F.coalesce("query", F.lit(""))))
-
-    def judge(rows: DataFrame) -> DataFrame:
-        return scope_decision(rows.join(known_sources(bundle), "source", "left"), bundle)
-
-    judged = decide_distinct(parsed, ["agent", "source", "table"], judge, bundle)
+    judged = scope_decision(parsed.join(known_sources(bundle), "source", "left"), bundle)
     no_source, no_agent = _blank(F.col("source")), _blank(F.col("agent"))
     unknown, denied = F.col("_known").isNull(), ~F.col("scope.permitted")
     code = F.when(no_source | no_agent, 400).when(unknown, 404).when(denied, 403).otherwise(200)

@@ -177,7 +177,7 @@ class Bundle:
 
     ``rows`` holds the same tables as plain rows while their number is known to be small;
     lookups then resolve on the driver and are broadcast. Without it the tables may be any
-    size and every lookup is a distributed join.
+    size and every lookup is a distributed join; ``resolved`` holds lookups worked out ahead.
     """
 
     sources: DataFrame
@@ -190,6 +190,7 @@ class Bundle:
     default_agent: dict = field(default_factory=lambda: agent_row(-1, {**AGENT_DEFAULTS, **DEFAULT_AGENT}))
     audit_log_days: int = AUDIT_LOG_DAYS
     rows: Mapping[str, list[dict]] | None = field(default=None, repr=False)
+    resolved: Mapping[str, DataFrame] = field(default_factory=dict, repr=False)
 
     @staticmethod
     def from_config(spark: SparkSession, raw: Mapping) -> Bundle:
@@ -251,7 +252,7 @@ class Bundle:
 
     def with_tables(self, **tables: DataFrame) -> Bundle:
         """Other tables; their size is unknown until ``localised`` checks it."""
-        return replace(self, rows=None, **tables)
+        return replace(self, rows=None, resolved={}, **tables)
 
     def hint(self, df: DataFrame) -> DataFrame:
         """Broadcast policy rows only while their number is known to be small."""
