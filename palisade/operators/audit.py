@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from palisade.operators.enforce import GovernedTable
 from palisade.operators.lookups import with_agent_policy
-from palisade.operators.prefix import running_sum
+from palisade.operators.prefix import peak_level, running_sum
 from palisade.sources.audit_log import AUDIT_SCHEMA, append_audit, audit_columns
 from palisade.sources.policy import Bundle, local_frame
 
@@ -182,8 +182,7 @@ def peak_concurrency(audit: DataFrame, bundle: Bundle) -> DataFrame:
         ).alias("e"),
     )
     net = steps.groupBy("agent_id", F.col("e.t").alias("t")).agg(F.sum("e.step").alias("net"))
-    level = running_sum(net, ["agent_id"], "t", [], "net", "level")
-    peaks = level.groupBy("agent_id").agg(F.max("level").alias("peak"))
+    peaks = peak_level(net, "agent_id", "t", "net")
     return _with_policy(peaks, bundle).select(
         F.col("agent").alias("agent_id"),
         "peak",
@@ -202,12 +201,12 @@ def rate_limit_breaches(audit: DataFrame, most: int = 100, length: str = "1 minu
     return rate_windows(audit, length).filter(F.col("requests") > most)
 
 
-def row_quota(audit: DataFrame, bundle: Bundle, length: str = "1 hour") -> DataFrame:
+def row_quota(audit: DataFrame, bundle: Bundle, length: str = "1 hour", **spread) -> DataFrame:
     """Entries after which an agent had received more rows in the window than its cap."""
     rows = audit.filter("row_count is not null and timestamp is not null").select(
         "seq", F.col("agent_id"), "timestamp", F.window("timestamp", length)["start"].alias("window_start"), "row_count"
     )
-    used = running_sum(rows, ["agent_id", "window_start"], "timestamp", ["seq"], "row_count", "rows_so_far")
+    used = running_sum(rows, ["agent_id", "window_start"], "timestamp", ["seq"], "row_count", "rows_so_far", **spread)
     cap = F.col("policy.max_rows")
     return (
         _with_policy(used, bundle)

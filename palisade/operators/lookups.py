@@ -24,6 +24,8 @@ def first_match(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return df.withColumn("_match", rank).filter("_match = 1").drop("_match")
 
 
+MASK_LIST = 1000
+
 AGENT_POLICY = f"""named_struct(
     'rank', {clearance('allowed_classes')},
     'allowed_ops', allowed_ops,
@@ -111,6 +113,19 @@ def masked_tables(bundle: Bundle) -> DataFrame:
     return local_frame(bundle.spark, rows, MASKED_TABLE)
 
 
+def _with_lists(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Add each table's masked columns as one list, if no table has more than MASK_LIST of
+    them; else leave the tables as they are, and requests meet the policies column by column."""
+    masked = columns.filter("masking <> 'none'")
+    longest = masked.groupBy("source", "table").count().agg(F.max("count")).first()[0] or 0
+    if longest > MASK_LIST:
+        return tables
+    item = F.struct("pos", "name", F.col("masking").alias("strategy"), F.col("mask_format").alias("format"))
+    lists = masked.groupBy("source", "table").agg(F.sort_array(F.collect_list(item)).alias("masks"))
+    plain = F.expr("transform(masks, m -> struct(m.name AS name, m.strategy AS strategy, m.format AS format))")
+    return tables.join(lists.withColumn("masks", plain), ["source", "table"], "left").select(*tables.columns, "masks")
+
+
 def resolve(bundle: Bundle) -> Bundle:
     """Work out the policy lookups of a large bundle once and keep them as tables in the
     shared folder. Decisions then scan small resolved tables whose size Catalyst knows,
@@ -126,4 +141,5 @@ def resolve(bundle: Bundle) -> Bundle:
         ("columns", column_lookup),
     ):
         kept[name] = materialise(lookup(bundle), name)
+    kept["tables"] = _with_lists(kept["tables"], kept["columns"])
     return bundle
