@@ -235,10 +235,8 @@ def write_gate(spark, sf_dir):
     """Writes with and without an approval row."""
     judged = decisions.decide(parsed_requests(spark, sf_dir), small_bundle(spark))
     approvals = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    released, blocked = writes.gate_writes(judged, approvals.select(F.col("o_orderkey").alias("request_id")))
-    shown = [df.select("request_id", "operation", F.lit(flag).alias("released")) for df, flag in
-             ((released, True), (blocked, False))]
-    return shown[0].unionByName(shown[1])
+    gated = writes.gate_writes(judged, approvals.select(F.col("o_orderkey").alias("request_id")))
+    return gated.select("request_id", "operation", "released")
 
 
 def _write_access(spark, name, operation):

@@ -13,16 +13,14 @@ from palisade.functions.querytext import WRITES
 from palisade.operators.enforce import Access, AccessDenied, ResidencyKey, in_reach
 
 
-def gate_writes(requests: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(released, blocked) write requests: those with an approval row, and those without.
-    ``requests`` carries request_id, operation and the governance decision."""
-    needs = F.col("decision.requires_approval") & F.col("operation").isin(*WRITES)
+def gate_writes(requests: DataFrame, approvals: DataFrame) -> DataFrame:
+    """The allowed write requests with ``released``: false while an approval is needed and no
+    approval row names the request. ``requests`` carries request_id, operation and decision."""
     writes = requests.filter(F.col("decision.allowed") & F.col("operation").isin(*WRITES))
-    granted = approvals.select("request_id").distinct()
-    blocked = writes.filter(needs).join(granted, "request_id", "left_anti")
-    free = writes.filter(~needs)
-    released = free.unionByName(writes.filter(needs).join(granted, "request_id", "left_semi"))
-    return released, blocked
+    granted = approvals.select("request_id").distinct().withColumn("_granted", F.lit(True))
+    judged = writes.join(granted, "request_id", "left")
+    free = ~F.col("decision.requires_approval") | F.col("_granted").isNotNull()
+    return judged.select(*requests.columns, free.alias("released"))
 
 
 def require_approval(access: Access, operation: str, approved: bool) -> None:

@@ -20,7 +20,7 @@ from palisade.operators.enforce import (
     check_access,
     govern,
 )
-from palisade.session import materialise
+from palisade.session import materialise, shared_folder
 from palisade.sources.policy import Bundle
 from palisade.sources.registry import Registry
 
@@ -75,6 +75,7 @@ class GovernedSession:
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
             self.session.conf.set(key, spark.conf.get(key))
+        self.main = spark
         self._drop_blocked_functions()
 
     def register(self, *tables: str) -> None:
@@ -86,7 +87,8 @@ class GovernedSession:
             raw = self.registry.load(self.session, self.source, table)
             result = govern(raw, access, residency=self.residency.get(table), **self.options)
             if self.barrier:
-                result = GovernedTable(materialise(result.df, "governed"), access, result.masked)
+                stored = materialise(result.df, "governed", shared_folder(self.main))
+                result = GovernedTable(stored, access, result.masked)
             result.df.createOrReplaceTempView(table)
             self.tables[table] = result
 

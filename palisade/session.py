@@ -24,29 +24,33 @@ def build_session(app: str = "palisade", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only a local master may run without it; there a scratch folder is made and
-    remembered in the session, so that all work of one session shares it.
+    Only a local master may run without it; there one scratch folder is made per application.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="palisade-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="palisade-")
+    return _scratch[app]
+
+
+def fresh_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
     """A path under the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{folder or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Cut the lineage through a written table; survives the loss of executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = fresh_path(spark, label, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

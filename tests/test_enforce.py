@@ -184,6 +184,14 @@ def test_cap_is_outermost_and_the_tightest(session):
     assert session.sql("SELECT o_orderkey FROM orders, customer").count() == 100
 
 
+def test_barrier_in_sql(spark, tables, bundle, session):
+    walled = GovernedSession(spark, tables, bundle, "admin-bot", "analytics_db", barrier=True)
+    query = "SELECT c_custkey, c_name FROM customer"
+    assert walled.sql(query).count() == 100
+    assert walled.masked_columns() == {"customer": ["c_name", "c_acctbal"]}
+    assert "customer.parquet" not in plan_of(walled.sql(query))
+
+
 def test_scope_applies_to_each_table(session):
     with pytest.raises(AccessDenied, match="not in scope"):
         session.sql("SELECT * FROM nation JOIN supplier ON true")

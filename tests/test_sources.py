@@ -56,6 +56,19 @@ def test_landed_json(spark, tmp_path):
     assert sorted(r["repo"] for r in read_landed_json(spark, str(tmp_path)).collect()) == ["x", "y", "z"]
 
 
+def test_live_rest_rows(spark, tmp_path):
+    """Pages are fetched by tasks; file URLs stand in for a service."""
+    from palisade.sources.rest import read_rest
+
+    (tmp_path / "p1").write_text(json.dumps([{"id": 1, "n": {"x": "a"}}, {"id": 2}]))
+    (tmp_path / "p2").write_text(json.dumps({"id": 3, "extra": True}))
+    api = source("rest", {"apiKey": "k"}, url=f"file://{tmp_path}/")
+    df = read_rest(spark, api, ["p1", "p2"], "id bigint, n struct<x:string>")
+    assert sorted((r["id"], r["n"] and r["n"]["x"]) for r in df.collect()) == [(1, "a"), (2, None), (3, None)]
+    with pytest.raises(Exception, match="No such file"):
+        read_rest(spark, api, ["none"], "id bigint").collect()
+
+
 def test_registry(spark, sf, tmp_path):
     reg = Registry().add_files("files", sf, ["nation", "no_such_table"])
     assert reg.load(spark, "files", "nation").count() == 25
