@@ -117,9 +117,7 @@ def clearance_test(spark, sf_dir):
 def request_gates(spark, sf_dir):
     """Operation gate, source allow-list and effective class over all requests."""
     found = decisions.with_policies(big_requests(spark, sf_dir), lookups.resolve(big_bundle(spark, sf_dir)))
-    tested = found.selectExpr(
-        "operation", f"{decisions.OPERATION_OK} AS op_ok", f"{decisions.SOURCE_OK} AS src_ok", "_class AS cls"
-    )
+    tested = found.selectExpr("operation", "_operation_ok AS op_ok", "_source_ok AS src_ok", "_class AS cls")
     return tested.groupBy("operation", "op_ok", "src_ok", "cls").agg(F.count("*").alias("n"))
 
 
@@ -163,7 +161,7 @@ def write_approval_flag(spark, sf_dir):
     found = decisions.with_policies(big_requests(spark, sf_dir), lookups.resolve(big_bundle(spark, sf_dir)))
     flags = found.selectExpr(
         "operation",
-        "_policy.approve_writes AS agent_approve",
+        "_agent_approve AS agent_approve",
         "coalesce(_table_approve, true) AS table_approve",
         f"{decisions.APPROVAL} AS needed",
     )

@@ -171,13 +171,13 @@ def peak_concurrency(audit: DataFrame, bundle: Bundle) -> DataFrame:
     before a start takes one, so the level after the instant is the highest around it.
     """
     timed = audit.filter("duration_ms is not null and duration_ms > 0 and timestamp is not null")
-    span = F.make_dt_interval(secs=F.col("duration_ms") / 1000)
+    end = F.expr("timestamp + duration_ms * INTERVAL '0.001' SECOND")
     steps = timed.select(
         "agent_id",
         F.explode(
             F.array(
                 F.struct(F.col("timestamp").alias("t"), F.lit(1).alias("step")),
-                F.struct((F.col("timestamp") + span).alias("t"), F.lit(-1).alias("step")),
+                F.struct(end.alias("t"), F.lit(-1).alias("step")),
             )
         ).alias("e"),
     )

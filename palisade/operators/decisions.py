@@ -1,8 +1,9 @@
 """Governance decisions for tables of requests.
 
 ``requests`` carries agent, source, table, operation and (for masked columns) columns. The
-rules are SQL expressions over the columns the lookups add: ``_policy`` (the agent's),
-``_class``, ``_row_filter``, ``_table_cap`` and ``_table_approve`` (the table's).
+rules are SQL expressions over the columns the lookups add: ``_operation_ok``, ``_source_ok``,
+``_rank``, ``_agent_cap`` and ``_agent_approve`` (from the agent's policy), ``_class``,
+``_row_filter``, ``_table_cap`` and ``_table_approve`` (from the table's).
 """
 
 from __future__ import annotations
@@ -21,26 +22,35 @@ from palisade.operators.lookups import (
 )
 from palisade.sources.policy import MASKS, Bundle
 
+# what the agent's policy says, worked out where that policy is at hand
 OPERATION_OK = "coalesce(array_contains(_policy.allowed_ops, operation), false)"
 # no list, or an empty one, opens every source
 SOURCE_OK = (
     "(_policy.allowed_sources IS NULL OR size(_policy.allowed_sources) = 0"
     " OR coalesce(array_contains(_policy.allowed_sources, source), false))"
 )
-CLASS_OK = f"{class_rank('_class')} <= _policy.rank"
-ALLOWED = f"({OPERATION_OK} AND {SOURCE_OK} AND {CLASS_OK})"
+AGENT_SIDE = (
+    f"{OPERATION_OK} AS _operation_ok",
+    f"{SOURCE_OK} AS _source_ok",
+    "_policy.rank AS _rank",
+    "_policy.max_rows AS _agent_cap",
+    "_policy.approve_writes AS _agent_approve",
+)
+
+CLASS_OK = f"{class_rank('_class')} <= _rank"
+ALLOWED = f"(_operation_ok AND _source_ok AND {CLASS_OK})"
 REASON = f"""CASE
-    WHEN NOT {OPERATION_OK} THEN
+    WHEN NOT _operation_ok THEN
         concat('Agent ', ifnull(agent, 'null'), ' is not allowed to perform ', ifnull(operation, 'null'), ' operations')
-    WHEN NOT {SOURCE_OK} THEN
+    WHEN NOT _source_ok THEN
         concat('Agent ', ifnull(agent, 'null'), ' is not allowed to access source: ', ifnull(source, 'null'))
     WHEN NOT {CLASS_OK} THEN
         concat('Agent ', ifnull(agent, 'null'), ' cannot access ', _class, '-classified data in ',
             ifnull(source, 'null'), '.', ifnull(table, 'null')) END"""
 # the smaller of two caps; 0 means no cap
-ROW_CAP = """CASE WHEN ifnull(_table_cap, 0) > 0 AND _policy.max_rows > 0 THEN least(_table_cap, _policy.max_rows)
-    ELSE greatest(ifnull(_table_cap, 0), _policy.max_rows) END"""
-APPROVAL = f"""ifnull(operation IN {WRITES}, false) AND (_policy.approve_writes OR ifnull(_table_approve, true))"""
+ROW_CAP = """CASE WHEN ifnull(_table_cap, 0) > 0 AND _agent_cap > 0 THEN least(_table_cap, _agent_cap)
+    ELSE greatest(ifnull(_table_cap, 0), _agent_cap) END"""
+APPROVAL = f"""ifnull(operation IN {WRITES}, false) AND (_agent_approve OR ifnull(_table_approve, true))"""
 
 DECISION = f"""named_struct(
     'allowed', {ALLOWED},
@@ -113,8 +123,10 @@ def column_policies_of(requests: DataFrame, bundle: Bundle) -> DataFrame:
 
 def with_policies(requests: DataFrame, bundle: Bundle) -> DataFrame:
     """All lookups of a decision. With a small bundle they are broadcast and the requests do
-    not move; otherwise Catalyst decides by the size of the resolved tables."""
-    return with_table_policy(with_agent_policy(requests, bundle, "_policy"), bundle)
+    not move; otherwise Catalyst decides by the size of the resolved tables. Of the agent's
+    policy only flags and numbers travel on."""
+    agent_side = with_agent_policy(requests, bundle, "_policy").selectExpr(*_quoted(requests.columns), *AGENT_SIDE)
+    return with_table_policy(agent_side, bundle)
 
 
 def decide(requests: DataFrame, bundle: Bundle, name: str = "decision") -> DataFrame:

@@ -24,6 +24,16 @@ def first_match(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return df.withColumn("_match", rank).filter("_match = 1").drop("_match")
 
 
+def splittable(lookup: DataFrame, key: str) -> DataFrame:
+    """Let adaptive execution split a hot key of whatever this lookup is joined to.
+
+    It only does so where both sides come straight from a shuffle. A lookup grouped by its
+    join key would be joined where it lies; with its text key rewritten, Spark shuffles the
+    (short) lookup once more and can split the long side.
+    """
+    return lookup.withColumn(key, F.concat(F.col(key), F.lit("")))
+
+
 MASK_LIST = 1000
 
 AGENT_POLICY = f"""named_struct(
@@ -44,7 +54,7 @@ def agent_lookup(bundle: Bundle) -> DataFrame:
         rows = first_rows(bundle.rows["agent_policy"], ["agent"], ["pos"])
         found = local_frame(bundle.spark, rows, SCHEMAS["agent_policy"])
     else:
-        found = first_match(bundle.agent_policy, ["agent"], ["pos"])
+        found = splittable(first_match(bundle.agent_policy, ["agent"], ["pos"]), "agent")
     return found.select("agent", F.expr(AGENT_POLICY).alias("agent_policy"))
 
 
@@ -68,7 +78,7 @@ def source_lookup(bundle: Bundle) -> DataFrame:
     if bundle.small:
         rows = first_rows(bundle.rows["source_policy"], ["source"], ["source_pos"])
         return local_frame(bundle.spark, rows, SCHEMAS["source_policy"])
-    return first_match(bundle.source_policy, ["source"], ["source_pos"])
+    return splittable(first_match(bundle.source_policy, ["source"], ["source_pos"]), "source")
 
 
 def table_lookup(bundle: Bundle) -> DataFrame:
@@ -79,7 +89,7 @@ def table_lookup(bundle: Bundle) -> DataFrame:
         return local_frame(bundle.spark, chosen_tables(bundle.rows), SCHEMAS["table_policy"])
     chosen = source_lookup(bundle).select("source", "source_pos")
     own = bundle.table_policy.join(chosen, ["source", "source_pos"], "left_semi")
-    return first_match(own, ["source", "table"], ["table_pos"])
+    return splittable(first_match(own, ["source", "table"], ["table_pos"]), "source")
 
 
 def column_lookup(bundle: Bundle) -> DataFrame:

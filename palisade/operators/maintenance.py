@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.classes import CLASSES
 from palisade.functions.masking import STRATEGIES
+from palisade.operators.lookups import splittable
 from palisade.sources.config import OPERATIONS, SOURCE_TYPES, checked_scope, checked_source
 from palisade.sources.policy import SCHEMAS, Bundle, fetch, local_frame, scope_rows, source_row
 
@@ -15,11 +16,11 @@ from palisade.sources.policy import SCHEMAS, Bundle, fetch, local_frame, scope_r
 def upsert_scopes(rules: DataFrame, changes: DataFrame) -> DataFrame:
     """Replace the scopes of all agents named in ``changes``, in place; new agents go to the
     end. The last of several changes for one agent wins."""
-    last = changes.groupBy("agent").agg(F.max("scope_pos").alias("scope_pos"))
+    last = splittable(changes.groupBy("agent").agg(F.max("scope_pos").alias("scope_pos")), "agent")
     changes = changes.join(last, ["agent", "scope_pos"], "left_semi")
     end = rules.agg(F.coalesce(F.max("scope_pos"), F.lit(-1)))
     old = rules.join(last.select("agent"), "agent", "left_semi")
-    old = old.groupBy("agent").agg(F.min("scope_pos").alias("_old"))
+    old = splittable(old.groupBy("agent").agg(F.min("scope_pos").alias("_old")), "agent")
     placed = changes.join(old, "agent", "left")
     placed = placed.withColumn("scope_pos", F.coalesce("_old", end.scalar() + 1 + F.col("scope_pos"))).drop("_old")
     kept = rules.join(last.select("agent"), "agent", "left_anti")
@@ -37,8 +38,8 @@ def set_scope(bundle: Bundle, raw: Mapping) -> Bundle:
 
 def remove_scopes(rules: DataFrame, agents: DataFrame) -> DataFrame:
     """Drop the first scope of each named agent; a second one then takes effect."""
-    first = rules.join(agents.select("agent").distinct(), "agent", "left_semi")
-    first = first.groupBy("agent").agg(F.min("scope_pos").alias("scope_pos"))
+    first = rules.join(splittable(agents.select("agent").distinct(), "agent"), "agent", "left_semi")
+    first = splittable(first.groupBy("agent").agg(F.min("scope_pos").alias("scope_pos")), "agent")
     return rules.join(first, ["agent", "scope_pos"], "left_anti")
 
 
@@ -52,9 +53,10 @@ def remove_scope(bundle: Bundle, agent: str) -> tuple[Bundle, bool]:
 def add_sources(sources: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sources after, rejected): a new source whose name is taken is rejected, as are later
     repeats among the new ones."""
-    taken = new.join(sources.select("name").distinct(), "name", "left_semi")
-    free = new.join(sources.select("name").distinct(), "name", "left_anti")
-    first = free.groupBy("name").agg(F.min("pos").alias("pos"))
+    names = splittable(sources.select("name").distinct(), "name")
+    taken = new.join(names, "name", "left_semi")
+    free = new.join(names, "name", "left_anti")
+    first = splittable(free.groupBy("name").agg(F.min("pos").alias("pos")), "name")
     accepted = free.join(first, ["name", "pos"], "left_semi")
     repeated = free.join(first, ["name", "pos"], "left_anti")
     return sources.unionByName(accepted), taken.unionByName(repeated)
@@ -71,7 +73,7 @@ def add_source(bundle: Bundle, raw: Mapping) -> Bundle:
 
 
 def remove_sources(sources: DataFrame, names: DataFrame) -> DataFrame:
-    return sources.join(names.select("name").distinct(), "name", "left_anti")
+    return sources.join(splittable(names.select("name").distinct(), "name"), "name", "left_anti")
 
 
 def remove_source(bundle: Bundle, name: str) -> tuple[Bundle, bool]:

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.operators.lookups import splittable
 from palisade.operators.single import active_rule_rows, merge_rule_rows
 from palisade.session import materialise
 from palisade.sources.policy import FILTERS, TEXT, TEXTS, Bundle, local_frame, struct
@@ -17,10 +18,10 @@ def active_rules(bundle: Bundle) -> DataFrame:
     if "rules" in bundle.resolved:
         return bundle.resolved["rules"]
     rules = bundle.scope_rules
-    scopes = rules.groupBy("agent").agg(F.min("scope_pos").alias("scope_pos"))
-    rules = rules.join(bundle.hint(scopes), ["agent", "scope_pos"], "left_semi")
-    entries = rules.groupBy("agent", "source").agg(F.min("source_pos").alias("source_pos"))
-    return rules.join(bundle.hint(entries), ["agent", "source", "source_pos"], "left_semi")
+    scopes = splittable(rules.groupBy("agent").agg(F.min("scope_pos").alias("scope_pos")), "agent")
+    rules = rules.join(scopes, ["agent", "scope_pos"], "left_semi")
+    entries = splittable(rules.groupBy("agent", "source").agg(F.min("source_pos").alias("source_pos")), "agent")
+    return rules.join(entries, ["agent", "source", "source_pos"], "left_semi")
 
 
 def merge_items(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,7 +93,7 @@ def merge_rules(bundle: Bundle) -> DataFrame:
     wide = merge_items(rules.filter("table is null"), ["agent", "source"]).withColumnRenamed("items", "wide")
     named = merge_items(rules.filter("table is not null"), ["agent", "source", "table"])
     none = F.array().cast(named.schema["items"].dataType)
-    both = named.join(wide, ["agent", "source"], "left").select(
+    both = named.join(splittable(wide, "agent"), ["agent", "source"], "left").select(
         "agent", "source", "table", F.concat("items", F.coalesce("wide", none)).alias("items")
     )
     every = both.unionByName(
@@ -130,7 +131,9 @@ def _scope_lookups(bundle: Bundle) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = merged.filter("table is not null").select("agent", "source", "table", answer.alias("_named"))
     wide = merged.filter("table is null").select("agent", "source", answer.alias("_wide"))
     entries = active_rules(bundle).select("agent", "source").distinct()
-    return entries.select("agent").distinct(), entries.join(wide, ["agent", "source"], "left"), named
+    agents = splittable(entries.select("agent").distinct(), "agent")
+    entries = splittable(entries.join(wide, ["agent", "source"], "left"), "agent")
+    return agents, entries, splittable(named, "agent")
 
 
 def resolve_scopes(bundle: Bundle) -> Bundle:

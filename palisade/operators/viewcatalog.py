@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.operators.lookups import first_match, table_lookup
+from palisade.operators.lookups import first_match, splittable, table_lookup
 from palisade.plans.governed_sql import GovernedSession
 from palisade.sources.policy import FILTERS, Bundle
 
@@ -48,7 +48,7 @@ def view_rows(bundle: Bundle) -> DataFrame:
     entry it has for the source; of equal names the first rule's view stays."""
     rules = bundle.scope_rules
     entry = rules.groupBy("scope_pos", "source").agg(F.min("source_pos").alias("source_pos"))
-    rules = rules.join(bundle.hint(entry), ["scope_pos", "source", "source_pos"], "left_semi")
+    rules = rules.join(splittable(entry, "source"), ["scope_pos", "source", "source_pos"], "left_semi")
     rules = rules.filter("rule_pos is not null")
     sources = database_sources(bundle).select(
         F.col("name").alias("source"), F.col("type").alias("source_type"), F.col("pos").alias("listed")

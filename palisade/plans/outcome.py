@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.querytext import WRITES, query_columns, query_operation, query_table
 from palisade.operators.decisions import decide
+from palisade.operators.lookups import splittable
 from palisade.operators.scope import scope_decision
 from palisade.sources.policy import TEXT, Bundle, local_frame, struct
 
@@ -28,7 +29,7 @@ def known_sources(bundle: Bundle) -> DataFrame:
         rows = [{"source": n} for n in dict.fromkeys(r["name"] for r in bundle.rows["sources"])]
         names = local_frame(bundle.spark, rows, struct(source=TEXT))
     else:
-        names = bundle.sources.select(F.col("name").alias("source")).distinct()
+        names = splittable(bundle.sources.select(F.col("name").alias("source")).distinct(), "source")
     return bundle.hint(names.withColumn("_known", F.lit(True)))
 
 

@@ -148,8 +148,9 @@ def test_first_match_keeps_one_row_per_key_before_the_shuffle(spark, sf):
     assert "row_number(), 1, Partial" in plan
 
 
-def test_hot_token_is_split_over_tasks(spark):
-    """A token that fills most of a table: adaptive execution splits its join partition."""
+@pytest.fixture
+def small_skew(spark):
+    """Thresholds at which a test's data count as large and skewed."""
     keys = {
         "spark.sql.shuffle.partitions": "32",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -162,20 +163,64 @@ def test_hot_token_is_split_over_tasks(spark):
     before = {key: spark.conf.get(key, None) for key in keys}
     for key, value in keys.items():
         spark.conf.set(key, value)
-    try:
-        rows = spark.range(0, 200_000, 1, 8).select(
-            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("v"), "id"
-        )
-        vault = token_vault(rows, ["v"])
-        hidden = rows.select(F.concat(F.lit("tok_"), F.substring(F.sha2("v", 256), 1, 12)).alias("v"), "id")
-        out = detokenize(hidden, "v", vault)
-        got = out.agg(F.count("*"), F.count_if(F.col("v") == "hot")).first()
-        assert tuple(got) == (200_000, 66_667)
-        out.collect()
-        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def hot_column(name):
+    """A third of all rows share one value."""
+    return F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias(name)
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_token_is_split_over_tasks(spark, small_skew):
+    rows = spark.range(0, 200_000, 1, 8).select(hot_column("v"), "id")
+    vault = token_vault(rows, ["v"])
+    hidden = rows.select(F.concat(F.lit("tok_"), F.substring(F.sha2("v", 256), 1, 12)).alias("v"), "id")
+    out = detokenize(hidden, "v", vault)
+    assert tuple(out.agg(F.count("*"), F.count_if(F.col("v") == "hot")).first()) == (200_000, 66_667)
+    assert "skew=true" in final_plan(out)
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+def test_hot_agent_is_split_over_tasks(spark, small_skew, ahead):
+    """Also when the policy side is grouped by the very key it is joined on."""
+    agents = spark.range(20_000).select(
+        F.col("id").alias("pos"),
+        F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("agent"),
+        F.array(F.lit("pii")).alias("allowed_classes"),
+        F.lit(9).cast("bigint").alias("max_rows"),
+        F.lit(1).cast("bigint").alias("max_concurrency"),
+        F.lit(1).cast("bigint").alias("timeout_ms"),
+        F.array(F.lit("SELECT")).alias("allowed_ops"),
+        F.lit(False).alias("approve_writes"),
+        F.lit(None).cast("array<string>").alias("allowed_sources"),
+    )
+    bundle = Bundle.from_tables(spark, agent_policy=agents)
+    asked = spark.range(0, 200_000, 1, 8).select(
+        "id", hot_column("agent"), F.lit("s").alias("source"), F.lit("t").alias("table"),
+        F.lit("SELECT").alias("operation"),
+    )
+    out = decisions.decide(asked, lookups.resolve(bundle) if ahead else bundle).select("id", "agent", "decision.max_rows")
+    assert out.filter("agent = 'hot'").agg(F.count("*"), F.max("max_rows")).first() == (66_667, 9)
+    assert "skew=true" in final_plan(out)
+
+
+def test_hot_scope_is_split_over_tasks(spark, small_skew):
+    rules = spark.range(0, 200_000, 1, 8).select(
+        (F.col("id") % 1).alias("scope_pos"), (F.col("id") % 1).alias("source_pos"),
+        F.col("id").alias("rule_pos"), hot_column("agent"), (F.col("id") % 2).cast("string").alias("source"),
+        F.col("id").cast("string").alias("table"), F.array(F.lit("f")).alias("fields"),
+        F.lit(None).cast("array<struct<key:string,value:string,type:string>>").alias("filters"),
+    )
+    out = scope.active_rules(Bundle.from_tables(spark, scope_rules=rules))
+    assert out.count() == 200_000
+    assert "skew=true" in final_plan(out)
 
 
 def test_no_registered_query_uses_python_or_cross_joins(spark, sf):
