@@ -279,6 +279,24 @@ def governed_update(spark, sf_dir):
     return spark.read.schema(after.schema).parquet(path)
 
 
+@registered(
+    """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal > 0 AND c_acctbal < 500 AND c_nationkey IN (3, 7)
+THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer"""
+)
+def governed_update_partitions(spark, sf_dir):
+    """Update in place of a partitioned copy: only partitions with a hit are written again."""
+    access = _write_access(spark, "customer", "UPDATE")
+    path = fresh_path(spark, "customer")
+    source = table(spark, sf_dir, "customer")
+    source.repartition("c_nationkey").write.partitionBy("c_nationkey").parquet(path)
+    stored = spark.read.schema(source.schema).parquet(path).select(*source.columns)
+    where = (F.col("c_acctbal") < 500) & F.col("c_nationkey").isin(3, 7)
+    touched = writes.touched_partitions(stored, where, ["c_nationkey"])
+    after = writes.governed_update(touched, {"c_acctbal": F.lit(0.0)}, where, access, approved=True)
+    writes.rewrite_partitions(after, path, ["c_nationkey"])
+    return spark.read.schema(source.schema).parquet(path).select(*source.columns)
+
+
 @registered("SELECT * FROM customer WHERE NOT (c_acctbal > 0 AND c_mktsegment = 'BUILDING' AND c_nationkey > 5)")
 def governed_delete(spark, sf_dir):
     access = _write_access(spark, "customer", "DELETE")

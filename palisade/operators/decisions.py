@@ -17,6 +17,7 @@ from palisade.operators.lookups import (
     first_column_lookup,
     masked_tables,
     source_lookup,
+    splittable,
     table_lookup,
     with_agent_policy,
 )
@@ -108,7 +109,7 @@ def with_masks(requests: DataFrame, bundle: Bundle, name: str = "_masks") -> Dat
         *keys,
         F.expr("transform(_items, m -> struct(m.name AS name, m.strategy AS strategy, m.format AS format))").alias(name),
     )
-    return requests.join(lists, keys, "left")
+    return requests.join(splittable(lists, "source"), keys, "left")
 
 
 def _quoted(names: list[str]) -> list[str]:
@@ -118,7 +119,8 @@ def _quoted(names: list[str]) -> list[str]:
 def column_policies_of(requests: DataFrame, bundle: Bundle) -> DataFrame:
     """One row per requested column that has a policy."""
     asked = requests.select("*", F.explode("columns").alias("name"))
-    return asked.join(bundle.hint(first_column_lookup(bundle)), ["source", "table", "name"])
+    own = splittable(first_column_lookup(bundle), "source")
+    return asked.join(bundle.hint(own), ["source", "table", "name"])
 
 
 def with_policies(requests: DataFrame, bundle: Bundle) -> DataFrame:
@@ -167,7 +169,7 @@ def clearance_coverage(agent_sources: DataFrame, catalog: DataFrame, bundle: Bun
     histogram = per_rank.groupBy("source").agg(
         F.collect_list(F.struct("rank", "n")).alias("_ranks"), F.sum("n").alias("tables_total")
     )
-    pairs = agent_sources.select("agent", "source").distinct().join(histogram, "source")
+    pairs = agent_sources.select("agent", "source").distinct().join(splittable(histogram, "source"), "source")
     pairs = with_agent_policy(pairs, bundle, "_policy")
     cleared = "aggregate(filter(_ranks, r -> r.rank <= _policy.rank), 0L, (acc, r) -> acc + r.n)"
     readable = "coalesce(array_contains(_policy.allowed_ops, 'SELECT'), false) AND " + SOURCE_OK

@@ -106,8 +106,19 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
+def touched_partitions(table: DataFrame, where: Column, partition_by: Sequence[str]) -> DataFrame:
+    """All rows of the partitions that hold at least one row the condition is true for; the
+    others are pruned from the scan."""
+    hit = table.filter(where).select(*partition_by).distinct()
+    return table.join(hit, list(partition_by), "left_semi").select(*table.columns)
+
+
 def rewrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions the frame holds; the others are not touched."""
+    """Replace only the partitions the frame holds; the others are not touched.
+
+    For updates. A partition the frame has no row of stays as it is, so a delete that can
+    empty a partition must store a snapshot instead.
+    """
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partition_by).parquet(path)
 
