@@ -81,6 +81,14 @@ def merged_filters(items: Column) -> Column:
 SCOPE_TABLE = struct(agent=TEXT, source=TEXT, table=TEXT, fields=TEXTS, filters=FILTERS)
 
 
+def rule_items(bundle: Bundle) -> DataFrame:
+    """(agent, source, table, items) of the rules in force; no table for rules without one."""
+    if "items" in bundle.resolved:
+        return bundle.resolved["items"]
+    rules = active_rules(bundle).filter("rule_pos is not null")
+    return merge_items(rules, ["agent", "source", "table"])
+
+
 def merge_rules(bundle: Bundle) -> DataFrame:
     """One row per (agent, source, table) named by a rule, plus one with an empty table per
     source open through a rule without a table: the merged fields and filters. A named
@@ -89,9 +97,9 @@ def merge_rules(bundle: Bundle) -> DataFrame:
         return bundle.resolved["merged"]
     if bundle.small:
         return local_frame(bundle.spark, merge_rule_rows(bundle.rows["scope_rules"]), SCOPE_TABLE)
-    rules = active_rules(bundle).filter("rule_pos is not null")
-    wide = merge_items(rules.filter("table is null"), ["agent", "source"]).withColumnRenamed("items", "wide")
-    named = merge_items(rules.filter("table is not null"), ["agent", "source", "table"])
+    items = rule_items(bundle)
+    wide = items.filter("table is null").select("agent", "source", F.col("items").alias("wide"))
+    named = items.filter("table is not null")
     none = F.array().cast(named.schema["items"].dataType)
     both = named.join(splittable(wide, "agent"), ["agent", "source"], "left").select(
         "agent", "source", "table", F.concat("items", F.coalesce("wide", none)).alias("items")
@@ -143,6 +151,7 @@ def resolve_scopes(bundle: Bundle) -> Bundle:
     kept = dict(bundle.resolved)
     bundle = replace(bundle, resolved=kept)
     kept["rules"] = materialise(active_rules(bundle), "rules")
+    kept["items"] = materialise(rule_items(bundle), "items")
     kept["merged"] = materialise(merge_rules(bundle), "merged")
     return bundle
 
