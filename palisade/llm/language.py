@@ -148,32 +148,39 @@ def train(labelled: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS, most
     return _trees(names, order, [(code[k == at], language[k == at], n[k == at]) for at in range(order + 1)])
 
 
-def predict(docs: DataFrame, trees: Trees, *keep: Column) -> DataFrame:
-    """The columns ``keep``, then lang_pred, score (posterior of the language) and bits_per_byte of every row's whole text."""
+def _predicted(docs: DataFrame, trees: Trees, row: Column, with_text: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    kept = docs.select(F.struct(*keep).alias("kept"), F.col("text").alias("text"))
+    rows = docs.select(row.alias("row"), F.col("text").alias("text"))
 
     def task(batches):
         trees = shared.value
         for part in steps(batches, 1 << 20):
             texts = part.column("text")
-            read = [x is not None and any(map(str.isalpha, x)) for x in texts.to_pylist()]
-            data, starts = bytes_of(texts.fill_null(""))
-            bits = trees.lengths(data, starts)
-            names, score, rate = [], np.zeros(len(read)), np.zeros(len(read))
-            if trees.languages:
-                best = bits.argmin(1)
-                score = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
-                rate = bits.min(1) / np.maximum(np.diff(starts), 1)
-                names = [trees.languages[b] if ok else UNKNOWN for b, ok in zip(best, read, strict=True)]
-            ok = np.array(read, bool) & bool(trees.languages)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("kept"), pa.array(names or [UNKNOWN] * len(read), pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(rate, mask=~ok)],
-                ["kept", "lang_pred", "score", "bits_per_byte"],
-            )
-
-    schema = kept.select("kept").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    return kept.mapInArrow(task, schema).select("kept.*", "lang_pred", "score", "bits_per_byte")
+            ok = np.array([x is not None and any(map(str.isalpha, x)) for x in texts.to_pylist()], bool) & bool(trees.languages)
+            names, score, rate = [UNKNOWN] * len(ok), np.zeros(len(ok)), np.zeros(len(ok))
+            if ok.any():
+                data, starts = bytes_of(texts.fill_null(""))
+                bits = trees.lengths(data, starts)
+                least = bits.min(1)
+                names = [trees.languages[b] if x else UNKNOWN for b, x in zip(bits.argmin(1), ok, strict=True)]
+                score = np.where(ok, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1), 0.0)
+                rate = least / np.maximum(np.diff(starts), 1)
+            found = [pa.array(names, pa.string()), pa.array(score), pa.array(rate, mask=~ok)]
+            yield pa.RecordBatch.from_arrays([part.column("row"), *[texts] * with_text, *found], schema.fieldNames())
+
+    schema = rows.select("row", *["text"] * with_text).schema
+    schema = schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    return rows.mapInArrow(task, schema)
+
+
+def predict(docs: DataFrame, trees: Trees, *keep: Column) -> DataFrame:
+    """The columns ``keep``, then lang_pred, score (posterior of the language) and bits_per_byte of every row's whole text."""
+    return _predicted(docs, trees, F.struct(*keep), False).select("row.*", "lang_pred", "score", "bits_per_byte")
+
+
+def scored(docs: DataFrame, trees: Trees) -> DataFrame:
+    """Every row's columns but its text in ``row``, then text, lang_pred, score and bits_per_byte."""
+    return _predicted(docs, trees, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]), True)
 
 
 def learnable() -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language
-from .common import documents, whole_texts
+from . import bpe, exact, language, mixing, simhash
+from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,93 @@ def coded(docs: DataFrame) -> DataFrame:
 @registered()
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(documents(spark, sf_dir))
+
+
+@registered(
+    """
+    WITH t AS (
+        SELECT doc_id, length(coalesce(text, '')) AS points,
+               regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm
+        FROM documents),
+    g AS (
+        SELECT *, count(*) OVER (PARTITION BY norm) AS group_size,
+               first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id
+        FROM t)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+    """
+)
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, sf_dir)).drop("text_key")
+
+
+@registered()
+def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("text_key", "root")
+
+
+#: The mixture of op1 and of the pipeline: weights by name of a domain or language; sources weigh 1 each.
+WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1, "en": 5, "de": 2, "fr": 2, "es": 1}
+SHARE, EPOCHS, SEED = Fraction(1, 2), 2, 17
+
+
+def domain():
+    """The tables name no domains: the number that ends a source's name, modulo 4, stands for one."""
+    return F.expr("concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) as int) % 4, 0))")
+
+
+def _level_sql(level: int) -> str:
+    names = list(mixing.LEVELS[: level + 1])
+    name, parents = names[-1], ", ".join(names[:-1]) or "1"
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())
+    given = "JOIN l{0} USING ({1})".format(level - 1, parents) if level else "CROSS JOIN goal"
+    budget = f"l{level - 1}.budget" if level else "goal.given"
+    ordered = f"PARTITION BY {parents} ORDER BY cap / w::DOUBLE, {', '.join(names)} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return f"""
+    n{level} AS (
+        SELECT c.*, {budget} AS given FROM (
+            SELECT {', '.join(names)}, sum(cap) AS cap, any_value(CASE {name} {cases} ELSE 1 END) AS w
+            FROM leaf GROUP BY {', '.join(names)}) c {given}),
+    o{level} AS (
+        SELECT *, coalesce(sum(cap) OVER ({ordered} 1 PRECEDING), 0) AS cap_before,
+               sum(w) OVER (PARTITION BY {parents}) - coalesce(sum(w) OVER ({ordered} 1 PRECEDING), 0) AS w_left
+        FROM n{level}),
+    f{level} AS (SELECT *, cap * w_left <= (given - cap_before) * w AS saturated FROM o{level}),
+    r{level} AS (
+        SELECT *, given - coalesce(sum(CASE WHEN saturated THEN cap END) OVER (PARTITION BY {parents}), 0) AS rest,
+               sum(CASE WHEN NOT saturated THEN w END) OVER (PARTITION BY {parents}) AS w_rest,
+               sum(CASE WHEN saturated THEN 0 ELSE w END) OVER ({ordered} CURRENT ROW) AS w_upto
+        FROM f{level}),
+    l{level} AS (
+        SELECT {', '.join(names)},
+               CASE WHEN saturated THEN cap ELSE rest * w_upto // w_rest - rest * (w_upto - w) // w_rest END AS budget
+        FROM r{level})"""
+
+
+@registered(
+    f"""
+    WITH m AS (
+        SELECT doc_id, 'd' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 4, 0) AS domain,
+               coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens
+        FROM documents),
+    leaf AS (
+        SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {EPOCHS} AS cap
+        FROM m GROUP BY domain, lang, source),
+    goal AS (
+        SELECT least(sum(tokens)::HUGEINT * {SHARE.numerator} // {SHARE.denominator}, sum(cap)::HUGEINT) AS given FROM leaf),
+    {", ".join(_level_sql(k) for k in range(3))},
+    plan AS (
+        SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole,
+               budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest
+        FROM l2 JOIN leaf USING (domain, lang, source)),
+    run AS (
+        SELECT m.*, whole, rest, sum(n_tokens) OVER (
+            PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || whole || ':' || doc_id), n_tokens
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        FROM m JOIN plan USING (domain, lang, source))
+    SELECT doc_id, domain, lang, source, n_tokens, (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
+    FROM run
+    """
+)
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), domain(), WEIGHTS, SHARE, EPOCHS, SEED).drop("text_key")
