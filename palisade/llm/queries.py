@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, language, mixing, simhash
+from . import bpe, exact, fingerprints, language, mixing, secret_spans, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,20 @@ def _level_sql(level: int) -> str:
 )
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), domain(), WEIGHTS, SHARE, EPOCHS, SEED).drop("text_key")
+
+
+@registered()
+def op2_locally_consistent_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.beside_next(documents(spark, sf_dir))
+
+
+@registered()
+def op3_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans.find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != "field")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secret_spans.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
