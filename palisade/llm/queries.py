@@ -7,8 +7,9 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, fingerprints, language, mixing, secret_spans, simhash
+from . import bpe, exact, fingerprints, language, licenses, mixing, pseudonyms, secret_spans, simhash
 from .common import documents
+from .license_texts import KNOWN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +157,45 @@ def op3_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secret_spans.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+#: Only a key kept secret makes pseudonyms of it; this one serves the registered query and its tests.
+PSEUDONYM_KEY = "not-a-secret"
+
+
+@registered()
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymised(documents(spark, sf_dir), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), {_quoted(licenses.RESERVED)}, '', 'g')"
+    out = f"regexp_replace({out}, {_quoted(licenses.NO_WORD)}, ' ', 'g')"
+    for one, other in licenses.SPELLINGS.items():
+        out = f"replace({out}, '{one}', '{other}')"
+    return f"trim({out}, ' ')"
+
+
+@registered(
+    f"""
+    WITH known AS (
+        SELECT sha256({_canonical_sql('text')}) AS digest, min(license_id) AS license_id
+        FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in KNOWN.items())}) v(license_id, text)
+        GROUP BY 1),
+    whole AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS form FROM documents),
+    lines AS (SELECT doc_id, {_canonical_sql('line')} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+    hits AS (
+        SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS names
+        FROM lines JOIN known ON sha256(form) = digest WHERE form <> '' GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, license_id, coalesce(n, 0) AS n_lines,
+           coalesce(names, '') AS line_licenses
+    FROM whole LEFT JOIN known ON sha256(form) = known.digest LEFT JOIN hits USING (doc_id)
+    """
+)
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), KNOWN).drop("text_key")
