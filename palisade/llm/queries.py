@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, fingerprints, language, licenses, mixing, pseudonyms, secret_spans, simhash
+from . import bpe, exact, fingerprints, language, licenses, mixing, pseudonyms, repeats, secret_spans, simhash
 from .common import documents
 from .license_texts import KNOWN
 
@@ -199,3 +199,8 @@ def _canonical_sql(text: str) -> str:
 )
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir), KNOWN).drop("text_key")
+
+
+@registered()
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(documents(spark, sf_dir))
