@@ -26,7 +26,7 @@ from .common import HashTable, ragged, steps, whole_texts
 WIDTHS = (4, 8, 16, 32, 64, 128, 256, 512)
 CELLS = 1 << 20
 #: Distinct stretches of text whose ids a task remembers between steps.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 _NONE = np.int32(2**31 - 1)
 

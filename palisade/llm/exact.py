@@ -6,7 +6,7 @@ Texts are equal when they are identical without the white space ``[\\x20\\x09-\\
    bucket; an overfull bucket splits by one more bit, and the directory doubles when that bucket is as deep
    as the directory itself. A directory has at most ``2 ** SLOT_BITS`` slots however large the input;
    buckets still overfull there just hold longer files.
-2. Each scan task folds equal texts of a batch to one entry, so that a text held by a third of all rows
+2. Each scan task folds equal texts of a few megabytes to one entry, so that a text held by a third of all rows
    reaches its owner as a few entries a task.
 3. Owner tasks hold ranges of hashes, sorted. An owner chains the different texts of one hash, comparing
    bytes, and writes a record for each link of a chain to the file of its bucket.
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.session import fresh_path, materialise
 
-from .common import text_key, whole_texts
+from .common import steps, text_key, whole_texts
 
 SLOT_BITS = 16
 #: Distinct hashes that a bucket holds before it splits.
@@ -78,10 +78,10 @@ _RECORD = "bucket int, h long, link int, text_sha256 string, group_size long, ke
 
 
 def _fold(owners: np.ndarray, slots: np.ndarray):
-    """Entries of the batches: equal texts of a batch as one."""
+    """Entries of the rows: equal texts of a step as one."""
 
     def task(batches):
-        for batch in batches:
+        for batch in steps(batches, column="norm"):
             found: dict[tuple, list] = {}
             for h, norm, points, doc_id, key in zip(*(batch.column(c).to_pylist() for c in ("h", "norm", "points", "doc_id", "text_key")), strict=True):
                 entry, rank = found.setdefault((h, norm), [0, None]), _rank(points, doc_id, key)
@@ -124,7 +124,7 @@ def _chain(batches):
         names = ["bucket", "h", "link", "text_sha256", "group_size", "keep_points", "keep_id", "keep_key"]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    for batch in batches:
+    for batch in steps(batches, column="norm"):
         rows = []
         for h, at, norm, n, points, doc_id, key in zip(*(batch.column(c).to_pylist() for c in ("h", "bucket", "norm", "n", "points", "doc_id", "text_key")), strict=True):
             if h != current:

@@ -31,6 +31,8 @@ SAMPLE_BYTES = 2_000_000
 MOST_LANGUAGES = 1000
 
 UNKNOWN = "und"
+#: Bytes of text scored at once; the tables of a step take about 100 times as much.
+STEP = 1 << 18
 
 
 def _codes(data: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,7 +156,7 @@ def _predicted(docs: DataFrame, trees: Trees, row: Column, with_text: bool) -> D
 
     def task(batches):
         trees = shared.value
-        for part in steps(batches, 1 << 20):
+        for part in steps(batches, STEP):
             texts = part.column("text")
             ok = np.array([x is not None and any(map(str.isalpha, x)) for x in texts.to_pylist()], bool) & bool(trees.languages)
             names, score, rate = [UNKNOWN] * len(ok), np.zeros(len(ok)), np.zeros(len(ok))
