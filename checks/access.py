@@ -86,22 +86,22 @@ def residency_by_column(spark, sf_dir):
 
 
 @registered(
-    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500"
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 600"
 )
 def row_cap(spark, sf_dir):
     """The cap of a governed table as the outermost step of an ordered query."""
-    result = _governed(spark, sf_dir, "admin-bot", "analytics_db", "orders")
+    result = _governed(spark, sf_dir, "steward", "warehouse", "orders")
     ordered = result.df.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return enforce.cap_rows(ordered, result.access.max_rows)
 
 
 @registered(
-    """SELECT c_custkey, '***-**-' || right(c_name, 4) AS c_name, c_mktsegment, CASE WHEN c_acctbal IS NOT NULL THEN
-'***REDACTED***' END AS c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 100"""
+    """SELECT c_custkey, 'name-' || right(c_name, 4) AS c_name, c_mktsegment, CASE WHEN c_acctbal IS NOT NULL THEN
+'***REDACTED***' END AS c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 120"""
 )
 def governed_customer(spark, sf_dir):
     """Row filter on a raw value, masks, scope columns and cap of one governed table."""
-    result = _governed(spark, sf_dir, "admin-bot", "analytics_db", "customer")
+    result = _governed(spark, sf_dir, "steward", "warehouse", "customer")
     return enforce.cap_rows(result.df.orderBy("c_custkey"), result.access.max_rows)
 
 
@@ -110,7 +110,7 @@ def governed_customer(spark, sf_dir):
 )
 def governed_orders(spark, sf_dir):
     """All rows in scope, before the cap."""
-    return _governed(spark, sf_dir, "code-review-bot", "analytics_db", "orders").df
+    return _governed(spark, sf_dir, "order-desk", "warehouse", "orders").df
 
 
 @registered(
@@ -121,7 +121,7 @@ WHERE r_name IN ('AMERICA', 'EUROPE')"""
 def governed_residents(spark, sf_dir):
     """Wildcard scope, residency through a lookup, tokens."""
     key = home_region(spark, sf_dir)
-    return _governed(spark, sf_dir, "admin-bot", "user_db", "customer", residency=key).df
+    return _governed(spark, sf_dir, "steward", "people_db", "customer", residency=key).df
 
 
 def _customer_policies():
@@ -144,14 +144,14 @@ def column_clearance_redact(spark, sf_dir):
 # ── governed SQL ───────────────────────────────────────────────────
 
 _ADMIN = {
-    "customer": """SELECT c_custkey, '***-**-' || right(c_name, 4) AS c_name, c_mktsegment,
+    "customer": """SELECT c_custkey, 'name-' || right(c_name, 4) AS c_name, c_mktsegment,
   CASE WHEN c_acctbal IS NOT NULL THEN '***REDACTED***' END AS c_acctbal FROM main.customer WHERE c_acctbal > 0""",
 }
 _SCIENTIST = {"orders": "SELECT * FROM main.orders WHERE o_orderpriority = '1-URGENT'"}
 
 
 def _sql(spark, sf_dir, agent, query):
-    return GovernedSession(spark, registry(sf_dir), small_bundle(spark), agent, "analytics_db").sql(query)
+    return GovernedSession(spark, registry(sf_dir), small_bundle(spark), agent, "warehouse").sql(query)
 
 
 _SQL_JOIN = """SELECT o_orderpriority, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty,
@@ -175,33 +175,33 @@ _SQL_GROUPING = """SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM ord
 
 @registered(with_sql(_SCIENTIST, _SQL_JOIN))
 def governed_sql_join(spark, sf_dir):
-    return _sql(spark, sf_dir, "data-scientist", _SQL_JOIN)
+    return _sql(spark, sf_dir, "planner", _SQL_JOIN)
 
 
 @registered(with_sql(_ADMIN, _SQL_ALIAS.replace("WITH c AS", ", c AS")))
 def governed_sql_alias(spark, sf_dir):
     """An alias in a CTE does not unmask."""
-    return _sql(spark, sf_dir, "admin-bot", _SQL_ALIAS)
+    return _sql(spark, sf_dir, "steward", _SQL_ALIAS)
 
 
 @registered(with_sql(_SCIENTIST, _SQL_SUBQUERY))
 def governed_sql_subquery(spark, sf_dir):
-    return _sql(spark, sf_dir, "data-scientist", _SQL_SUBQUERY)
+    return _sql(spark, sf_dir, "planner", _SQL_SUBQUERY)
 
 
 @registered(_SQL_WINDOW)
 def governed_sql_window(spark, sf_dir):
-    return _sql(spark, sf_dir, "data-scientist", _SQL_WINDOW)
+    return _sql(spark, sf_dir, "planner", _SQL_WINDOW)
 
 
 @registered(_SQL_SETS)
 def governed_sql_sets(spark, sf_dir):
-    return _sql(spark, sf_dir, "ops-bot", _SQL_SETS)
+    return _sql(spark, sf_dir, "map-reader", _SQL_SETS)
 
 
 @registered(_SQL_GROUPING)
 def governed_sql_grouping(spark, sf_dir):
-    return _sql(spark, sf_dir, "admin-bot", _SQL_GROUPING)
+    return _sql(spark, sf_dir, "steward", _SQL_GROUPING)
 
 
 @registered(
@@ -214,7 +214,7 @@ def registered_views(spark, sf_dir):
     """Named views of one agent, then any DataFrame work in that session."""
     from palisade.operators.viewcatalog import register_views
 
-    session = GovernedSession(spark, registry(sf_dir), small_bundle(spark), "admin-bot", "analytics_db")
+    session = GovernedSession(spark, registry(sf_dir), small_bundle(spark), "steward", "warehouse")
     register_views(session, ["customer", "orders"])
     grouped = session.session.table("customer").groupBy("c_mktsegment", "c_acctbal")
     return grouped.agg(F.count("*").alias("n"), F.countDistinct("c_name").alias("names"))
@@ -240,65 +240,143 @@ def write_gate(spark, sf_dir):
 
 
 def _write_access(spark, name, operation):
-    return enforce.check_access(small_bundle(spark), "admin-bot", "analytics_db", [name], operation)[name]
+    return enforce.check_access(small_bundle(spark), "steward", "warehouse", [name], operation)[name]
 
 
-@registered(
-    """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer UNION ALL
-SELECT s_suppkey + 1000000, s_name, NULL, s_acctbal, 'SUPPLIER' FROM supplier WHERE s_acctbal > 0"""
-)
-def governed_insert(spark, sf_dir):
-    """Insert into a stored copy; rows the row filter would hide are not accepted."""
-    customer = table(spark, sf_dir, "customer")
-    rows = table(spark, sf_dir, "supplier").select(
+_NEW_CUSTOMERS = "SELECT s_suppkey + 1000000 AS c_custkey, s_name AS c_name, s_acctbal AS c_acctbal FROM supplier"
+
+
+def _new_customers(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") + 1000000).alias("c_custkey"),
         F.col("s_name").alias("c_name"),
         F.col("s_acctbal").alias("c_acctbal"),
         F.lit("SUPPLIER").alias("c_mktsegment"),
     )
+
+
+@registered(
+    f"""SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer UNION ALL
+SELECT c_custkey, c_name, NULL, c_acctbal, 'SUPPLIER' FROM ({_NEW_CUSTOMERS}) WHERE c_acctbal > 0"""
+)
+def governed_insert(spark, sf_dir):
+    """Insert into a stored copy; rows the row filter would hide are not accepted."""
+    customer = table(spark, sf_dir, "customer")
     path = fresh_path(spark, "customer")
     writes.write_snapshot(customer, path)
     access = _write_access(spark, "customer", "INSERT")
-    writes.append_rows(writes.governed_insert(customer, rows, access, approved=True), path)
+    accepted = writes.governed_insert(customer, _new_customers(spark, sf_dir), access, approved=True).accepted
+    writes.append_rows(accepted, path)
     return spark.read.schema(customer.schema).parquet(path)
 
 
 @registered(
-    """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal > 0 AND c_acctbal < 500 THEN c_acctbal + 100
-ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal > 0 AND c_acctbal < 500 THEN 'LOW' ELSE c_mktsegment END
+    f"""SELECT c_custkey, c_acctbal, c_acctbal > 0 AS accepted FROM ({_NEW_CUSTOMERS})"""
+)
+def governed_insert_parted(spark, sf_dir):
+    """Every given row is accepted or rejected; an approval row releases the write."""
+    customer = table(spark, sf_dir, "customer")
+    approvals = table(spark, sf_dir, "region").select(
+        F.lit("steward").alias("agent"), F.lit("warehouse").alias("source"), F.lit("customer").alias("table"),
+        F.lit("INSERT").alias("operation"),
+    )
+    access = _write_access(spark, "customer", "INSERT")
+    parts = writes.governed_insert(customer, _new_customers(spark, sf_dir), access, approved=approvals)
+    shown = [df.select("c_custkey", "c_acctbal", F.lit(ok).alias("accepted")) for df, ok in zip(parts, (True, False))]
+    return shown[0].unionByName(shown[1])
+
+
+@registered(
+    """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal > 0 AND c_custkey % 3 = 0 THEN 100.0
+ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal > 0 AND c_custkey % 3 = 0 THEN 'LOW' ELSE c_mktsegment END
 AS c_mktsegment FROM customer"""
 )
 def governed_update(spark, sf_dir):
     """Rows outside the row filter keep their values even where the condition holds."""
     access = _write_access(spark, "customer", "UPDATE")
-    assign = {"c_acctbal": F.col("c_acctbal") + 100, "c_mktsegment": F.lit("LOW")}
+    assign = {"c_acctbal": F.lit(100.0), "c_mktsegment": F.lit("LOW")}
     customer = table(spark, sf_dir, "customer")
-    after = writes.governed_update(customer, assign, F.col("c_acctbal") < 500, access, approved=True)
+    after = writes.governed_update(customer, assign, F.col("c_custkey") % 3 == 0, access, approved=True)
     path = fresh_path(spark, "customer")
     writes.write_snapshot(after, path)
     return spark.read.schema(after.schema).parquet(path)
 
 
+def _partitioned(spark, sf_dir):
+    """A stored copy of the customers by segment: its path and its rows."""
+    source = table(spark, sf_dir, "customer")
+    path = fresh_path(spark, "customer")
+    source.repartition("c_mktsegment").write.partitionBy("c_mktsegment").parquet(path)
+    return path, lambda: spark.read.schema(source.schema).parquet(path).select(*source.columns)
+
+
 @registered(
-    """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal > 0 AND c_acctbal < 500 AND c_nationkey IN (3, 7)
-THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer"""
+    """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal > 0 AND c_custkey % 4 = 1 AND c_mktsegment IN
+('BUILDING', 'HOUSEHOLD') THEN 1.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer"""
 )
 def governed_update_partitions(spark, sf_dir):
     """Update in place of a partitioned copy: only partitions with a hit are written again."""
     access = _write_access(spark, "customer", "UPDATE")
-    path = fresh_path(spark, "customer")
-    source = table(spark, sf_dir, "customer")
-    source.repartition("c_nationkey").write.partitionBy("c_nationkey").parquet(path)
-    stored = spark.read.schema(source.schema).parquet(path).select(*source.columns)
-    where = (F.col("c_acctbal") < 500) & F.col("c_nationkey").isin(3, 7)
-    touched = writes.touched_partitions(stored, where, ["c_nationkey"])
-    after = writes.governed_update(touched, {"c_acctbal": F.lit(0.0)}, where, access, approved=True)
-    writes.rewrite_partitions(after, path, ["c_nationkey"])
-    return spark.read.schema(source.schema).parquet(path).select(*source.columns)
+    path, stored = _partitioned(spark, sf_dir)
+    where = (F.col("c_custkey") % 4 == 1) & F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD")
+    change = lambda rows: writes.governed_update(rows, {"c_acctbal": F.lit(1.0)}, where, access, approved=True)
+    writes.rewrite_partitions(stored(), where, change, path, ["c_mktsegment"])
+    return stored()
+
+
+@registered(
+    """SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_acctbal > 0 AND c_mktsegment = 'BUILDING'
+THEN CASE WHEN c_custkey % 2 = 0 THEN 'HOUSEHOLD' ELSE 'NEW' END ELSE c_mktsegment END AS c_mktsegment FROM customer"""
+)
+def governed_update_moves(spark, sf_dir):
+    """An update of the partition column moves rows to an old and to a new partition."""
+    access = _write_access(spark, "customer", "UPDATE")
+    path, stored = _partitioned(spark, sf_dir)
+    where = F.col("c_mktsegment") == "BUILDING"
+    to = F.when(F.col("c_custkey") % 2 == 0, "HOUSEHOLD").otherwise("NEW")
+    change = lambda rows: writes.governed_update(rows, {"c_mktsegment": to}, where, access, approved=True)
+    writes.rewrite_partitions(stored(), where, change, path, ["c_mktsegment"])
+    return stored()
 
 
-@registered("SELECT * FROM customer WHERE NOT (c_acctbal > 0 AND c_mktsegment = 'BUILDING' AND c_nationkey > 5)")
+@registered("SELECT * FROM customer WHERE NOT (c_acctbal > 0 AND c_mktsegment = 'BUILDING' AND c_custkey % 3 = 0)")
 def governed_delete(spark, sf_dir):
     access = _write_access(spark, "customer", "DELETE")
-    where = (F.col("c_mktsegment") == "BUILDING") & (F.col("c_nationkey") > 5)
+    where = (F.col("c_mktsegment") == "BUILDING") & (F.col("c_custkey") % 3 == 0)
     return writes.governed_delete(table(spark, sf_dir, "customer"), where, access, approved=True)
+
+
+@registered("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'")
+def governed_delete_partitions(spark, sf_dir):
+    """A delete that empties a partition leaves nothing of it behind."""
+    access = _write_access(spark, "orders", "DELETE")
+    path = fresh_path(spark, "orders")
+    source = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    source.write.partitionBy("o_orderstatus").parquet(path)
+    stored = lambda: spark.read.schema(source.schema).parquet(path).select(*source.columns)
+    where = F.col("o_orderstatus") == "F"
+    change = lambda rows: writes.governed_delete(rows, where, access, approved=True)
+    writes.rewrite_partitions(stored(), where, change, path, ["o_orderstatus"])
+    return stored()
+
+
+@registered(
+    """SELECT 'before' AS at, 'permitted' AS decision, count(*) AS rows FROM nation
+UNION ALL SELECT 'after', 'denied', NULL::BIGINT"""
+)
+def governed_sql_audited(spark, sf_dir):
+    """Governed SQL leaves its own audit records; a scope taken away shuts its tables at once."""
+    from palisade.operators import maintenance
+    from palisade.sources.audit_log import read_audit
+
+    path, bundle = fresh_path(spark, "audit"), small_bundle(spark)
+    session = GovernedSession(spark, registry(sf_dir), bundle, "map-reader", "warehouse", audit=path)
+    session.run("SELECT n_name FROM Nation", lambda df: df.write.parquet(fresh_path(spark, "rows")), "before")
+    session.bundle = maintenance.remove_scope(bundle, "map-reader")[0]
+    try:
+        session.run("SELECT n_name FROM nation", lambda df: df.count(), "after")
+    except enforce.AccessDenied:
+        pass
+    stored = read_audit(spark, path)
+    at = F.when(F.col("action") == "before", "before").otherwise("after")
+    return stored.select(at.alias("at"), F.col("policy_decision").alias("decision"), F.col("row_count").alias("rows"))

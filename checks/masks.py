@@ -75,13 +75,13 @@ def mask_partial(spark, sf_dir):
 
 
 @registered(
-    """SELECT c_custkey, '***-**-' || right(c_name, 4) AS ssn_form, '***@****.' || rpad(right(c_mktsegment, 3), 3, '*')
+    """SELECT c_custkey, 'name-' || right(c_name, 4) AS tail_form, '***@****.' || rpad(right(c_mktsegment, 3), 3, '*')
 AS mail_form, 'cust #' || rpad(right(CAST(c_nationkey AS VARCHAR), 4), 4, '*') AS padded, '**x**y' AS no_tail FROM customer"""
 )
 def mask_partial_format(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
-        masking.mask(F.col("c_name"), "partial", "***-**-****").alias("ssn_form"),
+        masking.mask(F.col("c_name"), "partial", "name-****").alias("tail_form"),
         masking.mask(F.col("c_mktsegment"), "partial", "***@****.***").alias("mail_form"),
         masking.mask(F.col("c_nationkey"), "partial", "cust #****").alias("padded"),
         masking.mask(F.col("c_name"), "partial", "**x**y").alias("no_tail"),
@@ -175,18 +175,38 @@ def detokenize(spark, sf_dir):
 
 
 @registered(
-    f"""SELECT "column", token, count(*) AS values FROM (
-SELECT DISTINCT 'k' AS "column", 'tok_' || {hash32_sql('CAST(l_partkey AS VARCHAR)')} AS token, l_partkey FROM lineitem
-UNION ALL SELECT DISTINCT 'n', 'tok_' || {hash32_sql("CAST(l_orderkey AS VARCHAR) || CAST(l_partkey AS VARCHAR)")},
-CAST(l_orderkey AS VARCHAR) || CAST(l_partkey AS VARCHAR) FROM lineitem)
-GROUP BY ALL HAVING count(*) > 1""".replace(", l_partkey FROM lineitem\nUNION", ", CAST(l_partkey AS VARCHAR) AS v FROM lineitem\nUNION")
+    f"""SELECT 'n' AS "column", 'tok_' || {hash32_sql("c_name || 'Aa'")} AS token, count(*) * 2 AS values
+FROM (SELECT c_name FROM customer WHERE c_custkey % 3 = 0) GROUP BY ALL"""
 )
 def token_collisions(spark, sf_dir):
     """Short digests do collide: tokens of the 32-bit hash that stand for several values."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").cast("string").alias("k"), F.concat("l_orderkey", "l_partkey").alias("n")
-    )
-    return vault.token_collisions(vault.token_vault(lines, ["k", "n"], compat=True))
+    return vault.token_collisions(vault.token_vault(_twins(spark, sf_dir), ["n"], compat=True))
+
+
+# two endings to which the 32-bit hash is blind: 65 * 31 + 97 = 66 * 31 + 66
+_TWINS_SQL = "SELECT c_custkey AS k, c_name || CASE WHEN c_custkey % 3 = 0 THEN 'BB' ELSE 'Aa' END AS n FROM customer UNION ALL SELECT -c_custkey, c_name || 'Aa' FROM customer"
+
+
+def _twins(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    ending = F.when(F.col("c_custkey") % 3 == 0, "BB").otherwise("Aa")
+    plain = customer.select((-F.col("c_custkey")).alias("k"), F.concat("c_name", F.lit("Aa")).alias("n"))
+    return customer.select(F.col("c_custkey").alias("k"), F.concat("c_name", ending).alias("n")).unionByName(plain)
+
+
+@registered(
+    """SELECT k, CASE WHEN abs(k) % 3 <> 0 THEN n END AS n, abs(k) % 3 = 0 AS ambiguous, n AS whole FROM ("""
+    + _TWINS_SQL + ")"
+)
+def detokenize_collisions(spark, sf_dir):
+    """Colliding short tokens give no value and say so; whole ones give all values back. The
+    number of rows stays."""
+    rows = _twins(spark, sf_dir)
+    short, long = vault.token_vault(rows, ["n"], compat=True), vault.token_vault(rows, ["n"], whole=True)
+    hidden = rows.select("k", masking.mask(F.col("n"), "tokenize", compat=True).alias("n"),
+        masking.mask(F.col("n"), "tokenize", whole_tokens=True).alias("whole"))
+    back = vault.detokenize(hidden, "n", short, ambiguous="ambiguous")
+    return vault.detokenize(back, "whole", long.withColumn("column", F.lit("whole")))
 
 
 @registered(
@@ -203,7 +223,34 @@ def redact_json_keys(spark, sf_dir):
     )
     schema = "token string, data struct<k:bigint,Password:string>, list array<struct<api_key:bigint,n:bigint>>"
     dtype = T.StructType.fromDDL(schema)
-    return events.select("event_id", redaction.redact_json(wrapped, dtype).alias("props"))
+    return events.select("event_id", redaction.redact_typed_json(wrapped, dtype).alias("props"))
+
+
+@registered(
+    """SELECT event_id, CASE event_id % 4
+WHEN 0 THEN 'no json: {"token": ' || event_type
+WHEN 1 THEN '{"id":' || event_id || ',"seen":[true,null,{"Token":"[REDACTED]","kind":"' || event_type || '"}],"secret":"[REDACTED]"}'
+WHEN 2 THEN '[{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"j":{"k":{"api_key":"[REDACTED]","n":' || user_id || '}}}}}}}}}}}}]'
+ELSE '{"k":' || regexp_extract(props, '[0-9]+') || '}' END AS props, event_id % 4 <> 0 AS parsed FROM events"""
+)
+def redact_any_json(spark, sf_dir):
+    """Texts of no common shape: unknown keys stay, whole objects under secret keys go, secrets
+    deeper than ten levels go too, and what is not JSON comes back flagged."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    event = F.col("event_id").cast("string")
+    deep = "".join(f'{{"{c}":' for c in "abcdefghijk")
+    texts = (
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('no json: {"token": '), kind))
+        .when(F.col("event_id") % 4 == 1, F.concat(
+            F.lit('{"id": '), event, F.lit(', "seen": [true, null, {"Token": {"x": [1, 2]}, "kind": "'), kind,
+            F.lit('"}], "secret": ["a", {"b": 1}]}')))
+        .when(F.col("event_id") % 4 == 2, F.concat(
+            F.lit("[" + deep + '{"api_key": "s", "n": '), user, F.lit("}" + "}" * 11 + "]")))
+        .otherwise(F.col("props"))
+    )
+    return table(spark, sf_dir, "events").select("event_id", redaction.redact_json(texts).alias("r")).select(
+        "event_id", F.col("r.text").alias("props"), F.col("r.parsed").alias("parsed")
+    )
 
 
 @registered(

@@ -43,20 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ── the small bundle ───────────────────────────────────────────────
 
 _DB = {"host": "localhost", "database": "d", "username": "reader", "password": "not-shown"}
-ADMIN_CLASSES = ["public", "internal", "confidential", "restricted", "pii"]
 
 CONFIG = {
     "sources": [
-        {"type": "postgres", "name": "analytics_db", "connection": {"host": "localhost"}, "credentials": _DB},
-        {"type": "rest", "name": "github_api", "connection": {"url": "/landed"}, "credentials": {"apiKey": "k"}},
-        {"type": "mysql", "name": "user_db", "connection": {"host": "localhost"}, "credentials": _DB},
+        {"type": "postgres", "name": "warehouse", "connection": {"host": "localhost"}, "credentials": _DB},
+        {"type": "rest", "name": "feed_api", "connection": {"url": "/landed"}, "credentials": {"apiKey": "k"}},
+        {"type": "mysql", "name": "people_db", "connection": {"host": "localhost"}, "credentials": _DB},
     ],
     "scopes": [
         {
-            "agent": "code-review-bot",
+            "agent": "order-desk",
             "sources": [
                 {
-                    "name": "analytics_db",
+                    "name": "warehouse",
                     "rules": [
                         {
                             "table": "orders",
@@ -71,10 +70,10 @@ CONFIG = {
             ],
         },
         {
-            "agent": "data-scientist",
+            "agent": "planner",
             "sources": [
                 {
-                    "name": "analytics_db",
+                    "name": "warehouse",
                     "rules": [
                         {"table": "orders", "filters": {"o_orderpriority": "1-URGENT"}},
                         {"table": "lineitem"},
@@ -85,10 +84,10 @@ CONFIG = {
             ],
         },
         {
-            "agent": "admin-bot",
+            "agent": "steward",
             "sources": [
                 {
-                    "name": "analytics_db",
+                    "name": "warehouse",
                     "rules": [
                         {"table": "customer", "fields": ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]},
                         {"table": "orders"},
@@ -97,49 +96,49 @@ CONFIG = {
                         {"table": "region"},
                     ],
                 },
-                {"name": "user_db", "rules": [{"fields": ["c_custkey", "c_name", "c_nationkey"]}]},
+                {"name": "people_db", "rules": [{"fields": ["c_custkey", "c_name", "c_nationkey"]}]},
             ],
         },
         {
-            "agent": "ops-bot",
-            "sources": [{"name": "analytics_db", "rules": [{"table": "nation"}, {"table": "region"}]}],
+            "agent": "map-reader",
+            "sources": [{"name": "warehouse", "rules": [{"table": "nation"}, {"table": "region"}]}],
         },
     ],
     "governance": {
         "sourcePolicies": [
             {
-                "source": "analytics_db",
+                "source": "warehouse",
                 "tables": [
                     {
                         "table": "customer",
                         "classification": "pii",
-                        "maxRows": 100,
+                        "maxRows": 120,
                         "rowFilter": "c_acctbal > 0",
                         "columns": [
                             {
                                 "name": "c_name",
                                 "classification": "pii",
                                 "masking": "partial",
-                                "maskFormat": "***-**-****",
+                                "maskFormat": "name-****",
                             },
                             {"name": "c_acctbal", "classification": "pci", "masking": "redact"},
                             {"name": "c_mktsegment", "classification": "internal", "masking": "none"},
                         ],
                     },
-                    {"table": "orders", "classification": "internal", "maxRows": 500},
+                    {"table": "orders", "classification": "internal", "maxRows": 600},
                     {"table": "lineitem", "classification": "internal"},
                     {"table": "nation", "classification": "public", "requireApprovalForWrites": False},
                     {"table": "region", "classification": "public"},
                 ],
             },
             {
-                "source": "user_db",
+                "source": "people_db",
                 "defaultClassification": "pii",
                 "tables": [
                     {
                         "table": "customer",
                         "classification": "pii",
-                        "maxRows": 50,
+                        "maxRows": 45,
                         "residency": ["AMERICA", "EUROPE"],
                         "columns": [{"name": "c_name", "classification": "pii", "masking": "tokenize"}],
                     }
@@ -148,31 +147,29 @@ CONFIG = {
         ],
         "agentPolicies": [
             {
-                "agent": "code-review-bot",
-                "allowedClassifications": ["public", "internal"],
-                "maxRowsPerQuery": 500,
-                "maxConcurrency": 3,
-                "queryTimeoutMs": 15000,
-                "allowedOperations": ["SELECT"],
-                "allowedSources": ["analytics_db"],
+                "agent": "steward",
+                "allowedClassifications": ["pii"],
+                "maxRowsPerQuery": 9000,
+                "maxConcurrency": 12,
+                "queryTimeoutMs": 35000,
+                "allowedOperations": ["DELETE", "INSERT", "SELECT", "UPDATE"],
+                "requireApprovalForWrites": False,
             },
             {
-                "agent": "data-scientist",
-                "allowedClassifications": ["public", "internal", "confidential"],
-                "maxRowsPerQuery": 5000,
-                "maxConcurrency": 5,
-                "queryTimeoutMs": 20000,
-                "allowedOperations": ["SELECT"],
-                "allowedSources": ["analytics_db"],
+                "agent": "order-desk",
+                "allowedClassifications": ["internal"],
+                "maxRowsPerQuery": 750,
+                "maxConcurrency": 4,
+                "queryTimeoutMs": 12000,
+                "allowedSources": ["warehouse"],
             },
             {
-                "agent": "admin-bot",
-                "allowedClassifications": ADMIN_CLASSES,
-                "maxRowsPerQuery": 10000,
-                "maxConcurrency": 10,
-                "queryTimeoutMs": 40000,
-                "allowedOperations": ["SELECT", "INSERT", "UPDATE", "DELETE"],
-                "requireApprovalForWrites": False,
+                "agent": "planner",
+                "allowedClassifications": ["confidential"],
+                "maxRowsPerQuery": 4000,
+                "maxConcurrency": 6,
+                "queryTimeoutMs": 25000,
+                "allowedSources": ["warehouse"],
             },
         ],
     },
@@ -184,7 +181,7 @@ def small_bundle(spark: SparkSession) -> Bundle:
 
 
 def registry(sf_dir: str) -> Registry:
-    return Registry().add_files("analytics_db", sf_dir, TABLES).add_files("user_db", sf_dir, TABLES)
+    return Registry().add_files("warehouse", sf_dir, TABLES).add_files("people_db", sf_dir, TABLES)
 
 
 def home_region(spark: SparkSession, sf_dir: str) -> ResidencyKey:
@@ -198,46 +195,46 @@ def home_region(spark: SparkSession, sf_dir: str) -> ResidencyKey:
 
 # The same bundle for DuckDB, written out by hand.
 SMALL_SQL = {
-    "known": "SELECT * FROM (VALUES ('analytics_db'), ('github_api'), ('user_db')) t(name)",
+    "known": "SELECT * FROM (VALUES ('warehouse'), ('feed_api'), ('people_db')) t(name)",
     "rules": """SELECT * FROM (VALUES
-  ('code-review-bot', 'analytics_db', 'orders', 0, ['o_orderkey','o_orderstatus','o_orderdate','o_orderpriority'],
+  ('order-desk', 'warehouse', 'orders', 0, ['o_orderkey','o_orderstatus','o_orderdate','o_orderpriority'],
    [{'key': 'o_orderstatus', 'value': 'O', 'type': 'string'}]),
-  ('code-review-bot', 'analytics_db', 'lineitem', 1, ['l_orderkey','l_linenumber','l_quantity','l_shipdate'], NULL),
-  ('code-review-bot', 'analytics_db', 'nation', 2, NULL, NULL),
-  ('code-review-bot', 'analytics_db', 'region', 3, NULL, NULL),
-  ('data-scientist', 'analytics_db', 'orders', 0, NULL,
+  ('order-desk', 'warehouse', 'lineitem', 1, ['l_orderkey','l_linenumber','l_quantity','l_shipdate'], NULL),
+  ('order-desk', 'warehouse', 'nation', 2, NULL, NULL),
+  ('order-desk', 'warehouse', 'region', 3, NULL, NULL),
+  ('planner', 'warehouse', 'orders', 0, NULL,
    [{'key': 'o_orderpriority', 'value': '1-URGENT', 'type': 'string'}]),
-  ('data-scientist', 'analytics_db', 'lineitem', 1, NULL, NULL),
-  ('data-scientist', 'analytics_db', 'customer', 2, NULL, NULL),
-  ('data-scientist', 'analytics_db', 'nation', 3, NULL, NULL),
-  ('admin-bot', 'analytics_db', 'customer', 0, ['c_custkey','c_name','c_mktsegment','c_acctbal'], NULL),
-  ('admin-bot', 'analytics_db', 'orders', 1, NULL, NULL),
-  ('admin-bot', 'analytics_db', 'lineitem', 2, NULL, NULL),
-  ('admin-bot', 'analytics_db', 'nation', 3, NULL, NULL),
-  ('admin-bot', 'analytics_db', 'region', 4, NULL, NULL),
-  ('admin-bot', 'user_db', NULL, 0, ['c_custkey','c_name','c_nationkey'], NULL),
-  ('ops-bot', 'analytics_db', 'nation', 0, NULL, NULL),
-  ('ops-bot', 'analytics_db', 'region', 1, NULL, NULL)
+  ('planner', 'warehouse', 'lineitem', 1, NULL, NULL),
+  ('planner', 'warehouse', 'customer', 2, NULL, NULL),
+  ('planner', 'warehouse', 'nation', 3, NULL, NULL),
+  ('steward', 'warehouse', 'customer', 0, ['c_custkey','c_name','c_mktsegment','c_acctbal'], NULL),
+  ('steward', 'warehouse', 'orders', 1, NULL, NULL),
+  ('steward', 'warehouse', 'lineitem', 2, NULL, NULL),
+  ('steward', 'warehouse', 'nation', 3, NULL, NULL),
+  ('steward', 'warehouse', 'region', 4, NULL, NULL),
+  ('steward', 'people_db', NULL, 0, ['c_custkey','c_name','c_nationkey'], NULL),
+  ('map-reader', 'warehouse', 'nation', 0, NULL, NULL),
+  ('map-reader', 'warehouse', 'region', 1, NULL, NULL)
 ) t(agent, source, "table", rule_pos, fields, filters)""",
     "ap": """SELECT * FROM (VALUES
-  ('code-review-bot', 1, ['SELECT'], ['analytics_db'], 500, true, 3, 15000),
-  ('data-scientist', 2, ['SELECT'], ['analytics_db'], 5000, true, 5, 20000),
-  ('admin-bot', 4, ['SELECT','INSERT','UPDATE','DELETE'], NULL, 10000, false, 10, 40000)
+  ('steward', 4, ['SELECT','INSERT','UPDATE','DELETE'], NULL, 9000, false, 12, 35000),
+  ('order-desk', 1, ['SELECT'], ['warehouse'], 750, true, 4, 12000),
+  ('planner', 2, ['SELECT'], ['warehouse'], 4000, true, 6, 25000)
 ) t(agent, rnk, ops, srcs, max_rows, approve, max_concurrency, timeout_ms)""",
-    "sp": "SELECT * FROM (VALUES ('analytics_db', 'internal'), ('user_db', 'pii')) t(source, default_class)",
+    "sp": "SELECT * FROM (VALUES ('warehouse', 'internal'), ('people_db', 'pii')) t(source, default_class)",
     "tp": """SELECT * FROM (VALUES
-  ('analytics_db', 'customer', 'pii', 'c_acctbal > 0', 100, true),
-  ('analytics_db', 'orders', 'internal', NULL, 500, true),
-  ('analytics_db', 'lineitem', 'internal', NULL, 0, true),
-  ('analytics_db', 'nation', 'public', NULL, 0, false),
-  ('analytics_db', 'region', 'public', NULL, 0, true),
-  ('user_db', 'customer', 'pii', NULL, 50, true)
+  ('warehouse', 'customer', 'pii', 'c_acctbal > 0', 120, true),
+  ('warehouse', 'orders', 'internal', NULL, 600, true),
+  ('warehouse', 'lineitem', 'internal', NULL, 0, true),
+  ('warehouse', 'nation', 'public', NULL, 0, false),
+  ('warehouse', 'region', 'public', NULL, 0, true),
+  ('people_db', 'customer', 'pii', NULL, 45, true)
 ) t(source, "table", classification, row_filter, max_rows, approve)""",
     "cp": """SELECT * FROM (VALUES
-  ('analytics_db', 'customer', 0, 'c_name', 'pii', 'partial', '***-**-****'),
-  ('analytics_db', 'customer', 1, 'c_acctbal', 'pci', 'redact', NULL),
-  ('analytics_db', 'customer', 2, 'c_mktsegment', 'internal', 'none', NULL),
-  ('user_db', 'customer', 0, 'c_name', 'pii', 'tokenize', NULL)
+  ('warehouse', 'customer', 0, 'c_name', 'pii', 'partial', 'name-****'),
+  ('warehouse', 'customer', 1, 'c_acctbal', 'pci', 'redact', NULL),
+  ('warehouse', 'customer', 2, 'c_mktsegment', 'internal', 'none', NULL),
+  ('people_db', 'customer', 0, 'c_name', 'pii', 'tokenize', NULL)
 ) t(source, "table", pos, name, classification, masking, mask_format)""",
 }
 
@@ -250,10 +247,10 @@ _TARGET = (
 REQUEST_COLUMNS = {
     "request_id": "event_id",
     "ts": "ts",
-    "agent": "CASE WHEN value > 60 THEN NULL ELSE CASE user_id % 5 WHEN 0 THEN 'code-review-bot'"
-    " WHEN 1 THEN 'data-scientist' WHEN 2 THEN 'admin-bot' WHEN 3 THEN 'ops-bot' ELSE 'guest-bot' END END",
-    "source": "CASE event_id % 8 WHEN 5 THEN 'user_db' WHEN 6 THEN 'github_api' WHEN 7 THEN 'other_db'"
-    " ELSE 'analytics_db' END",
+    "agent": "CASE WHEN value > 60 THEN NULL ELSE CASE user_id % 5 WHEN 0 THEN 'order-desk'"
+    " WHEN 1 THEN 'planner' WHEN 2 THEN 'steward' WHEN 3 THEN 'map-reader' ELSE 'visitor' END END",
+    "source": "CASE event_id % 8 WHEN 5 THEN 'people_db' WHEN 6 THEN 'feed_api' WHEN 7 THEN 'attic_db'"
+    " ELSE 'warehouse' END",
     "query": f"CASE WHEN event_id % 11 = 0 THEN '' WHEN event_type = 'click'"
     f" THEN 'SELECT c_name, t.c_acctbal, c_custkey AS id FROM ' || {_TARGET} || ' WHERE id = 1'"
     f" WHEN event_type = 'view' THEN 'select  *  from ' || {_TARGET}"
@@ -264,8 +261,8 @@ REQUEST_COLUMNS = {
 # the same log with the text already taken apart
 DECISION_COLUMNS = {
     "request_id": "event_id",
-    "agent": "CASE user_id % 5 WHEN 0 THEN 'code-review-bot' WHEN 1 THEN 'data-scientist' WHEN 2 THEN 'admin-bot'"
-    " WHEN 3 THEN 'ops-bot' ELSE 'guest-bot' END",
+    "agent": "CASE user_id % 5 WHEN 0 THEN 'order-desk' WHEN 1 THEN 'planner' WHEN 2 THEN 'steward'"
+    " WHEN 3 THEN 'map-reader' ELSE 'visitor' END",
     "source": REQUEST_COLUMNS["source"],
     "table": _TARGET,
     "operation": "CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'purchase' THEN 'UPDATE' WHEN 'error' THEN 'DELETE'"

@@ -45,14 +45,14 @@ def audit_round_trip(spark, sf_dir):
 
 
 @registered(
-    "SELECT 'admin-bot' AS agent_id, 'customer' AS resource, least(100, count(*)) AS row_count, 'permitted' AS"
+    "SELECT 'steward' AS agent_id, 'customer' AS resource, least(120, count(*)) AS row_count, 'permitted' AS"
     " policy_decision FROM customer WHERE c_acctbal > 0"
 )
 def audit_of_run(spark, sf_dir):
     """Run a governed query into a table and read the audit record it left."""
     path = fresh_path(spark, "audit")
     result = enforce.governed_table(
-        spark, registry(sf_dir), small_bundle(spark), "admin-bot", "analytics_db", "customer"
+        spark, registry(sf_dir), small_bundle(spark), "steward", "warehouse", "customer"
     )
     trail.run_audited(result, lambda df: df.write.parquet(fresh_path(spark, "rows")), path)
     return audit_log.read_audit(spark, path).select("agent_id", "resource", "row_count", "policy_decision")
@@ -64,10 +64,10 @@ def audit_view(spark, sf_dir):
 
 
 @registered(
-    with_sql(AUDIT_SQL, f"SELECT {_AUDIT_COLS} FROM audit WHERE agent_id = 'admin-bot' ORDER BY seq DESC LIMIT 50")
+    with_sql(AUDIT_SQL, f"SELECT {_AUDIT_COLS} FROM audit WHERE agent_id = 'steward' ORDER BY seq DESC LIMIT 50")
 )
 def audit_view_of_agent(spark, sf_dir):
-    return trail.view_audit(audit(spark, sf_dir), "admin-bot", 50)
+    return trail.view_audit(audit(spark, sf_dir), "steward", 50)
 
 
 @registered(with_sql(AUDIT_SQL, "SELECT count(*) AS total FROM audit"))
@@ -133,6 +133,21 @@ def retention_expired(spark, sf_dir):
     return trail.expired(audit(spark, sf_dir), F.lit(_AS_OF).cast("timestamp_ntz"), 7)
 
 
+@registered(
+    with_sql(
+        AUDIT_SQL,
+        f"""SELECT seq, seq % 5 <> 0 AND timestamp < TIMESTAMP '{_AS_OF}' - INTERVAL 365 DAY + INTERVAL 350 DAY AS gone
+FROM audit""",
+    )
+)
+def retention_split(spark, sf_dir):
+    """Kept and expired entries by the days the policies set; entries without a time are kept."""
+    timed = audit(spark, sf_dir).withColumn("timestamp", F.when(F.col("seq") % 5 != 0, F.col("timestamp")))
+    as_of = F.lit(_AS_OF).cast("timestamp_ntz") + F.make_dt_interval(F.lit(350))
+    kept, gone = trail.retention_split(timed, small_bundle(spark), as_of)
+    return kept.select("seq", F.lit(False).alias("gone")).unionByName(gone.select("seq", F.lit(True).alias("gone")))
+
+
 _LIMITS = SMALL_SQL["ap"]
 
 
@@ -458,13 +473,13 @@ def database_sources(spark, sf_dir):
 
 @registered("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def registry_scan(spark, sf_dir):
-    return registry(sf_dir).load(spark, "user_db", "customer").select("c_custkey", "c_name", "c_acctbal")
+    return registry(sf_dir).load(spark, "people_db", "customer").select("c_custkey", "c_name", "c_acctbal")
 
 
 @registered(
     " UNION ALL ".join(
         f"SELECT '{s}' AS source, '{t}' AS \"table\", true AS reachable FROM (SELECT count(*) FROM {t}) WHERE true"
-        for s in ("analytics_db", "user_db")
+        for s in ("warehouse", "people_db")
         for t in (
             "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
             " conversations"
@@ -498,32 +513,66 @@ def _drained(spark, df):
     return spark.read.schema(df.schema).parquet(path)
 
 
-# windows still open at the final watermark are not written yet
-_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+def _drained_windows(spark, df):
+    path = fresh_path(spark, "windows")
+    streams.drain(streams.run_to_windows(df, path, fresh_path(spark, "state"), availableNow=True))
+    return streams.read_windows(spark, path, df.schema)
 
 
 @registered(
     with_sql(
         AUDIT_SQL,
-        f"""SELECT agent_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, count(*) AS requests FROM audit
-GROUP BY ALL HAVING count(*) > 3 AND time_bucket(INTERVAL 1 HOUR, min(timestamp)) + INTERVAL 1 HOUR <= {_CLOSED}""",
+        """SELECT agent_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, count(*) AS requests FROM audit
+GROUP BY ALL HAVING count(*) > 3""",
     )
 )
 def stream_rate_limit(spark, sf_dir):
     entries = project(_event_stream(spark, sf_dir), AUDIT_COLUMNS)
-    return _drained(spark, streams.stream_rate_limit(entries, 3, "1 hour"))
+    return _drained_windows(spark, streams.stream_rate_limit(entries, 3, "1 hour"))
 
 
 @registered(
     with_sql(
-        AUDIT_SQL,
-        f"""SELECT agent_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, CAST(sum(row_count) AS BIGINT) AS rows
-FROM audit GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, min(timestamp)) + INTERVAL 1 HOUR <= {_CLOSED}""",
+        AUDIT_SQL
+        | {
+            "ap": _LIMITS,
+            "used": """SELECT agent_id, time_bucket(INTERVAL 1 DAY, timestamp) AS window_start,
+CAST(sum(row_count) AS BIGINT) AS rows FROM audit GROUP BY ALL""",
+        },
+        """SELECT agent_id, window_start, rows, CAST(coalesce(max_rows, 100) AS BIGINT) AS max_rows FROM used
+LEFT JOIN ap ON agent = agent_id WHERE rows > coalesce(max_rows, 100)""",
     )
 )
 def stream_row_quota(spark, sf_dir):
     entries = project(_event_stream(spark, sf_dir), AUDIT_COLUMNS)
-    return _drained(spark, streams.stream_row_quota(entries))
+    return _drained_windows(spark, streams.stream_row_quota(entries, small_bundle(spark), "1 day"))
+
+
+@registered(
+    with_sql(
+        _NONE_GRANTED | _ALL_READABLE | _OUTCOMES,
+        """SELECT request_id AS seq, agent AS agent_id, source, "table" AS resource,
+CASE WHEN stage = 'permitted' THEN 'permitted' ELSE 'denied' END AS policy_decision FROM told""",
+    )
+)
+def stream_decisions_stored(spark, sf_dir):
+    """The same decisions from stored policy tables of unknown size."""
+    stored = small_bundle(spark).with_tables()
+    asked = project(_event_stream(spark, sf_dir), REQUEST_COLUMNS)
+    shown = _drained(spark, streams.stream_audit_entries(asked, stored))
+    return shown.select("seq", "agent_id", "source", "resource", "policy_decision")
+
+
+@registered(with_sql(AUDIT_SQL, f"SELECT {_AUDIT_COLS} FROM audit"))
+def audit_mixed_writers(spark, sf_dir):
+    """A stream and batches append to one trail; readers see all of it."""
+    path = fresh_path(spark, "audit")
+    entries = audit(spark, sf_dir)
+    audit_log.append_audit(entries.filter("seq % 3 = 0"), path)
+    streamed = project(_event_stream(spark, sf_dir), AUDIT_COLUMNS).filter("seq % 3 = 1")
+    streams.drain(audit_log.append_audit_stream(streamed, path, fresh_path(spark, "state"), availableNow=True))
+    audit_log.append_audit(entries.filter("seq % 3 = 2"), path)
+    return audit_log.read_audit(spark, path)
 
 
 @registered(
@@ -545,12 +594,12 @@ def stream_decisions(spark, sf_dir):
 
 
 @registered(
-    """SELECT c_custkey, '***-**-' || right(c_name, 4) AS c_name, c_mktsegment, CASE WHEN c_acctbal IS NOT NULL THEN
+    """SELECT c_custkey, 'name-' || right(c_name, 4) AS c_name, c_mktsegment, CASE WHEN c_acctbal IS NOT NULL THEN
 '***REDACTED***' END AS c_acctbal FROM customer WHERE c_acctbal > 0"""
 )
 def stream_governed_table(spark, sf_dir):
     """A governed table over a stream of files; no row cap."""
     schema = table(spark, sf_dir, "customer").schema
     stream = streams.stream_files(spark, f"{sf_dir}/customer*.parquet", schema)
-    access = enforce.check_access(small_bundle(spark), "admin-bot", "analytics_db", ["customer"])["customer"]
+    access = enforce.check_access(small_bundle(spark), "steward", "warehouse", ["customer"])["customer"]
     return _drained(spark, streams.stream_governed(stream, access))

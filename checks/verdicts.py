@@ -135,7 +135,7 @@ def governance_decision_unhinted(spark, sf_dir):
 @registered(with_sql(_BIG, DECISION_SELECT))
 def governance_decision_large(spark, sf_dir):
     """Every line item as a request, against policies that grow with the data."""
-    bundle = lookups.resolve(big_bundle(spark, sf_dir))
+    bundle = big_bundle(spark, sf_dir)
     return flat_decision(decisions.decide(big_requests(spark, sf_dir), bundle))
 
 
@@ -227,7 +227,7 @@ def scope_decision(spark, sf_dir):
 @registered(with_sql(BIG_REQUESTS_SQL | BIG_SQL | SCOPED, _SCOPE_SELECT))
 def scope_decision_large(spark, sf_dir):
     """Rules from every order: wildcards, shadowed scopes, ordered union, last value wins."""
-    bundle = scope.resolve_scopes(big_bundle(spark, sf_dir))
+    bundle = big_bundle(spark, sf_dir)
     return flat_scope(scope.scope_decision(big_requests(spark, sf_dir), bundle))
 
 
@@ -247,7 +247,7 @@ LEFT JOIN g3 ON g3.agent = r.agent AND g3.source = r.source AND g3."table" IS NO
     )
 )
 def rule_merge(spark, sf_dir):
-    merged = scope.merge_rules(scope.resolve_scopes(big_bundle(spark, sf_dir)))
+    merged = scope.merge_rules(big_bundle(spark, sf_dir))
     return merged.select(
         "agent",
         "source",
@@ -343,7 +343,7 @@ _OUTCOME = {
   WHEN requires_approval AND request_id NOT IN (SELECT id FROM granted) THEN 'approval_required'
   WHEN source NOT IN (SELECT name FROM readable) THEN 'no_source_reader' ELSE 'permitted' END AS stage FROM staged""",
     "told": """SELECT *, CASE stage WHEN 'missing_params' THEN 'Missing required parameters: query and agent'
-  WHEN 'unknown_source' THEN 'Unknown source: ' || source || '. Available: analytics_db, github_api, user_db'
+  WHEN 'unknown_source' THEN 'Unknown source: ' || source || '. Available: warehouse, feed_api, people_db'
   WHEN 'scope_denied' THEN 'Access denied: ' || scope_why
   WHEN 'governance_denied' THEN 'Governance denied: ' || why
   WHEN 'approval_required' THEN 'Write operation blocked: ' || operation || ' on ' || source || '.' || "table" ||
@@ -362,7 +362,7 @@ def _outcomes(spark, sf_dir, **options):
 
 @registered(
     with_sql(
-        _GRANTED | {"readable": "SELECT 'analytics_db' AS name"} | _OUTCOMES,
+        _GRANTED | {"readable": "SELECT 'warehouse' AS name"} | _OUTCOMES,
         'SELECT request_id, "table", operation, stage, reason FROM told',
     )
 )
@@ -373,7 +373,7 @@ def request_outcome(spark, sf_dir):
         spark,
         sf_dir,
         approvals=approvals.select(F.col("o_orderkey").alias("request_id")),
-        readers=["analytics_db"],
+        readers=["warehouse"],
     )
     return ended.select("request_id", "table", "operation", "stage", "reason")
 
@@ -393,7 +393,7 @@ def audit_from_decisions(spark, sf_dir):
 
 
 _HTTP = {
-    "reqs": f"""SELECT request_id, ts, agent, nullif(source, 'github_api') AS source, query,
+    "reqs": f"""SELECT request_id, ts, agent, nullif(source, 'feed_api') AS source, query,
 {table_sql("coalesce(query, '')")} AS "table" FROM logged""",
 }
 
@@ -410,7 +410,7 @@ WHEN NOT permitted THEN 'Access denied: ' || scope_why END AS reason FROM sco"""
 )
 def scope_only_outcome(spark, sf_dir):
     """Presence, source and scope only; status codes."""
-    asked = requests(spark, sf_dir).withColumn("source", F.nullif("source", F.lit("github_api")))
+    asked = requests(spark, sf_dir).withColumn("source", F.nullif("source", F.lit("feed_api")))
     return outcome.scope_only_outcome(asked, small_bundle(spark)).select(
         "request_id", "table", "status_code", "reason"
     )
@@ -428,14 +428,14 @@ def _stricter(spark):
 
     config = copy.deepcopy(CONFIG)
     g = config["governance"]
-    g["agentPolicies"][1]["allowedClassifications"] = ["public"]
-    g["agentPolicies"][2]["maxRowsPerQuery"] = 50
+    g["agentPolicies"][2]["allowedClassifications"] = ["public"]
+    g["agentPolicies"][0]["maxRowsPerQuery"] = 50
     g["sourcePolicies"][0]["tables"][1]["classification"] = "confidential"
     return Bundle.from_config(spark, config)
 
 
 _STRICT_SQL = {
-    "ap": SMALL_SQL["ap"].replace("'data-scientist', 2,", "'data-scientist', 0,").replace(" 10000,", " 50,"),
+    "ap": SMALL_SQL["ap"].replace("'planner', 2,", "'planner', 0,").replace(" 9000,", " 50,"),
     "tp": SMALL_SQL["tp"].replace("'orders', 'internal'", "'orders', 'confidential'"),
 }
 _FIELDS = ("allowed", "why", "masked", "row_filter", "max_rows", "requires_approval")

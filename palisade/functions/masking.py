@@ -58,8 +58,11 @@ def digest(text: Column, salt: str = "", compat: bool = False) -> Column:
     return F.sha2(F.concat(F.lit(salt), text) if salt else text, 256)
 
 
-def token(text: Column, salt: str = "", compat: bool = False) -> Column:
-    return F.concat(F.lit(TOKEN_PREFIX), F.substring(digest(text, salt, compat), 1, TOKEN_DIGITS))
+def token(text: Column, salt: str = "", compat: bool = False, whole: bool = False) -> Column:
+    """The short token for display, or one of the ``whole`` digest, which a vault can turn back
+    without doubt: 12 digits begin to collide near 16 million values, the compat hash long before."""
+    found = digest(text, salt, compat)
+    return F.concat(F.lit(TOKEN_PREFIX), found if whole else F.substring(found, 1, TOKEN_DIGITS))
 
 
 def partial(text: Column, fmt: str | None = None) -> Column:
@@ -88,9 +91,10 @@ def mask(
     salt: str = "",
     compat: bool = False,
     hide_nulls: bool = False,
+    whole_tokens: bool = False,
 ) -> Column:
     """One mask by name. ``hide_nulls`` turns redact into a plain literal, so that the raw
-    column is not even read from storage."""
+    column is not even read from storage; ``whole_tokens`` are tokens for a vault."""
     if strategy == "none":
         return value
     if strategy == "redact":
@@ -99,7 +103,7 @@ def mask(
     if strategy == "hash":
         return F.concat(F.lit(HASH_PREFIX), digest(text, salt, compat))
     if strategy == "tokenize":
-        return token(text, salt, compat)
+        return token(text, salt, compat, whole_tokens)
     if strategy == "partial":
         return partial(text, fmt)
     raise ValueError(f"unknown masking strategy: {strategy}")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -35,8 +37,10 @@ LOG_SECRETS = SecretKeys(
     ),
     replacement="[REDACTED]",
     any_case=True,
-    max_depth=10,
+    max_depth=None,
 )
+# Fixed value: the depth below which logs written in compatibility mode stay as they are.
+LOG_SECRETS_COMPAT = replace(LOG_SECRETS, max_depth=10)
 # Keys hidden when source definitions are listed.
 CREDENTIAL_SECRETS = SecretKeys(names=("password", "apiKey"), replacement="***", any_case=False, max_depth=None)
 
@@ -87,8 +91,41 @@ def redact_headers(headers: Column, keys: SecretKeys = LOG_SECRETS) -> Column:
     )
 
 
-def redact_json(text: Column, schema: T.DataType | str, keys: SecretKeys = LOG_SECRETS) -> Column:
-    """Secret removal inside a JSON text column of known schema; NULL fields are kept."""
+def _clean(value, keys: SecretKeys, depth: int = 0):
+    if keys.max_depth is not None and depth > keys.max_depth:
+        return value
+    if isinstance(value, dict):
+        return {k: keys.replacement if keys.hit(k) else _clean(v, keys, depth + 1) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_clean(v, keys, depth + 1) for v in value]
+    return value
+
+
+def redact_json(text: Column, keys: SecretKeys = LOG_SECRETS) -> Column:
+    """Secret removal inside JSON texts of any shape: struct<text, parsed>.
+
+    Every key stays, known or not; whatever a secret key holds is replaced. A text that is not
+    JSON, or nested deeper than the parser goes, comes back as it is, with ``parsed`` false; NULL
+    stays NULL. No schema is known, so this is an Arrow-batched Python function;
+    ``redact_typed_json`` stays in the JVM where there is one.
+    """
+
+    @F.pandas_udf("text string, parsed boolean")
+    def walk(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in texts:
+            try:
+                rows.append((json.dumps(_clean(json.loads(raw), keys), ensure_ascii=False, separators=(",", ":")), True))
+            except (ValueError, TypeError, RecursionError):
+                rows.append((raw, None if raw is None else False))
+        return pd.DataFrame(rows, columns=["text", "parsed"])
+
+    return walk(text)
+
+
+def redact_typed_json(text: Column, schema: T.DataType | str, keys: SecretKeys = LOG_SECRETS) -> Column:
+    """Secret removal inside JSON texts that all have one schema; NULL fields are kept. Keys
+    outside the schema are not: where there may be any, use ``redact_json``."""
     dtype = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
     # bound to a variable: field by field, the optimizer would parse the text once per field
     clean = F.transform(F.array(F.from_json(text, dtype)), lambda v: redact_keys(v, dtype, keys))[0]

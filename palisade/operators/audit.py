@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from threading import Lock, Thread
 from time import perf_counter
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -17,43 +18,74 @@ from palisade.sources.policy import Bundle, local_frame
 DENIED_STAGES = ("scope_denied", "governance_denied", "approval_required")
 
 
-def run_audited(
-    table: GovernedTable, action: Callable[[DataFrame], object], path: str, name: str = "QUERY"
-) -> dict:
-    """Run ``action`` on the capped frame and append its audit record, whatever happens. Rows
-    are counted by an observation inside the same job, not by a second one."""
-    seen = Observation()
-    started, clock = datetime.now(timezone.utc).replace(tzinfo=None), perf_counter()
-    entry = {
-        "seq": int(started.timestamp() * 1_000_000),
-        "timestamp": started,
-        "agent_id": table.access.agent,
-        "source": table.access.source,
-        "action": name,
-        "resource": table.access.table,
-        "policy_decision": "permitted",
+_lock = Lock()
+_used = [0]  # the last seq given out
+
+
+def _stamp(agent: str, source: str, resource: str, action: str, decision: str) -> dict:
+    """An entry of now. ``seq`` counts microseconds since 1970 (UTC, whatever the driver's zone);
+    entries of one driver within a microsecond get following numbers."""
+    now = datetime.now(timezone.utc)
+    since = now - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    with _lock:
+        _used[0] = max(_used[0] + 1, (since.days * 86_400 + since.seconds) * 1_000_000 + since.microseconds)
+        seq = _used[0]
+    return {
+        "seq": seq,
+        "timestamp": now.replace(tzinfo=None),
+        "agent_id": agent,
+        "source": source,
+        "action": action,
+        "resource": resource,
+        "policy_decision": decision,
     }
-    spark = table.df.sparkSession
+
+
+def run_recorded(
+    df: DataFrame,
+    action: Callable[[DataFrame], object],
+    path: str,
+    agent: str,
+    source: str,
+    resource: str,
+    name: str = "QUERY",
+) -> dict:
+    """Run ``action`` on the frame and append its audit record, whatever happens: ``permitted``,
+    or ``failed`` if the action raised. Rows are counted by an observation inside the same job,
+    not by a second one; an action that never runs the frame leaves no row count."""
+    seen, clock = Observation(), perf_counter()
+    entry = _stamp(agent, source, resource, name, "permitted")
     try:
-        action(table.capped().observe(seen, F.count(F.lit(1)).alias("row_count")))
-        entry["row_count"] = seen.get["row_count"]
+        action(df.observe(seen, F.count(F.lit(1)).alias("row_count")))
+        entry["row_count"] = _observed(seen)
+    except BaseException:
+        entry["policy_decision"] = "failed"
+        raise
     finally:
         entry["duration_ms"] = round((perf_counter() - clock) * 1000)
-        append_audit(local_frame(spark, [entry], AUDIT_SCHEMA), path)
+        append_audit(local_frame(df.sparkSession, [entry], AUDIT_SCHEMA), path)
     return entry
 
 
+def _observed(seen: Observation, wait: float = 5.0) -> int | None:
+    """The count, once the finished job has reported it; None if no job did within ``wait`` seconds."""
+    found: list[int] = []
+    reader = Thread(target=lambda: found.append(seen.get["row_count"]), daemon=True)
+    reader.start()
+    reader.join(wait)
+    return found[0] if found else None
+
+
+def run_audited(
+    table: GovernedTable, action: Callable[[DataFrame], object], path: str, name: str = "QUERY"
+) -> dict:
+    """``run_recorded`` on a governed table under its row cap."""
+    access = table.access
+    return run_recorded(table.capped(), action, path, access.agent, access.source, access.table, name)
+
+
 def log_denial(spark, agent: str, source: str, resource: str, path: str, name: str = "QUERY") -> dict:
-    now = datetime.now(timezone.utc).replace(tzinfo=None)
-    entry = {
-        "seq": int(now.timestamp() * 1_000_000),
-        "timestamp": now,
-        "agent_id": agent,
-        "source": source,
-        "action": name,
-        "resource": resource,
-        "policy_decision": "denied",
-    }
+    entry = _stamp(agent, source, resource, name, "denied")
     append_audit(local_frame(spark, [entry], AUDIT_SCHEMA), path)
     return entry
 
@@ -144,8 +176,9 @@ def _regroup(grouped) -> DataFrame:
 
 
 def retained(audit: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """Entries of the last ``days`` days; the timestamp test reaches the scan."""
-    return audit.filter(F.col("timestamp") >= as_of - F.make_dt_interval(F.lit(days)))
+    """Entries of the last ``days`` days and those without a time; the test reaches the scan."""
+    at = F.col("timestamp")
+    return audit.filter(at.isNull() | (at >= as_of - F.make_dt_interval(F.lit(days))))
 
 
 def expired(audit: DataFrame, as_of: Column, days: int) -> DataFrame:
@@ -153,6 +186,11 @@ def expired(audit: DataFrame, as_of: Column, days: int) -> DataFrame:
     return audit.filter(F.col("timestamp") < as_of - F.make_dt_interval(F.lit(days)))
 
 
+def retention_split(audit: DataFrame, bundle: Bundle, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(kept, expired) by the days the policies set; every entry is in exactly one of them."""
+    return retained(audit, as_of, bundle.audit_log_days), expired(audit, as_of, bundle.audit_log_days)
+
+
 def _with_policy(audit: DataFrame, bundle: Bundle) -> DataFrame:
     return with_agent_policy(audit.withColumnRenamed("agent_id", "agent"), bundle, "policy")
 
@@ -221,3 +259,10 @@ def quota_windows(audit: DataFrame, length: str = "1 hour") -> DataFrame:
     """Rows per agent and tumbling window; batch and stream."""
     used = audit.groupBy(F.window("timestamp", length).alias("w"), "agent_id").agg(F.sum("row_count").alias("rows"))
     return used.select("agent_id", F.col("w.start").alias("window_start"), "rows")
+
+
+def quota_breaches(windows: DataFrame, bundle: Bundle) -> DataFrame:
+    """Windows in which an agent received more rows than its cap; batch and stream."""
+    cap = F.col("policy.max_rows")
+    over = _with_policy(windows, bundle).filter((cap > 0) & (F.col("rows") > cap))
+    return over.select(F.col("agent").alias("agent_id"), "window_start", "rows", cap.alias("max_rows"))

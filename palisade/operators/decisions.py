@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.functions.classes import class_rank
 from palisade.functions.querytext import WRITES
 from palisade.operators.lookups import (
-    column_lookup,
     first_column_lookup,
+    folded,
     masked_tables,
     source_lookup,
     splittable,
-    table_lookup,
     with_agent_policy,
 )
 from palisade.sources.policy import MASKS, Bundle
@@ -70,9 +69,8 @@ UNGOVERNED = f"""named_struct(
 
 
 def with_table_policy(requests: DataFrame, bundle: Bundle) -> DataFrame:
-    """Add _class, _row_filter, _table_cap and _table_approve by source and (source, table);
-    for small bundles also _table_masks."""
-    tables = masked_tables(bundle) if bundle.small else table_lookup(bundle)
+    """Add _class, _row_filter, _table_cap, _table_approve and _table_masks by source and
+    (source, table)."""
     renamed = {
         "classification": "_table_class",
         "row_filter": "_row_filter",
@@ -80,36 +78,15 @@ def with_table_policy(requests: DataFrame, bundle: Bundle) -> DataFrame:
         "approve_writes": "_table_approve",
         "masks": "_table_masks",
     }
-    own = [F.col(c).alias(n) for c, n in renamed.items() if c in tables.columns]
-    tables = tables.select("source", "table", *own)
+    tables = masked_tables(bundle).select("source", "table", *[F.col(c).alias(n) for c, n in renamed.items()])
     sources = source_lookup(bundle).select("source", F.col("default_class").alias("_default_class"))
     joined = requests.join(bundle.hint(sources), "source", "left").join(bundle.hint(tables), ["source", "table"], "left")
     label = "coalesce(nullif(_table_class, ''), nullif(_default_class, ''), 'internal') AS _class"
-    return joined.selectExpr(*_quoted(requests.columns), label, *[n for n in renamed.values() if n in joined.columns])
+    return joined.selectExpr(*_quoted(requests.columns), label, *[n for n in renamed.values() if n != "_table_class"])
 
 
-def with_masks(requests: DataFrame, bundle: Bundle, name: str = "_masks") -> DataFrame:
-    """Add the masked ones among the requested columns, in policy order.
-
-    A small bundle has brought each table's list along. With a large one, each distinct
-    (source, table, columns) is joined column by column, so that no table's policy is ever
-    gathered whole.
-    """
-    if "_table_masks" in requests.columns:
-        wanted = "filter(_table_masks, m -> array_contains(transform(columns, c -> lower(c)), lower(m.name)))"
-        return requests.withColumn(name, F.expr(wanted))
-    keys = ["source", "table", "columns"]
-    asked = requests.select(*keys).distinct()
-    asked = asked.select(*keys, F.expr("explode(array_distinct(transform(columns, c -> lower(c)))) AS _col"))
-    masked = column_lookup(bundle).filter("masking <> 'none'").withColumn("_col", F.lower("name"))
-    hits = asked.join(masked, ["source", "table", "_col"])
-    item = F.struct("pos", "name", F.col("masking").alias("strategy"), F.col("mask_format").alias("format"))
-    lists = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    lists = lists.select(
-        *keys,
-        F.expr("transform(_items, m -> struct(m.name AS name, m.strategy AS strategy, m.format AS format))").alias(name),
-    )
-    return requests.join(splittable(lists, "source"), keys, "left")
+# the masked ones among the requested columns, in policy order
+MASKS_ASKED = "filter(_table_masks, m -> array_contains(transform(columns, c -> lower(c)), lower(m.name)))"
 
 
 def _quoted(names: list[str]) -> list[str]:
@@ -138,12 +115,16 @@ def decide(requests: DataFrame, bundle: Bundle, name: str = "decision") -> DataF
     """
     if not bundle.enabled:
         return requests.withColumn(name, F.expr(UNGOVERNED))
-    found = with_policies(requests, bundle)
-    if "columns" in requests.columns:
-        found = with_masks(found, bundle)
-    else:
-        found = found.withColumn("_masks", F.lit(None).cast(MASKS))
-    return found.select(*requests.columns, F.expr(DECISION).alias(name))
+    masks = F.expr(MASKS_ASKED) if "columns" in requests.columns else F.lit(None).cast(MASKS)
+
+    def judge(asked: DataFrame) -> DataFrame:
+        found = with_policies(asked, bundle).withColumn("_masks", masks)
+        return found.select(*asked.columns, F.expr(DECISION).alias(name))
+
+    if bundle.small or requests.isStreaming:  # one narrow pass; a stream joins row by row
+        return judge(requests)
+    keys = [c for c in ("agent", "source", "table", "operation", "columns") if c in requests.columns]
+    return folded(requests, keys, judge)
 
 
 def preflight(pairs: DataFrame, bundle: Bundle) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from palisade.functions.classes import rank_of
 from palisade.functions.masking import REDACTED, mask_frame, masked_names
 from palisade.functions.predicates import equality_filter
+from palisade.operators.lookups import first_match
+from palisade.operators.scope import merge_items, merged_fields, merged_filters
 from palisade.operators.single import judge_one
 from palisade.session import materialise
 from palisade.sources.policy import Bundle, fetch, typed_value
@@ -87,16 +89,47 @@ def policy_slice(bundle: Bundle, agent: str, source: str, tables: Sequence[str])
             name: [r for r in rows[name] if r["source"] == source and r["table"].lower() in wanted]
             for name in ("table_policy", "column_policy")
         }
-    same_table = (F.col("source") == source) & F.lower("table").isin(wanted)
-    tests = {
-        "sources": F.col("name") == source,
-        "scope_rules": F.col("agent") == agent,
-        "agent_policy": F.col("agent") == agent,
-        "source_policy": F.col("source") == source,
-        "table_policy": same_table,
-        "column_policy": same_table,
-    }
-    return {name: fetch(getattr(bundle, name).filter(test), name) for name, test in tests.items()}
+    agent_rows = bundle.agent_policy.filter(F.col("agent") == agent)
+    source_rows = bundle.source_policy.filter(F.col("source") == source)
+    return {
+        "sources": fetch(bundle.sources.filter(F.col("name") == source).limit(1)),
+        "scope_rules": _merged_rules(bundle, agent, source, wanted),
+        "agent_policy": fetch(first_match(agent_rows, ["agent"], ["pos"])),
+        "source_policy": fetch(first_match(source_rows, ["source"], ["source_pos"])),
+    } | {name: fetch(rows) for name, rows in _chosen(bundle, source, wanted).items()}
+
+
+def _chosen(bundle: Bundle, source: str, wanted: Sequence[str]) -> dict[str, DataFrame]:
+    """The first policy of each table in the first entry of its source, and its columns."""
+    entry = bundle.source_policy.filter(F.col("source") == source).agg(F.min("source_pos").alias("source_pos"))
+    own = bundle.table_policy.filter((F.col("source") == source) & F.lower("table").isin(wanted))
+    own = own.filter(F.col("source_pos") == entry.scalar()).withColumn("_name", F.lower("table"))
+    own = first_match(own, ["source", "_name"], ["table_pos"]).drop("_name")
+    at = ["source", "source_pos", "table", "table_pos"]
+    columns = bundle.column_policy.filter((F.col("source") == source) & F.lower("table").isin(wanted))
+    return {"table_policy": own, "column_policy": columns.join(own.select(*at), at, "left_semi")}
+
+
+def _merged_rules(bundle: Bundle, agent: str, source: str, wanted: Sequence[str]) -> list[dict]:
+    """One agent's rules, merged by Spark: at most one for each wanted table, whose fields and
+    filters are as many as the columns they name, and one that shows where the agent may go."""
+    rules = bundle.scope_rules.filter(F.col("agent") == agent)
+    rules = rules.filter(F.col("scope_pos") == rules.agg(F.min("scope_pos")).scalar())
+    listed = rules.filter(F.col("source") == source)
+    listed = listed.filter(F.col("source_pos") == listed.agg(F.min("source_pos")).scalar())
+    at = {"agent": agent, "scope_pos": 0, "source_pos": 0}
+    if not fetch(rules.select("agent").limit(1)):
+        return []
+    if not fetch(listed.select("agent").limit(1)):
+        return [{**at, "source": None, "rule_pos": None}]
+    asked = F.array(*[F.lit(w) for w in wanted])
+    met = listed.filter("rule_pos is not null").withColumn(
+        "table", F.explode(F.when(F.col("table").isNull(), asked).otherwise(F.array(F.lower("table"))))
+    )
+    items = merge_items(met.filter(F.col("table").isin(wanted)), ["table"])
+    merged = items.select("table", merged_fields(F.col("items")).alias("fields"), merged_filters(F.col("items")).alias("filters"))
+    at["source"] = source
+    return [{**at, "rule_pos": None}, *[{**at, "rule_pos": 0, **row} for row in fetch(merged)]]
 
 
 def check_access(
@@ -182,20 +215,27 @@ def rows_in_reach(df: DataFrame, access: Access, residency: ResidencyKey | None
     return scope_rows_of(df, access.filters)
 
 
-def in_reach(df: DataFrame, access: Access, residency: ResidencyKey | None = None) -> tuple[DataFrame, Column]:
-    """For writes: the whole frame and the condition that marks the rows in reach. The frame
-    gains helper columns only where residency goes through a lookup."""
+def own_reach(df: DataFrame, access: Access, residency: ResidencyKey | None = None) -> Column:
+    """The condition that marks the rows in reach of a frame that ``in_reach`` has prepared."""
     own = F.lit(True) if access.row_filter is None else F.coalesce(F.expr(access.row_filter), F.lit(False))
     own = own & F.coalesce(equality_filter(access.filters), F.lit(False))
     if not access.residency:
-        return df, own
+        return own
     if residency is None:
         raise AccessDenied("governance_denied", "Residency is restricted but the table has no region column")
     if residency.via is None:
-        return df, own & F.coalesce(F.col(residency.column).isin(*access.residency), F.lit(False))
-    homes = residency.via.filter(F.col("region").isin(*access.residency))
-    homes = homes.select(F.col("key").alias(residency.column), F.lit(True).alias("_home")).distinct()
-    return df.join(homes, residency.column, "left"), own & F.col("_home").isNotNull()
+        return own & F.coalesce(F.col(residency.column).isin(*access.residency), F.lit(False))
+    return own & F.col("_home").isNotNull()
+
+
+def in_reach(df: DataFrame, access: Access, residency: ResidencyKey | None = None) -> tuple[DataFrame, Column]:
+    """For writes: the whole frame and the condition that marks the rows in reach. The frame
+    gains helper columns only where residency goes through a lookup."""
+    if access.residency and residency is not None and residency.via is not None:
+        homes = residency.via.filter(F.col("region").isin(*access.residency))
+        homes = homes.select(F.col("key").alias(residency.column), F.lit(True).alias("_home")).distinct()
+        df = df.join(homes, residency.column, "left")
+    return df, own_reach(df, access, residency)
 
 
 def govern(

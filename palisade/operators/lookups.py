@@ -6,8 +6,10 @@ becomes a literal relation, any other bundle is resolved by Spark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -34,7 +36,19 @@ def splittable(lookup: DataFrame, key: str) -> DataFrame:
     return lookup.withColumn(key, F.concat(F.col(key), F.lit("")))
 
 
-MASK_LIST = 1000
+def folded(requests: DataFrame, keys: list[str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``judge`` (which adds columns) asked once for each distinct combination of ``keys``.
+
+    A log of requests then moves twice at most, however many lookups there are: folded before
+    the first shuffle, and to meet the answers.
+    """
+    asked = requests.select(*keys).distinct()
+    answers = judge(asked)
+    new = [c for c in answers.columns if c not in keys]
+    a, b = requests.alias("a"), answers.alias("b")
+    same = reduce(and_, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys])
+    return a.join(b, same, "left").select("a.*", *[F.col(f"b.`{c}`") for c in new])
+
 
 AGENT_POLICY = f"""named_struct(
     'rank', {clearance('allowed_classes')},
@@ -113,7 +127,12 @@ MASKED_TABLE = struct(
 
 
 def masked_tables(bundle: Bundle) -> DataFrame:
-    """For small bundles: table policies together with their masked columns in policy order."""
+    """Table policies together with their masked columns in policy order: a list as long as
+    the table's own column policy, whatever the number of tables."""
+    if "masked" in bundle.resolved:
+        return bundle.resolved["masked"]
+    if not bundle.small:
+        return _with_lists(table_lookup(bundle), column_lookup(bundle))
     masks: dict[tuple, list] = {}
     for c in chosen_columns(bundle.rows):
         if c["masking"] != "none":
@@ -124,16 +143,13 @@ def masked_tables(bundle: Bundle) -> DataFrame:
 
 
 def _with_lists(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Add each table's masked columns as one list, if no table has more than MASK_LIST of
-    them; else leave the tables as they are, and requests meet the policies column by column."""
+    """Add each table's masked columns as one list."""
     masked = columns.filter("masking <> 'none'")
-    longest = masked.groupBy("source", "table").count().agg(F.max("count")).first()[0] or 0
-    if longest > MASK_LIST:
-        return tables
     item = F.struct("pos", "name", F.col("masking").alias("strategy"), F.col("mask_format").alias("format"))
     lists = masked.groupBy("source", "table").agg(F.sort_array(F.collect_list(item)).alias("masks"))
     plain = F.expr("transform(masks, m -> struct(m.name AS name, m.strategy AS strategy, m.format AS format))")
-    return tables.join(lists.withColumn("masks", plain), ["source", "table"], "left").select(*tables.columns, "masks")
+    joined = tables.join(lists.withColumn("masks", plain), ["source", "table"], "left")
+    return splittable(joined.select(*tables.columns, "masks"), "source")
 
 
 def resolve(bundle: Bundle) -> Bundle:
@@ -149,7 +165,7 @@ def resolve(bundle: Bundle) -> Bundle:
         ("sources", source_lookup),
         ("tables", table_lookup),
         ("columns", column_lookup),
+        ("masked", masked_tables),
     ):
         kept[name] = materialise(lookup(bundle), name)
-    kept["tables"] = _with_lists(kept["tables"], kept["columns"])
     return bundle

@@ -45,7 +45,7 @@ def remove_scopes(rules: DataFrame, agents: DataFrame) -> DataFrame:
 
 def remove_scope(bundle: Bundle, agent: str) -> tuple[Bundle, bool]:
     rules = bundle.scope_rules
-    found = bool(fetch(rules.filter(F.col("agent") == agent).select("agent").limit(1), "scopes"))
+    found = bool(fetch(rules.filter(F.col("agent") == agent).select("agent").limit(1)))
     named = rules.filter(F.col("agent") == agent).select("agent")
     return bundle.with_tables(scope_rules=remove_scopes(rules, named)), found
 
@@ -64,7 +64,7 @@ def add_sources(sources: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFram
 
 def add_source(bundle: Bundle, raw: Mapping) -> Bundle:
     source = checked_source(raw)
-    if fetch(bundle.sources.filter(F.col("name") == source["name"]).limit(1), "sources"):
+    if fetch(bundle.sources.filter(F.col("name") == source["name"]).limit(1)):
         raise ValueError(f"Duplicate source name: {source['name']}")
     end = bundle.sources.agg(F.max("pos")).first()[0]
     row = source_row(0 if end is None else end + 1, source)
@@ -77,7 +77,7 @@ def remove_sources(sources: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def remove_source(bundle: Bundle, name: str) -> tuple[Bundle, bool]:
-    found = bool(fetch(bundle.sources.filter(F.col("name") == name).limit(1), "sources"))
+    found = bool(fetch(bundle.sources.filter(F.col("name") == name).limit(1)))
     return bundle.with_tables(sources=bundle.sources.filter(~F.col("name").eqNullSafe(F.lit(name)))), found
 
 

@@ -4,31 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from palisade.session import materialise
 
-MINUTE = "1 minute"
-HOT_BUCKET = 5_000_000
-
-
-def bucket_of(ts: Column, length: str = MINUTE) -> Column:
-    return F.window(ts, length)["start"]
-
-
-def _bucketed_sum(
-    rows: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, name: str
-) -> DataFrame:
-    """Sum per bucket, accumulate the few bucket sums of a key, add running sums inside."""
-    rows = rows.withColumn("_group", F.struct(*keys, bucket))
-    sums = rows.groupBy("_group").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*[f"_group.{k}" for k in keys]).orderBy(f"_group.{bucket}")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_group", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    # one struct key: equal also where a key is NULL, and the join's partitioning serves the window
-    inside = Window.partitionBy("_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(starts, "_group").withColumn(name, F.col("_start") + F.sum(value).over(inside))
-
 
 def running_sum(
     df: DataFrame,
@@ -37,37 +16,29 @@ def running_sum(
     order: Sequence[str],
     value: str,
     name: str,
-    hot: int = HOT_BUCKET,
     pieces: int | None = None,
 ) -> DataFrame:
     """Add ``name`` = sum of ``value`` over all earlier rows and this one, per key, in
     (ts, order) order, which must be total.
 
-    A single window per key would pull a hot key into one task, so each key is cut into
-    minutes. The minutes are counted first: if one of them holds more than ``hot`` rows, the
-    rows are cut into equal ranges of (keys, ts, order) instead, whatever their times.
+    The rows are cut into equal ranges of (keys, ts, order), whatever the keys and times, and
+    stored, so that every later read sees the same ranges. Sums of a key in each range are
+    accumulated (at most as many as there are ranges), and a window adds up inside a range.
     """
-    rows = df.withColumn("_bucket", bucket_of(F.col(ts)))
-    largest = rows.groupBy(*keys, "_bucket").count().agg(F.max("count")).first()[0] or 0
-    if largest > hot:
-        pieces = pieces or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-        ranges = df.repartitionByRange(pieces, *keys, ts, *order).withColumn("_bucket", F.spark_partition_id())
-        # stored, so that every later read sees the same ranges
-        rows = materialise(ranges, "ranges")
-    out = _bucketed_sum(rows, keys, "_bucket", [ts, *order], value, name)
+    pieces = pieces or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    ranges = df.repartitionByRange(pieces, *keys, ts, *order).withColumn("_range", F.spark_partition_id())
+    # one struct key: equal also where a key is NULL
+    rows = materialise(ranges.withColumn("_group", F.struct(*keys, "_range")), "ranges")
+    sums = rows.groupBy("_group").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*[f"_group.{k}" for k in keys]).orderBy("_group._range")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_group", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_group").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(starts, "_group").withColumn(name, F.col("_start") + F.sum(value).over(inside))
     return out.select(*df.columns, name)
 
 
 def peak_level(net: DataFrame, key: str, t: str, step: str) -> DataFrame:
-    """(key, peak): the highest running sum of ``step`` over time, for one row per (key, t).
-
-    Peak and total of each minute, then the running total of a key's minutes: one pass over
-    the rows, and no task holds more than one minute of one key (which folding to one row
-    per instant bounds).
-    """
-    inside = Window.partitionBy(key, "_minute").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    levels = net.withColumn("_minute", bucket_of(F.col(t))).withColumn("_level", F.sum(step).over(inside))
-    minutes = levels.groupBy(key, "_minute").agg(F.max("_level").alias("_top"), F.sum(step).alias("_total"))
-    before = Window.partitionBy(key).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_total").over(before), F.lit(0))
-    return minutes.withColumn("_peak", start + F.col("_top")).groupBy(key).agg(F.max("_peak").alias("peak"))
+    """(key, peak): the highest running sum of ``step`` over time, for one row per (key, t)."""
+    levels = running_sum(net, [key], t, [], step, "_level")
+    return levels.groupBy(key).agg(F.max("_level").alias("peak"))

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.operators.lookups import splittable
+from palisade.operators.lookups import folded, splittable
 from palisade.operators.single import active_rule_rows, merge_rule_rows
 from palisade.session import materialise
 from palisade.sources.policy import FILTERS, TEXT, TEXTS, Bundle, local_frame, struct
@@ -15,13 +15,19 @@ from palisade.sources.policy import FILTERS, TEXT, TEXTS, Bundle, local_frame, s
 
 def active_rules(bundle: Bundle) -> DataFrame:
     """Rules of each agent's first scope and, in it, of the first entry of each source."""
-    if "rules" in bundle.resolved:
-        return bundle.resolved["rules"]
-    rules = bundle.scope_rules
-    scopes = splittable(rules.groupBy("agent").agg(F.min("scope_pos").alias("scope_pos")), "agent")
-    rules = rules.join(scopes, ["agent", "scope_pos"], "left_semi")
-    entries = splittable(rules.groupBy("agent", "source").agg(F.min("source_pos").alias("source_pos")), "agent")
-    return rules.join(entries, ["agent", "source", "source_pos"], "left_semi")
+    return bundle.scope_rules.join(
+        splittable(active_entries(bundle), "agent"), ["agent", "scope_pos", "source", "source_pos"], "left_semi"
+    )
+
+
+def active_entries(bundle: Bundle) -> DataFrame:
+    """(agent, scope_pos, source, source_pos) of the entries in force. The rules are folded to
+    their entries once; an entry counts if its scope is the first one its agent has."""
+    place = F.min(F.struct("scope_pos", "source_pos")).alias("first")
+    entries = bundle.scope_rules.groupBy("agent", "source").agg(place)
+    entries = entries.select("agent", "source", "first.scope_pos", "first.source_pos")
+    scopes = splittable(entries.groupBy("agent").agg(F.min("scope_pos").alias("scope_pos")), "agent")
+    return entries.join(scopes, ["agent", "scope_pos"], "left_semi")
 
 
 def merge_items(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,13 +73,21 @@ def merged_fields(items: Column) -> Column:
 
 
 def merged_filters(items: Column) -> Column:
-    """Filter keys in first-mention order, each with the value named last; NULL when none."""
+    """Filter keys in first-mention order, each with the value named last; NULL when none.
+
+    The last value of each key is looked up in a map built from the items in order of their
+    last mention, so the work grows with the number of items, not with its square.
+    """
     tests = F.filter(F.sort_array(items), lambda i: i["kind"] == "filter")
     keys = F.array_distinct(F.transform(tests, lambda i: i["name"]))
+    ranked = F.reverse(F.sort_array(F.transform(tests, lambda i: F.struct(i["name"].alias("name"), i["last"].alias("last")))))
+    # of equal names the greatest place comes first; only the first of each name enters the map
+    winners = F.filter(ranked, lambda w, i: (i == 0) | (w["name"] != F.get(ranked, i - 1)["name"]))
+    last = F.map_from_arrays(F.transform(winners, lambda w: w["name"]), F.transform(winners, lambda w: w["last"]))
 
     def winner(key: Column) -> Column:
-        last = F.array_max(F.transform(F.filter(tests, lambda i: i["name"] == key), lambda i: i["last"]))
-        return F.struct(key.alias("key"), last["value"].alias("value"), last["type"].alias("type"))
+        found = F.element_at(last, key)
+        return F.struct(key.alias("key"), found["value"].alias("value"), found["type"].alias("type"))
 
     return F.when(F.size(tests) > 0, F.transform(keys, winner))
 
@@ -83,8 +97,6 @@ SCOPE_TABLE = struct(agent=TEXT, source=TEXT, table=TEXT, fields=TEXTS, filters=
 
 def rule_items(bundle: Bundle) -> DataFrame:
     """(agent, source, table, items) of the rules in force; no table for rules without one."""
-    if "items" in bundle.resolved:
-        return bundle.resolved["items"]
     rules = active_rules(bundle).filter("rule_pos is not null")
     return merge_items(rules, ["agent", "source", "table"])
 
@@ -138,20 +150,19 @@ def _scope_lookups(bundle: Bundle) -> tuple[DataFrame, DataFrame, DataFrame]:
     answer, merged = F.struct("fields", "filters"), merge_rules(bundle)
     named = merged.filter("table is not null").select("agent", "source", "table", answer.alias("_named"))
     wide = merged.filter("table is null").select("agent", "source", answer.alias("_wide"))
-    entries = active_rules(bundle).select("agent", "source").distinct()
+    entries = active_entries(bundle).select("agent", "source")
     agents = splittable(entries.select("agent").distinct(), "agent")
     entries = splittable(entries.join(wide, ["agent", "source"], "left"), "agent")
     return agents, entries, splittable(named, "agent")
 
 
 def resolve_scopes(bundle: Bundle) -> Bundle:
-    """Work out the rules in force and their merge once, as tables in the shared folder."""
+    """Work out the merged rules in force once, as a table in the shared folder, for callers
+    that ask again and again."""
     if bundle.small:
         return bundle
     kept = dict(bundle.resolved)
     bundle = replace(bundle, resolved=kept)
-    kept["rules"] = materialise(active_rules(bundle), "rules")
-    kept["items"] = materialise(rule_items(bundle), "items")
     kept["merged"] = materialise(merge_rules(bundle), "merged")
     return bundle
 
@@ -162,6 +173,12 @@ def scope_decision(requests: DataFrame, bundle: Bundle, name: str = "scope") ->
     Equi joins only, each side with one row per key: rules are merged first and those
     without a table join by (agent, source), so a request never multiplies.
     """
+    if not bundle.small and not requests.isStreaming:
+        return folded(requests, ["agent", "source", "table"], lambda asked: _scope_of(asked, bundle, name))
+    return _scope_of(requests, bundle, name)
+
+
+def _scope_of(requests: DataFrame, bundle: Bundle, name: str) -> DataFrame:
     agents, entries, named = _scope_lookups(bundle)
     joined = (
         requests.join(bundle.hint(agents.withColumn("_scoped", F.lit(True))), "agent", "left")

@@ -5,26 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.functions.masking import as_text, token
+from palisade.operators.lookups import splittable
 
 
-def token_vault(df: DataFrame, columns: list[str], *, salt: str = "", compat: bool = False) -> DataFrame:
+def token_vault(
+    df: DataFrame, columns: list[str], *, salt: str = "", compat: bool = False, whole: bool = False
+) -> DataFrame:
     """(column, token, value): one row per distinct value. Equal values fold together before
-    the shuffle, so a value that fills a third of the table costs one row per task."""
+    the shuffle, so a value that fills a third of the table costs one row per task. ``whole``
+    vaults serve ``mask(..., whole_tokens=True)``."""
     pairs = [
         F.struct(F.lit(c).alias("column"), as_text(F.col(c), df.schema[c].dataType, compat).alias("value"))
         for c in columns
     ]
     values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.value")
     values = values.filter("value is not null").distinct()
-    return values.select("column", token(F.col("value"), salt, compat).alias("token"), "value")
+    return values.select("column", token(F.col("value"), salt, compat, whole).alias("token"), "value")
 
 
-def detokenize(df: DataFrame, column: str, vault: DataFrame) -> DataFrame:
-    """Give a tokenized column its values back. An equi join: a token that fills much of the
-    table is split by adaptive skew handling, since the vault holds it once."""
-    own = vault.filter(F.col("column") == column).select(F.col("token").alias(column), F.col("value").alias("_value"))
+def detokenize(df: DataFrame, column: str, vault: DataFrame, ambiguous: str | None = None) -> DataFrame:
+    """Give a tokenized column its values back; the row count never changes.
+
+    A token the vault does not hold gives NULL. So does one that stands for several values,
+    since none of them may be guessed; the optional column ``ambiguous`` is true for these.
+    An equi join: the vault is folded to one row per token and shuffled afresh, so adaptive
+    execution can split a token that fills much of the table.
+    """
+    per = vault.filter(F.col("column") == column).groupBy("token").agg(
+        F.min("value").alias("_value"), (F.min("value") != F.max("value")).alias("_several")
+    )
+    own = splittable(per, "token").withColumnRenamed("token", column)
     joined = df.join(own, column, "left")
-    return joined.select(*[F.col("_value").alias(c) if c == column else F.col(c) for c in df.columns])
+    found = F.when(~F.col("_several"), F.col("_value"))
+    out = [found.alias(c) if c == column else F.col(c) for c in df.columns]
+    flag = [] if ambiguous is None else [F.coalesce("_several", F.lit(False)).alias(ambiguous)]
+    return joined.select(*out, *flag)
 
 
 def token_collisions(vault: DataFrame) -> DataFrame:

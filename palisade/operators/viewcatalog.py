@@ -87,10 +87,9 @@ def view_groups(views: DataFrame) -> DataFrame:
     )
 
 
-def group_lists(groups: DataFrame, bundle: Bundle) -> DataFrame:
-    """(name, views): each group as one list, for bundles of known small size."""
-    if not bundle.small:
-        raise ValueError("lists of views are only built from bundles of known small size")
+def group_lists(groups: DataFrame) -> DataFrame:
+    """(name, views): each group as one list, for readers that show it whole. A list holds
+    the views of one source, so large catalogs are better read as rows (``view_groups``)."""
     ordered = F.sort_array(F.collect_list(F.struct("scope_pos", "rule_pos", "view")))
     return groups.groupBy("name").agg(F.transform(ordered, lambda v: v["view"]).alias("views"))
 

@@ -1,14 +1,15 @@
 """User SQL over governed views, in a session of its own.
 
-Spark parses, plans and runs the text; only the parsed plan is checked first, for names and
-node kinds. Every relation must be a governed view or a CTE in scope, so no path, catalog
-table, global view or computed name gets past the views. Needs the JVM handle of classic
-PySpark; with Spark Connect use ``governed_table``.
+Spark parses, plans and runs the text; only the parsed plan is checked first, for names, node
+kinds and expression kinds: what is in neither list is refused. Every relation must be a
+governed view or a CTE in scope, so no path, catalog table, global view or computed name gets
+past the views. Policies are read for every query: a scope that is gone shuts its tables at
+once. Needs the JVM handle of classic PySpark; with Spark Connect use ``governed_table``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ from palisade.operators.enforce import (
     check_access,
     govern,
 )
+from palisade.operators.audit import log_denial, run_recorded
 from palisade.session import materialise, shared_folder
 from palisade.sources.policy import Bundle
 from palisade.sources.registry import Registry
@@ -34,7 +36,31 @@ PLAIN_NODES = frozenset(
     WithWindowDefinition Window Generate Pivot Unpivot UnresolvedPivot UnresolvedUnpivot
     UnresolvedWith UnresolvedRelation SubqueryAlias UnresolvedSubqueryColumnAliases
     UnresolvedInlineTable LocalRelation OneRowRelation OneRowRelation$
-    UnresolvedHint RepartitionByExpression PipeOperator
+    RepartitionByExpression PipeOperator
+    """.split()
+)
+# Expressions of a plain query as the parser makes them. Computed identifiers, parameters and
+# whatever a later Spark adds are not in the list and so are refused.
+PLAIN_EXPRESSIONS = frozenset(
+    """
+    UnresolvedAttribute UnresolvedStar UnresolvedStarExceptOrReplace AttributeReference UnresolvedRegex UnresolvedAlias Alias MultiAlias Literal
+    UnresolvedFunction UnresolvedGenerator AggregateExpression UnresolvedExtractValue SemiStructuredExtract
+    UnresolvedOrdinal GetStructField
+    Cast Collate UnresolvedCollation Extract TimestampAdd TimestampDiff Substring Overlay StringTrim
+    StringTrimLeft StringTrimRight StringTrimBoth StringLocate Concat
+    And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual
+    IsNull IsNotNull IsTrue IsNotTrue IsFalse IsNotFalse IsUnknown IsNotUnknown
+    In InSubquery ListQuery Exists ScalarSubquery
+    Like ILike RLike LikeAll LikeAny NotLikeAll NotLikeAny Between UnresolvedBetween UnresolvedBinaryComparison
+    Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive
+    BitwiseAnd BitwiseOr BitwiseXor BitwiseNot ShiftLeft ShiftRight ShiftRightUnsigned
+    CaseWhen If Coalesce CreateNamedStruct CreateStruct CreateArray CreateMap
+    LambdaFunction UnresolvedNamedLambdaVariable
+    SortOrder WindowExpression WindowSpecDefinition UnresolvedWindowExpression WindowSpecReference
+    SpecifiedWindowFrame UnspecifiedFrame CurrentRow UnboundedPreceding UnboundedFollowing
+    GroupingSets Cube Rollup Grouping GroupingID First Last AnyValue Count PercentileCont PercentileDisc
+    CurrentDate CurrentTime CurrentTimestamp Now CurrentUser Uuid
+    UnresolvedInlineTable UnresolvedSubqueryColumnAliases NamedArgumentExpression
     """.split()
 )
 # Built-in functions that reach outside the data.
@@ -54,23 +80,31 @@ class QueryRefused(AccessDenied):
 
 
 class GovernedSession:
-    """SQL for one agent over one source. Views appear as queries name them."""
+    """SQL for one agent over one source. Views appear as queries name them.
+
+    ``bundle`` may be a function without arguments, asked for the policies before every query
+    (say, ``lambda: Bundle.read(spark, path)``); a plain bundle may be set anew at any time.
+    With ``audit`` (a path) refused queries leave a denial there, and ``run`` leaves a record
+    of every query it runs.
+    """
 
     def __init__(
         self,
         spark: SparkSession,
         registry: Registry,
-        bundle: Bundle,
+        bundle: Bundle | Callable[[], Bundle],
         agent: str,
         source: str,
         *,
         residency: Mapping[str, ResidencyKey] | None = None,
         barrier: bool = False,
+        audit: str | None = None,
         **options,
     ):
         self.registry, self.bundle, self.agent, self.source = registry, bundle, agent, source
         self.residency, self.barrier, self.options = residency or {}, barrier, options
-        self.tables: dict[str, GovernedTable] = {}
+        self.audit = audit
+        self.tables: dict[str, GovernedTable] = {}  # by lower-case name
         self.session = spark.newSession()
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
@@ -79,28 +113,61 @@ class GovernedSession:
         self._drop_blocked_functions()
 
     def register(self, *tables: str) -> None:
-        """Make governed views of the named tables; all or none."""
-        new = [t for t in dict.fromkeys(t.lower() for t in tables) if t not in self.tables]
-        if not new:
+        """Make governed views of the named tables; all or none. A view is made anew whenever
+        the access it was made under has changed."""
+        spelled = {t.lower(): t for t in self.registry.tables(self.source)}
+        names = list(dict.fromkeys(spelled.get(t.lower(), t) for t in tables))
+        if not names:
             return
-        for table, access in check_access(self.bundle, self.agent, self.source, new).items():
+        bundle = self.bundle() if callable(self.bundle) else self.bundle
+        try:
+            allowed = check_access(bundle, self.agent, self.source, names)
+        except AccessDenied:
+            self._drop([t.lower() for t in names])
+            raise
+        for table, access in allowed.items():
+            view = table.lower()
+            if view in self.tables and self.tables[view].access == access:
+                continue
             raw = self.registry.load(self.session, self.source, table)
-            result = govern(raw, access, residency=self.residency.get(table), **self.options)
+            result = govern(raw, access, residency=self._residency(view), **self.options)
             if self.barrier:
                 stored = materialise(result.df, "governed", shared_folder(self.main))
                 result = GovernedTable(stored, access, result.masked)
-            result.df.createOrReplaceTempView(table)
-            self.tables[table] = result
+            result.df.createOrReplaceTempView(view)
+            self.tables[view] = result
+
+    def _residency(self, view: str) -> ResidencyKey | None:
+        return next((key for table, key in self.residency.items() if table.lower() == view), None)
+
+    def _drop(self, views: list[str]) -> None:
+        for view in views:
+            if self.tables.pop(view, None) is not None:
+                self.session.catalog.dropTempView(view)
 
     def sql(self, query: str) -> DataFrame:
         """The query's result under the tightest row cap of the tables it names."""
-        names = self.check(query)
-        self.register(*names)
-        caps = [self.tables[n].access.max_rows for n in names if self.tables[n].access.max_rows > 0]
+        try:
+            names = self.check(query)
+            self.register(*names)
+        except AccessDenied:
+            if self.audit:
+                log_denial(self.main, self.agent, self.source, _first_line(query), self.audit)
+            raise
+        views = dict.fromkeys(n.lower() for n in names)
+        caps = [self.tables[v].access.max_rows for v in views if self.tables[v].access.max_rows > 0]
         # as a subquery, the text can be nothing but a query
         result = self.session.sql(f"SELECT * FROM (\n{query}\n) AS governed")
         return cap_rows(result, min(caps, default=0))
 
+    def run(self, query: str, action: Callable[[DataFrame], object], name: str = "QUERY") -> dict:
+        """Run ``action`` on the query's result and append its record to the audit trail."""
+        if not self.audit:
+            raise ValueError("no audit trail: give the session a path in audit")
+        result = self.sql(query)
+        resource = ",".join(dict.fromkeys(n.lower() for n in self.check(query))) or _first_line(query)
+        return run_recorded(result, action, self.audit, self.agent, self.source, resource, name)
+
     def check(self, query: str) -> list[str]:
         """Tables the query reads, in first-mention order; QueryRefused if it is not plain."""
         try:
@@ -121,7 +188,7 @@ class GovernedSession:
             if len(parts) != 1:
                 raise QueryRefused(f"{'.'.join(parts)} is not a governed view")
             if parts[0].lower() not in ctes:
-                yield parts[0].lower()
+                yield parts[0]
         if kind == "UnresolvedWith":
             for cte in _items(node.cteRelations()):
                 name = cte._1().lower()
@@ -132,13 +199,17 @@ class GovernedSession:
         if kind == "WithWindowDefinition":
             expressions += _items(node.windowDefinitions().values().toSeq())
         for expression in expressions:
-            self._check_functions(expression)
+            self._check_expression(expression)
         for child in _items(node.children()) + _items(node.subqueries()):
             yield from self._relations(child, ctes)
 
-    def _check_functions(self, expression) -> None:
-        """Only built-in functions: a stored SQL function could read any table."""
-        kind = expression.getClass().getSimpleName()
+    def _check_expression(self, expression) -> None:
+        """Only plain expressions and built-in functions: a computed name could be any
+        function's, and a stored SQL function could read any table."""
+        made = expression.getClass()
+        kind = (made.getSimpleName() or made.getSuperclass().getSimpleName()).rstrip("$")
+        if kind not in PLAIN_EXPRESSIONS:
+            raise QueryRefused(f"{kind} is not allowed in a governed query")
         name = None
         if kind == "UnresolvedFunction":
             name = ".".join(_items(expression.nameParts()))
@@ -147,7 +218,7 @@ class GovernedSession:
         if name is not None and (name.lower() in BLOCKED_FUNCTIONS or not self._built_in(name.lower())):
             raise QueryRefused(f"function {name} is not allowed in a governed query")
         for child in _items(expression.children()):
-            self._check_functions(child)
+            self._check_expression(child)
 
     def _identifier(self, name: str):
         return self.session._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
@@ -167,5 +238,9 @@ class GovernedSession:
             state.functionRegistry().dropFunction(self._identifier(name))
 
 
+def _first_line(query: str) -> str:
+    return next(iter(query.strip().splitlines()), "")
+
+
 def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]

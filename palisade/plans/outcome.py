@@ -33,11 +33,10 @@ def known_sources(bundle: Bundle) -> DataFrame:
     return bundle.hint(names.withColumn("_known", F.lit(True)))
 
 
-def available_sources(bundle: Bundle) -> str:
-    """List of source names for messages; large source tables are not spelled out."""
-    if not bundle.small:
-        return "see the sources table"
-    return ", ".join(r["name"] for r in bundle.rows["sources"])
+def available_sources(bundle: Bundle) -> Column:
+    """The names of all sources in list order, for messages: worked out once, as a scalar."""
+    listed = F.sort_array(F.collect_list(F.struct("pos", "name")))
+    return bundle.sources.agg(F.array_join(F.transform(listed, lambda s: s["name"]), ", ").alias("names")).scalar()
 
 
 def _blank(c: Column) -> Column:
@@ -79,11 +78,11 @@ def request_outcome(
     readable = F.lit(True) if readers is None else F.coalesce(source.isin(*readers), F.lit(False))
     tests = [missing, unknown, out_of_scope, denied, blocked, ~readable]
 
-    names = available if available is not None else available_sources(bundle)
+    names = F.lit(available) if available is not None else available_sources(bundle)
     source_text = F.coalesce(source, F.lit("null"))
     texts = [
         F.lit("Missing required parameters: query and agent"),
-        F.concat(F.lit("Unknown source: "), source_text, F.lit(f". Available: {names}")),
+        F.concat(F.lit("Unknown source: "), source_text, F.lit(". Available: "), names),
         F.concat(F.lit("Access denied: "), F.col("scope.reason")),
         F.concat(F.lit("Governance denied: "), F.col("decision.reason")),
         F.concat(

@@ -1,7 +1,13 @@
-"""The audit trail as an append-only JSON-lines dataset."""
+"""The audit trail as an append-only JSON-lines dataset.
+
+Batch writers add files to the folder itself; each stream writes one sub-folder per
+micro-batch. Readers take the folder with all its sub-folders, so both may share it.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +22,7 @@ AUDIT_SCHEMA = struct(
 
 # microseconds, which the JSON writer would otherwise cut to milliseconds
 _TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+_READ = _TIMES | {"recursiveFileLookup": "true"}
 
 
 def audit_columns(df: DataFrame) -> DataFrame:
@@ -33,15 +40,21 @@ def append_audit(entries: DataFrame, path: str) -> None:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT_SCHEMA).options(**_TIMES).json(path)
+    return spark.read.schema(AUDIT_SCHEMA).options(**_READ).json(path)
 
 
 def stream_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(AUDIT_SCHEMA).options(**_TIMES).json(path)
+    return spark.readStream.schema(AUDIT_SCHEMA).options(**_READ).json(path)
 
 
 def append_audit_stream(entries: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Exactly-once append: the file sink's log and the checkpoint survive a restart."""
-    writer = audit_columns(entries).writeStream.format("json").outputMode("append")
-    writer = writer.options(**_TIMES).option("path", path).option("checkpointLocation", checkpoint)
+    """Exactly-once append: a micro-batch that is run again after a restart writes its own
+    sub-folder (named by checkpoint and batch) anew."""
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").options(**_TIMES).json(f"{path}/stream-{stream}/batch-{batch_id:012d}")
+
+    writer = audit_columns(entries).writeStream.outputMode("append")
+    writer = writer.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

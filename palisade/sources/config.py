@@ -60,7 +60,12 @@ class _Checker:
     def fail(self, path: str, message: str):
         self.problems.append(f"{path}: {message}")
 
-    def get(self, node: Mapping, path: str, key: str, kind, default=None, required=False):
+    def get(self, node, path: str, key: str, kind, default=None, required=False):
+        if not isinstance(node, Mapping):
+            problem = f"{path or key}: Expected object, received {type(node).__name__}"
+            if problem not in self.problems:  # once, however many keys are asked for
+                self.problems.append(problem)
+            return default
         value = node.get(key)
         if value is None:
             if required:
@@ -72,6 +77,13 @@ class _Checker:
             return default
         return value
 
+    def texts(self, node, path, key):
+        values = self.get(node, path, key, list)
+        for i, value in enumerate(values or []):
+            if not isinstance(value, str):
+                self.fail(f"{path}.{key}.{i}", f"Expected str, received {type(value).__name__}")
+        return values
+
     def choice(self, node, path, key, allowed, default=None, required=False):
         value = self.get(node, path, key, str, default, required)
         if value is not None and value not in allowed:
@@ -107,7 +119,7 @@ def check_config(raw: Mapping) -> dict:
     """The configuration with all defaults filled in; raises ConfigError with every problem."""
     c = _Checker()
     if not isinstance(raw, Mapping):
-        raise ConfigError([": Expected an object"])
+        raise ConfigError([f": Expected object, received {type(raw).__name__}"])
     out = {
         "sources": [
             check_source(c, s, f"sources.{i}") for i, s in enumerate(c.get(raw, "", "sources", list, [], True))
@@ -159,7 +171,7 @@ def check_scope(c: _Checker, s: Mapping, path: str) -> dict:
             rules.append(
                 {
                     "table": c.get(rule, at, "table", str),
-                    "fields": c.get(rule, at, "fields", list),
+                    "fields": c.texts(rule, at, "fields"),
                     "filters": c.get(rule, at, "filters", dict),
                 }
             )
@@ -170,7 +182,7 @@ def check_scope(c: _Checker, s: Mapping, path: str) -> dict:
 def _governance(c: _Checker, g: Mapping) -> dict:
     path = "governance"
     retention = c.get(g, path, "retention", dict, {})
-    default = g.get("defaultAgentPolicy") or DEFAULT_AGENT
+    default = c.get(g, path, "defaultAgentPolicy", dict) or DEFAULT_AGENT
     return {
         "enabled": c.get(g, path, "enabled", bool, True),
         "sourcePolicies": [
@@ -215,7 +227,7 @@ def _table_policy(c: _Checker, t: Mapping, path: str) -> dict:
         "rowFilter": c.get(t, path, "rowFilter", str),
         "maxRows": c.whole(t, path, "maxRows", 0, 0),
         "requireApprovalForWrites": c.get(t, path, "requireApprovalForWrites", bool, True),
-        "residency": c.get(t, path, "residency", list),
+        "residency": c.texts(t, path, "residency"),
     }
 
 
@@ -233,7 +245,7 @@ def _agent_policy(c: _Checker, a: Mapping, path: str) -> dict:
         "requireApprovalForWrites": c.get(
             a, path, "requireApprovalForWrites", bool, d["requireApprovalForWrites"]
         ),
-        "allowedSources": c.get(a, path, "allowedSources", list),
+        "allowedSources": c.texts(a, path, "allowedSources"),
     }
 
 

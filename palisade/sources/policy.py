@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from palisade.sources.config import AGENT_DEFAULTS, AUDIT_LOG_DAYS, DEFAULT_AGENT, check_config
 
+#: A configuration with up to so many rows a table is resolved on the driver.
 BROADCAST_ROWS = 100_000
-FETCH_ROWS = 10_000
 
 LONG, INT, TEXT, FLAG = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType()
 TEXTS = T.ArrayType(TEXT)
@@ -63,12 +63,9 @@ def local_frame(spark: SparkSession, rows: list[Mapping], schema: T.StructType)
     return spark.createDataFrame(pa.Table.from_pylist(list(rows), schema=to_arrow_schema(schema)), schema)
 
 
-def fetch(df: DataFrame, what: str, most: int = FETCH_ROWS) -> list[dict]:
-    """Rows of one agent's or one table's policy; refuses to pull more than ``most``."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows of {what}")
-    return [r.asDict(recursive=True) for r in rows]
+def fetch(df: DataFrame) -> list[dict]:
+    """Rows of one agent's merged scope, or of one table's policy: as many as the table has columns."""
+    return [r.asDict(recursive=True) for r in df.collect()]
 
 
 def filter_value(value) -> dict:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +16,13 @@ FETCH_SIZE = "10000"
 
 @dataclass(frozen=True)
 class Split:
-    """How to cut a database scan into parallel range scans."""
+    """How to cut a database scan into parallel range scans. Without bounds, ``bounded`` asks
+    the database for the least and the greatest value first."""
 
     column: str
-    lower: str
-    upper: str
     parts: int
+    lower: str | None = None
+    upper: str | None = None
 
 
 def reader_options(source: Mapping, table: str | None = None, query: str | None = None, split: Split | None = None):
@@ -40,7 +41,8 @@ def reader_options(source: Mapping, table: str | None = None, query: str | None
             "table": table,
         }
     if kind == "rest":
-        return "json", {"multiLine": "true", "path": conn["url"]}
+        # one landed folder per table
+        return "json", {"multiLine": "true", "path": f"{conn['url'].rstrip('/')}/{table}" if table else conn["url"]}
     options = {
         "url": _jdbc_url(kind, conn, creds),
         "user": creds.get("username"),
@@ -85,7 +87,22 @@ def _alloy_socket(conn: Mapping) -> str:
     )
 
 
+def bounds_query(table: str, column: str) -> str:
+    return f"SELECT min({column}) AS lower_bound, max({column}) AS upper_bound FROM {table}"
+
+
+def bounded(spark: SparkSession, source: Mapping, table: str, split: Split) -> Split | None:
+    """The split with bounds; None for an empty table."""
+    if split.lower is not None and split.upper is not None:
+        return split
+    least, most = read_source(spark, source, query=bounds_query(table, split.column)).first()
+    return None if least is None else replace(split, lower=str(least), upper=str(most))
+
+
 def read_source(spark: SparkSession, source: Mapping, table=None, query=None, split: Split | None = None) -> DataFrame:
+    """A database table is read in as many tasks as its split has parts, in one without a split."""
+    if split and table:
+        split = bounded(spark, source, table, split)
     fmt, options = reader_options(source, table, query, split)
     return spark.read.format(fmt).options(**options).load()
 

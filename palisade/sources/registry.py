@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.functions.redaction import CREDENTIAL_SECRETS, redact_frame
 from palisade.sources.config import checked_source
 from palisade.sources.policy import FLAG, SCHEMAS, TEXT, local_frame, source_row, struct
-from palisade.sources.readers import read_source
+from palisade.sources.readers import Split, read_source
 
 Loader = Callable[[SparkSession, str], DataFrame]
+PROBES = 8
 
 
 class Registry:
@@ -38,10 +40,17 @@ class Registry:
 
         return self.add(name, load, tables, fmt)
 
-    def add_source(self, raw: Mapping, tables: Iterable[str] = ()) -> Registry:
-        """A source definition of the configuration (database, warehouse or landed REST)."""
-        source = checked_source(raw)
-        self.add(source["name"], lambda spark, table: read_source(spark, source, table), tables, source["type"])
+    def add_source(
+        self, raw: Mapping, tables: Iterable[str] = (), splits: Mapping[str, Split] | None = None
+    ) -> Registry:
+        """A source definition of the configuration (database, warehouse or landed REST).
+        ``splits`` says, table by table, how a database scan is cut into parallel ones."""
+        source, cuts = checked_source(raw), dict(splits or {})
+
+        def load(spark: SparkSession, table: str) -> DataFrame:
+            return read_source(spark, source, table, split=cuts.get(table))
+
+        self.add(source["name"], load, tables, source["type"])
         self._sources[source["name"]] = source
         return self
 
@@ -62,16 +71,19 @@ class Registry:
         return local_frame(spark, rows, SCHEMAS["sources"])
 
     def probe(self, spark: SparkSession) -> DataFrame:
-        """(source, table, reachable, error): each listed table is asked for one row."""
-        rows = []
-        for name in self._loaders:
-            for table in self.tables(name):
-                error = None
-                try:
-                    self.load(spark, name, table).limit(1).collect()
-                except Exception as err:
-                    error = str(err).splitlines()[0]
-                rows.append({"source": name, "table": table, "reachable": error is None, "error": error})
+        """(source, table, reachable, error): each listed table is asked for one row, ``PROBES``
+        of them at a time."""
+
+        def ask(listed: tuple[str, str]) -> dict:
+            error = None
+            try:
+                self.load(spark, *listed).limit(1).collect()
+            except Exception as err:
+                error = str(err).splitlines()[0]
+            return {"source": listed[0], "table": listed[1], "reachable": error is None, "error": error}
+
+        with ThreadPoolExecutor(PROBES) as pool:
+            rows = list(pool.map(ask, [(name, table) for name in self._loaders for table in self.tables(name)]))
         return local_frame(spark, rows, struct(source=TEXT, table=TEXT, reachable=FLAG, error=TEXT))
 
 

@@ -1,15 +1,20 @@
 """The same operators over streams.
 
 Policies are static tables joined to the stream, so a decision needs no state; tumbling
-counts keep one number per agent and open window and drop rows later than the watermark.
+counts keep one number per agent and open window. Windows are written as they change
+(``run_to_windows``), so a drained run has delivered all of them, open ones included. Rows
+later than the watermark are not counted in; ``late_rows`` tells how many there were.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from palisade.operators.audit import audit_of_outcomes, quota_windows, rate_windows
+from palisade.operators.audit import audit_of_outcomes, quota_breaches, quota_windows, rate_windows
 from palisade.operators.enforce import Access, ResidencyKey, govern
 from palisade.plans.outcome import request_outcome
 from palisade.sources.policy import Bundle
@@ -42,16 +47,17 @@ def stream_rate_limit(
     return _wall(rate_windows(_watermarked(audit, lateness), length)).filter(F.col("requests") > most)
 
 
-def stream_row_quota(audit: DataFrame, length: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Rows each agent received per window."""
-    return _wall(quota_windows(_watermarked(audit, lateness), length))
+def stream_row_quota(
+    audit: DataFrame, bundle: Bundle, length: str = "1 hour", lateness: str = "10 minutes"
+) -> DataFrame:
+    """Windows in which an agent received more rows than its cap."""
+    return quota_breaches(_wall(quota_windows(_watermarked(audit, lateness), length)), bundle)
 
 
 def stream_decisions(requests: DataFrame, bundle: Bundle, **options) -> DataFrame:
-    """Outcome of each request as it arrives; the bundle must be small, as its tables are
-    broadcast to every micro-batch."""
-    if not bundle.small:
-        raise ValueError("streaming decisions need a bundle of known small size")
+    """Outcome of each request as it arrives. Policies are the static side of every join; for
+    stored ones, ``lookups.resolve`` and ``scope.resolve_scopes`` once ahead keep the
+    micro-batches from working the lookups out again."""
     return request_outcome(requests, bundle, **options)
 
 
@@ -71,6 +77,33 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def run_to_windows(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start writing windows in update mode. Every micro-batch stores the windows it changed in a
+    sub-folder of its own, which a repeated batch writes anew; ``read_windows`` shows the last
+    state of each."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        named = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
+        named.write.mode("overwrite").parquet(f"{path}/batch-{batch_id:012d}")
+
+    writer = df.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def read_windows(spark: SparkSession, path: str, schema, keys: Sequence[str] = ("agent_id", "window_start")) -> DataFrame:
+    """The last state of each window written by ``run_to_windows``."""
+    names = [f.name for f in schema.fields if f.name not in keys]
+    whole = StructType([*schema.fields, StructField("_batch", LongType())])
+    rows = spark.read.schema(whole).option("recursiveFileLookup", "true").parquet(path)
+    last = rows.groupBy(*keys).agg(F.max(F.struct("_batch", *names)).alias("last"))
+    return last.select(*[F.col(f.name) if f.name in keys else F.col(f"last.{f.name}") for f in schema.fields])
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed their window, as far as progress is kept."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait for a bounded (availableNow) run and surface its failure."""
     query.awaitTermination()

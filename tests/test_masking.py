@@ -4,7 +4,16 @@ from hypothesis import HealthCheck, given, settings
 from pyspark.sql import functions as F, types as T
 
 from palisade.functions import masking
-from palisade.functions.redaction import CREDENTIAL_SECRETS, redact_frame, redact_headers, redact_json, redact_keys
+from palisade.functions.redaction import (
+    CREDENTIAL_SECRETS,
+    LOG_SECRETS,
+    LOG_SECRETS_COMPAT,
+    redact_frame,
+    redact_headers,
+    redact_json,
+    redact_keys,
+    redact_typed_json,
+)
 from palisade.operators.vault import detokenize, token_collisions, token_vault
 
 
@@ -151,16 +160,17 @@ def test_depth_limit(spark):
             dtype, value = T.StructType([T.StructField("n", dtype)]), (value,)
         return dtype, value
 
-    def innermost(depth):
+    def innermost(depth, keys=LOG_SECRETS):
         dtype, value = nest(depth)
         df = spark.createDataFrame([(value,)], T.StructType([T.StructField("v", dtype)]))
-        out = df.select(redact_keys(F.col("v"), dtype).alias("v")).first()["v"]
+        out = df.select(redact_keys(F.col("v"), dtype, keys).alias("v")).first()["v"]
         for _ in range(depth):
             out = out["n"]
         return out["token"]
 
-    assert innermost(10) == "[REDACTED]"
-    assert innermost(11) == "raw"
+    assert innermost(11) == "[REDACTED]"
+    assert innermost(10, LOG_SECRETS_COMPAT) == "[REDACTED]"
+    assert innermost(11, LOG_SECRETS_COMPAT) == "raw"
 
 
 def test_maps(spark):
@@ -176,10 +186,24 @@ def test_maps(spark):
 
 def test_json_text(spark):
     df = spark.createDataFrame([('{"token": null, "a": {"api_key": "x", "n": null}}',)], "j string")
-    out = df.select(redact_json(F.col("j"), "token string, a struct<api_key:string,n:int>")).first()[0]
+    out = df.select(redact_typed_json(F.col("j"), "token string, a struct<api_key:string,n:int>")).first()[0]
     assert out == '{"token":"[REDACTED]","a":{"api_key":"[REDACTED]","n":null}}'
 
 
+def test_any_json_text(spark):
+    texts = ['{"keep":{"a":1},"p\\u0061ssword":{"x":1}}', "not json", None, "[1.5,\"é\",{\"token\":null}]", "", "[" * 100_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
+    got = [tuple(r["r"]) for r in df.select("i", redact_json(F.col("j")).alias("r")).orderBy("i").collect()]
+    assert got == [
+        ('{"keep":{"a":1},"password":"[REDACTED]"}', True),
+        ("not json", False),
+        (None, None),
+        ('[1.5,"é",{"token":"[REDACTED]"}]', True),
+        ("", False),
+        (texts[5], False),
+    ]
+
+
 def test_credentials_match_exact_case(spark):
     df = spark.createDataFrame([(("p", "P", "k"),)], "c struct<password:string,PassWord2:string,apiKey:string>")
     assert tuple(redact_frame(df, CREDENTIAL_SECRETS).first()["c"]) == ("***", "P", "***")

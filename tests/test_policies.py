@@ -13,7 +13,7 @@ from palisade.operators.vault import detokenize, token_vault
 from palisade.plans.outcome import request_outcome
 from palisade.sources.config import ConfigError
 
-SCOPE = {"agent": "ops-bot", "sources": [{"name": "user_db", "rules": [{"table": "t"}]}]}
+SCOPE = {"agent": "map-reader", "sources": [{"name": "people_db", "rules": [{"table": "t"}]}]}
 
 
 def agents(bundle):
@@ -24,8 +24,8 @@ def test_set_scope_replaces_in_place_or_appends(bundle):
     order = agents(bundle)
     changed = maintenance.set_scope(bundle, SCOPE)
     assert agents(changed) == order
-    rows = changed.scope_rules.filter("agent = 'ops-bot'").collect()
-    assert [(r["source"], r["table"]) for r in rows] == [("user_db", "t")]
+    rows = changed.scope_rules.filter("agent = 'map-reader'").collect()
+    assert [(r["source"], r["table"]) for r in rows] == [("people_db", "t")]
     added = maintenance.set_scope(bundle, {**SCOPE, "agent": "new"})
     assert agents(added) == [*order, "new"]
     assert agents(bundle) == order  # the old bundle is as it was
@@ -35,15 +35,15 @@ def test_set_scope_replaces_in_place_or_appends(bundle):
 
 def test_changes_reach_the_next_decision(spark, bundle):
     changed = maintenance.set_scope(bundle, SCOPE)
-    df = spark.createDataFrame([("ops-bot", "analytics_db", "nation")], "agent string, source string, table string")
+    df = spark.createDataFrame([("map-reader", "warehouse", "nation")], "agent string, source string, table string")
     assert scope.scope_decision(df, bundle).first()["scope"]["permitted"]
     assert not scope.scope_decision(df, changed).first()["scope"]["permitted"]
 
 
 def test_remove_scope(bundle):
-    left, found = maintenance.remove_scope(bundle, "ops-bot")
-    assert found and "ops-bot" not in agents(left)
-    assert maintenance.remove_scope(left, "ops-bot")[1] is False
+    left, found = maintenance.remove_scope(bundle, "map-reader")
+    assert found and "map-reader" not in agents(left)
+    assert maintenance.remove_scope(left, "map-reader")[1] is False
 
 
 def test_sources(bundle):
@@ -65,9 +65,9 @@ def test_clean_policies_have_no_violations(bundle):
 
 
 def test_coverage(spark, bundle):
-    catalog = spark.createDataFrame([("analytics_db", "part"), ("analytics_db", "orders")], "source string, table string")
+    catalog = spark.createDataFrame([("warehouse", "part"), ("warehouse", "orders")], "source string, table string")
     assert [r["table"] for r in maintenance.tables_without_policy(catalog, bundle).collect()] == ["part"]
-    assert [r["agent"] for r in maintenance.agents_without_policy(bundle).collect()] == ["ops-bot"]
+    assert [r["agent"] for r in maintenance.agents_without_policy(bundle).collect()] == ["map-reader"]
     assert maintenance.agents_without_scope(bundle).count() == 0
     assert maintenance.agents_covered(bundle).count() == 3
 
@@ -83,40 +83,40 @@ def views_of(spark, scopes, governance=None):
     return viewcatalog.view_rows(bundle), bundle
 
 
-def rule_scope(agent, *rules, source="analytics_db"):
+def rule_scope(agent, *rules, source="warehouse"):
     return {"agent": agent, "sources": [{"name": source, "rules": list(rules)}]}
 
 
 def test_view_rows(spark):
-    rule = {"table": "pull_requests", "fields": ["id", "title"], "filters": {"status": "open", "n": 1}}
-    cap = {"sourcePolicies": [{"source": "analytics_db", "tables": [
-        {"table": "pull_requests", "classification": "internal", "maxRows": 50}]}]}
+    rule = {"table": "shipments", "fields": ["box", "port"], "filters": {"state": "late", "n": 1}}
+    cap = {"sourcePolicies": [{"source": "warehouse", "tables": [
+        {"table": "shipments", "classification": "internal", "maxRows": 35}]}]}
     views, bundle = views_of(
         spark,
         [
-            rule_scope("Code.Bot", rule, {"table": "pull_requests"}, {"fields": ["*"]}),
-            rule_scope("b", {"table": "x"}, source="github_api"),
+            rule_scope("Dock.Hand", rule, {"table": "shipments"}, {"fields": ["*"]}),
+            rule_scope("b", {"table": "x"}, source="feed_api"),
             rule_scope("c", {"table": "y"}),
         ],
         cap,
     )
     rows = {r["name"]: r for r in views.collect()}
     assert set(rows) == {
-        "query_analytics_db_pull_requests_code_bot",
-        "query_analytics_db___code_bot",
-        "query_analytics_db_y_c",
+        "query_warehouse_shipments_dock_hand",
+        "query_warehouse___dock_hand",
+        "query_warehouse_y_c",
     }
-    first = rows["query_analytics_db_pull_requests_code_bot"]
-    assert first["statement"] == "SELECT id, title FROM pull_requests WHERE status = $1 AND n = $2"
-    assert first["type"] == "postgres-sql" and first["max_rows"] == 50
-    wild = rows["query_analytics_db___code_bot"]
+    first = rows["query_warehouse_shipments_dock_hand"]
+    assert first["statement"] == "SELECT box, port FROM shipments WHERE state = $1 AND n = $2"
+    assert first["type"] == "postgres-sql" and first["max_rows"] == 35
+    wild = rows["query_warehouse___dock_hand"]
     assert wild["statement"] == "SELECT * FROM {{.table}}" and wild["parameters"] == ["agent", "table"]
-    assert rows["query_analytics_db_y_c"]["max_rows"] is None
-    lists = viewcatalog.group_lists(viewcatalog.view_groups(views), bundle).collect()
-    assert [(r["name"], len(r["views"])) for r in lists] == [("analytics_db_tools", 3)]
+    assert rows["query_warehouse_y_c"]["max_rows"] is None
+    lists = viewcatalog.group_lists(viewcatalog.view_groups(views)).collect()
+    assert [(r["name"], len(r["views"])) for r in lists] == [("warehouse_tools", 3)]
     assert viewcatalog.has_database_sources(bundle).first()[0] is True
-    with pytest.raises(ValueError):
-        viewcatalog.group_lists(viewcatalog.view_groups(views), bundle.with_tables())
+    stored = viewcatalog.view_rows(bundle.with_tables())
+    assert viewcatalog.group_lists(viewcatalog.view_groups(stored)).collect() == lists
 
 
 # ── plans ──────────────────────────────────────────────────────────
@@ -235,7 +235,7 @@ def test_no_registered_query_uses_python_or_cross_joins(spark, sf):
 def test_scans_read_only_the_needed_columns(spark, sf, bundle):
     df = decisions.decide(
         table(spark, sf, "events").selectExpr(
-            "event_id AS request_id", "'ops-bot' AS agent", "'analytics_db' AS source", "event_type AS table", "'SELECT' AS operation"
+            "event_id AS request_id", "'map-reader' AS agent", "'warehouse' AS source", "event_type AS table", "'SELECT' AS operation"
         ),
         bundle,
     ).select("decision.allowed")

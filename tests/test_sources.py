@@ -27,7 +27,7 @@ def test_database_options():
     assert (o["user"], o["password"], o["dbtable"]) == ("u", "p", "t")
     assert reader_options(source("mysql", host="db"), "t")[1]["url"] == "jdbc:mysql://db:3306/d"
     assert reader_options(source("mariadb", port=99), "t")[1]["url"] == "jdbc:mariadb://h:99/d"
-    split = Split("id", "0", "1000", 8)
+    split = Split("id", 8, "0", "1000")
     o = reader_options(source("postgres"), query="SELECT 1", split=split)[1]
     assert o["dbtable"] == "(SELECT 1) AS src"
     assert (o["partitionColumn"], o["numPartitions"]) == ("id", "8")
@@ -80,8 +80,10 @@ def test_registry(spark, sf, tmp_path):
     assert probe["nation"]["reachable"] and probe["nation"]["error"] is None
     assert not probe["no_such_table"]["reachable"] and probe["no_such_table"]["error"]
     reg.add_source({**source("rest", {"apiKey": "secret-key"}, url=str(tmp_path)), "name": "api"})
-    (tmp_path / "a.json").write_text('{"a": 1}')
-    assert reg.load(spark, "api", "any").first()["a"] == 1
+    for table, value in (("any", 1), ("other", 2)):
+        (tmp_path / table).mkdir()
+        (tmp_path / table / "a.json").write_text(json.dumps({"a": value}))
+    assert reg.load(spark, "api", "any").first()["a"] == 1 and reg.load(spark, "api", "other").first()["a"] == 2
     shown = reg.listing(spark)
     assert "secret-key" not in str(shown.collect()) and shown.count() == 2
 
@@ -116,6 +118,24 @@ def test_config_defaults():
     assert g["enabled"] and g["retention"]["auditLogDays"] == 365
 
 
+@pytest.mark.parametrize(
+    "bad, where",
+    [
+        ({"sources": ["x"], "scopes": [5]}, ["sources.0: Expected object, received str", "scopes.0: Expected object, received int"]),
+        ({"sources": [], "scopes": [{"agent": "a", "sources": ["s"]}]}, ["scopes.0.sources.0: Expected object, received str"]),
+        ({"sources": [], "scopes": [{"agent": "a", "sources": [{"name": "s", "rules": [None, {"fields": [1]}]}]}]},
+         ["scopes.0.sources.0.rules.0: Expected object, received NoneType", "scopes.0.sources.0.rules.1.fields.0: Expected str, received int"]),
+        ({"sources": [], "scopes": [], "governance": {"sourcePolicies": [1], "agentPolicies": [[]], "defaultAgentPolicy": "x"}},
+         ["governance.sourcePolicies.0: Expected object, received int", "governance.agentPolicies.0: Expected object, received list",
+          "governance.defaultAgentPolicy: Expected dict, received str"]),
+    ],
+)
+def test_wrong_shapes_are_listed_and_never_crash(bad, where):
+    with pytest.raises(ConfigError) as err:
+        check_config(bad)
+    assert sorted(err.value.problems) == sorted(where)
+
+
 def test_every_problem_is_listed(tmp_path):
     bad = {
         "sources": [{"type": "oracle", "name": "x", "connection": {}, "credentials": {"host": "h"}}],

@@ -1,8 +1,5 @@
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
-
 from palisade.operators import audit as trail
 from palisade.operators.enforce import check_access, governed_table
 from palisade.plans.outcome import request_outcome
@@ -25,22 +22,31 @@ def drained(spark, df, tmp_path, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def test_late_rows_are_dropped_and_open_windows_wait(spark, tmp_path):
+def windows(spark, df, tmp_path, name):
+    path = str(tmp_path / name)
+    query = streams.run_to_windows(df, path, str(tmp_path / f"{name}-state"), availableNow=True)
+    streams.drain(query)
+    return streams.read_windows(spark, path, df.schema), query
+
+
+def test_late_rows_are_counted_and_open_windows_delivered(spark, bundle, tmp_path):
     folder = str(tmp_path / "log")
 
     def at(minutes, seq):
-        return {"seq": seq, "agent_id": "a", "timestamp": START + timedelta(minutes=minutes), "row_count": 10}
+        return {"seq": seq, "agent_id": "a", "timestamp": START + timedelta(minutes=minutes), "row_count": 60}
 
     land(spark, [at(0, 1), at(1, 2)], folder, 0)
     land(spark, [at(200, 3)], folder, 1)
     land(spark, [at(201, 4)], folder, 2)
     land(spark, [at(2, 5), at(202, 6)], folder, 3)  # minute 2 is later than the watermark allows
     stream = streams.stream_files(spark, f"{folder}/*", AUDIT_SCHEMA, maxFilesPerTrigger=1, latestFirst=False)
-    got = drained(spark, streams.stream_row_quota(stream), tmp_path, "quota").collect()
-    assert [(r["agent_id"], r["window_start"], r["rows"]) for r in got] == [("a", START, 20)]
+    got, query = windows(spark, streams.stream_row_quota(stream, bundle), tmp_path, "quota")
+    shown = sorted((r["agent_id"], r["window_start"], r["rows"], r["max_rows"]) for r in got.collect())
+    assert shown == [("a", START, 120, 100), ("a", START + timedelta(hours=3), 180, 100)]
+    assert streams.late_rows(query) == 1
 
 
-def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
+def test_stream_equals_batch(spark, tmp_path):
     folder = str(tmp_path / "log")
     rows = [
         {"seq": i, "agent_id": f"a{i % 2}", "timestamp": START + timedelta(seconds=i), "row_count": 1}
@@ -49,12 +55,9 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     for part in range(4):
         land(spark, rows[part * 1000 : part * 1000 + 1000], folder, part)
     stream = streams.stream_files(spark, f"{folder}/*", AUDIT_SCHEMA, maxFilesPerTrigger=1)
-    got = {tuple(r) for r in drained(spark, streams.stream_rate_limit(stream, 20), tmp_path, "rate").collect()}
+    got = {tuple(r) for r in windows(spark, streams.stream_rate_limit(stream, 20), tmp_path, "rate")[0].collect()}
     batch = spark.read.schema(AUDIT_SCHEMA).parquet(f"{folder}/*")
-    closed = START + timedelta(seconds=3999) - timedelta(minutes=11)
-    want = {
-        tuple(r) for r in trail.rate_limit_breaches(batch, 20).filter(F.col("window_start") <= F.lit(closed)).collect()
-    }
+    want = {tuple(r) for r in trail.rate_limit_breaches(batch, 20).collect()}
     assert want and got == want
 
 
@@ -62,8 +65,8 @@ REQUESTS = "request_id bigint, ts timestamp_ntz, agent string, source string, qu
 
 
 def requests(spark, n, offset=0):
-    agents, texts = ["admin-bot", "ops-bot", "x"], ["SELECT * FROM nation", "DELETE FROM orders", ""]
-    rows = [(offset + i, START, agents[i % 3], "analytics_db", texts[i % 2]) for i in range(n)]
+    agents, texts = ["steward", "map-reader", "x"], ["SELECT * FROM nation", "DELETE FROM orders", ""]
+    rows = [(offset + i, START, agents[i % 3], "warehouse", texts[i % 2]) for i in range(n)]
     return spark.createDataFrame(rows, REQUESTS)
 
 
@@ -86,15 +89,20 @@ def test_decisions_append_exactly_once_across_restarts(spark, bundle, tmp_path):
     assert stream_audit(spark, path).isStreaming
 
 
-def test_decisions_need_a_small_bundle(spark, bundle, tmp_path):
-    with pytest.raises(ValueError, match="small"):
-        streams.stream_decisions(requests(spark, 1), bundle.with_tables())
+def test_decisions_with_stored_policies(spark, bundle, tmp_path):
+    folder = str(tmp_path / "in")
+    requests(spark, 12).write.parquet(folder)
+    stream = streams.stream_files(spark, folder, requests(spark, 1).schema)
+    ended = streams.stream_decisions(stream, bundle.with_tables()).select("request_id", "stage", "reason")
+    got = drained(spark, ended, tmp_path, "out").collect()
+    want = request_outcome(requests(spark, 12), bundle).select("request_id", "stage", "reason").collect()
+    assert sorted(got) == sorted(want)
 
 
 def test_governed_stream(spark, tables, bundle, sf, tmp_path):
-    access = check_access(bundle, "admin-bot", "analytics_db", ["customer"])["customer"]
+    access = check_access(bundle, "steward", "warehouse", ["customer"])["customer"]
     schema = spark.read.parquet(f"{sf}/customer.parquet").schema
     stream = streams.stream_files(spark, f"{sf}/customer*.parquet", schema)
     got = drained(spark, streams.stream_governed(stream, access), tmp_path, "out")
-    batch = governed_table(spark, tables, bundle, "admin-bot", "analytics_db", "customer").df
+    batch = governed_table(spark, tables, bundle, "steward", "warehouse", "customer").df
     assert sorted(got.collect()) == sorted(batch.collect())
