@@ -19,7 +19,7 @@ from palisade.functions.classes import rank_of
 from palisade.functions.masking import REDACTED, mask_frame, masked_names
 from palisade.functions.predicates import equality_filter
 from palisade.operators.lookups import first_match
-from palisade.operators.scope import merge_items, merged_fields, merged_filters
+from palisade.operators.scope import gathered, rule_items
 from palisade.operators.single import judge_one
 from palisade.session import materialise
 from palisade.sources.policy import Bundle, fetch, typed_value
@@ -126,8 +126,7 @@ def _merged_rules(bundle: Bundle, agent: str, source: str, wanted: Sequence[str]
     met = listed.filter("rule_pos is not null").withColumn(
         "table", F.explode(F.when(F.col("table").isNull(), asked).otherwise(F.array(F.lower("table"))))
     )
-    items = merge_items(met.filter(F.col("table").isin(wanted)), ["table"])
-    merged = items.select("table", merged_fields(F.col("items")).alias("fields"), merged_filters(F.col("items")).alias("filters"))
+    merged = gathered(rule_items(met.filter(F.col("table").isin(wanted)), ["table"]), ["table"])
     at["source"] = source
     return [{**at, "rule_pos": None}, *[{**at, "rule_pos": 0, **row} for row in fetch(merged)]]
 

@@ -30,12 +30,11 @@ def active_entries(bundle: Bundle) -> DataFrame:
     return entries.join(scopes, ["agent", "scope_pos"], "left_semi")
 
 
-def merge_items(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, items): every field and filter key of a group of rules, once.
+def rule_items(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, kind, name, first, last): every field and filter key of a group of rules, once.
 
-    Each item remembers where it came first (its place in the output) and where it came
-    last (whose value wins). Repeats collapse before they are gathered, so a list never
-    outgrows the number of distinct column names.
+    Each item remembers where it came first (its place in the output) and what was said last
+    (whose value wins). A group without any item keeps one row without kind.
     """
     gap = F.lit(None).cast("string")
     fields = F.transform(
@@ -56,51 +55,37 @@ def merge_items(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     exploded = rules.select(*keys, "rule_pos", F.explode_outer(F.concat(fields, filters)).alias("item"))
     at = F.struct(F.col("rule_pos").alias("pos"), F.col("item.idx").alias("idx"))
-    once = exploded.groupBy(*keys, F.col("item.kind").alias("kind"), F.col("item.name").alias("name")).agg(
-        F.min(at).alias("first"),
-        F.max(F.struct(at.alias("at"), F.col("item.value").alias("value"), F.col("item.type").alias("type"))).alias(
-            "last"
-        ),
-    )
-    item = F.when(F.col("kind").isNotNull(), F.struct("first", "kind", "name", "last"))
-    return once.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    said = F.struct(at.alias("at"), F.col("item.value").alias("value"), F.col("item.type").alias("type"))
+    items = exploded.select(*keys, "item.kind", "item.name", at.alias("first"), said.alias("last"))
+    return _once(items, keys)
 
 
-def merged_fields(items: Column) -> Column:
-    """Field names in first-mention order; NULL (meaning all) when no rule names any."""
-    named = F.filter(F.sort_array(items), lambda i: i["kind"] == "field")
-    return F.when(F.size(named) > 0, F.array_distinct(F.transform(named, lambda i: i["name"])))
+def _once(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Repeats collapse in the map tasks, before anything is gathered."""
+    return items.groupBy(*keys, "kind", "name").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-def merged_filters(items: Column) -> Column:
-    """Filter keys in first-mention order, each with the value named last; NULL when none.
-
-    The last value of each key is looked up in a map built from the items in order of their
-    last mention, so the work grows with the number of items, not with its square.
-    """
-    tests = F.filter(F.sort_array(items), lambda i: i["kind"] == "filter")
-    keys = F.array_distinct(F.transform(tests, lambda i: i["name"]))
-    ranked = F.reverse(F.sort_array(F.transform(tests, lambda i: F.struct(i["name"].alias("name"), i["last"].alias("last")))))
-    # of equal names the greatest place comes first; only the first of each name enters the map
-    winners = F.filter(ranked, lambda w, i: (i == 0) | (w["name"] != F.get(ranked, i - 1)["name"]))
-    last = F.map_from_arrays(F.transform(winners, lambda w: w["name"]), F.transform(winners, lambda w: w["last"]))
-
-    def winner(key: Column) -> Column:
-        found = F.element_at(last, key)
-        return F.struct(key.alias("key"), found["value"].alias("value"), found["type"].alias("type"))
-
-    return F.when(F.size(tests) > 0, F.transform(keys, winner))
+def gathered(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, fields, filters) of distinct items: fields and filter keys in first-mention order, NULL
+    (meaning all, and none) where there are none. A list is as long as the columns it names."""
+    item = F.when(F.col("kind").isNotNull(), F.struct("first", "kind", "name", "last"))
+    lists = items.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    named = lists.select(
+        *keys,
+        F.filter("items", lambda i: i["kind"] == "field").alias("fields"),
+        F.filter("items", lambda i: i["kind"] == "filter").alias("filters"),
+    )
+    test = lambda i: F.struct(i["name"].alias("key"), i["last"]["value"].alias("value"), i["last"]["type"].alias("type"))
+    return named.select(
+        *keys,
+        F.when(F.size("fields") > 0, F.transform("fields", lambda i: i["name"])).alias("fields"),
+        F.when(F.size("filters") > 0, F.transform("filters", test)).alias("filters"),
+    )
 
 
 SCOPE_TABLE = struct(agent=TEXT, source=TEXT, table=TEXT, fields=TEXTS, filters=FILTERS)
 
 
-def rule_items(bundle: Bundle) -> DataFrame:
-    """(agent, source, table, items) of the rules in force; no table for rules without one."""
-    rules = active_rules(bundle).filter("rule_pos is not null")
-    return merge_items(rules, ["agent", "source", "table"])
-
-
 def merge_rules(bundle: Bundle) -> DataFrame:
     """One row per (agent, source, table) named by a rule, plus one with an empty table per
     source open through a rule without a table: the merged fields and filters. A named
@@ -109,23 +94,13 @@ def merge_rules(bundle: Bundle) -> DataFrame:
         return bundle.resolved["merged"]
     if bundle.small:
         return local_frame(bundle.spark, merge_rule_rows(bundle.rows["scope_rules"]), SCOPE_TABLE)
-    items = rule_items(bundle)
-    wide = items.filter("table is null").select("agent", "source", F.col("items").alias("wide"))
-    named = items.filter("table is not null")
-    none = F.array().cast(named.schema["items"].dataType)
-    both = named.join(splittable(wide, "agent"), ["agent", "source"], "left").select(
-        "agent", "source", "table", F.concat("items", F.coalesce("wide", none)).alias("items")
-    )
-    every = both.unionByName(
-        wide.select("agent", "source", F.lit(None).cast("string").alias("table"), F.col("wide").alias("items"))
-    )
-    return every.select(
-        "agent",
-        "source",
-        "table",
-        merged_fields(F.col("items")).alias("fields"),
-        merged_filters(F.col("items")).alias("filters"),
-    )
+    keys = ["agent", "source", "table"]
+    rules = active_rules(bundle).filter("rule_pos is not null")
+    items = materialise(rule_items(rules, keys), "items")  # read three times below
+    named = items.filter("table is not null").select(*keys).distinct()
+    wide = items.filter("table is null").drop("table")
+    copied = named.join(wide, ["agent", "source"]).select(items.columns)
+    return gathered(_once(items.unionByName(copied), keys), keys)
 
 
 ANSWER = struct(fields=TEXTS, filters=FILTERS)
