@@ -15,6 +15,9 @@ anchor, and nothing is lost:
    its windows by where the anchor is in them, in classes of 64, 8, 1 places, and by the bytes that all windows
    of the class share. Classes of one are whole windows, and settled by counting.
 
+Texts are shuffled once, into a table bucketed by row, where one of each repeated row stands for all; every
+list of places meets its texts there, and only the list moves.
+
 NULL and empty texts have no bytes; shorter texts than ``length`` stay as they are. Repeated rows are copies like any
 others: all their bytes go if they are long enough. An empty table gives an empty result.
 """
@@ -26,9 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.session import materialise
+from palisade.session import fresh_path, materialise
 
 from .common import bytes_of, steps, text_key, whole_texts
 from .induced import sorted_suffixes
@@ -37,10 +40,8 @@ LENGTH = 400
 GRAM = 32
 #: Different segments of an anchor that one block may hold; bytes of a block.
 CROWD = 2000
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 CLASSES = (64, 8, 1)
-#: Bytes of ids and ranges that are broadcast to fetch the texts they belong to; beyond it they are joined by shuffle.
-BROADCAST = 32 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -225,13 +226,25 @@ def _sort_blocks(length: int):
     return task
 
 
-def _with_texts(texts: DataFrame, items: DataFrame, column: str, most: int = BROADCAST) -> DataFrame:
-    """``items`` (doc_id, text_key and an array in ``column``) beside their texts. A small list is broadcast."""
-    size = items.agg(F.sum(F.size(column) * 24 + 40)).first()[0] or 0
-    listed = F.broadcast(items) if size <= most else items
-    a, b = texts.alias("a"), listed.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
-    return a.join(b, same).select("a.doc_id", "a.text_key", "a.text", f"b.{column}")
+def _at() -> Column:
+    """One key, never NULL, of rows with one id and one text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_key").cast("string"))
+
+
+def _bucketed(texts: DataFrame) -> DataFrame:
+    """The texts by ``at``, each row once, as a bucketed table in the shared folder."""
+    spark = texts.sparkSession
+    buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_path(spark, "texts")
+    name = path.rpartition("/")[2].replace("-", "_")
+    once = texts.withColumn("at", _at()).dropDuplicates(["at"])
+    once.write.bucketBy(buckets, "at").sortBy("at").option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
+def _with_texts(stored: DataFrame, items: DataFrame, column: str) -> DataFrame:
+    """``items`` (doc_id, text_key and an array in ``column``) beside their texts."""
+    listed = items.select(_at().alias("at"), column)
+    return stored.join(listed, "at").select("doc_id", "text_key", "text", column)
 
 
 def _listed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -239,8 +252,11 @@ def _listed(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*columns)).alias("items"))
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, text_key, start, windows): runs of windows that occur more than once, as a table."""
+def repeated_ranges(
+    texts: DataFrame, stored: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD
+) -> DataFrame:
+    """(doc_id, text_key, start, windows): runs of windows that occur more than once, as a table.
+    ``stored`` are the same texts as ``_bucketed`` keeps them."""
     found = texts.mapInArrow(_segments(length, gram), _FOUND)
     out = None
     for width in (*CLASSES, None):
@@ -256,7 +272,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
         mixed = groups.groupBy("key").agg(F.count("*").alias("different")).where("different > 1")
         firsts = materialise(groups.join(mixed, "key").select("key", "different", "weight", "first.*"), "firsts")
         few = _listed(firsts.where(F.col("different") <= crowd), "key", "start", "windows", "weight")
-        cut = _with_texts(texts, materialise(few, "few"), "items").mapInArrow(
+        cut = _with_texts(stored, materialise(few, "few"), "items").mapInArrow(
             _cut(length), "key long, doc_id long, text_key long, start int, weight long, data binary"
         )
         sorted_ = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_blocks(length), _RANGE)
@@ -266,7 +282,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
         if width is None or many.isEmpty():
             return out
         listed = materialise(_listed(many, "start", "windows", "lead", "weight"), "crowded")
-        found = _with_texts(texts, listed, "items").mapInArrow(_classes(length, width), _FOUND)
+        found = _with_texts(stored, listed, "items").mapInArrow(_classes(length, width), _FOUND)
     return out
 
 
@@ -304,19 +320,19 @@ _LEFT = "doc_id long, text_key long, n_removed long, n_spans long, kept_sha256 s
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc_id, text_key, n_removed, n_spans, kept_sha256 and kept (the bytes left) of the texts that lose any."""
+    """doc_id, text_key, n_removed, n_spans, kept_sha256 and kept (the bytes left) of the texts that lose any; of
+    repeated rows, which lose alike, one."""
     texts = whole_texts(docs, text_key().alias("text_key"))
-    ranges = materialise(_listed(repeated_ranges(texts, length, gram, crowd), "start", "windows"), "removals")
-    return _with_texts(texts, ranges, "items").mapInArrow(_removed(length), _LEFT)
+    stored = _bucketed(texts)
+    ranges = materialise(_listed(repeated_ranges(texts, stored, length, gram, crowd), "start", "windows"), "removals")
+    return _with_texts(stored, ranges, "items").mapInArrow(_removed(length), _LEFT)
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     texts = whole_texts(docs, text_key().alias("text_key"))
     rows = texts.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    # copies of a row (same id, same text) lose alike, so one of them stands for all
-    alike = Window.partitionBy("doc_id", "text_key").orderBy("n_removed")
-    left = without_repeats(docs, length, gram, crowd).drop("kept").withColumn("nth", F.row_number().over(alike)).where("nth = 1")
+    left = without_repeats(docs, length, gram, crowd).drop("kept")
     a, b = rows.alias("a"), left.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
     zero = F.lit(0).cast("long")
