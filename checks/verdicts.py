@@ -360,6 +360,13 @@ def _outcomes(spark, sf_dir, **options):
     return outcome.request_outcome(requests(spark, sf_dir), small_bundle(spark), **options)
 
 
+@registered(with_sql(_NONE_GRANTED | _ALL_READABLE | _OUTCOMES, "SELECT request_id, stage, reason FROM told"))
+def request_outcome_stored(spark, sf_dir):
+    """The same texts from stored policies of unknown size, the list of sources included."""
+    ended = outcome.request_outcome(requests(spark, sf_dir), small_bundle(spark).with_tables())
+    return ended.select("request_id", "stage", "reason")
+
+
 @registered(
     with_sql(
         _GRANTED | {"readable": "SELECT 'warehouse' AS name"} | _OUTCOMES,

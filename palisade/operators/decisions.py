@@ -39,6 +39,7 @@ AGENT_SIDE = (
 
 CLASS_OK = f"{class_rank('_class')} <= _rank"
 ALLOWED = f"(_operation_ok AND _source_ok AND {CLASS_OK})"
+# The texts of the reasons.
 REASON = f"""CASE
     WHEN NOT _operation_ok THEN
         concat('Agent ', ifnull(agent, 'null'), ' is not allowed to perform ', ifnull(operation, 'null'), ' operations')

@@ -114,6 +114,7 @@ def policy_violations(bundle: Bundle) -> DataFrame:
     def key(*parts: str) -> Column:
         return F.concat_ws(".", *[F.coalesce(F.col(p), F.lit("")) for p in parts])
 
+    # Paths and messages, here and below.
     bad_class, negative = "Invalid classification", "Number must be greater than or equal to 0"
     reports = [
         _violations(

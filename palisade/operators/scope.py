@@ -162,6 +162,7 @@ def _scope_of(requests: DataFrame, bundle: Bundle, name: str) -> DataFrame:
     )
     found = F.coalesce("_named", "_wide")
     agent, source, table = (F.coalesce(F.col(c), F.lit("null")) for c in ("agent", "source", "table"))
+    # The texts of the reasons.
     reason = (
         F.when(F.col("_scoped").isNull(), F.concat(F.lit("No scope defined for agent: "), agent))
         .when(

@@ -99,7 +99,8 @@ def judge_one(
     table: str,
     operation: str,
 ) -> Verdict:
-    """Scope first, then operation, source and classification. Table names match in any case."""
+    """Scope first, then operation, source and classification. Table names match in any case.
+    The texts of the reasons are fixed values."""
     scoped = active_rule_rows(r for r in rows["scope_rules"] if r["agent"] == agent)
     if not scoped:
         return Verdict("scope_denied", f"Access denied: No scope defined for agent: {agent}")

@@ -10,6 +10,7 @@ from palisade.operators.lookups import first_match, splittable, table_lookup
 from palisade.plans.governed_sql import GovernedSession
 from palisade.sources.policy import FILTERS, Bundle
 
+# Fixed values, here and below: names, descriptions, parameters and statements of views.
 ANY_TABLE = "*"
 
 

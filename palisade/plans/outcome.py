@@ -80,6 +80,7 @@ def request_outcome(
 
     names = F.lit(available) if available is not None else available_sources(bundle)
     source_text = F.coalesce(source, F.lit("null"))
+    # The texts of the reasons.
     texts = [
         F.lit("Missing required parameters: query and agent"),
         F.concat(F.lit("Unknown source: "), source_text, F.lit(". Available: "), names),
@@ -108,6 +109,7 @@ def scope_only_outcome(requests: DataFrame, bundle: Bundle) -> DataFrame:
     no_source, no_agent = _blank(F.col("source")), _blank(F.col("agent"))
     unknown, denied = F.col("_known").isNull(), ~F.col("scope.permitted")
     code = F.when(no_source | no_agent, 400).when(unknown, 404).when(denied, 403).otherwise(200)
+    # The texts of the reasons.
     reason = (
         F.when(no_source, F.lit("Missing source name"))
         .when(no_agent, F.lit("Missing agent identifier"))

@@ -52,7 +52,8 @@ class ConfigError(ValueError):
 
 
 class _Checker:
-    """Collects ``path: message`` problems; each check returns the value or its default."""
+    """Collects ``path: message`` problems; each check returns the value or its default. Paths
+    and messages are fixed values."""
 
     def __init__(self):
         self.problems: list[str] = []
