@@ -4,16 +4,21 @@ Symbols are 0 for the end of the block, 1 between texts, and bytes + 2. Suffixes
 (LMS) are sorted first: their substrings by one induction from any order, then their names by doubling. One
 more induction sorts all suffixes: a queue for each symbol receives, in order, the suffixes that stand before
 those just scanned, as tuples of place and common prefix with the tuple before; the common prefix of two
-neighbours in a queue is one more than the least on the way between the suffixes that sent them.
+neighbours in a queue is one more than the least on the way between the suffixes that sent them. Tuples beyond
+``HELD`` bytes wait in a temporary file of the task until their symbol's turn.
 """
 
 from __future__ import annotations
 
+from tempfile import TemporaryFile
+
 import numpy as np
 
 from .common import ragged
 
 SYMBOLS = 258
+#: Bytes of waiting tuples that the queues of one induction keep in memory.
+HELD = 64 << 20
 _FAR = np.int32(1 << 30)
 
 
@@ -21,7 +26,29 @@ class _Queues:
     """Tuples (place, common prefix with the tuple before) waiting for each symbol, in order of arrival."""
 
     def __init__(self):
-        self.waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(SYMBOLS)]
+        self.waiting: list[list[tuple]] = [[] for _ in range(SYMBOLS)]  # arrays, or where in the file and how many
+        self.held, self.file = 0, None
+
+    def _put(self, symbol: int, places: np.ndarray, common: np.ndarray):
+        size = places.nbytes + common.nbytes
+        if self.held + size <= HELD:
+            self.held += size
+            self.waiting[symbol].append((places, common))
+            return
+        if self.file is None:
+            self.file = TemporaryFile()
+        at = self.file.seek(0, 2)
+        self.file.write(places.tobytes())
+        self.file.write(common.tobytes())
+        self.waiting[symbol].append((at, len(places)))
+
+    def _got(self, chunk: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(chunk[0], np.ndarray):
+            self.held -= chunk[0].nbytes + chunk[1].nbytes
+            return chunk
+        at, n = chunk
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(4 * n), np.int32)
 
     def send(self, text: np.ndarray, places: np.ndarray, common: np.ndarray, up: bool, symbol: int):
         """Sends what stands before ``places``, if its symbol is above (or else below) ``symbol``, to its queue."""
@@ -41,11 +68,11 @@ class _Queues:
             lcp[later] += np.minimum.reduceat(np.append(common, _FAR), span)[0::2]
         starts = np.flatnonzero(first)
         for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
-            self.waiting[to[lo]].append((before[order[lo:hi]], lcp[lo:hi]))
+            self._put(to[lo], before[order[lo:hi]], lcp[lo:hi])
 
     def take(self, text: np.ndarray, symbol: int) -> tuple[np.ndarray, np.ndarray]:
         """The queue of a symbol, followed by what stands before its tuples with the same symbol, and so on."""
-        chunks = self.waiting[symbol]
+        chunks = [self._got(c) for c in self.waiting[symbol]]
         self.waiting[symbol] = []
         if not chunks:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)

@@ -8,7 +8,7 @@ import awkward
 import numpy as np
 import pytest
 
-from palisade.llm import repeats
+from palisade.llm import induced, repeats
 from palisade.llm.induced import sorted_suffixes
 
 
@@ -24,8 +24,11 @@ def brute_suffixes(texts):
     return order[1:], common[1:]  # without the end symbol
 
 
+@pytest.mark.parametrize("held", [induced.HELD, 100, 0])
 @pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abc", bytes(range(256)), b"\x00\xff"])
-def test_induced_sorting(alphabet):
+def test_induced_sorting(alphabet, held, monkeypatch):
+    """Also with queues that wait on disk."""
+    monkeypatch.setattr(induced, "HELD", held)
     random.seed(len(alphabet))
     for _ in range(60):
         texts = [bytes(random.choice(alphabet) for _ in range(random.choice([0, 1, 2, 5, 20, 60]))) for _ in range(random.randint(1, 5))]
