@@ -164,14 +164,14 @@ _BEFORE_SPACE = [c + " " for c in _WHITE]
 
 
 def cut(text: str, findall) -> list[str]:
-    """Stretches of the text that the pattern splits alike alone and in place.
+    """Stretches of the text that the pattern splits alike alone and in place; none is empty.
 
     A match has white space at its start only, so one starts at each space that follows no white space.
     Where a space does follow white space (or the text has a NUL), the stretches are the matches themselves.
     """
     if "\0" in text or any(x in text for x in _BEFORE_SPACE):
         return findall(text)
-    return text.replace(" ", "\0 ").split("\0") if text else []
+    return text.replace(" ", "\0 ").removeprefix("\0").split("\0") if text else []
 
 
 class _Memory:
@@ -202,10 +202,12 @@ class _Memory:
     def _split(self, stretches: list[str]) -> tuple[list[str], np.ndarray]:
         """All pieces one after the other, and how many each stretch has.
 
-        Stretches joined by line ends are split at once; none of them has one or a space at its end.
+        Stretches joined by line ends are split at once; none of them is empty, has a line end, or a space at its end.
         """
         pieces = self.findall("\n".join(stretches))
         breaks = [k for k, p in enumerate(pieces) if p == "\n"]
+        if len(breaks) != len(stretches) - 1:
+            raise ValueError("the splitting pattern joins a line end between stretches with its neighbours")
         return [p for p in pieces if p != "\n"], np.diff([-1, *breaks, len(pieces)]) - 1
 
     def _learn(self, new: list[str]):

@@ -45,6 +45,27 @@ def test_ids_of_strange_texts(judge, vocabulary):
         assert ids == judge.encode_ordinary(text), text[:40]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_a_space_at_the_start_among_ordinary_texts(judge, vocabulary, seed):
+    words = "the of and der die das ist la le les 12 foo's (x) y".split()
+    texts = [" lead", " lead again", "plain", *(f"{a} {b}{k}" for k, (a, b) in enumerate(itertools.permutations(words, 2)))]
+    random.Random(seed).shuffle(texts)
+    cuts = [bpe.cut(t, SPLIT) for t in texts]
+    stretches = list(dict.fromkeys(itertools.chain.from_iterable(cuts)))
+    random.Random(seed).shuffle(stretches)
+    memory = bpe._Memory(vocabulary, SPLIT)
+    memory._learn(stretches)
+    for text, cut in zip(texts, cuts, strict=True):
+        ids = [i for p in memory.places(cut) for i in memory.flat[memory.start[p] : memory.start[p] + memory.length[p]].tolist()]
+        assert ids == judge.encode_ordinary(text)
+    assert "" not in stretches
+
+
+def test_empty_stretches_are_refused(vocabulary):
+    with pytest.raises(ValueError):
+        bpe._Memory(vocabulary, SPLIT)._split(["foo", "", " bar"])
+
+
 def test_memory_forgets_without_harm(judge, vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     memory = bpe._Memory(vocabulary, SPLIT)
