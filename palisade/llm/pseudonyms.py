@@ -2,7 +2,8 @@
 
 What is found must be valid: card numbers by the Luhn sum, social security numbers by area, group and serial,
 telephone numbers by the North American plan or as international numbers, bank accounts (IBAN) by their check
-digits, IPv4 addresses by their range, dates by the calendar (1800-2199), e-mail addresses by their form.
+digits and the length of their country (``IBAN_LENGTHS``), IPv4 addresses by their range, dates by the calendar (1800-2199), e-mail addresses by their form.
+A text with a match that is not valid is searched again for valid values alone, those inside or across that match included.
 A keyed Feistel network permutes each kind within its own format: a card number keeps its length, first digit
 and a right Luhn sum, a date is another date written alike, and so on. Equal values get equal pseudonyms
 in all documents, also when they are grouped differently; different values get different ones.
@@ -23,18 +24,55 @@ from .common import whole_texts
 
 ROUNDS = 8
 
-# What each kind looks like. Order matters where two could start at the same place.
+# The characters of an IBAN of each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form() -> str:
+    """Countries of one length are one alternative; blanks may stand before each group of four."""
+    each = []
+    for length, names in IBAN_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        each.append(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(each)})(?![A-Za-z0-9])"
+
+
+# What each kind looks like. Order matters where two could start at the same place. No form captures.
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_form(),
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])",
     "intl": r"(?<![0-9A-Za-z+])\+[2-9](?:[ .-]?[0-9]){7,13}(?![0-9])",
     "ipv4": r"(?<![0-9])(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:1[89]|2[01])[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:1[89]|2[01])[0-9]{2})(?![0-9]|[./-][0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|3[47][0-9]{2}(?: [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5})|[0-9]{13,19})(?![0-9])",
 }
-ANY = "|".join(f"(?:{form})" for form in FORMS.values())
+#: Where a value may stand and end, for the kinds of which a form alone does not tell that a value is valid.
+BOUNDS = {
+    "iban": (r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"),
+    "ssn": (r"(?<![0-9-])", r"(?![0-9-])"),
+    "date": (r"(?<![0-9./-])", r"(?![0-9]|[./-][0-9])"),
+    "card": (r"(?<![0-9])", r"(?![0-9])"),
+}
+_NO_VALUE = "(?!)"
+
+
+def _searched() -> dict[str, str]:
+    """The forms as texts are searched for them: an international number that could end does not run on into another value."""
+    others = "|".join(FORMS[kind] for kind in ("email", "phone", "ipv4", "ssn", "date", "card"))
+    intl = rf"(?<![0-9A-Za-z+])\+[2-9](?:[ .-]?[0-9]){{7}}(?:(?:[ .-](?!{others}))?[0-9]){{0,6}}(?![0-9])"
+    return FORMS | {"intl": intl}
+
+
+SEARCHED = _searched()
+ANY = "|".join(f"(?:{form})" for form in SEARCHED.values())
 #: Dates as days of one whole Gregorian cycle of 400 years: 27 * 5411 days from here.
 FIRST_DAY, CYCLE = "1800-01-01", (27, 5411)
 
@@ -134,13 +172,16 @@ def _iban_rest(moved: Column) -> Column:
     )
 
 
+def _iban_valid(plain: Column) -> Column:
+    return _iban_rest(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
+
+
 def _iban(m: Column, key: str) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
     new = permute_text(account, key, "iban")
     check = F.lpad((F.lit(98) - _iban_rest(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _iban_rest(F.concat(account, F.substr(plain, F.lit(1), F.lit(4)))) == 1
-    return F.when(valid, _refilled(m, F.concat(country, check, new), "[A-Z0-9]"))
+    return F.when(_iban_valid(plain), _refilled(m, F.concat(country, check, new), "[A-Z0-9]"))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -167,9 +208,17 @@ def _ipv4(m: Column, key: str) -> Column:
     return F.concat_ws(".", *[n.cast("string") for x in (pair["x"], pair["y"]) for n in (F.floor(x / 256), x % 256)])
 
 
+def _ssn_parts(m: Column) -> tuple[Column, ...]:
+    return tuple(F.split(m, "-")[k].try_cast("int") for k in range(3))
+
+
+def _ssn_valid(area: Column, group: Column, serial: Column) -> Column:
+    return area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+
+
 def _ssn(m: Column, key: str) -> Column:
-    area, group, serial = (F.split(m, "-")[k].cast("int") for k in range(3))
-    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    area, group, serial = _ssn_parts(m)
+    valid = _ssn_valid(area, group, serial)
     pair = permute_pair(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, (898, 99 * 9999), key, "ssn")
     new_area = pair["x"] + 1 + F.when(pair["x"] >= 665, 1).otherwise(0)
     written = [F.lpad(x.cast("string"), n, "0") for x, n in ((new_area, 3), (F.floor(pair["y"] / 9999) + 1, 2), (pair["y"] % 9999 + 1, 4))]
@@ -198,13 +247,51 @@ def _email(m: Column, key: str) -> Column:
 _MAKE = {"email": _email, "iban": _iban, "phone": _phone, "intl": _intl, "ipv4": _ipv4, "ssn": _ssn, "date": _date, "card": _card}
 
 
+#: Whether a value of a form is valid, without its pseudonym.
+_VALID = {
+    "iban": lambda m: _iban_valid(F.replace(m, F.lit(" "), F.lit(""))),
+    "ssn": lambda m: _ssn_valid(*_ssn_parts(m)),
+    "date": lambda m: F.coalesce(*[F.try_to_date(m, form) for form in ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy")]).isNotNull(),
+    "card": lambda m: _luhn_sum(_digits(m), 1) % 10 == 0,
+}
+
+
+def _is(kind: str, m: Column) -> Column:
+    return m.rlike(f"^(?:{FORMS[kind]})$")
+
+
+def _invalid(m: Column) -> Column:
+    """The match has the form of a kind, but is not valid."""
+    out = F.lit(False)
+    for kind in reversed(FORMS):
+        out = F.when(_is(kind, m), ~_VALID[kind](m) if kind in _VALID else F.lit(False)).otherwise(out)
+    return out
+
+
+def _valid_only(text: Column) -> Column:
+    """A pattern like ANY that finds, of the kinds that need a test, the valid values of this text only.
+
+    Candidates are taken at every place, also inside others, so that no invalid one hides a valid one.
+    """
+    each = []
+    for kind, form in SEARCHED.items():
+        if kind not in _VALID:
+            each.append(F.lit(f"(?:{form})"))
+            continue
+        values = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(f"(?=({form}))"), F.lit(1)), _VALID[kind]))
+        literal = F.replace(F.array_join(values, "|"), F.lit("."), F.lit("\\."))
+        before, after = BOUNDS[kind]
+        each.append(F.when(F.size(values) > 0, F.concat(F.lit(f"{before}(?:"), literal, F.lit(f"){after}"))).otherwise(_NO_VALUE))
+    return F.concat_ws("|", *each)
+
+
 def _found(m: Column, key: str) -> Column:
     """kind (NULL if not valid) and pseudonym of one match."""
     out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new"))
-    for kind, form in reversed(FORMS.items()):
+    for kind in reversed(FORMS):
         new = _MAKE[kind](m, key)
         one = F.struct(F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, m).alias("new"))
-        out = F.when(m.rlike(f"^(?:{form})$"), one).otherwise(out)
+        out = F.when(_is(kind, m), one).otherwise(out)
     return out
 
 
@@ -212,10 +299,13 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, and kinds (array: the kind of each value replaced, in order) of every whole text."""
     texts = whole_texts(docs)
     maybe = F.col("text").rlike("[0-9]|@")
-    cut = texts.select(
+    none = F.array().cast("array<string>")
+    first = texts.select("doc_id", "text", F.when(maybe, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none).alias("first"))
+    again = first.select("*", F.when(F.exists("first", _invalid), _valid_only(F.col("text"))).alias("pattern"))
+    cut = again.select(
         "doc_id",
-        F.when(maybe, F.split("text", ANY, -1)).otherwise(F.array("text")).alias("between"),
-        F.when(maybe, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("matches"),
+        F.when(F.col("pattern").isNotNull(), F.split("text", F.col("pattern"), -1)).when(maybe, F.split("text", ANY, -1)).otherwise(F.array("text")).alias("between"),
+        F.when(F.col("pattern").isNotNull(), F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("first")).alias("matches"),
     )
     found = cut.select("doc_id", "between", F.transform("matches", lambda m: _found(m, key)).alias("found"))
     pieces = F.zip_with("between", "found", lambda a, f: F.concat(a, F.coalesce(f["new"], F.lit(""))))

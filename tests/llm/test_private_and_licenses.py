@@ -68,6 +68,27 @@ def test_kinds_keep_their_formats(spark):
     assert run(spark, texts, "other")[1].text != got[1].text
 
 
+def test_an_invalid_match_hides_no_valid_value(spark):
+    cases = [
+        ("ES9121000418450200051332 EUR 100", "iban", ["ES9121000418450200051332"]),
+        ("BE68539007547034 2024-01-02", "iban,date", ["BE68539007547034", "2024-01-02"]),
+        ("AT61 1904 3002 3457 3201 BIC", "iban", ["AT61 1904 3002 3457 3201"]),
+        ("ID12 4111 1111 1111 1111", "card", ["4111 1111 1111 1111"]),
+        ("BE12 4111 1111 1111 1111", "card", ["4111 1111 1111 1111"]),
+        ("AT12 DE89 3704 0044 0532 0130 00", "iban", ["DE89 3704 0044 0532 0130 00"]),
+        ("1234 5678 4111 1111 1111 1111, then 29.02.1983 and 28.02.1983", "card,date", ["4111 1111 1111 1111", "and 28.02.1983"]),
+        ("+49 30 123456 2024-01-02", "intl,date", ["+49 30 123456", "2024-01-02"]),
+        ("+49 30 123456 212-555-2485", "intl,phone", ["+49 30 123456", "212-555-2485"]),
+        ("+33 1 42 68 53 00", "intl", ["1 42 68 53 00"]),
+    ]
+    got = run(spark, [text for text, _, _ in cases])
+    for k, (text, kinds, hidden) in enumerate(cases):
+        assert ",".join(got[k].kinds) == kinds, text
+        assert len(got[k].text) == len(text)
+        assert not [x for x in hidden if x in got[k].text], text
+    assert "29.02.1983" in got[6].text and got[6].text.startswith("1234 5678 ") and got[5].text.startswith("AT12 DE")
+
+
 def brute_text(text, key, kind, rounds=pseudonyms.ROUNDS):
     def shifted(half, digest):
         out = ""
