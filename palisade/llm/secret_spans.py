@@ -254,17 +254,29 @@ def _joined(part: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
     return b"\0".join(texts), bounds
 
 
-def _windows(batches):
+def _find_windows(batches):
+    """Windows around the finds; only texts with a find are cut into tokens."""
+    return _windows(batches, finds_only=True)
+
+
+def _windows(batches, finds_only: bool = False):
     """Windows of features and tags around the finds of each text, and one elsewhere in an eighth of the texts."""
     wide = 2 * WINDOW + 1
     for part in steps(batches):
         joined, bounds = _joined(part)
+        if finds_only:
+            having = np.unique(np.searchsorted(bounds, [a for a, *_ in base_spans(joined)], "right") - 1)
+            if not len(having):
+                continue
+            part = part.take(pa.array(having))
+            joined, bounds = _joined(part)
         found = tokens(joined, bounds)
         tags = tag_bases(found, base_spans(joined))
         ids = part.column("doc_id").to_pylist()
         n = np.bincount(found.text, minlength=len(ids))
         begin = np.cumsum(n) - n
-        centres = np.unique(np.concatenate([np.flatnonzero(tags == B), (begin + n * 7 // 11)[(n > 0) & (n % 8 == 1)]]))
+        elsewhere = (begin + n * 7 // 11)[(n > 0) & (n % 8 == 1)]
+        centres = np.unique(np.concatenate([np.flatnonzero(tags == B), elsewhere[:0] if finds_only else elsewhere]))
         cells = centres[:, None] + np.arange(-WINDOW, WINDOW + 1)
         if not len(centres):
             continue
@@ -288,12 +300,20 @@ def _windows(batches):
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
-    """The field, from windows of about ``rows`` documents; the driver gets those windows only, at most ``4 * rows``."""
+    """The field, from windows of about ``rows`` documents, and around finds of all the others; the driver gets those
+    windows only, at most ``4 * rows``, an eighth of ``rows`` of them (one at least) from the others."""
     texts = whole_texts(docs)
     share = min(1 << 20, (rows << 20) // max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share)
-    windows = drawn.mapInArrow(_windows, "doc_id long, at long, features binary, tags binary")
-    got = windows.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "features").limit(4 * rows).toArrow()
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share
+    more = max(1, rows // 8)
+
+    def least(part: DataFrame, windows, limit: int) -> pa.Table:
+        found = part.mapInArrow(windows, "doc_id long, at long, features binary, tags binary")
+        return found.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "features").limit(limit).toArrow()
+
+    got = least(texts.where(drawn), _windows, 4 * rows - more)
+    if share < 1 << 20:
+        got = pa.concat_tables([got, least(texts.where(~drawn), _find_windows, more)])
     wide = 2 * WINDOW + 1
     features = np.frombuffer(b"".join(got.column("features").to_pylist()), np.uint8).reshape(-1, wide, len(SIZES))
     tags = np.frombuffer(b"".join(got.column("tags").to_pylist()), np.int8).reshape(-1, wide)
