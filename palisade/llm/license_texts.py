@@ -1,4 +1,6 @@
-"""Texts of short public licences, and the notices by which texts name one."""
+"""Texts of public licences (long ones in ``license_data``), and the notices by which texts name one."""
+
+from pathlib import Path
 
 _GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -21,6 +23,51 @@ _DISCLAIMER = (
     "PERFORMANCE OF THIS SOFTWARE.\n"
 )
 
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:\n\n"
+)
+_BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer.\n\n",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution.\n\n",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission.\n\n",
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {0} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\n"
+)
+
+
+def _bsd(clauses: int) -> dict[str, str]:
+    """With numbered and with bulleted clauses; the disclaimer names one holder or more."""
+    out = {}
+    for mark in ("", " (bulleted)"):
+        listed = "".join(("* " if mark else f"{k + 1}. ") + text for k, text in enumerate(_BSD_CLAUSES[:clauses]))
+        for who, holder in (("", "HOLDER"), (" (holders)", "HOLDERS")):
+            out[f"BSD-{clauses}-Clause{mark}{who}"] = _BSD_GRANT + listed + _BSD_DISCLAIMER.format(holder)
+    return out
+
+
+def _stored() -> dict[str, str]:
+    """The long texts, and each without what follows its terms (how to apply them)."""
+    out = {}
+    for path in sorted((Path(__file__).parent / "license_data").glob("*.txt")):
+        out[path.stem] = text = path.read_text(encoding="utf-8")
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        if rest.strip():
+            out[f"{path.stem} (terms)"] = terms + end
+    out["Apache-2.0 (dated)"] = out["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "")
+    return out
+
+
 KNOWN = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
     "hereby granted.\n\n" + _DISCLAIMER,
@@ -34,4 +81,29 @@ KNOWN = {
     "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "MIT notice": "Released under the MIT License.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form "
+    "or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+    "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to "
+    "the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+    "perpetuity of all present and future rights to this software under copyright law.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\n"
+    "For more information, please refer to <https://unlicense.org>\n",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+    "liable for any damages arising from the use of this software.\n\n"
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
+    "it and redistribute it freely, subject to the following restrictions:\n\n"
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+    "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is "
+    "not required.\n\n"
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software.\n\n"
+    "3. This notice may not be removed or altered from any source distribution.\n",
+    **_bsd(2),
+    **_bsd(3),
+    **_stored(),
 }

@@ -163,6 +163,18 @@ def test_licenses(spark):
     assert [got[k].n_lines for k in (3, 5, 6, 7, 8)] == [0] * 5
 
 
+def test_whole_texts_of_the_common_licenses(spark):
+    known = license_texts.KNOWN
+    names = "0BSD Apache-2.0 BSD-2-Clause BSD-3-Clause CC0-1.0 GFDL-1.3 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense Zlib".split()
+    texts = {name: "Copyright (c) 2024 A. Person\n\n" + known[name].upper().replace("\n", "\n# ") for name in names}
+    texts["Apache-2.0 (dated)"] = known["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 A. Person")
+    texts["GPL-3.0 (terms)"] = known["GPL-3.0"].partition("How to Apply These Terms")[0]
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, known).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts)
+    assert licenses.known_digests(docs, known).count() == len(known)
+
+
 def test_license_scan_of_awkward_rows(spark):
     assert licenses.scan(awkward.frame(spark), license_texts.KNOWN).count() == len(awkward.rows())
     assert licenses.scan(awkward.empty(spark), license_texts.KNOWN).collect() == []
