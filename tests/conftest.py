@@ -47,7 +47,3 @@ def tables(sf):
     from checks.relations import registry
 
     return registry(sf)
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,7 @@
 import copy
 
 import pytest
-from conftest import plan_of
+from compare import plan_of
 from pyspark.sql import functions as F
 
 from checks.relations import CONFIG, home_region
