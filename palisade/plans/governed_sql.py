@@ -1,16 +1,21 @@
 """User SQL over governed views, in a session of its own.
 
-Spark parses, plans and runs the text; only the parsed plan is checked first, for names, node
-kinds and expression kinds: what is in neither list is refused. Every relation must be a
-governed view or a CTE in scope, so no path, catalog table, global view or computed name gets
-past the views. Policies are read for every query: a scope that is gone shuts its tables at
-once. Needs the JVM handle of classic PySpark; with Spark Connect use ``governed_table``.
+Spark parses, plans and runs the text; its plan is checked twice. The parsed plan may hold only
+listed nodes, expressions and built-in functions, and names of governed views or CTEs in scope, so
+no path, catalog table, global view or computed name gets past the views. In the analysed plan, where
+every name is settled, whatever reads data must be one of those views: the walk goes through all that
+a node is made of, subqueries in any place included, and does not depend on the first check.
+
+Policies and tables are read for every query: a scope that is gone shuts its tables at once, and rows
+that have come are seen. Needs the JVM handle of classic PySpark; with Spark Connect use
+``governed_table``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.operators.enforce import (
@@ -63,6 +68,8 @@ PLAIN_EXPRESSIONS = frozenset(
     UnresolvedInlineTable UnresolvedSubqueryColumnAliases NamedArgumentExpression
     """.split()
 )
+# Leaves of an analysed plan that read no stored data.
+DATALESS_LEAVES = frozenset("OneRowRelation LocalRelation ResolvedInlineTable CTERelationRef UnionLoopRef".split())
 # Built-in functions that reach outside the data.
 BLOCKED_FUNCTIONS = (
     "java_method",
@@ -110,11 +117,14 @@ class GovernedSession:
         for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
             self.session.conf.set(key, spark.conf.get(key))
         self.main = spark
+        self._classes = {
+            name: self._class(f"org.apache.spark.sql.catalyst.{name}")
+            for name in ("plans.logical.LogicalPlan", "expressions.Expression", "expressions.PlanExpression")
+        } | {name: self._class(name) for name in ("scala.collection.Iterable", "scala.Option", "scala.Product")}
         self._drop_blocked_functions()
 
     def register(self, *tables: str) -> None:
-        """Make governed views of the named tables; all or none. A view is made anew whenever
-        the access it was made under has changed."""
+        """Make governed views of the named tables, of their files as they are now; all or none."""
         spelled = {t.lower(): t for t in self.registry.tables(self.source)}
         names = list(dict.fromkeys(spelled.get(t.lower(), t) for t in tables))
         if not names:
@@ -127,8 +137,6 @@ class GovernedSession:
             raise
         for table, access in allowed.items():
             view = table.lower()
-            if view in self.tables and self.tables[view].access == access:
-                continue
             raw = self.registry.load(self.session, self.source, table)
             result = govern(raw, access, residency=self._residency(view), **self.options)
             if self.barrier:
@@ -150,14 +158,15 @@ class GovernedSession:
         try:
             names = self.check(query)
             self.register(*names)
+            # as a subquery, the text can be nothing but a query
+            result = self.session.sql(f"SELECT * FROM (\n{query}\n) AS governed")
+            self.check_lineage(result, names)
         except AccessDenied:
             if self.audit:
                 log_denial(self.main, self.agent, self.source, _first_line(query), self.audit)
             raise
         views = dict.fromkeys(n.lower() for n in names)
         caps = [self.tables[v].access.max_rows for v in views if self.tables[v].access.max_rows > 0]
-        # as a subquery, the text can be nothing but a query
-        result = self.session.sql(f"SELECT * FROM (\n{query}\n) AS governed")
         return cap_rows(result, min(caps, default=0))
 
     def run(self, query: str, action: Callable[[DataFrame], object], name: str = "QUERY") -> dict:
@@ -195,15 +204,15 @@ class GovernedSession:
                 inside = ctes | {name} if node.allowRecursion() else ctes
                 yield from self._relations(cte._2(), inside)
                 ctes = ctes | {name}  # visible to later definitions and the body only
+        for child in _items(node.children()):
+            yield from self._relations(child, ctes)
         expressions = _items(node.expressions())
         if kind == "WithWindowDefinition":
             expressions += _items(node.windowDefinitions().values().toSeq())
         for expression in expressions:
-            self._check_expression(expression)
-        for child in _items(node.children()) + _items(node.subqueries()):
-            yield from self._relations(child, ctes)
+            yield from self._in_expression(expression, ctes)
 
-    def _check_expression(self, expression) -> None:
+    def _in_expression(self, expression, ctes: frozenset[str]) -> Iterator[str]:
         """Only plain expressions and built-in functions: a computed name could be any
         function's, and a stored SQL function could read any table."""
         made = expression.getClass()
@@ -217,8 +226,53 @@ class GovernedSession:
             name = expression.name().funcName()
         if name is not None and (name.lower() in BLOCKED_FUNCTIONS or not self._built_in(name.lower())):
             raise QueryRefused(f"function {name} is not allowed in a governed query")
+        if self._is(expression, "expressions.PlanExpression"):
+            yield from self._relations(expression.plan(), ctes)
         for child in _items(expression.children()):
-            self._check_expression(child)
+            yield from self._in_expression(child, ctes)
+
+    def check_lineage(self, df: DataFrame, names: Iterable[str]) -> None:
+        """QueryRefused unless all data that ``df`` reads come from the governed views of ``names``."""
+        allowed = {n.lower() for n in names}
+        waiting = [df._jdf.queryExecution().analyzed()]
+        while waiting:
+            at = waiting.pop()
+            if self._is(at, "plans.logical.LogicalPlan"):
+                kind = at.getClass().getSimpleName().rstrip("$")
+                if kind == "View":
+                    self._check_view(at, allowed)
+                    continue
+                if not at.children().size() and kind not in DATALESS_LEAVES:
+                    raise QueryRefused(f"{kind} is read beside the governed views")
+            elif self._is(at, "expressions.PlanExpression"):
+                waiting.append(at.plan())
+            if self._is(at, "scala.collection.Iterable") or self._is(at, "scala.Option"):
+                parts = at.iterator()
+            elif self._is(at, "scala.Product"):
+                parts = at.productIterator()
+            else:
+                continue
+            while parts.hasNext():
+                part = parts.next()
+                if isinstance(part, JavaObject):
+                    waiting.append(part)
+            if self._is(at, "plans.logical.LogicalPlan") or self._is(at, "expressions.Expression"):
+                waiting += _items(at.children())
+
+    def _check_view(self, view, allowed: set[str]) -> None:
+        """A view is governed if it is this session's own, by name and by what it stands for."""
+        name = view.desc().identifier()
+        table = name.table().lower()
+        own = view.isTempView() and name.database().isEmpty() and table in allowed and table in self.tables
+        if not own or not view.child().sameResult(self.tables[table].df._jdf.queryExecution().analyzed()):
+            raise QueryRefused(f"{name.unquotedString()} is read beside the governed views")
+
+    def _class(self, name: str):
+        thread = self.main._jvm.java.lang.Thread.currentThread()
+        return self.main._jvm.java.lang.Class.forName(name, True, thread.getContextClassLoader())
+
+    def _is(self, thing, name: str) -> bool:
+        return self._classes[name].isInstance(thing)
 
     def _identifier(self, name: str):
         return self.session._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
