@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, fingerprints, language, licenses, mixing, pseudonyms, repeats, secret_spans, simhash
+from . import bpe, exact, fingerprints, language, licenses, lines, mixing, pseudonyms, repeats, secret_spans, simhash
 from .common import documents
 from .license_texts import KNOWN
 
@@ -204,3 +204,27 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(documents(spark, sf_dir))
+
+
+@registered(
+    f"""
+    WITH lines AS (
+        SELECT doc_id, pos, lines[pos] AS line FROM (
+            SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+    keyed AS (
+        SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM lines),
+    often AS (
+        SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= {lines.MIN_POINTS}
+        GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}),
+    judged AS (SELECT k.*, o.key IS NOT NULL AND doc_id <> last AS gone FROM keyed k LEFT JOIN often o USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+    """
+)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
