@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, fingerprints, language, licenses, lines, mixing, pseudonyms, repeats, secret_spans, simhash
+from . import bpe, exact, fingerprints, language, licenses, lines, mixing, pseudonyms, repeats, secret_spans, simhash, whitening
 from .common import documents
 from .license_texts import KNOWN
 
@@ -228,3 +228,8 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@registered()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
