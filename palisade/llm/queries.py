@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, fingerprints, language, licenses, lines, mixing, pseudonyms, repeats, secret_spans, simhash, whitening
+from . import bpe, exact, fingerprints, language, licenses, lines, mixing, pseudonyms, repeats, secret_spans, simhash, variants, whitening
 from .common import documents
 from .license_texts import KNOWN
 
@@ -233,3 +233,8 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@registered()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
