@@ -106,10 +106,15 @@ def _without_one(word: Column) -> Column:
 
 def shards(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(node, word, n, member): members belong to the node, the others visit it."""
+    if words.count() <= crowd:
+        return words.select(F.lit(0).cast("long").alias("node"), "word", "n", F.lit(True).alias("member"))
     spent = F.col("plus") + F.col("minus")  # -2: a word on its own path
-    states = words.select("word", "n", F.lit(0).cast("long").alias("node"), F.lit(-1).alias("plus"), F.lit(-1).alias("minus"))
+    going = words.select("word", "n", F.lit(0).cast("long").alias("node"), F.lit(-1).alias("plus"), F.lit(-1).alias("minus"))
     out = None
-    for level in range(len(LEVELS) + 1):
+    for level in range(len(LEVELS)):
+        going = going.select("word", "n", "node", _letters(level).alias("letters"), F.explode(_moves(level)).alias("move"))
+        node = F.xxhash64("node", F.lit(level), F.col("letters") + F.col("move.delta"))
+        states = materialise(going.select("word", "n", node.alias("node"), "move.plus", "move.minus"), "states")
         sizes = states.where(spent == -2).groupBy("node").agg(F.count("*").alias("n"))
         crowded = materialise(sizes.where(F.col("n") > crowd).select("node"), "crowded")
         done = states.join(crowded, "node", "left_anti").select("node", "word", "n", (spent == -2).alias("member"))
@@ -117,13 +122,8 @@ def shards(words: DataFrame, crowd: int = CROWD) -> DataFrame:
         if crowded.isEmpty():
             return out
         going = states.join(crowded, "node")
-        if level == len(LEVELS):
-            rest = going.select("node", "word", "n", (spent == -2).alias("member"), F.explode(_without_one(F.col("word"))).alias("less"))
-            return out.union(rest.select(F.xxhash64("node", "less").alias("node"), "word", "n", "member"))
-        going = going.select("word", "n", "node", _letters(level).alias("letters"), F.explode(_moves(level)).alias("move"))
-        node = F.xxhash64("node", F.lit(level), F.col("letters") + F.col("move.delta"))
-        states = materialise(going.select("word", "n", node.alias("node"), "move.plus", "move.minus"), "states")
-    return out
+    rest = going.select("node", "word", "n", (spent == -2).alias("member"), F.explode(_without_one(F.col("word"))).alias("less"))
+    return out.union(rest.select(F.xxhash64("node", "less").alias("node"), "word", "n", "member"))
 
 
 def blocks(routed: DataFrame, block: int = BLOCK) -> DataFrame:

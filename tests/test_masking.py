@@ -1,5 +1,9 @@
+import json
+import random
+
 import hypothesis.strategies as st
 import pytest
+from compare import plan_of
 from hypothesis import HealthCheck, given, settings
 from pyspark.sql import functions as F, types as T
 
@@ -8,6 +12,7 @@ from palisade.functions.redaction import (
     CREDENTIAL_SECRETS,
     LOG_SECRETS,
     LOG_SECRETS_COMPAT,
+    SecretKeys,
     redact_frame,
     redact_headers,
     redact_json,
@@ -190,12 +195,17 @@ def test_json_text(spark):
     assert out == '{"token":"[REDACTED]","a":{"api_key":"[REDACTED]","n":null}}'
 
 
-def test_any_json_text(spark):
-    texts = ['{"keep":{"a":1},"p\\u0061ssword":{"x":1}}', "not json", None, "[1.5,\"é\",{\"token\":null}]", "", "[" * 100_000]
+def redacted(spark, texts, *options):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
-    got = [tuple(r["r"]) for r in df.select("i", redact_json(F.col("j")).alias("r")).orderBy("i").collect()]
-    assert got == [
-        ('{"keep":{"a":1},"password":"[REDACTED]"}', True),
+    out = df.select("i", redact_json(F.col("j"), *options).alias("r")).orderBy("i")
+    assert "Python" not in plan_of(out)
+    return [tuple(r["r"]) for r in out.collect()]
+
+
+def test_any_json_text(spark):
+    texts = ['{"keep":{"a":1},"p\\u0061ssword":{"x":1}}', "not json", None, "[1.5,\"é\",{\"token\":null}]", "", "[" * 20_000]
+    assert redacted(spark, texts) == [
+        ('{"keep":{"a":1},"p\\u0061ssword":"[REDACTED]"}', True),
         ("not json", False),
         (None, None),
         ('[1.5,"é",{"token":"[REDACTED]"}]', True),
@@ -204,6 +214,69 @@ def test_any_json_text(spark):
     ]
 
 
+def test_json_text_keeps_every_other_character(spark):
+    same = [
+        '{"a":"\\ud800", "n": [1e400, -0.0, 12345678901234567890.123456789012345678901234567890, 1E+2]}',
+        '{"a":1,"a":2,"a":{"token2":3}}',
+        ' \t\r\n"password" ',
+        '["token", "password", ":", {"x": "\\"token\\": 1"}]',
+        "0",
+        '"' + "x" * 100_000 + '\\n"',
+        "[" * 3000 + "]" * 3000,
+        '{"":{}}',
+    ]
+    assert redacted(spark, same) == [(t, True) for t in same]
+    bad = ["NaN", '{"token":NaN}', "[1,]", '{"token":1,}', "01", "1 2", '{"token" 1}', '{"token":}', "[}", '{"token":1]', '"a', '"\\x"', "\"\x01\"", "tru", "+1", "'a'", "[1", '{"token":[1}', "{1:2}", "{,}", "﻿1", "]"]
+    assert redacted(spark, bad) == [(t, False) for t in bad]
+    assert redacted(spark, ['{"token" : {"a":[1,{"token":2}]} , "b":2,"Secret":"x","l":[{"api_key":null} ,7]}\n']) == [
+        ('{"token" : "[REDACTED]" , "b":2,"Secret":"[REDACTED]","l":[{"api_key":"[REDACTED]"} ,7]}\n', True)
+    ]
+    assert redacted(spark, [' {"a" : [ 1 , " " ] , "token" : [ 2 ] } '], LOG_SECRETS, True) == [('{"a":[1," "],"token":"[REDACTED]"}', True)]
+
+
+def test_json_text_against_the_parsed_value(spark):
+    """Random texts, whole and damaged, against Python's parser: same verdict, and the cleaned value."""
+    rng = random.Random(6)
+    keys = ["a", "b", "token", "Password", "x-api-key", "toke", "é"]
+
+    def value(depth):
+        kind = rng.randint(0, 7 if depth < 13 else 4)
+        if kind < 5:
+            return rng.choice([None, True, -1.5, 0, 10**25, "", "token", 'say "token": {', "\\", "🙂 é \n", "[REDACTED]"])
+        if kind == 5:
+            return [value(depth + 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice(keys): value(depth + 1) for _ in range(rng.randint(0, 4))}
+
+    def clean(v, keys, depth=0):
+        if keys.max_depth is not None and depth > keys.max_depth:
+            return v
+        if isinstance(v, dict):
+            return {k: keys.replacement if keys.hit(k) else clean(x, keys, depth + 1) for k, x in v.items()}
+        return [clean(x, keys, depth + 1) for x in v] if isinstance(v, list) else v
+
+    def refused(name):
+        raise ValueError(name)
+
+    texts = []
+    for k in range(600):
+        text = json.dumps(value(0), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        if k % 3 == 0 and text:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "{", "]", ",", '"', "\\", "1", " ", ":", "x"]) + text[at + rng.randint(0, 1) :]
+        texts.append(text)
+    for secrets in (LOG_SECRETS, LOG_SECRETS_COMPAT, SecretKeys(("a",), "*\"*", False, 2)):
+        for compact in (False, True):
+            for raw, (text, parsed) in zip(texts, redacted(spark, texts, secrets, compact), strict=True):
+                try:
+                    read = json.loads(raw, parse_constant=refused)
+                except ValueError:
+                    assert (text, parsed) == (raw, False)
+                    continue
+                assert parsed and json.loads(text) == clean(read, secrets), raw
+                if compact:
+                    assert text == json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":")) or "\\" in raw
+
+
 def test_credentials_match_exact_case(spark):
     df = spark.createDataFrame([(("p", "P", "k"),)], "c struct<password:string,PassWord2:string,apiKey:string>")
     assert tuple(redact_frame(df, CREDENTIAL_SECRETS).first()["c"]) == ("***", "P", "***")
