@@ -248,7 +248,7 @@ def redact_any_json(spark, sf_dir):
             F.lit("[" + deep + '{"api_key": "s", "n": '), user, F.lit("}" + "}" * 11 + "]")))
         .otherwise(F.col("props"))
     )
-    return table(spark, sf_dir, "events").select("event_id", redaction.redact_json(texts).alias("r")).select(
+    return table(spark, sf_dir, "events").select("event_id", redaction.redact_json(texts, compact=True).alias("r")).select(
         "event_id", F.col("r.text").alias("props"), F.col("r.parsed").alias("parsed")
     )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -91,36 +90,114 @@ def redact_headers(headers: Column, keys: SecretKeys = LOG_SECRETS) -> Column:
     )
 
 
-def _clean(value, keys: SecretKeys, depth: int = 0):
-    if keys.max_depth is not None and depth > keys.max_depth:
-        return value
-    if isinstance(value, dict):
-        return {k: keys.replacement if keys.hit(k) else _clean(v, keys, depth + 1) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_clean(v, keys, depth + 1) for v in value]
-    return value
+# The tokens of JSON; any other character is a token of its own.
+_TOKEN = (
+    r'[ \t\n\r]++|"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+    r"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|(?s:.)"
+)
+# What may follow: state, innermost container (- for none), kind of token, next state. States: a value (V), or the end of
+# an array too (A); a key (K), or the end of an object too (O); a colon (C); the end of a value (E). Kinds: white space w,
+# string s, secret string k, other scalar v, a character out of place ?, and the six signs themselves.
+_STEPS = " ".join(
+    [f"V{top}{kind}{then}" for top in "-{[" for kind, then in zip("vsk{[", "EEEOA", strict=True)]
+    + [f"A[{kind}{then}" for kind, then in zip("vsk{[]", "EEEOAE", strict=True)]
+    + [f"{state}{{{kind}C" for state in "KO" for kind in "sk"]
+    + ["O{}E", "C{:V", "E{,K", "E{}E", "E[,V", "E[]E"]
+)
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _kind(token: Column, keys: SecretKeys) -> Column:
+    first, name = F.substring(token, 1, 1), F.substring(token, F.lit(2), F.length(token) - 2)
+    plain = F.when(F.contains(token, F.lit("\\")), F.from_json(F.concat(F.lit('{"k":'), token, F.lit("}")), "k string")["k"]).otherwise(name)
+    return (
+        F.when(first.isin(*"{}[]:,"), first)
+        .when(first == '"', F.when(F.length(token) == 1, "?").when(keys.hit_column(plain), "k").otherwise("s"))
+        .when(first.isin(*" \t\n\r"), "w")
+        .when((F.length(token) > 1) | first.between("0", "9"), "v")
+        .otherwise("?")
+    )
 
 
-def redact_json(text: Column, keys: SecretKeys = LOG_SECRETS) -> Column:
+def _secret_spans(kinds: Column, keys: SecretKeys) -> Column:
+    """First and last token of each value under a secret key, in order; NULL if the tokens are not JSON."""
+    state = {"stack": F.lit("-"), "expect": F.lit("V"), "secret": F.lit(False), "hide": F.lit(-1), "start": F.lit(-1), "i": F.lit(0)}
+    state["spans"] = F.array().cast(_SPANS)
+
+    def with_next(old: Column, kind: Column) -> Column:
+        at = F.instr(F.lit(_STEPS), F.concat(old["expect"], F.substring(old["stack"], -1, 1), kind))
+        then = F.when(kind == "w", old["expect"]).when(at > 0, F.substring(F.lit(_STEPS), at + 3, F.lit(1))).otherwise("X")
+        return F.struct(old.alias("old"), kind.alias("kind"), then.alias("then"))
+
+    def merge(old: Column, kind: Column) -> Column:
+        return F.transform(F.array(with_next(old, kind)), moved)[0]
+
+    def moved(x: Column) -> Column:
+        old, kind, then = x["old"], x["kind"], x["then"]
+        size, blank = F.length(old["stack"]), kind == "w"
+        stack = F.when(kind.isin("{", "["), F.concat(old["stack"], kind)).when(kind.isin("}", "]"), F.substring(old["stack"], F.lit(1), size - 1))
+        opens = (old["expect"] == "V") & old["secret"] & (old["hide"] < 0) & ~blank
+        if keys.max_depth is not None:
+            opens = opens & (size - 2 <= keys.max_depth)
+        hide, start = F.when(opens, size).otherwise(old["hide"]), F.when(opens, old["i"]).otherwise(old["start"])
+        left = F.when(kind.isin("{", "["), size + 1).when(kind.isin("}", "]"), size - 1).otherwise(size)
+        closes = (then == "E") & ~blank & (hide == left)
+        span = F.array(F.struct(start.alias("start"), old["i"].alias("end"))).cast(_SPANS)
+        return F.struct(
+            F.coalesce(stack, old["stack"]).alias("stack"),
+            then.alias("expect"),
+            F.when(blank | (kind == ":"), old["secret"]).otherwise((then == "C") & (kind == "k")).alias("secret"),
+            F.when(closes, -1).otherwise(hide).alias("hide"),
+            start.alias("start"),
+            (old["i"] + 1).alias("i"),
+            F.when(closes, F.concat(old["spans"], span)).otherwise(old["spans"]).alias("spans"),
+        )
+
+    def finish(end: Column) -> Column:
+        return F.when((end["expect"] == "E") & (end["stack"] == "-"), end["spans"])
+
+    return F.aggregate(kinds, F.struct(*[v.alias(k) for k, v in state.items()]), merge, finish)
+
+
+def _without_spans(text: Column, x: Column, replacement: str, compact: bool) -> Column:
+    """The tokens beside the spans and, in place of each span, the replacement: twice the place tells the one, and one more the other."""
+    places = F.sequence(F.lit(0), F.size(x["tokens"]) - 1)
+    hidden = F.flatten(F.transform(x["spans"], lambda s: F.sequence(s["start"], s["end"])))
+    if compact:
+        hidden = F.concat(hidden, F.filter(places, lambda k: F.get(x["kinds"], k) == "w"))
+    kept = F.transform(F.array_except(places, hidden), lambda k: 2 * k + 1)
+    order = F.sort_array(F.concat(kept, F.transform(x["spans"], lambda s: 2 * s["start"])))
+    new = F.lit(json.dumps(replacement, ensure_ascii=False))
+    joined = F.array_join(F.transform(order, lambda k: F.when(k % 2 == 0, new).otherwise(F.get(x["tokens"], F.shiftright(k, 1)))), "")
+    as_is = x["spans"].isNull() if compact else x["spans"].isNull() | (F.size(x["spans"]) == 0)
+    return F.when(as_is, text).otherwise(joined)
+
+
+def redact_json(text: Column, keys: SecretKeys = LOG_SECRETS, compact: bool = False) -> Column:
     """Secret removal inside JSON texts of any shape: struct<text, parsed>.
 
-    Every key stays, known or not; whatever a secret key holds is replaced. A text that is not
-    JSON, or nested deeper than the parser goes, comes back as it is, with ``parsed`` false; NULL
-    stays NULL. No schema is known, so this is an Arrow-batched Python function;
-    ``redact_typed_json`` stays in the JVM where there is one.
+    The values under secret keys are replaced, whatever they hold and however deep they sit; every other character stays as it
+    is: numbers of any size, repeated keys, escapes. Keys compare without their escapes. ``compact`` leaves out white space
+    between tokens. A text that is not JSON comes back as it is, with ``parsed`` false; NULL stays NULL.
+
+    The text is cut into tokens once, and one fold over their kinds, with a stack of open containers, finds the spans to
+    replace: built-in expressions only.
     """
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+
+    def named(tokens: Column) -> Column:
+        return F.struct(tokens.alias("tokens"), F.transform(tokens, lambda t: _kind(t, keys)).alias("kinds"))
+
+    def found(x: Column) -> Column:
+        return F.struct(x["tokens"].alias("tokens"), x["kinds"].alias("kinds"), _secret_spans(x["kinds"], keys).alias("spans"))
+
+    def shown(x: Column) -> Column:
+        return F.struct(_without_spans(text, x, keys.replacement, compact).alias("text"), x["spans"].isNotNull().alias("parsed"))
 
-    @F.pandas_udf("text string, parsed boolean")
-    def walk(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for raw in texts:
-            try:
-                rows.append((json.dumps(_clean(json.loads(raw), keys), ensure_ascii=False, separators=(",", ":")), True))
-            except (ValueError, TypeError, RecursionError):
-                rows.append((raw, None if raw is None else False))
-        return pd.DataFrame(rows, columns=["text", "parsed"])
-
-    return walk(text)
+    # each step is bound to a variable, so that it is worked out once
+    result = F.transform(F.transform(F.transform(F.array(tokens), named), found), shown)[0]
+    nothing = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("parsed"))
+    return F.when(text.isNull(), nothing).otherwise(result)
 
 
 def redact_typed_json(text: Column, schema: T.DataType | str, keys: SecretKeys = LOG_SECRETS) -> Column:
