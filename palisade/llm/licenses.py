@@ -5,16 +5,23 @@ A text's canonical form is its lower-case words: copyright lines ("Copyright (c)
 a space. Whole texts, and each of their lines, are joined by the SHA-256 of that form to the digests of
 known licences and notices; the known ones are a parameter of the caller, at most ``MOST_KNOWN``, and are broadcast.
 
+A text is read once: its lines get their canonical forms, the whole text's is theirs joined (then the spellings that cross a
+line end), and only lines as long as a known form get a digest. What is rare in texts (copyright lines, spellings)
+is looked for by plain search before anything is replaced.
+
 NULL and empty texts, and texts or lines of which nothing is left, match nothing. Repeated rows match alike.
 If known texts share a digest, the least name stands. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.session import materialise
+
 from .common import text_key, whole_texts
 
 MOST_KNOWN = 10_000
@@ -40,14 +47,33 @@ SPELLINGS = {
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;>-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9])|\(c\)[ \t]*(?:copyright|[0-9])|©)[^\n]*$"
 RESERVED = r"all rights reserved\.?"
 NO_WORD = r"[^\p{L}\p{N}]+"
+NO_WORD_IN_LINE = r"[^\p{L}\p{N}\n]+"
+# What every match of the patterns above contains.
+IN_COPYRIGHT_LINE, IN_RESERVED = ("copyright", "(c)", "©"), ("all rights reserved",)
+
+
+def _where(df: DataFrame, column: str, holds: Iterable[str], new: Column) -> DataFrame:
+    """``column`` replaced by ``new`` in the rows where it holds any of the strings."""
+    old = F.col(column)
+    return df.withColumn(column, F.when(reduce(Column.__or__, [F.contains(old, F.lit(h)) for h in holds]), new).otherwise(old))
+
+
+def _spelled(df: DataFrame, column: str, spellings: Mapping[str, str]) -> DataFrame:
+    new = F.col(column)
+    for one, other in spellings.items():
+        new = F.replace(new, F.lit(one), F.lit(other))
+    return _where(df, column, spellings, new)
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), RESERVED, "")
-    out = F.regexp_replace(out, NO_WORD, " ")
-    for one, other in SPELLINGS.items():
-        out = F.replace(out, F.lit(one), F.lit(other))
-    return F.trim(out)
+def canonical(df: DataFrame, text: str, lines: str = "lines", form: str = "form") -> DataFrame:
+    """``df`` with the canonical forms of a text's lines, empty ones left out, in place of the text, and that of the whole."""
+    out = df.withColumn(text, F.lower(text))
+    out = _where(out, text, IN_COPYRIGHT_LINE, F.regexp_replace(text, COPYRIGHT_LINE, ""))
+    out = _where(out, text, IN_RESERVED, F.regexp_replace(text, RESERVED, ""))
+    out = _spelled(out.withColumn(text, F.regexp_replace(text, NO_WORD_IN_LINE, " ")), text, SPELLINGS)
+    out = out.withColumn(lines, F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")).drop(text)
+    out = out.withColumn(form, F.array_join(lines, " "))
+    return _spelled(out, form, {k: v for k, v in SPELLINGS.items() if " " in k})
 
 
 def _digest(form: Column) -> Column:
@@ -55,21 +81,25 @@ def _digest(form: Column) -> Column:
 
 
 def known_digests(docs: DataFrame, known: Mapping[str, str]) -> DataFrame:
-    """digest and license_id of the known texts."""
+    """digest, length and license_id of the known texts."""
     if len(known) > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known licences")
     texts = docs.sparkSession.createDataFrame(sorted(known.items()), "license_id string, text string")
-    return texts.select(_digest(canonical(F.col("text"))).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    forms = canonical(texts, "text").select(_digest(F.col("form")).alias("digest"), F.length("form").alias("length"), "license_id")
+    return forms.groupBy("digest").agg(F.first("length").alias("length"), F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: Mapping[str, str]) -> DataFrame:
-    """One row per row of ``docs``: doc_id, digest, license_id (of the whole text), and of its lines the number that
+    """One row per row of ``docs``: doc_id, text_key, digest, license_id (of the whole text), and of its lines the number that
     match (n_lines) and the names they match (line_licenses, sorted)."""
-    digests = F.broadcast(known_digests(docs, known))
-    texts = whole_texts(docs, text_key().alias("text_key"))
-    whole = texts.select("doc_id", "text_key", _digest(canonical(F.col("text"))).alias("digest")).join(digests, "digest", "left")
-    lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "of"))
-    hits = lines.select("doc_id", "text_key", "line", _digest(canonical(F.col("of"))).alias("digest")).join(digests, "digest")
+    forms = materialise(known_digests(docs, known), "known")
+    digests = F.broadcast(forms.select("digest", "license_id"))
+    lengths = [r["length"] for r in forms.select("length").distinct().collect()]  # at most MOST_KNOWN
+    texts = canonical(whole_texts(docs, text_key().alias("text_key")), "text")
+    likely = F.transform(F.filter("lines", lambda x: F.length(x).isin(lengths)), lambda x: F.sha2(x, 256))
+    read = materialise(texts.select("doc_id", "text_key", _digest(F.col("form")).alias("digest"), likely.alias("likely")), "read")
+    whole = read.select("doc_id", "text_key", "digest").join(digests, "digest", "left")
+    hits = read.select("doc_id", "text_key", F.posexplode("likely").alias("line", "digest")).join(digests, "digest")
     per_text = hits.groupBy("doc_id", "text_key").agg(
         F.count_distinct("line").alias("n_lines"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses")
     )

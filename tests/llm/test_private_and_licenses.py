@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import random
 import re
 
 import awkward
@@ -163,6 +164,28 @@ def test_licenses(spark):
     assert [got[k].n_lines for k in (3, 5, 6, 7, 8)] == [0] * 5
 
 
+def test_one_pass_makes_the_forms_that_each_text_and_line_has_alone(spark):
+    """Against the definition: every replacement on the whole text, and on each line by itself."""
+    rng = random.Random(5)
+    parts = [*licenses.SPELLINGS, "sub", "license", "licence", "per", "cent", "copyright", "holder", "s", "Copyright (c) 2020 X", "© Y", "(c) 1999 Z", "# Copyright 3"]
+    parts += ["All Rights Reserved.", "all rights", "reserved", "ÉTÉ", "über", "\r", "%", "'", "non", "commercial", "a1", "漢字", "İ"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", "-", " \n ", "", "\n\n"]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+
+    def plain(text):
+        out = F.regexp_replace(F.regexp_replace(F.lower(text), licenses.COPYRIGHT_LINE, ""), licenses.RESERVED, "")
+        out = F.regexp_replace(out, licenses.NO_WORD, " ")
+        for one, other in licenses.SPELLINGS.items():
+            out = F.replace(out, F.lit(one), F.lit(other))
+        return F.trim(out)
+
+    each = df.select("id", plain(F.col("text")).alias("form"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    each = each.select("id", "form", F.struct("pos", plain(F.col("line")).alias("line")).alias("line"))
+    want = each.groupBy("id", "form").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    want = {r.id: (r.form, [x.line for x in r.lines if x.line]) for r in want.collect()}
+    assert {r.id: (r.form, r.lines) for r in licenses.canonical(df, "text").collect()} == want
+
+
 def test_whole_texts_of_the_common_licenses(spark):
     known = license_texts.KNOWN
     names = "0BSD Apache-2.0 BSD-2-Clause BSD-3-Clause CC0-1.0 GFDL-1.3 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense Zlib".split()
