@@ -5,11 +5,12 @@ Symbols are 0 for the end of the block, 1 between texts, and bytes + 2. Suffixes
 more induction sorts all suffixes: a queue for each symbol receives, in order, the suffixes that stand before
 those just scanned, as tuples of place and common prefix with the tuple before; the common prefix of two
 neighbours in a queue is one more than the least on the way between the suffixes that sent them. Tuples beyond
-``HELD`` bytes wait in a temporary file of the task until their symbol's turn.
+``HELD`` bytes wait in a file among Spark's own spill files until their symbol's turn.
 """
 
 from __future__ import annotations
 
+import os
 from tempfile import TemporaryFile
 
 import numpy as np
@@ -18,7 +19,7 @@ from .common import ragged
 
 SYMBOLS = 258
 #: Bytes of waiting tuples that the queues of one induction keep in memory.
-HELD = 64 << 20
+HELD = 4 << 20
 _FAR = np.int32(1 << 30)
 
 
@@ -36,7 +37,7 @@ class _Queues:
             self.waiting[symbol].append((places, common))
             return
         if self.file is None:
-            self.file = TemporaryFile()
+            self.file = TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         at = self.file.seek(0, 2)
         self.file.write(places.tobytes())
         self.file.write(common.tobytes())
@@ -48,7 +49,7 @@ class _Queues:
             return chunk
         at, n = chunk
         self.file.seek(at)
-        return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(4 * n), np.int32)
+        return np.frombuffer(self.file.read(4 * n), np.int32), np.frombuffer(self.file.read(4 * n), np.int32)
 
     def send(self, text: np.ndarray, places: np.ndarray, common: np.ndarray, up: bool, symbol: int):
         """Sends what stands before ``places``, if its symbol is above (or else below) ``symbol``, to its queue."""
@@ -75,7 +76,7 @@ class _Queues:
         chunks = [self._got(c) for c in self.waiting[symbol]]
         self.waiting[symbol] = []
         if not chunks:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         places, common = np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks])
         all_places, all_common, run = [places], [common], 1
         while True:
@@ -146,17 +147,20 @@ def sorted_suffixes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndar
     ends = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
     length = np.diff(np.append(-1, ends))
     rises = np.append(text[ends[:-1] + 1] > text[ends[:-1]], True)
-    runs = np.repeat(ends, length) - np.arange(n) + 1
+    runs = np.repeat(ends + 1, length).astype(np.int32) - np.arange(n, dtype=np.int32)
     heads = ends - length + 1
-    lms = heads[1:][rises[1:] & ~rises[:-1]]
+    lms = heads[1:][rises[1:] & ~rises[:-1]].astype(np.int32)
     if not len(lms):
-        lms = np.array([n - 1])
+        lms = np.array([n - 1], np.int32)
+    del ends, length, rises, heads
     # 1. the substrings between LMS places, in order by induction, get names
     by_symbol = lms[np.argsort(text[lms], kind="stable")]
     order, _ = _induce(text, runs, by_symbol, np.zeros(len(lms), np.int32))
-    number = np.full(n, -1, np.int64)
-    number[lms] = np.arange(len(lms))
-    ranked = number[order[number[order] >= 0]]
+    number = np.full(n, -1, np.int32)
+    number[lms] = np.arange(len(lms), dtype=np.int32)
+    ranked = number[order]
+    ranked = ranked[ranked >= 0]
+    del order, number
     if len(ranked) < len(lms):  # the end symbol sends nothing and is sent by nothing
         ranked = np.append(len(lms) - 1, ranked)
     stretch = np.diff(np.append(lms, n - 1)) + 1

@@ -15,8 +15,9 @@ anchor, and nothing is lost:
    its windows by where the anchor is in them, in classes of 64, 8, 1 places, and by the bytes that all windows
    of the class share. Classes of one are whole windows, and settled by counting.
 
-Texts are shuffled once, into a table bucketed by row, where one of each repeated row stands for all; every
-list of places meets its texts there, and only the list moves.
+Texts are shuffled once, into files bucketed by row, where one of each repeated row stands for all; every
+list of places meets its texts there, and only the list moves. A task works on ``STEP`` windows at once; long texts
+are cut into steps that overlap by all but one byte of a window, so that none is missed.
 
 NULL and empty texts have no bytes; shorter texts than ``length`` stay as they are. Repeated rows are copies like any
 others: all their bytes go if they are long enough. An empty table gives an empty result.
@@ -38,9 +39,10 @@ from .induced import sorted_suffixes
 
 LENGTH = 400
 GRAM = 32
-#: Different segments of an anchor that one block may hold; bytes of a block.
-CROWD = 2000
-BLOCK = 1 << 20
+#: Different segments of an anchor that one block may hold; bytes of a block; windows of a step.
+CROWD = 1000
+BLOCK = 1 << 19
+STEP = 1 << 18
 CLASSES = (64, 8, 1)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -101,31 +103,37 @@ def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray
 def _segments(length: int, gram: int):
     """Segments of every text by the windows' anchors."""
 
+    def found(part: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, lo: int) -> Iterator[pa.RecordBatch]:
+        """Segments of the windows that start in the step from ``lo`` on."""
+        data = data[lo : lo + STEP + length - 1]
+        anchors, hashes = window_anchors(data, length, gram)
+        if not len(anchors):
+            return
+        place = np.arange(lo, lo + len(anchors))
+        text = np.searchsorted(bounds, place, "right") - 1
+        ok = place + length <= bounds[text + 1]
+        first = ok.copy()
+        first[1:] &= (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1]) | ~ok[:-1]
+        start = np.flatnonzero(first)
+        if not len(start):
+            return
+        last = np.flatnonzero(ok & np.append(first[1:] | ~ok[1:], True))
+        windows = last - start + 1
+        lead = anchors[start] - start
+        one, two = _digests(data.tobytes(), start, last + length, lead)
+        of = pa.array(text[start])
+        yield _batch(
+            part.column("doc_id").take(of),
+            part.column("text_key").take(of),
+            [hashes[anchors[start]].view(np.int64), one, two, lo + start - bounds[text[start]], windows, lead],
+            np.ones(len(start), np.int64),
+        )
+
     def task(batches):
-        for part in steps(batches):
+        for part in steps(batches, STEP):
             data, bounds = bytes_of(part.column("text"))
-            anchors, hashes = window_anchors(data, length, gram)
-            if not len(anchors):
-                continue
-            place = np.arange(len(anchors))
-            text = np.repeat(np.arange(part.num_rows), np.diff(bounds))[: len(anchors)]
-            ok = place + length <= bounds[text + 1]
-            first = ok.copy()
-            first[1:] &= (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1]) | ~ok[:-1]
-            start = np.flatnonzero(first)
-            if not len(start):
-                continue
-            last = np.flatnonzero(ok & np.append(first[1:] | ~ok[1:], True))
-            windows = last - start + 1
-            lead = anchors[start] - start
-            one, two = _digests(data.tobytes(), start, last + length, lead)
-            of = pa.array(text[start])
-            yield _batch(
-                part.column("doc_id").take(of),
-                part.column("text_key").take(of),
-                [hashes[anchors[start]].view(np.int64), one, two, start - bounds[text[start]], windows, lead],
-                np.ones(len(start), np.int64),
-            )
+            for lo in range(0, len(data), STEP):
+                yield from found(part, data, bounds, lo)
 
     return task
 
@@ -232,13 +240,17 @@ def _at() -> Column:
 
 
 def _bucketed(texts: DataFrame) -> DataFrame:
-    """The texts by ``at``, each row once, as a bucketed table in the shared folder."""
+    """The texts by ``at``, each row once, as bucketed files in the shared folder; the catalog does not keep them."""
     spark = texts.sparkSession
     buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_path(spark, "texts")
     name = path.rpartition("/")[2].replace("-", "_")
-    once = texts.withColumn("at", _at()).dropDuplicates(["at"])
-    once.write.bucketBy(buckets, "at").sortBy("at").option("path", path).saveAsTable(name, format="parquet")
-    return spark.table(name)
+    named = texts.withColumn("at", _at())
+    again = materialise(named.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at"), "again")
+    once = named.join(again, "at", "left_anti").unionByName(named.join(again, "at", "left_semi").dropDuplicates(["at"]))
+    once.repartition(buckets, "at").write.bucketBy(buckets, "at").option("path", path).saveAsTable(name, format="parquet")
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the entry only: the files have a path of their own
+    return stored
 
 
 def _with_texts(stored: DataFrame, items: DataFrame, column: str) -> DataFrame:
