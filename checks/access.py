@@ -22,6 +22,7 @@ from palisade.functions.predicates import all_of, equality_filter, typed_predica
 from palisade.operators import decisions, enforce, writes
 from palisade.plans.governed_sql import GovernedSession
 from palisade.session import fresh_path
+from palisade.sources.snapshots import SnapshotTable
 
 
 def _governed(spark, sf_dir, agent, source, name, **options):
@@ -360,6 +361,30 @@ def governed_delete_partitions(spark, sf_dir):
     return stored()
 
 
+@registered(
+    """WITH after AS (
+    SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 40 < 4 AND o_orderkey < 400 THEN 'HELD' ELSE o_orderpriority END
+        AS o_orderpriority, o_orderstatus FROM orders WHERE NOT (o_orderkey BETWEEN 900 AND 1100 AND o_orderstatus = 'F')
+    UNION ALL SELECT c_custkey - 1000000, c_custkey, NULL, 'O' FROM customer WHERE c_custkey % 50 = 0)
+SELECT *, 4::BIGINT AS version, true AS few_files FROM after"""
+)
+def governed_table_versions(spark, sf_dir):
+    """Update, delete and insert on a table of versions: few files are written again, each write is one version."""
+    source = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    stored = SnapshotTable.create(source, fresh_path(spark, "versions"), ["o_orderkey"], files=16)
+    access = _write_access(spark, "orders", "UPDATE")
+    where = (F.col("o_orderkey") % 40 < 4) & (F.col("o_orderkey") < 400)
+    updated = writes.update_table(stored, {"o_orderpriority": F.lit("HELD")}, where, access, approved=True)
+    gone = F.col("o_orderkey").between(900, 1100) & (F.col("o_orderstatus") == "F")
+    writes.delete_from_table(stored, gone, _write_access(spark, "orders", "DELETE"), approved=True)
+    new = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(
+        (F.col("c_custkey") - 1000000).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit("O").alias("o_orderstatus")
+    )
+    writes.insert_into_table(stored, new, _write_access(spark, "orders", "INSERT"), approved=True)
+    few = len(updated.removed) < 16
+    return stored.read().select("*", F.lit(stored.version()).cast("long").alias("version"), F.lit(few).alias("few_files"))
+
+
 @registered(
     """SELECT 'before' AS at, 'permitted' AS decision, count(*) AS rows FROM nation
 UNION ALL SELECT 'after', 'denied', NULL::BIGINT"""

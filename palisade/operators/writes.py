@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.functions.querytext import WRITES
 from palisade.operators.enforce import Access, AccessDenied, ResidencyKey, in_reach, own_reach
 from palisade.session import materialise
+from palisade.sources.snapshots import Published, SnapshotTable
 
 
 def gate_writes(requests: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -170,7 +171,8 @@ def rewrite_partitions(table: DataFrame, where: Column, change: Change, path: st
     that hold a row ``where`` is true for, and, if it moves rows, the ones it moves them to. Their
     values are fetched (as many as partitions are touched), so the scan prunes all others. The
     new rows are stored beside the table first, then swapped in; a partition left without rows
-    goes. ``where`` must be true for every row that ``change`` alters.
+    goes. ``where`` must be true for every row that ``change`` alters. The swap is not atomic: where a
+    crash or a reader may come in between, keep a ``SnapshotTable``.
     """
     spark, by = table.sparkSession, list(partition_by)
     found = _values(table.filter(where), by)
@@ -211,5 +213,36 @@ def _remove_files(stale: DataFrame) -> None:
         file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False)
 
 
+def update_table(
+    stored: SnapshotTable, assign: Mapping[str, Column], where: Column, access: Access, **options
+) -> Published | None:
+    """``governed_update`` of a table of versions: only files that hold a row the update hits are written again, and the new
+    state is published at once or not at all. None if no row is hit."""
+    return _rewritten(stored, where, access, lambda rows: governed_update(rows, assign, where, access, **options), **options)
+
+
+def delete_from_table(stored: SnapshotTable, where: Column, access: Access, **options) -> Published | None:
+    """``governed_delete`` of a table of versions, as ``update_table``."""
+    return _rewritten(stored, where, access, lambda rows: governed_delete(rows, where, access, **options), **options)
+
+
+def insert_into_table(
+    stored: SnapshotTable, rows: DataFrame, access: Access, **options
+) -> tuple[Published, DataFrame]:
+    """Appends what ``governed_insert`` accepts, as one version; also returns the rejected rows."""
+    parts = governed_insert(stored.read(), rows, access, **options)
+    return stored.append(parts.accepted), parts.rejected
+
+
+def _rewritten(
+    stored: SnapshotTable, where: Column, access: Access, change: Change, *, residency: ResidencyKey | None = None, **_
+) -> Published | None:
+    table = stored.read()
+    change(table)  # what is refused is refused before any file is looked at
+    if not access.residency or (residency is not None and residency.via is None):
+        where = own_reach(table, access, residency) & where
+    return stored.rewrite(where, change)
+
+
 def append_rows(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)

@@ -11,6 +11,7 @@ from palisade.functions.redaction import CREDENTIAL_SECRETS, redact_frame
 from palisade.sources.config import checked_source
 from palisade.sources.policy import FLAG, SCHEMAS, TEXT, local_frame, source_row, struct
 from palisade.sources.readers import Split, read_source
+from palisade.sources.snapshots import SnapshotTable
 
 Loader = Callable[[SparkSession, str], DataFrame]
 PROBES = 8
@@ -40,6 +41,10 @@ class Registry:
 
         return self.add(name, load, tables, fmt)
 
+    def add_snapshots(self, name: str, folder: str, tables: Iterable[str]) -> Registry:
+        """Tables of versions (``SnapshotTable``), each under ``<folder>/<table>``, read as they are when they are asked for."""
+        return self.add(name, lambda spark, table: SnapshotTable(spark, f"{folder}/{table}").read(), tables, "snapshots")
+
     def add_source(
         self, raw: Mapping, tables: Iterable[str] = (), splits: Mapping[str, Split] | None = None
     ) -> Registry:
