@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from checks.relations import (
+    BIG_REQUEST_COLUMNS,
     BIG_REQUESTS_SQL,
     BIG_SQL,
     DECIDED,
+    DECISION_COLUMNS,
     DECISION_SELECT,
     REQUESTS_SQL,
     SCOPED,
@@ -19,6 +24,8 @@ from checks.relations import (
     flat_filters,
     flat_scope,
     parsed_requests,
+    project,
+    project_sql,
     rank_sql,
     registered,
     requests,
@@ -28,7 +35,7 @@ from checks.relations import (
 )
 from palisade.functions import querytext
 from palisade.functions.classes import class_rank, clearance
-from palisade.operators import decisions, lookups, scope
+from palisade.operators import decisions, history, lookups, scope
 from palisade.plans import outcome
 
 _SMALL = REQUESTS_SQL | SMALL_SQL | DECIDED
@@ -448,11 +455,10 @@ _STRICT_SQL = {
 _FIELDS = ("allowed", "why", "masked", "row_filter", "max_rows", "requires_approval")
 
 
-def _as_of(suffix: str, parts: dict[str, str]) -> dict[str, str]:
+def _as_of(suffix: str, parts: dict[str, str], names=(*SMALL_SQL, *DECIDED)) -> dict[str, str]:
     """The decision SQL under other names, for a second policy set."""
     import re
 
-    names = [*SMALL_SQL, *DECIDED]
     swap = lambda text: re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", lambda m: f"{m[1]} {m[2]}{suffix}", text)
     return {n + suffix: swap(parts[n]) for n in names}
 
@@ -500,3 +506,101 @@ def decision_diff(spark, sf_dir):
         F.col("before.allowed").alias("before_allowed"),
         F.col("after.allowed").alias("after_allowed"),
     )
+
+
+@registered(
+    with_sql(
+        _DIFF,
+        f"""SELECT request_id, a.allowed AS before_allowed, b.allowed AS after_allowed, b.why AS after_reason,
+CAST(a.max_rows AS BIGINT) AS before_max, CAST(b.max_rows AS BIGINT) AS after_max FROM dec a JOIN dec2 b USING (request_id)
+WHERE {_CHANGED}""",
+    )
+)
+def what_if_touched(spark, sf_dir):
+    """The same as what_if_diff; only requests that the change concerns are judged."""
+    before, after = small_bundle(spark).with_tables(), _stricter(spark).with_tables()
+    changed = decisions.what_if_touched(parsed_requests(spark, sf_dir), before, after)
+    return changed.select(
+        "request_id",
+        F.col("before.allowed").alias("before_allowed"),
+        F.col("after.allowed").alias("after_allowed"),
+        F.col("after.reason").alias("after_reason"),
+        F.col("before.max_rows").alias("before_max"),
+        F.col("after.max_rows").alias("after_max"),
+    )
+
+
+# ── policies as of the time of a request ───────────────────────────
+
+_STARTS = [datetime(2024, 1, 5, 6), datetime(2024, 1, 15), datetime(2024, 1, 25)]
+_NONE = {n: SMALL_SQL[n] + " WHERE false" for n in ("ap", "sp", "tp", "cp")}
+_FREE = """SELECT request_id, true AS allowed, NULL AS reason, NULL AS masked, NULL AS row_filter, 0::BIGINT AS max_rows,
+  false AS requires_approval FROM reqs"""
+_HISTORY_SQL = with_sql(
+    {"reqs": project_sql(DECISION_COLUMNS | {"ts": "ts"}, "events")}
+    | SMALL_SQL
+    | DECIDED
+    | _as_of("0", SMALL_SQL | DECIDED | _NONE)
+    | _as_of("2", SMALL_SQL | DECIDED | _STRICT_SQL),
+    f"""{DECISION_SELECT}0 WHERE ts < '{_STARTS[0]}' UNION ALL
+{DECISION_SELECT} WHERE ts >= '{_STARTS[0]}' AND ts < '{_STARTS[1]}' UNION ALL
+{DECISION_SELECT}2 WHERE ts >= '{_STARTS[1]}' AND ts < '{_STARTS[2]}' UNION ALL
+{_FREE} WHERE ts >= '{_STARTS[2]}'""",
+)
+
+
+def _versions(spark):
+    """No policies at first, then the small bundle, a stricter one, and governance switched off."""
+    first = small_bundle(spark)
+    return list(zip(_STARTS, [first, _stricter(spark), replace(first, enabled=False)], strict=True))
+
+
+def _timed_requests(spark, sf_dir):
+    return project(table(spark, sf_dir, "events"), DECISION_COLUMNS | {"ts": "ts"})
+
+
+@registered(_HISTORY_SQL)
+def decisions_as_of(spark, sf_dir):
+    """A log judged again across policy changes, each request by the policies of its time."""
+    past = history.PolicyHistory.from_versions(spark, _versions(spark))
+    return flat_decision(history.decide_as_of(_timed_requests(spark, sf_dir), past))
+
+
+@registered(_HISTORY_SQL)
+def decisions_as_of_grown(spark, sf_dir):
+    """The same from a history that took in one version after the other, by the path for histories of any size."""
+    (start, first), *later = _versions(spark)
+    past = history.PolicyHistory.from_versions(spark, [(start, first.with_tables())])
+    for start, bundle in later:
+        past = past.extended(start, bundle.with_tables())
+    return flat_decision(history.decide_as_of(_timed_requests(spark, sf_dir), past))
+
+
+_LATER = {
+    "ap": f"SELECT * REPLACE (max_rows + 7 AS max_rows) FROM ({BIG_SQL['ap']}) WHERE substr(agent, 7)::BIGINT % 3 <> 0",
+    "tp": f"""SELECT * REPLACE (CASE WHEN table_pos % 2 = 0 THEN 'pci' ELSE classification END AS classification)
+  FROM ({BIG_SQL['tp']})""",
+}
+
+
+@registered(
+    with_sql(
+        {"reqs": project_sql(BIG_REQUEST_COLUMNS | {"ts": "l_shipdate"}, "lineitem JOIN orders ON l_orderkey = o_orderkey")}
+        | BIG_SQL
+        | DECIDED
+        | _as_of("2", DECIDED | _LATER, ("ap", "tp", *DECIDED)),
+        f"""{DECISION_SELECT} WHERE ts < '1998-06-01' UNION ALL {DECISION_SELECT}2 WHERE ts >= '1998-06-01'""",
+    )
+)
+def decisions_as_of_large(spark, sf_dir):
+    """Every line item as a request of its ship date, against a history that grows with the data."""
+    first = big_bundle(spark, sf_dir)
+    level = F.when(F.col("table_pos") % 2 == 0, "pci").otherwise(F.col("classification"))
+    second = first.with_tables(
+        agent_policy=first.agent_policy.where("pos % 3 <> 0").withColumn("max_rows", F.col("max_rows") + 7),
+        table_policy=first.table_policy.withColumn("classification", level),
+    )
+    past = history.PolicyHistory.from_versions(spark, [(datetime(1990, 1, 1), first), (datetime(1998, 6, 1), second)])
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    asked = project(lines.join(orders, lines.l_orderkey == orders.o_orderkey), BIG_REQUEST_COLUMNS | {"ts": "l_shipdate"})
+    return flat_decision(history.decide_as_of(asked, past))

@@ -8,11 +8,15 @@ rules are SQL expressions over the columns the lookups add: ``_operation_ok``, `
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.classes import class_rank
 from palisade.functions.querytext import WRITES
 from palisade.operators.lookups import (
+    agent_lookup,
     first_column_lookup,
     folded,
     masked_tables,
@@ -171,6 +175,49 @@ def what_if(requests: DataFrame, before: Bundle, after: Bundle) -> DataFrame:
     return both.filter(_changed("before", "after"))
 
 
+def _changed_keys(before: DataFrame, after: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """(keys, flag): keys whose lookup row (keys, state) is not the same in both."""
+    a, b = before.withColumnRenamed("state", "_before"), after.withColumnRenamed("state", "_after")
+    met = a.join(b, keys, "full_outer").filter(_changed("_before", "_after"))
+    return splittable(met.select(*keys, F.lit(True).alias(flag)), keys[0])
+
+
+def touched_by(asked: DataFrame, before: Bundle, after: Bundle) -> DataFrame:
+    """The requests that a change of policies may concern: those of an agent, a source or a table whose policy is not the
+    same before and after, and, if the default policy changes, those of agents without one of their own."""
+    if before.enabled != after.enabled:
+        return asked
+    if not before.enabled:
+        return asked.limit(0)
+    columns = ("classification", "row_filter", "max_rows", "approve_writes", "masks")
+    lookups = (
+        (["agent"], lambda b: agent_lookup(b).withColumnRenamed("agent_policy", "state")),
+        (["source"], lambda b: source_lookup(b).select("source", F.struct("default_class").alias("state"))),
+        (["source", "table"], lambda b: masked_tables(b).select("source", "table", F.struct(*columns).alias("state"))),
+    )
+    found, hit = asked, F.lit(False)
+    for k, (keys, lookup) in enumerate(lookups):
+        changed = _changed_keys(lookup(before), lookup(after), keys, f"_touched{k}")
+        found = found.join(before.hint(changed) if after.small else changed, keys, "left")
+        hit = hit | F.col(f"_touched{k}").isNotNull()
+    own = {k: v for k, v in before.default_agent.items() if k not in ("pos", "agent")}
+    if own != {k: v for k, v in after.default_agent.items() if k not in ("pos", "agent")}:
+        known = agent_lookup(after).select("agent", F.lit(True).alias("_known"))
+        found = found.join(after.hint(known), "agent", "left")
+        hit = hit | F.col("_known").isNull()
+    return found.filter(hit).select(*asked.columns)
+
+
+def what_if_touched(requests: DataFrame, before: Bundle, after: Bundle) -> DataFrame:
+    """``what_if`` that judges only what the change touches: the log is folded to its distinct requests, those are met with
+    the keys that the change concerns, and what is left of them is judged twice and met with the log."""
+    keys = [c for c in ("agent", "source", "table", "operation", "columns") if c in requests.columns]
+    judged = what_if(touched_by(requests.select(*keys).distinct(), before, after), before, after)
+    a, b = requests.alias("a"), judged.alias("b")
+    same = reduce(and_, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys])
+    return a.join(b, same).select("a.*", "b.before", "b.after")
+
+
 def decision_diff(before: DataFrame, after: DataFrame, key: str = "request_id") -> DataFrame:
     """Changed, added and dropped decisions between two stored runs (columns key, decision)."""
     a = before.select(key, F.col("decision").alias("before"))

@@ -42,3 +42,39 @@ def peak_level(net: DataFrame, key: str, t: str, step: str) -> DataFrame:
     """(key, peak): the highest running sum of ``step`` over time, for one row per (key, t)."""
     levels = running_sum(net, [key], t, [], step, "_level")
     return levels.groupBy(key).agg(F.max("_level").alias("peak"))
+
+
+def as_of(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    since: str,
+    value: str,
+    name: str,
+    pieces: int | None = None,
+) -> DataFrame:
+    """Add ``name`` = ``value`` (never NULL) of the last row of ``right`` with the same keys and ``since`` <= ``at``.
+
+    ``right`` has one row for each (keys, since). Both sides are put in one order and cut into equal ranges, as in
+    ``running_sum``; the last value goes along inside a range, and from each range to the next ones of its key.
+    """
+    pieces = pieces or max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    time, kind = right.schema[since].dataType, right.schema[value].dataType
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])  # parts rows of one key and time
+    asked = left.select(
+        F.struct(*keys).alias("_key"), F.col(at).cast(time).alias("_t"), F.lit(1).alias("_side"), spread.alias("_spread"),
+        F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"), F.lit(None).cast(kind).alias("_value"),
+    )
+    known = right.dropna(subset=list(keys)).select(
+        F.struct(*keys).alias("_key"), F.col(since).alias("_t"), F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_spread"),
+        F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"),
+    )
+    both = known.unionByName(asked).repartitionByRange(pieces, "_key", "_t", "_side", "_spread")
+    rows = materialise(both.withColumn("_group", F.struct("_key", F.spark_partition_id().alias("_range"))), "asof")
+    last = rows.groupBy("_group").agg(F.max_by("_value", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+    before = Window.partitionBy("_group._key").orderBy("_group._range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_group", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy("_group").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(carried, "_group").withColumn("_found", F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_carried"))
+    return met.where("_side = 1").select("_row.*", F.col("_found").alias(name))
