@@ -174,6 +174,21 @@ def detokenize(spark, sf_dir):
     return vault.detokenize(vault.detokenize(hidden, "o_orderpriority", book), "o_custkey", book)
 
 
+@registered("SELECT o_orderkey, o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")
+def detokenize_bucketed(spark, sf_dir):
+    """The same through a vault that is stored once, bucketed by token."""
+    orders = table(spark, sf_dir, "orders")
+    kinds = {f.name: f.dataType for f in orders.schema}
+    book = vault.store_vault(vault.token_vault(orders, ["o_orderpriority", "o_custkey"]))
+    hidden = orders.select(
+        "o_orderkey",
+        *[masking.mask(F.col(c), "tokenize", dtype=kinds[c]).alias(c) for c in ("o_orderpriority", "o_custkey")],
+    )
+    for column in ("o_orderpriority", "o_custkey"):
+        hidden = vault.detokenize(hidden, column, book, stored=True)
+    return hidden
+
+
 @registered(
     f"""SELECT 'n' AS "column", 'tok_' || {hash32_sql("c_name || 'Aa'")} AS token, count(*) * 2 AS values
 FROM (SELECT c_name FROM customer WHERE c_custkey % 3 = 0) GROUP BY ALL"""
@@ -253,6 +268,32 @@ def redact_any_json(spark, sf_dir):
     )
 
 
+@registered(
+    """SELECT event_id, CASE event_id % 5
+WHEN 0 THEN '{ "n" : 1e400, "n" : ' || event_id || '.000000000000000000001 , "u":"\\ud800", "token" : "[REDACTED]" }'
+WHEN 1 THEN '[-0.0, "token", {"pass":"' || event_type || '"} , {"api_key":"[REDACTED]" , "x-api-key" :"[REDACTED]"}]' || chr(10)
+WHEN 2 THEN '{"token": NaN, "n": ' || user_id || '}'
+WHEN 3 THEN '{"a": {"p\\u0061ssword": "[REDACTED]"}, "b": "\\"token\\": 1"}'
+ELSE props END AS props, event_id % 5 <> 2 AS parsed FROM events"""
+)
+def redact_json_lossless(spark, sf_dir):
+    """Only the values under secret keys change: numbers of any size, repeated keys, escapes and white space stay."""
+    event, user, kind = (F.col(c).cast("string") for c in ("event_id", "user_id", "event_type"))
+    texts = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(
+            F.lit('{ "n" : 1e400, "n" : '), event, F.lit('.000000000000000000001 , "u":"\\ud800", "token" : '), user, F.lit(" }")))
+        .when(F.col("event_id") % 5 == 1, F.concat(
+            F.lit('[-0.0, "token", {"pass":"'), kind, F.lit('"} , {"api_key":[{"token":[]}, "]"] , "x-api-key" :"a\\"b"}]\n')))
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit('{"token": NaN, "n": '), user, F.lit("}")))
+        .when(F.col("event_id") % 5 == 3, F.concat(
+            F.lit('{"a": {"p\\u0061ssword": {"q": "'), kind, F.lit('"}}, "b": "\\"token\\": 1"}')))
+        .otherwise(F.col("props"))
+    )
+    return table(spark, sf_dir, "events").select("event_id", redaction.redact_json(texts).alias("r")).select(
+        "event_id", F.col("r.text").alias("props"), F.col("r.parsed").alias("parsed")
+    )
+
+
 @registered(
     """SELECT page_id, '[REDACTED]' AS auth, url AS host, CASE WHEN page_id % 2 = 0 THEN '[REDACTED]' END AS api,
 'Bearer ' || page_id AS bearer FROM pages"""

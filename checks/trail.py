@@ -9,6 +9,7 @@ from checks.relations import (
     AUDIT_SQL,
     BIG_SQL,
     DECIDED,
+    ORACLES,
     REQUEST_COLUMNS,
     SCOPED,
     SMALL_SQL,
@@ -26,7 +27,7 @@ from checks.relations import (
 )
 from checks.verdicts import _ALL_READABLE, _NONE_GRANTED, _OUTCOMES
 from palisade.operators import audit as trail, enforce, maintenance, viewcatalog
-from palisade.session import fresh_path
+from palisade.session import fresh_path, materialise
 from palisade.sources import audit_log, readers
 from palisade.streaming import streams
 
@@ -70,6 +71,18 @@ def audit_view_of_agent(spark, sf_dir):
     return trail.view_audit(audit(spark, sf_dir), "steward", 50)
 
 
+_MIXED = AUDIT_COLUMNS | {"seq": "CASE WHEN event_id % 2 = 0 THEN event_id + 1700000000000000 ELSE event_id END"}
+
+
+@registered(f"SELECT {_AUDIT_COLS} FROM ({project_sql(_MIXED, 'events')}) ORDER BY timestamp DESC, seq DESC LIMIT 45")
+def audit_view_mixed(spark, sf_dir):
+    """A trail of live entries, numbered by the clock, and of judged logs, numbered by request: newest first all the same."""
+    path, entries = fresh_path(spark, "audit"), project(table(spark, sf_dir, "events"), _MIXED)
+    for part in ("seq < 1700000000000000", "seq >= 1700000000000000"):
+        audit_log.append_audit(entries.filter(part), path)
+    return trail.view_audit(audit_log.read_audit(spark, path), limit=45)
+
+
 @registered(with_sql(AUDIT_SQL, "SELECT count(*) AS total FROM audit"))
 def audit_total(spark, sf_dir):
     return trail.audit_total(audit(spark, sf_dir))
@@ -192,6 +205,42 @@ def rate_limit(spark, sf_dir):
     return trail.rate_limit_breaches(audit(spark, sf_dir), 3, "1 hour")
 
 
+@registered(
+    with_sql(
+        AUDIT_SQL
+        | {
+            "ranked": "SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY timestamp, seq) AS rn FROM audit",
+            "reached": "SELECT agent_id, timestamp, max(rn) AS upto FROM ranked GROUP BY ALL",
+            "counted": """SELECT r.seq, r.agent_id, r.timestamp, r.rn - coalesce(b.upto, 0) AS in_window FROM ranked r
+ASOF LEFT JOIN reached b ON r.agent_id = b.agent_id AND r.timestamp - INTERVAL 1 DAY >= b.timestamp""",
+        },
+        "SELECT seq, agent_id, timestamp, CAST(in_window AS BIGINT) AS in_window FROM counted WHERE in_window > 5",
+    )
+)
+def sliding_limit(spark, sf_dir):
+    """Entries with which an agent had over five requests in the day that ended with them."""
+    return trail.sliding_limit_breaches(audit(spark, sf_dir), 5, "1 day")
+
+
+@registered(
+    with_sql(
+        AUDIT_SQL,
+        """SELECT agent_id, count(*) AS requests, count(DISTINCT resource) AS resources, true AS median_near, true AS tail_near
+FROM audit GROUP BY agent_id""",
+    )
+)
+def usage_from_sketches(spark, sf_dir):
+    """Totals of each agent out of stored hourly sketches; their quantiles' true ranks are near the ones asked for."""
+    entries = audit(spark, sf_dir)
+    sketches = materialise(trail.usage_sketches(entries), "sketches")
+    found = trail.usage_of_sketches(sketches, "agent_id", ranks=(0.5, 0.9))
+    below = lambda q: F.sum((F.col("duration_ms") < F.col(q)).cast("int")) / F.count("duration_ms")
+    upto = lambda q: F.sum((F.col("duration_ms") <= F.col(q)).cast("int")) / F.count("duration_ms")
+    near = lambda q, rank: (below(q) <= rank + 0.03) & (upto(q) >= rank - 0.03)
+    true = entries.join(found, "agent_id").groupBy("agent_id").agg(near("ms_p50", 0.5).alias("median_near"), near("ms_p90", 0.9).alias("tail_near"))
+    return found.select("agent_id", "requests", "resources").join(true, "agent_id")
+
+
 @registered(
     with_sql(
         AUDIT_SQL
@@ -548,6 +597,16 @@ def stream_row_quota(spark, sf_dir):
     return _drained_windows(spark, streams.stream_row_quota(entries, small_bundle(spark), "1 day"))
 
 
+@registered(ORACLES["peak_concurrency"])
+def stream_peak_concurrency(spark, sf_dir):
+    """The highest number of requests of an agent at one time, kept up as they arrive."""
+    entries = project(_event_stream(spark, sf_dir), AUDIT_COLUMNS)
+    df, path = streams.stream_peak_concurrency(entries, small_bundle(spark)), fresh_path(spark, "windows")
+    streams.drain(streams.run_to_windows(df, path, fresh_path(spark, "state"), availableNow=True))
+    streams.fold_windows(spark, path, ["agent_id"])
+    return streams.read_windows(spark, path, df.schema, ["agent_id"])
+
+
 @registered(
     with_sql(
         _NONE_GRANTED | _ALL_READABLE | _OUTCOMES,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 from threading import Lock, Thread
 from time import perf_counter
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from palisade.operators.enforce import GovernedTable
 from palisade.operators.lookups import with_agent_policy
-from palisade.operators.prefix import peak_level, running_sum
+from palisade.operators.prefix import as_of, peak_level, running_sum
 from palisade.sources.audit_log import AUDIT_SCHEMA, append_audit, audit_columns
 from palisade.sources.policy import Bundle, local_frame
 
@@ -126,9 +126,10 @@ def audit_of_scope_outcomes(outcomes: DataFrame, action: str = "QUERY") -> DataF
 
 
 def view_audit(audit: DataFrame, agent: str | None = None, limit: int = 20) -> DataFrame:
-    """Newest entries first; a top-k, so only the k rows of each task move."""
+    """Newest entries first, whoever wrote them; ``seq`` only orders entries of one instant. A top-k, so only
+    the k rows of each task move."""
     own = audit if agent is None else audit.filter(F.col("agent_id") == agent)
-    return own.orderBy(F.col("seq").desc()).limit(max(1, limit))
+    return own.orderBy(F.col("timestamp").desc_nulls_last(), F.col("seq").desc()).limit(max(1, limit))
 
 
 def audit_total(audit: DataFrame) -> DataFrame:
@@ -220,7 +221,11 @@ def peak_concurrency(audit: DataFrame, bundle: Bundle) -> DataFrame:
         ).alias("e"),
     )
     net = steps.groupBy("agent_id", F.col("e.t").alias("t")).agg(F.sum("e.step").alias("net"))
-    peaks = peak_level(net, "agent_id", "t", "net")
+    return peaks_judged(peak_level(net, "agent_id", "t", "net"), bundle)
+
+
+def peaks_judged(peaks: DataFrame, bundle: Bundle) -> DataFrame:
+    """Peaks (agent_id, peak) beside what the agent's policy allows; batch and stream."""
     return _with_policy(peaks, bundle).select(
         F.col("agent").alias("agent_id"),
         "peak",
@@ -239,6 +244,51 @@ def rate_limit_breaches(audit: DataFrame, most: int = 100, length: str = "1 minu
     return rate_windows(audit, length).filter(F.col("requests") > most)
 
 
+def sliding_rates(audit: DataFrame, length: str = "60 seconds", **spread) -> DataFrame:
+    """Each entry with ``in_window``: the entries of its agent in the time of ``length`` that ends with it, itself included.
+
+    Entries of one instant count in ``seq`` order, and one exactly ``length`` ago no longer counts. An entry's rank among
+    its agent's, less the rank that was reached ``length`` before: a running sum and an as-of lookup, both over equal
+    ranges, so an agent or an instant with most of the entries is split.
+    """
+    rows = audit.filter("timestamp is not null and agent_id is not null").select("seq", "agent_id", "timestamp").withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_sum(rows, ["agent_id"], "timestamp", ["seq"], "_one", "_rank", **spread)
+    ranked = ranked.withColumn("_before", F.col("timestamp") - F.expr(f"INTERVAL '{length}'"))
+    reached = ranked.groupBy("agent_id", "timestamp").agg(F.struct(F.max("_rank").alias("rank")).alias("_reached"))
+    met = as_of(ranked, reached, ["agent_id"], "_before", "timestamp", "_reached", "_found", **spread)
+    count = F.col("_rank") - F.coalesce("_found.rank", F.lit(0))
+    return met.select("seq", "agent_id", "timestamp", count.alias("in_window"))
+
+
+def sliding_limit_breaches(audit: DataFrame, most: int = 100, length: str = "60 seconds", **spread) -> DataFrame:
+    """Entries with which an agent went over ``most`` requests in any time of ``length``, wherever minutes begin."""
+    return sliding_rates(audit, length, **spread).filter(F.col("in_window") > most)
+
+
+def usage_sketches(audit: DataFrame, length: str = "1 hour") -> DataFrame:
+    """Per agent and window: entries, and mergeable sketches of the resources asked for and of the durations. Kept as a table,
+    ``usage_of_sketches`` answers from it for any agents and spans without the log."""
+    timed = audit.filter("timestamp is not null").withColumn("window_start", F.window("timestamp", length)["start"])
+    return timed.groupBy("agent_id", "window_start").agg(
+        F.count("*").alias("requests"),
+        F.hll_sketch_agg("resource").alias("resources"),
+        F.kll_sketch_agg_bigint("duration_ms").alias("durations"),
+    )
+
+
+def usage_of_sketches(sketches: DataFrame, *keys: str, ranks: Sequence[float] = (0.5, 0.99)) -> DataFrame:
+    """Of the sketches of each group: requests, the number of distinct resources, and quantiles of the durations (NULL where
+    there are none). Estimates, exact for small groups: about 2 % for the numbers, 1.5 % of rank for the quantiles."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("requests").alias("requests"),
+        F.hll_sketch_estimate(F.hll_union_agg("resources")).alias("resources"),
+        F.kll_merge_agg_bigint("durations").alias("_durations"),
+    )
+    any_ = F.kll_sketch_get_n_bigint("_durations") > 0
+    at = [F.when(any_, F.kll_sketch_get_quantile_bigint("_durations", F.lit(float(r)))).alias(f"ms_p{100 * r:g}".replace(".", "_")) for r in ranks]
+    return merged.select(*keys, "requests", "resources", *at)
+
+
 def row_quota(audit: DataFrame, bundle: Bundle, length: str = "1 hour", **spread) -> DataFrame:
     """Entries after which an agent had received more rows in the window than its cap."""
     rows = audit.filter("row_count is not null and timestamp is not null").select(

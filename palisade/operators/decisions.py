@@ -118,18 +118,19 @@ def decide(requests: DataFrame, bundle: Bundle, name: str = "decision") -> DataF
 
     The first failing test gives the reason: operation, source, classification.
     """
-    if not bundle.enabled:
-        return requests.withColumn(name, F.expr(UNGOVERNED))
-    masks = F.expr(MASKS_ASKED) if "columns" in requests.columns else F.lit(None).cast(MASKS)
+    if bundle.small or requests.isStreaming or not bundle.enabled:  # one narrow pass; a stream joins row by row
+        return judged(requests, bundle, name)
+    keys = [c for c in ("agent", "source", "table", "operation", "columns") if c in requests.columns]
+    return folded(requests, keys, lambda asked: judged(asked, bundle, name))
 
-    def judge(asked: DataFrame) -> DataFrame:
-        found = with_policies(asked, bundle).withColumn("_masks", masks)
-        return found.select(*asked.columns, F.expr(DECISION).alias(name))
 
-    if bundle.small or requests.isStreaming:  # one narrow pass; a stream joins row by row
-        return judge(requests)
-    keys = [c for c in ("agent", "source", "table", "operation", "columns") if c in requests.columns]
-    return folded(requests, keys, judge)
+def judged(asked: DataFrame, bundle: Bundle, name: str) -> DataFrame:
+    """``decide`` row by row, for requests that are distinct already."""
+    if not bundle.enabled:
+        return asked.withColumn(name, F.expr(UNGOVERNED))
+    masks = F.expr(MASKS_ASKED) if "columns" in asked.columns else F.lit(None).cast(MASKS)
+    found = with_policies(asked, bundle).withColumn("_masks", masks)
+    return found.select(*asked.columns, F.expr(DECISION).alias(name))
 
 
 def preflight(pairs: DataFrame, bundle: Bundle) -> DataFrame:
@@ -140,8 +141,11 @@ def preflight(pairs: DataFrame, bundle: Bundle) -> DataFrame:
 
 
 def access_matrix(pairs: DataFrame, bundle: Bundle) -> DataFrame:
-    """Preflight of every distinct (agent, source, table), e.g. all those of a log or a scope."""
-    return preflight(pairs.select("agent", "source", "table").distinct(), bundle)
+    """Preflight of every distinct (agent, source, table), e.g. all those of a log or a scope. They are folded here, and
+    so not once more on the way to their answers."""
+    asked = pairs.select("agent", "source", "table").distinct().withColumn("operation", F.lit("SELECT"))
+    answered = judged(asked, bundle, "_decision")
+    return answered.select("agent", "source", "table", "_decision.allowed", "_decision.reason")
 
 
 def clearance_coverage(agent_sources: DataFrame, catalog: DataFrame, bundle: Bundle) -> DataFrame:

@@ -23,6 +23,8 @@ def active_rules(bundle: Bundle) -> DataFrame:
 def active_entries(bundle: Bundle) -> DataFrame:
     """(agent, scope_pos, source, source_pos) of the entries in force. The rules are folded to
     their entries once; an entry counts if its scope is the first one its agent has."""
+    if "entries" in bundle.resolved:
+        return bundle.resolved["entries"]
     place = F.min(F.struct("scope_pos", "source_pos")).alias("first")
     entries = bundle.scope_rules.groupBy("agent", "source").agg(place)
     entries = entries.select("agent", "source", "first.scope_pos", "first.source_pos")
@@ -132,12 +134,13 @@ def _scope_lookups(bundle: Bundle) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def resolve_scopes(bundle: Bundle) -> Bundle:
-    """Work out the merged rules in force once, as a table in the shared folder, for callers
+    """Work out the entries in force, and from them the merged rules, once, as tables in the shared folder, for callers
     that ask again and again."""
-    if bundle.small:
+    if bundle.small or "merged" in bundle.resolved:
         return bundle
     kept = dict(bundle.resolved)
     bundle = replace(bundle, resolved=kept)
+    kept["entries"] = materialise(active_entries(bundle), "entries")
     kept["merged"] = materialise(merge_rules(bundle), "merged")
     return bundle
 
@@ -149,6 +152,7 @@ def scope_decision(requests: DataFrame, bundle: Bundle, name: str = "scope") ->
     without a table join by (agent, source), so a request never multiplies.
     """
     if not bundle.small and not requests.isStreaming:
+        bundle = resolve_scopes(bundle)  # three lookups read it
         return folded(requests, ["agent", "source", "table"], lambda asked: _scope_of(asked, bundle, name))
     return _scope_of(requests, bundle, name)
 

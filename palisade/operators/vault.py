@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palisade.functions.masking import as_text, token
 from palisade.operators.lookups import splittable
+from palisade.session import fresh_path
 
 
 def token_vault(
@@ -23,18 +24,19 @@ def token_vault(
     return values.select("column", token(F.col("value"), salt, compat, whole).alias("token"), "value")
 
 
-def detokenize(df: DataFrame, column: str, vault: DataFrame, ambiguous: str | None = None) -> DataFrame:
+def detokenize(df: DataFrame, column: str, vault: DataFrame, ambiguous: str | None = None, stored: bool = False) -> DataFrame:
     """Give a tokenized column its values back; the row count never changes.
 
     A token the vault does not hold gives NULL. So does one that stands for several values,
     since none of them may be guessed; the optional column ``ambiguous`` is true for these.
     An equi join: the vault is folded to one row per token and shuffled afresh, so adaptive
-    execution can split a token that fills much of the table.
+    execution can split a token that fills much of the table. A vault from ``store_vault`` (``stored``) stays where it is; a
+    token that fills much of the table then stays in one task.
     """
     per = vault.filter(F.col("column") == column).groupBy("token").agg(
         F.min("value").alias("_value"), (F.min("value") != F.max("value")).alias("_several")
     )
-    own = splittable(per, "token").withColumnRenamed("token", column)
+    own = (per if stored else splittable(per, "token")).withColumnRenamed("token", column)
     joined = df.join(own, column, "left")
     found = F.when(~F.col("_several"), F.col("_value"))
     out = [found.alias(c) if c == column else F.col(c) for c in df.columns]
@@ -42,6 +44,19 @@ def detokenize(df: DataFrame, column: str, vault: DataFrame, ambiguous: str | No
     return joined.select(*out, *flag)
 
 
+def store_vault(vault: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The vault as files bucketed by token in the shared folder: ``detokenize`` with ``stored`` then moves the rows that it
+    gives values to, once at most, and never the vault. The catalog does not keep the files."""
+    spark = vault.sparkSession
+    buckets, path = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_path(spark, "vault")
+    name = path.rpartition("/")[2].replace("-", "_")
+    rows = vault.repartition(buckets, "token").sortWithinPartitions("token")
+    rows.write.bucketBy(buckets, "token").sortBy("token").option("path", path).saveAsTable(name, format="parquet")
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the entry only: the files have a path of their own
+    return stored
+
+
 def token_collisions(vault: DataFrame) -> DataFrame:
     """Tokens that stand for more than one value of a column."""
     per = vault.groupBy("column", "token").agg(F.countDistinct("value").alias("values"))

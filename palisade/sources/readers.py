@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +18,14 @@ FETCH_SIZE = "10000"
 @dataclass(frozen=True)
 class Split:
     """How to cut a database scan into parallel range scans. Without bounds, ``bounded`` asks
-    the database for the least and the greatest value first."""
+    the database for the least and the greatest value first, and the ranges are equally wide. With ``depth`` it is asked for
+    the values that part its rows equally, so that no task has most of them; only a value that many rows share stays whole."""
 
     column: str
     parts: int
     lower: str | None = None
     upper: str | None = None
+    depth: bool = False
 
 
 def reader_options(source: Mapping, table: str | None = None, query: str | None = None, split: Split | None = None):
@@ -99,8 +102,41 @@ def bounded(spark: SparkSession, source: Mapping, table: str, split: Split) -> S
     return None if least is None else replace(split, lower=str(least), upper=str(most))
 
 
+def cuts_query(table: str, column: str, parts: int) -> str:
+    """The greatest value of each of ``parts`` equal shares of the rows, but for the last share: fewer than ``parts`` rows."""
+    shares = f"SELECT {column} AS cut, ntile({parts}) OVER (ORDER BY {column}) AS share FROM {table} WHERE {column} IS NOT NULL"
+    return f"SELECT max(cut) AS cut FROM ({shares}) AS shares WHERE share < {parts} GROUP BY share"
+
+
+def _literal(value) -> str:
+    if isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def predicates(column: str, cuts: Iterable) -> list[str]:
+    """One condition for each part; every row meets exactly one, those without a value the first."""
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return ["1 = 1"]
+    texts = [_literal(c) for c in cuts]
+    first = f"({column} <= {texts[0]} OR {column} IS NULL)"
+    between = [f"({column} > {a} AND {column} <= {b})" for a, b in zip(texts, texts[1:], strict=False)]
+    return [first, *between, f"{column} > {texts[-1]}"]
+
+
+def read_by_depth(spark: SparkSession, source: Mapping, table: str, split: Split) -> DataFrame:
+    """A database table read in parts of about as many rows each."""
+    cuts = [r["cut"] for r in read_source(spark, source, query=cuts_query(table, split.column, split.parts)).collect()]
+    _, options = reader_options(source, table)
+    url, name = options.pop("url"), options.pop("dbtable")
+    return spark.read.jdbc(url, name, predicates=predicates(split.column, cuts), properties=options)
+
+
 def read_source(spark: SparkSession, source: Mapping, table=None, query=None, split: Split | None = None) -> DataFrame:
     """A database table is read in as many tasks as its split has parts, in one without a split."""
+    if split and table and split.depth and reader_options(source, table)[0] == "jdbc":
+        return read_by_depth(spark, source, table, split)
     if split and table:
         split = bounded(spark, source, table, split)
     fmt, options = reader_options(source, table, query, split)

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.functions.redaction import CREDENTIAL_SECRETS, redact_frame
+from palisade.session import materialise
 from palisade.sources.config import checked_source
 from palisade.sources.policy import FLAG, SCHEMAS, TEXT, local_frame, source_row, struct
 from palisade.sources.readers import Split, read_source
 from palisade.sources.snapshots import SnapshotTable
 
 Loader = Callable[[SparkSession, str], DataFrame]
-PROBES = 8
 
 
 class Registry:
@@ -76,20 +76,36 @@ class Registry:
         return local_frame(spark, rows, SCHEMAS["sources"])
 
     def probe(self, spark: SparkSession) -> DataFrame:
-        """(source, table, reachable, error): each listed table is asked for one row, ``PROBES``
-        of them at a time."""
-
-        def ask(listed: tuple[str, str]) -> dict:
-            error = None
+        """(source, table, reachable, error): one job asks every listed table for one row. If it fails, each half of the
+        tables is asked again, down to those that cannot be read."""
+        schema = struct(source=TEXT, table=TEXT, reachable=FLAG, error=TEXT)
+
+        def failed(listed: tuple[str, str], err: Exception) -> DataFrame:
+            error = next(iter(str(err).splitlines()), type(err).__name__)
+            return local_frame(spark, [{"source": listed[0], "table": listed[1], "reachable": False, "error": error}], schema)
+
+        def answers(asked: list[tuple[tuple[str, str], DataFrame]]) -> list[DataFrame]:
+            if not asked:
+                return []
+            rows = [
+                df.limit(1).agg(F.count("*")).select(
+                    F.lit(source).alias("source"), F.lit(table).alias("table"), F.lit(True).alias("reachable"), F.lit(None).cast("string").alias("error")
+                )
+                for (source, table), df in asked
+            ]
             try:
-                self.load(spark, *listed).limit(1).collect()
+                return [materialise(reduce(DataFrame.unionAll, rows), "probe")]
             except Exception as err:
-                error = str(err).splitlines()[0]
-            return {"source": listed[0], "table": listed[1], "reachable": error is None, "error": error}
+                half = len(asked) // 2
+                return answers(asked[:half]) + answers(asked[half:]) if half else [failed(asked[0][0], err)]
 
-        with ThreadPoolExecutor(PROBES) as pool:
-            rows = list(pool.map(ask, [(name, table) for name in self._loaders for table in self.tables(name)]))
-        return local_frame(spark, rows, struct(source=TEXT, table=TEXT, reachable=FLAG, error=TEXT))
+        found, out = [], [local_frame(spark, [], schema)]
+        for listed in [(name, table) for name in self._loaders for table in self.tables(name)]:
+            try:
+                found.append((listed, self.load(spark, *listed)))
+            except Exception as err:
+                out.append(failed(listed, err))
+        return reduce(DataFrame.unionAll, out + answers(found))
 
 
 def list_without_secrets(sources: DataFrame) -> DataFrame:

@@ -8,16 +8,21 @@ later than the watermark are not counted in; ``late_rows`` tells how many there
 
 from __future__ import annotations
 
+import contextlib
+import time
+import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from palisade.operators.audit import audit_of_outcomes, quota_breaches, quota_windows, rate_windows
+from palisade.operators.audit import audit_of_outcomes, peaks_judged, quota_breaches, quota_windows, rate_windows
 from palisade.operators.enforce import Access, ResidencyKey, govern
 from palisade.plans.outcome import request_outcome
 from palisade.sources.policy import Bundle
+from palisade.sources.snapshots import SnapshotTable, VersionTaken
 
 
 def stream_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
@@ -54,6 +59,79 @@ def stream_row_quota(
     return quota_breaches(_wall(quota_windows(_watermarked(audit, lateness), length)), bundle)
 
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PEAKS = "agent_id string, peak long"
+
+
+def _peak_rows(agents: list, peaks: list) -> pd.DataFrame:
+    return pd.DataFrame({"agent_id": pd.Series(agents, dtype=object), "peak": pd.Series(peaks, dtype="int64")})
+
+
+class _Levels(StatefulProcessor):
+    """One agent's running level. Steps up to the watermark are folded into ``level``, with the highest one so far; later
+    ones wait in ``steps``, net per instant, as entries that come may still stand before them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.level = handle.getValueState("level", "level long, peak long, until long")
+        self.steps = handle.getMapState("steps", "t long", "net long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 (names that Spark calls)
+        until = (self.level.get() or (0, 0, -1 << 62))[2]
+        net: dict[int, int] = {}
+        for batch in rows:
+            for start, end in zip(batch["start"].tolist(), batch["end"].tolist(), strict=True):
+                if start >= until:  # else it is later than what has been folded already
+                    net[start] = net.get(start, 0) + 1
+                    net[end] = net.get(end, 0) - 1
+        waiting = {t[0]: n[0] for t, n in self.steps.iterator()}
+        for t, n in net.items():
+            waiting[t] = waiting.get(t, 0) + n
+        level, peak, waiting = self._folded(waiting, net, timerValues)
+        for t in sorted(waiting):  # as things stand: an entry that comes can only raise it
+            level += waiting[t]
+            peak = max(peak, level)
+        yield _peak_rows([key[0]], [peak])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self._folded({t[0]: n[0] for t, n in self.steps.iterator()}, {}, timerValues)
+        yield _peak_rows([], [])
+
+    def _folded(self, waiting: dict[int, int], new: dict[int, int], timers) -> tuple[int, int, dict[int, int]]:
+        """Fold what the watermark has passed; keep, and set a timer for, what it has not."""
+        mark = timers.getCurrentWatermarkInMs() * 1000
+        level, peak, until = self.level.get() or (0, 0, -1 << 62)
+        for t in sorted(t for t in waiting if t <= mark):
+            level += waiting.pop(t)
+            peak = max(peak, level)
+            if self.steps.containsKey((t,)):
+                self.steps.removeKey((t,))
+        self.level.update((level, peak, max(until, mark)))
+        for t in new:
+            if t in waiting:
+                self.steps.updateValue((t,), (waiting[t],))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.handle.registerTimer(max(waiting) // 1000 + 1)
+        return level, peak, waiting
+
+    def close(self) -> None:
+        pass
+
+
+def stream_peak_concurrency(audit: DataFrame, bundle: Bundle, lateness: str = "10 minutes") -> DataFrame:
+    """(agent_id, peak, max_concurrency, breached) as entries arrive, the batch answer once all have: overlapping [start, start +
+    duration) of each agent. State holds the steps the watermark has not passed; entries later than it are left out.
+    Sets the session's state store to RocksDB, which this state needs."""
+    audit.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    timed = _watermarked(audit.filter("duration_ms is not null and duration_ms > 0 and timestamp is not null"), lateness)
+    start = F.unix_micros("timestamp")
+    spans = timed.select("agent_id", "timestamp", start.alias("start"), (start + F.col("duration_ms") * 1000).alias("end"))
+    peaks = spans.groupBy("agent_id").transformWithStateInPandas(_Levels(), _PEAKS, "update", "EventTime")
+    return peaks_judged(peaks, bundle)
+
+
 def stream_decisions(requests: DataFrame, bundle: Bundle, **options) -> DataFrame:
     """Outcome of each request as it arrives. Policies are the static side of every join; for
     stored ones, ``lookups.resolve`` and ``scope.resolve_scopes`` once ahead keep the
@@ -77,14 +155,25 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+_WRITTEN = ("_run", "_batch")
+
+
 def run_to_windows(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Start writing windows in update mode. Every micro-batch stores the windows it changed in a
-    sub-folder of its own, which a repeated batch writes anew; ``read_windows`` shows the last
-    state of each."""
+    """Start writing windows in update mode to a table of versions (``SnapshotTable``) that several streams and runs may share.
+    Every micro-batch appends the windows it changed, once, however often it is run; ``read_windows`` shows the last
+    state of each, ``fold_windows`` keeps only that."""
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+    run = time.time_ns() // 1000
+    spark = df.sparkSession
+    target = SnapshotTable(spark, path)
+    if not target.versions():
+        columns = [*df.schema.fields, *[StructField(c, LongType()) for c in _WRITTEN]]
+        with contextlib.suppress(VersionTaken):  # another stream was first
+            SnapshotTable.create(spark.createDataFrame([], StructType(columns)), path)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        named = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
-        named.write.mode("overwrite").parquet(f"{path}/batch-{batch_id:012d}")
+        named = batch.withColumns({"_run": F.lit(run).cast("long"), "_batch": F.lit(batch_id).cast("long")})
+        target.append(named, stream, batch_id)
 
     writer = df.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
@@ -92,11 +181,25 @@ def run_to_windows(df: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
 
 def read_windows(spark: SparkSession, path: str, schema, keys: Sequence[str] = ("agent_id", "window_start")) -> DataFrame:
     """The last state of each window written by ``run_to_windows``."""
-    names = [f.name for f in schema.fields if f.name not in keys]
-    whole = StructType([*schema.fields, StructField("_batch", LongType())])
-    rows = spark.read.schema(whole).option("recursiveFileLookup", "true").parquet(path)
-    last = rows.groupBy(*keys).agg(F.max(F.struct("_batch", *names)).alias("last"))
-    return last.select(*[F.col(f.name) if f.name in keys else F.col(f"last.{f.name}") for f in schema.fields])
+    return _last(SnapshotTable(spark, path).read(), keys).select(*schema.names)
+
+
+def _last(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    others = [c for c in rows.columns if c not in (*keys, *_WRITTEN)]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*_WRITTEN, *others)).alias("last"))
+    return last.select(*keys, *[f"last.{c}" for c in (*others, *_WRITTEN)])
+
+
+def fold_windows(spark: SparkSession, path: str, keys: Sequence[str] = ("agent_id", "window_start"), keep: int = 10) -> None:
+    """Keep only the last state of each window, beside running streams too; files that only versions before the last ``keep`` read go
+    when they are a day old."""
+    target = SnapshotTable(spark, path)
+    while True:
+        version = target.version()
+        with contextlib.suppress(VersionTaken):
+            target.replace(_last(target.read(version), keys), version)
+            break
+    target.vacuum(keep)
 
 
 def late_rows(query: StreamingQuery) -> int:

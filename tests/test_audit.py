@@ -34,6 +34,43 @@ def log_of(n, seed=0, spread=600):
     ]
 
 
+def test_newest_first_over_live_and_batch_entries(spark):
+    log = entries(spark, [{"seq": 10**15 + i if i % 2 else i, "agent_id": "a", "timestamp": START + timedelta(seconds=i // 3)} for i in range(30)] + [{"seq": 10**16, "agent_id": "a"}])
+    got = [(r["timestamp"], r["seq"]) for r in trail.view_audit(log, limit=31).collect()]
+    assert got == sorted(got[:-1], reverse=True) + [(None, 10**16)]
+
+
+@pytest.mark.parametrize("pieces", [None, 1, 7])
+def test_sliding_rates_against_brute_force(spark, pieces):
+    """One agent with most entries, entries of one instant, and distances of exactly the length."""
+    rng = random.Random(3)
+    rows = [{"seq": i, "agent_id": rng.choice(["hot"] * 8 + ["b", "c"]), "timestamp": START + timedelta(seconds=rng.choice([0, 60, 120, rng.randint(0, 400)]))} for i in range(700)]
+    got = {r["seq"]: r["in_window"] for r in trail.sliding_rates(entries(spark, rows + [{"seq": -1, "agent_id": "b"}, {"seq": -2, "timestamp": START}]), pieces=pieces).collect()}
+    want = {}
+    for r in rows:
+        at = (r["timestamp"], r["seq"])
+        want[r["seq"]] = sum(1 for o in rows if o["agent_id"] == r["agent_id"] and (o["timestamp"], o["seq"]) <= at and o["timestamp"] > r["timestamp"] - timedelta(seconds=60))
+    assert got == want
+    over = {r["seq"] for r in trail.sliding_limit_breaches(entries(spark, rows), 40, pieces=pieces).collect()}
+    assert over == {s for s, n in want.items() if n > 40} and over
+
+
+def test_sketches_merge_to_the_exact_answers(spark):
+    rng = random.Random(1)
+    rows = [{"seq": i, "agent_id": "ab"[i % 2], "resource": f"t{rng.randint(0, 2999)}", "timestamp": START + timedelta(minutes=rng.randint(0, 9000)), "duration_ms": None if i % 9 == 0 else rng.randint(0, 10**6)} for i in range(20_000)]
+    sketches = trail.usage_sketches(entries(spark, rows + [{"seq": -1, "agent_id": "c", "timestamp": START, "resource": "x"}]))
+    for r in trail.usage_of_sketches(sketches, "agent_id").collect():
+        own = [x for x in rows if x["agent_id"] == r["agent_id"]]
+        if r["agent_id"] == "c":
+            assert (r["requests"], r["resources"], r["ms_p50"], r["ms_p99"]) == (1, 1, None, None)
+            continue
+        distinct, times = len({x["resource"] for x in own}), sorted(x["duration_ms"] for x in own if x["duration_ms"] is not None)
+        assert r["requests"] == len(own) and abs(r["resources"] / distinct - 1) < 0.05
+        for name, rank in (("ms_p50", 0.5), ("ms_p99", 0.99)):
+            assert abs(sum(t <= r[name] for t in times) / len(times) - rank) < 0.03
+    assert trail.usage_of_sketches(sketches).first()["requests"] == 20_001
+
+
 def test_audited_run(spark, tables, bundle, tmp_path):
     path = str(tmp_path / "audit")
     result = governed_table(spark, tables, bundle, "steward", "warehouse", "customer")

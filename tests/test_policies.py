@@ -223,6 +223,39 @@ def test_hot_scope_is_split_over_tasks(spark, small_skew):
     assert "skew=true" in final_plan(out)
 
 
+def exchanges(df) -> list[str]:
+    import re
+
+    plan = plan_of(df).split("== Initial Plan ==")[0]
+    return re.findall(r"Exchange (?:hash|range|single)\w*", plan)
+
+
+def test_a_stored_vault_does_not_move(spark, small_skew):
+    rows = spark.range(0, 5000, 1, 4).select(F.col("id").cast("string").alias("v"), "id")
+    from palisade.operators.vault import store_vault
+
+    vault = store_vault(token_vault(rows, ["v"]))
+    hidden = rows.select(F.concat(F.lit("tok_"), F.substring(F.sha2("v", 256), 1, 12)).alias("v"), "id")
+    out = detokenize(hidden, "v", vault, stored=True)
+    assert sorted(map(tuple, out.collect())) == sorted((str(i), i) for i in range(5000))
+    assert len(exchanges(out)) == 1  # of the rows that get their values back
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("vault")]
+
+
+def test_scopes_are_resolved_once_and_the_log_moves_twice(spark, sf, small_skew):
+    bundle = big_bundle(spark, sf)
+    out = scope.scope_decision(big_requests(spark, sf), bundle)
+    assert plan_of(out).count("orders.parquet") <= 2  # the log's own orders, on both sides of the fold: no rule is read again
+    resolved = scope.resolve_scopes(bundle)
+    assert scope.resolve_scopes(resolved) is resolved
+    assert sorted(resolved.resolved) == ["entries", "merged"]
+
+
+def test_access_matrix_folds_once(spark, sf, small_skew):
+    out = decisions.access_matrix(big_requests(spark, sf), lookups.resolve(big_bundle(spark, sf)))
+    assert plan_of(out).count("HashAggregate(keys=[agent") <= 2
+
+
 def test_no_registered_query_uses_python_or_cross_joins(spark, sf):
     from checks import masks, trail, verdicts  # noqa: F401  (registration)
     from checks.relations import QUERIES

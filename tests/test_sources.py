@@ -97,6 +97,57 @@ def test_file_formats(spark, tmp_path, fmt):
     assert [tuple(r) for r in reg.load(spark, "s", "t").select("id", "s").collect()] == [(1, "a")]
 
 
+def test_one_unreadable_table_does_not_hide_the_others(spark, sf, tmp_path):
+    for name in ("a", "b", "c", "d"):
+        spark.range(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for file in (tmp_path / "c.parquet").glob("part-*"):
+        file.write_bytes(b"PAR1 not a footer PAR1")
+    reg = Registry().add_files("files", str(tmp_path), ["a", "b", "none"])
+    reg.add("typed", lambda spark, t: spark.read.schema("id long").parquet(f"{tmp_path}/{t}.parquet"), ["c", "d"])
+    reg.add("none", lambda spark, t: None)
+    probe = {r["table"]: r for r in reg.probe(spark).collect()}
+    assert {t: r["reachable"] for t, r in probe.items()} == {"a": True, "b": True, "none": False, "c": False, "d": True}
+    assert probe["c"]["error"] and probe["d"]["error"] is None
+    assert Registry().probe(spark).collect() == []
+
+
+@pytest.mark.parametrize("values", [[], [None], [1], [3, 3, 3, 3], [5] * 90 + list(range(30)) + [None] * 7, [1.5, -2.25, 10.0], ["a", "it's", "b", None, "b"]])
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_splits_of_equal_depth(values, parts):
+    """The texts a database gets, run by one in this process: each row in exactly one part, none far above its share."""
+    import duckdb
+
+    from palisade.sources.readers import cuts_query, predicates
+
+    con = duckdb.connect()
+    kind = "VARCHAR" if any(isinstance(v, str) for v in values) else "DOUBLE" if any(isinstance(v, float) for v in values) else "BIGINT"
+    con.execute(f"CREATE TABLE t (v {kind})")
+    if values:
+        con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    cuts = [r[0] for r in con.execute(cuts_query("t", "v", parts)).fetchall()]
+    conditions = predicates("v", cuts)
+    assert len(conditions) <= parts
+    counts = [con.execute(f"SELECT count(*) FROM t WHERE {c}").fetchone()[0] for c in conditions]
+    assert sum(counts) == len(values)
+    hottest = max((values.count(v) for v in set(values) - {None}), default=0)
+    assert all(n <= -(-len(values) // parts) + hottest + values.count(None) for n in counts)
+
+
+def test_a_split_by_depth_reads_by_conditions(spark, monkeypatch):
+    """Options only: there is no database here."""
+    from pyspark.sql import DataFrameReader
+
+    from palisade.sources import readers
+
+    asked = {}
+    monkeypatch.setattr(DataFrameReader, "load", lambda self: spark.createDataFrame([(10,), (20,)], "cut long"))
+    monkeypatch.setattr(DataFrameReader, "jdbc", lambda self, url, table, **options: asked.update(options, url=url, table=table))
+    db = {**source("postgres", {"host": "h", "database": "d", "username": "u", "password": "p"}, host="h"), "name": "db"}
+    readers.read_source(spark, db, "orders", split=Split("o_orderkey", 3, depth=True))
+    assert asked["predicates"] == ["(o_orderkey <= 10 OR o_orderkey IS NULL)", "(o_orderkey > 10 AND o_orderkey <= 20)", "o_orderkey > 20"]
+    assert asked["table"] == "orders" and asked["url"].startswith("jdbc:postgresql://h") and asked["properties"]["user"] == "u"
+
+
 def test_config_defaults():
     config = check_config(
         {
@@ -173,7 +224,7 @@ def test_config_files(spark, tmp_path):
 @pytest.mark.parametrize(
     "query, table, operation, columns",
     [
-        ("SELECT * FROM pull_requests", "pull_requests", "SELECT", []),
+        ("SELECT * FROM lots_shipped", "lots_shipped", "SELECT", []),
         ("SELECT 1", "SELECT", "SELECT", []),
         ("SELECT a FROM public.users", "public", "SELECT", ["a"]),
         ("UPDATE users SET a=1", "UPDATE", "UPDATE", []),

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from palisade.operators import audit as trail
@@ -5,6 +6,7 @@ from palisade.operators.enforce import check_access, governed_table
 from palisade.plans.outcome import request_outcome
 from palisade.sources.audit_log import AUDIT_SCHEMA, append_audit_stream, read_audit, stream_audit
 from palisade.sources.policy import local_frame
+from palisade.sources.snapshots import SnapshotTable
 from palisade.streaming import streams
 
 START = datetime(2024, 1, 1)
@@ -61,6 +63,66 @@ def test_stream_equals_batch(spark, tmp_path):
     assert want and got == want
 
 
+def test_streams_share_a_target_and_it_is_folded(spark, tmp_path):
+    """Two streams, a new checkpoint, and a fold between: the last state of each window stands, in few rows."""
+    path = str(tmp_path / "shared")
+    for name, agent in (("x", "a"), ("y", "b")):
+        rows = [{"seq": i, "agent_id": agent, "timestamp": START + timedelta(minutes=i), "row_count": 1} for i in range(90)]
+        for part in range(3):
+            land(spark, rows[part * 30 : part * 30 + 30], str(tmp_path / name), part)
+
+    def run(name, state, files):
+        stream = streams.stream_files(spark, f"{tmp_path / name}/*", AUDIT_SCHEMA, maxFilesPerTrigger=files)
+        df = streams.stream_rate_limit(stream, 0, "1 hour")
+        streams.drain(streams.run_to_windows(df, path, str(tmp_path / state), availableNow=True))
+        return streams.read_windows(spark, path, df.schema)
+
+    run("x", "x-state", 1)
+    got = run("y", "y-state", 1)
+    want = sorted((agent, START + timedelta(hours=h), n) for agent in "ab" for h, n in ((0, 60), (1, 30)))
+    assert sorted(map(tuple, got.collect())) == want
+    streams.fold_windows(spark, path)
+    stored = SnapshotTable(spark, path)
+    assert stored.read().count() == 4
+    assert sorted(map(tuple, run("x", "fresh-state", 3).collect())) == want  # from a new checkpoint, over the same log
+    versions = stored.version()
+    assert sorted(map(tuple, run("x", "x-state", 1).collect())) == want and stored.version() == versions  # nothing is left to read
+
+
+def test_peak_concurrency_as_it_arrives_equals_the_batch_answer(spark, bundle, tmp_path):
+    """Files out of order within the lateness, entries of one instant, a restart, and one entry that is too late."""
+    rng = random.Random(8)
+    rows = [
+        {"seq": k, "agent_id": rng.choice(["steward", "planner", "nobody"]), "timestamp": START + timedelta(seconds=k // 2 + rng.randint(0, 200)),
+         "duration_ms": rng.choice([None, 0, 500, 1000, 90_000, 400_000])}
+        for k in range(1500)
+    ]
+    folder = str(tmp_path / "log")
+    batch = local_frame(spark, [{"source": "s", "action": "QUERY", "resource": "t", "policy_decision": "permitted", **r} for r in rows], AUDIT_SCHEMA)
+    want = sorted(map(tuple, trail.peak_concurrency(batch, bundle).collect()))
+
+    def run():
+        stream = streams.stream_files(spark, f"{folder}/*", AUDIT_SCHEMA, maxFilesPerTrigger=1)
+        df = streams.stream_peak_concurrency(stream, bundle)
+        streams.drain(streams.run_to_windows(df, str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True))
+        return sorted(map(tuple, streams.read_windows(spark, str(tmp_path / "out"), df.schema, ["agent_id"]).collect()))
+
+    for part in range(3):
+        land(spark, rows[part * 250 : part * 250 + 250], folder, part)
+    first = run()
+    assert all(r[1] <= w[1] for r, w in zip(first, want, strict=True))
+    for part in range(3, 6):
+        land(spark, rows[part * 250 : part * 250 + 250], folder, part)
+    assert run() == want
+    far = [{"seq": 9000, "agent_id": "planner", "timestamp": START + timedelta(days=1), "duration_ms": 10}]
+    late = [{"seq": 9001 + k, "agent_id": "planner", "timestamp": START + timedelta(seconds=700), "duration_ms": 400_000} for k in range(300)]
+    land(spark, far, folder, 6)
+    land(spark, far, folder, 7)
+    run()
+    land(spark, late, folder, 8)
+    assert run() == want
+
+
 REQUESTS = "request_id bigint, ts timestamp_ntz, agent string, source string, query string"
 
 
