@@ -98,7 +98,7 @@ def row_cap(spark, sf_dir):
 
 @registered(
     """SELECT c_custkey, 'name-' || right(c_name, 4) AS c_name, c_mktsegment, CASE WHEN c_acctbal IS NOT NULL THEN
-'***REDACTED***' END AS c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 120"""
+'***REDACTED***' END AS c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 3200"""
 )
 def governed_customer(spark, sf_dir):
     """Row filter on a raw value, masks, scope columns and cap of one governed table."""
@@ -117,7 +117,7 @@ def governed_orders(spark, sf_dir):
 @registered(
     """SELECT c_custkey, 'tok_' || left(sha256(c_name), 12) AS c_name, c_nationkey FROM customer
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE r_name IN ('AMERICA', 'EUROPE')"""
+WHERE r_name IN ('AFRICA', 'ASIA', 'MIDDLE EAST')"""
 )
 def governed_residents(spark, sf_dir):
     """Wildcard scope, residency through a lookup, tokens."""

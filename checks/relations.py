@@ -42,14 +42,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ── the small bundle ───────────────────────────────────────────────
 
-_DB = {"host": "localhost", "database": "d", "username": "reader", "password": "not-shown"}
+_LOGIN = {"host": "localhost", "database": "d", "username": "reader", "password": "not-shown"}
+# where the tables are said to live: one store for each kind of use
+_STORES = {
+    "people_db": ("spanner", {"project": "p", "instance": "i", "database": "people"}, {}),
+    "parts_hub": ("mariadb", {"host": "localhost"}, _LOGIN),
+    "warehouse": ("alloydb", {"host": "localhost"}, _LOGIN),
+    "cold_store": ("bigquery", {"project": "p"}, {}),
+    "feed_api": ("rest", {"url": "/landed"}, {"apiKey": "k"}),
+}
+
+
+def _column(name: str, classification: str, masking: str = "none", form: str | None = None) -> dict:
+    return {"name": name, "classification": classification, "masking": masking} | ({"maskFormat": form} if form else {})
+
+
+def _table(name: str, classification: str, *columns: dict, **rules) -> dict:
+    return {"table": name, "classification": classification} | ({"columns": list(columns)} if columns else {}) | rules
+
+
+# what a table holds decides its policy: people are filtered and masked, money is capped, places are open
+_POLICIES = {
+    "warehouse": {
+        "tables": [
+            _table(
+                "customer", "pii",
+                _column("c_name", "pii", "partial", "name-****"), _column("c_acctbal", "pci", "redact"), _column("c_mktsegment", "internal"),
+                rowFilter="c_acctbal > 0",
+            ),
+            _table("orders", "internal", maxRows=600),
+            _table("lineitem", "internal", _column("l_extendedprice", "confidential")),
+            _table("nation", "public", requireApprovalForWrites=False),
+            _table("region", "public"),
+            _table("supplier", "confidential", _column("s_acctbal", "pci", "hash"), _column("s_name", "internal", "partial", "****")),
+        ],
+    },
+    "parts_hub": {"defaultClassification": "public", "tables": [_table("part", "public", maxRows=25, rowFilter="p_size > 10")]},
+    "people_db": {
+        "defaultClassification": "restricted",
+        "tables": [
+            _table("customer", "pii", _column("c_name", "pii", "tokenize"), residency=["AFRICA", "ASIA", "MIDDLE EAST"]),
+            _table("supplier", "restricted", _column("s_name", "restricted", "redact"), requireApprovalForWrites=False, maxRows=30),
+        ],
+    },
+}
+# (agent, highest class, sources it is held to); limits grow with the class
+_CLEARED = [("steward", "pii", None), ("order-desk", "internal", ["warehouse"]), ("planner", "confidential", ["warehouse", "parts_hub"])]
+_LEVEL = {"internal": 1, "confidential": 2, "pii": 4}
+
+
+def _agent(agent: str, level: str, held_to: list[str] | None) -> dict:
+    n = _LEVEL[level]
+    out = {
+        "agent": agent,
+        "allowedClassifications": [level],
+        "maxRowsPerQuery": 800 * n,
+        "maxConcurrency": 2 + 3 * n,
+        "queryTimeoutMs": 9000 * n,
+    }
+    if held_to:
+        return out | {"allowedSources": held_to}
+    return out | {"allowedOperations": ["DELETE", "INSERT", "SELECT", "UPDATE"], "requireApprovalForWrites": False}
+
 
 CONFIG = {
-    "sources": [
-        {"type": "postgres", "name": "warehouse", "connection": {"host": "localhost"}, "credentials": _DB},
-        {"type": "rest", "name": "feed_api", "connection": {"url": "/landed"}, "credentials": {"apiKey": "k"}},
-        {"type": "mysql", "name": "people_db", "connection": {"host": "localhost"}, "credentials": _DB},
-    ],
+    "sources": [{"type": t, "name": n, "connection": c, "credentials": k} for n, (t, c, k) in _STORES.items()],
     "scopes": [
         {
             "agent": "order-desk",
@@ -105,73 +162,8 @@ CONFIG = {
         },
     ],
     "governance": {
-        "sourcePolicies": [
-            {
-                "source": "warehouse",
-                "tables": [
-                    {
-                        "table": "customer",
-                        "classification": "pii",
-                        "maxRows": 120,
-                        "rowFilter": "c_acctbal > 0",
-                        "columns": [
-                            {
-                                "name": "c_name",
-                                "classification": "pii",
-                                "masking": "partial",
-                                "maskFormat": "name-****",
-                            },
-                            {"name": "c_acctbal", "classification": "pci", "masking": "redact"},
-                            {"name": "c_mktsegment", "classification": "internal", "masking": "none"},
-                        ],
-                    },
-                    {"table": "orders", "classification": "internal", "maxRows": 600},
-                    {"table": "lineitem", "classification": "internal"},
-                    {"table": "nation", "classification": "public", "requireApprovalForWrites": False},
-                    {"table": "region", "classification": "public"},
-                ],
-            },
-            {
-                "source": "people_db",
-                "defaultClassification": "pii",
-                "tables": [
-                    {
-                        "table": "customer",
-                        "classification": "pii",
-                        "maxRows": 45,
-                        "residency": ["AMERICA", "EUROPE"],
-                        "columns": [{"name": "c_name", "classification": "pii", "masking": "tokenize"}],
-                    }
-                ],
-            },
-        ],
-        "agentPolicies": [
-            {
-                "agent": "steward",
-                "allowedClassifications": ["pii"],
-                "maxRowsPerQuery": 9000,
-                "maxConcurrency": 12,
-                "queryTimeoutMs": 35000,
-                "allowedOperations": ["DELETE", "INSERT", "SELECT", "UPDATE"],
-                "requireApprovalForWrites": False,
-            },
-            {
-                "agent": "order-desk",
-                "allowedClassifications": ["internal"],
-                "maxRowsPerQuery": 750,
-                "maxConcurrency": 4,
-                "queryTimeoutMs": 12000,
-                "allowedSources": ["warehouse"],
-            },
-            {
-                "agent": "planner",
-                "allowedClassifications": ["confidential"],
-                "maxRowsPerQuery": 4000,
-                "maxConcurrency": 6,
-                "queryTimeoutMs": 25000,
-                "allowedSources": ["warehouse"],
-            },
-        ],
+        "sourcePolicies": [{"source": source, **policy} for source, policy in _POLICIES.items()],
+        "agentPolicies": [_agent(*cleared) for cleared in _CLEARED],
     },
 }
 
@@ -195,7 +187,7 @@ def home_region(spark: SparkSession, sf_dir: str) -> ResidencyKey:
 
 # The same bundle for DuckDB, written out by hand.
 SMALL_SQL = {
-    "known": "SELECT * FROM (VALUES ('warehouse'), ('feed_api'), ('people_db')) t(name)",
+    "known": "SELECT * FROM (VALUES ('people_db'), ('parts_hub'), ('warehouse'), ('cold_store'), ('feed_api')) t(name)",
     "rules": """SELECT * FROM (VALUES
   ('order-desk', 'warehouse', 'orders', 0, ['o_orderkey','o_orderstatus','o_orderdate','o_orderpriority'],
    [{'key': 'o_orderstatus', 'value': 'O', 'type': 'string'}]),
@@ -217,24 +209,32 @@ SMALL_SQL = {
   ('map-reader', 'warehouse', 'region', 1, NULL, NULL)
 ) t(agent, source, "table", rule_pos, fields, filters)""",
     "ap": """SELECT * FROM (VALUES
-  ('steward', 4, ['SELECT','INSERT','UPDATE','DELETE'], NULL, 9000, false, 12, 35000),
-  ('order-desk', 1, ['SELECT'], ['warehouse'], 750, true, 4, 12000),
-  ('planner', 2, ['SELECT'], ['warehouse'], 4000, true, 6, 25000)
+  ('steward', 4, ['SELECT','INSERT','UPDATE','DELETE'], NULL, 3200, false, 14, 36000),
+  ('order-desk', 1, ['SELECT'], ['warehouse'], 800, true, 5, 9000),
+  ('planner', 2, ['SELECT'], ['warehouse', 'parts_hub'], 1600, true, 8, 18000)
 ) t(agent, rnk, ops, srcs, max_rows, approve, max_concurrency, timeout_ms)""",
-    "sp": "SELECT * FROM (VALUES ('warehouse', 'internal'), ('people_db', 'pii')) t(source, default_class)",
+    "sp": """SELECT * FROM (VALUES ('warehouse', 'internal'), ('parts_hub', 'public'), ('people_db', 'restricted'))
+  t(source, default_class)""",
     "tp": """SELECT * FROM (VALUES
-  ('warehouse', 'customer', 'pii', 'c_acctbal > 0', 120, true),
+  ('warehouse', 'customer', 'pii', 'c_acctbal > 0', 0, true),
   ('warehouse', 'orders', 'internal', NULL, 600, true),
   ('warehouse', 'lineitem', 'internal', NULL, 0, true),
   ('warehouse', 'nation', 'public', NULL, 0, false),
   ('warehouse', 'region', 'public', NULL, 0, true),
-  ('people_db', 'customer', 'pii', NULL, 45, true)
+  ('warehouse', 'supplier', 'confidential', NULL, 0, true),
+  ('parts_hub', 'part', 'public', 'p_size > 10', 25, true),
+  ('people_db', 'customer', 'pii', NULL, 0, true),
+  ('people_db', 'supplier', 'restricted', NULL, 30, false)
 ) t(source, "table", classification, row_filter, max_rows, approve)""",
     "cp": """SELECT * FROM (VALUES
   ('warehouse', 'customer', 0, 'c_name', 'pii', 'partial', 'name-****'),
   ('warehouse', 'customer', 1, 'c_acctbal', 'pci', 'redact', NULL),
   ('warehouse', 'customer', 2, 'c_mktsegment', 'internal', 'none', NULL),
-  ('people_db', 'customer', 0, 'c_name', 'pii', 'tokenize', NULL)
+  ('warehouse', 'lineitem', 0, 'l_extendedprice', 'confidential', 'none', NULL),
+  ('warehouse', 'supplier', 0, 's_acctbal', 'pci', 'hash', NULL),
+  ('warehouse', 'supplier', 1, 's_name', 'internal', 'partial', '****'),
+  ('people_db', 'customer', 0, 'c_name', 'pii', 'tokenize', NULL),
+  ('people_db', 'supplier', 0, 's_name', 'restricted', 'redact', NULL)
 ) t(source, "table", pos, name, classification, masking, mask_format)""",
 }
 

@@ -46,7 +46,7 @@ def audit_round_trip(spark, sf_dir):
 
 
 @registered(
-    "SELECT 'steward' AS agent_id, 'customer' AS resource, least(120, count(*)) AS row_count, 'permitted' AS"
+    "SELECT 'steward' AS agent_id, 'customer' AS resource, least(3200, count(*)) AS row_count, 'permitted' AS"
     " policy_decision FROM customer WHERE c_acctbal > 0"
 )
 def audit_of_run(spark, sf_dir):

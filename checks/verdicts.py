@@ -350,7 +350,7 @@ _OUTCOME = {
   WHEN requires_approval AND request_id NOT IN (SELECT id FROM granted) THEN 'approval_required'
   WHEN source NOT IN (SELECT name FROM readable) THEN 'no_source_reader' ELSE 'permitted' END AS stage FROM staged""",
     "told": """SELECT *, CASE stage WHEN 'missing_params' THEN 'Missing required parameters: query and agent'
-  WHEN 'unknown_source' THEN 'Unknown source: ' || source || '. Available: warehouse, feed_api, people_db'
+  WHEN 'unknown_source' THEN 'Unknown source: ' || source || '. Available: people_db, parts_hub, warehouse, cold_store, feed_api'
   WHEN 'scope_denied' THEN 'Access denied: ' || scope_why
   WHEN 'governance_denied' THEN 'Governance denied: ' || why
   WHEN 'approval_required' THEN 'Write operation blocked: ' || operation || ' on ' || source || '.' || "table" ||
@@ -449,7 +449,7 @@ def _stricter(spark):
 
 
 _STRICT_SQL = {
-    "ap": SMALL_SQL["ap"].replace("'planner', 2,", "'planner', 0,").replace(" 9000,", " 50,"),
+    "ap": SMALL_SQL["ap"].replace("'planner', 2,", "'planner', 0,").replace(" 3200,", " 50,"),
     "tp": SMALL_SQL["tp"].replace("'orders', 'internal'", "'orders', 'confidential'"),
 }
 _FIELDS = ("allowed", "why", "masked", "row_filter", "max_rows", "requires_approval")

@@ -75,7 +75,7 @@ def test_audited_run(spark, tables, bundle, tmp_path):
     path = str(tmp_path / "audit")
     result = governed_table(spark, tables, bundle, "steward", "warehouse", "customer")
     entry = trail.run_audited(result, lambda df: df.write.parquet(str(tmp_path / "out")), path)
-    assert entry["row_count"] == spark.read.parquet(str(tmp_path / "out")).count() == 120
+    assert entry["row_count"] == spark.read.parquet(str(tmp_path / "out")).count() == 139
     stored = read_audit(spark, path).collect()
     assert len(stored) == 1 and stored[0]["policy_decision"] == "permitted" and stored[0]["duration_ms"] >= 0
 
@@ -194,4 +194,4 @@ def test_rollup_totals(spark):
 
 
 def test_health(spark, bundle):
-    assert tuple(trail.health_counts(bundle).first()) == (3, 4)
+    assert tuple(trail.health_counts(bundle).first()) == (5, 4)

@@ -107,7 +107,7 @@ def test_stated_ends(spark):
     asked = spark.createDataFrame([(d, "steward", "warehouse", "nation", "SELECT", NOW + timedelta(days=d)) for d in (0, 1, 2, 3)], "request_id int, agent string, source string, table string, operation string, ts timestamp_ntz")
     for form in (past, replace(past, small=False)):
         caps = {k: d.max_rows for k, d in judged(history.decide_as_of(asked, form)).items()}
-        assert caps == {0: 0, 1: 9000, 2: 100, 3: 100}  # before: refused; then the agent's own cap, then the default one
+        assert caps == {0: 0, 1: 3200, 2: 100, 3: 100}  # before: refused; then the agent's own cap, then the default one
 
 
 def test_stream_decisions_as_of(spark, case, tmp_path):

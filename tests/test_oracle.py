@@ -34,4 +34,4 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]
-    assert 0 < df.count() <= 120
+    assert 0 < df.count() <= 150

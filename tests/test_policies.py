@@ -56,7 +56,7 @@ def test_sources(bundle):
     with pytest.raises(ConfigError):
         maintenance.add_source(bundle, {**new, "type": "oracle"})
     left, found = maintenance.remove_source(more, "n")
-    assert found and left.sources.count() == 3
+    assert found and left.sources.count() == 5
     assert maintenance.remove_source(left, "n")[1] is False
 
 
@@ -108,7 +108,7 @@ def test_view_rows(spark):
     }
     first = rows["query_warehouse_shipments_dock_hand"]
     assert first["statement"] == "SELECT box, port FROM shipments WHERE state = $1 AND n = $2"
-    assert first["type"] == "postgres-sql" and first["max_rows"] == 35
+    assert first["type"] == "alloydb-sql" and first["max_rows"] == 35
     wild = rows["query_warehouse___dock_hand"]
     assert wild["statement"] == "SELECT * FROM {{.table}}" and wild["parameters"] == ["agent", "table"]
     assert rows["query_warehouse_y_c"]["max_rows"] is None
