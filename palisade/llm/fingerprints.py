@@ -7,9 +7,11 @@ start at local maxima of the labels. Where a phrase starts depends on a few neig
 substrings get equal phrases inside, wherever they stand. A phrase's name is a 64-bit hash of its symbols,
 hence the same in every task without any shared dictionary.
 
-The fingerprint holds, for each of ``BINS`` ranges of names, a 16-bit mark of the range's least name (0: none), in
-hexadecimal. Likeness is the share of equal marks among the ranges in which either text has a name: an
-estimate of the texts' common share of phrases. Equal texts have equal fingerprints.
+The fingerprint holds a 16-bit mark (0: none) for each of 64 ranges of names, ``BINS`` of them for each level: that of the
+range's least name, in hexadecimal. Most ranges are of the longest phrases, which tell texts apart; those of the shorter
+ones let short texts, with a longest phrase or two, share what they have in common. Likeness is the share of equal
+marks among the ranges in which either text has a name: an estimate of the texts' common share of phrases. Equal texts have
+equal fingerprints.
 
 NULL and empty texts have no phrases: a fingerprint of zeros, like another one to 1 and any other text to 0.
 Neighbours go by descending doc_id, NULL ids last, repeated ids by text; after the last comes the first (a
@@ -28,8 +30,9 @@ from palisade.session import materialise
 
 from .common import steps, text_key, whole_texts
 
-LEVELS = 3
-BINS = 64
+#: Ranges of the names of each level, from the shortest phrases to the longest.
+BINS = (6, 14, 44)
+LEVELS = len(BINS)
 
 _RANDOM = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS = np.cumprod(np.full(64, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
@@ -91,19 +94,20 @@ def _phrases(names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """A row of marks for each text."""
-    marks = np.zeros((len(texts), BINS), np.uint16)
+    marks = np.zeros((len(texts), sum(BINS)), np.uint16)
     full = np.flatnonzero([len(x) > 0 for x in texts])
     if len(full):
         names = np.frombuffer(b"".join(texts), np.uint8)
         starts = np.append(0, np.cumsum([len(texts[k]) for k in full])[:-1])
-        for _ in range(LEVELS):
+        for level, bins in enumerate(BINS):
             names, starts = _phrases(names, starts)
-        text = np.repeat(full, np.diff(np.append(starts, len(names)))).astype(np.uint64)
-        place = text * np.uint64(BINS) + (names >> np.uint64(58))
-        value = np.maximum((names >> np.uint64(42)) & np.uint64(0xFFFF), np.uint64(1))
-        both = np.sort((place << np.uint64(16)) | value)
-        least = np.append(True, (both[1:] >> np.uint64(16)) != (both[:-1] >> np.uint64(16)))
-        marks.reshape(-1)[(both[least] >> np.uint64(16)).astype(np.int64)] = (both[least] & np.uint64(0xFFFF)).astype(np.uint16)
+            text = np.repeat(full, np.diff(np.append(starts, len(names)))).astype(np.uint64)
+            range_ = ((names >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)
+            place = text * np.uint64(sum(BINS)) + np.uint64(sum(BINS[:level])) + range_
+            value = np.maximum((names >> np.uint64(20)) & np.uint64(0xFFFF), np.uint64(1))
+            both = np.sort((place << np.uint64(16)) | value)
+            least = np.append(True, (both[1:] >> np.uint64(16)) != (both[:-1] >> np.uint64(16)))
+            marks.reshape(-1)[(both[least] >> np.uint64(16)).astype(np.int64)] = (both[least] & np.uint64(0xFFFF)).astype(np.uint16)
     return marks
 
 
