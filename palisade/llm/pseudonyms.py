@@ -18,6 +18,8 @@ get equal results. An empty table gives an empty result. The key is a secret of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import whole_texts
@@ -129,22 +131,26 @@ def permute_pair(x: Column, y: Column, sizes: tuple[int, int], key: str, kind: s
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` reads it."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
 def _refilled(form: Column, digits: Column, what: str = "[0-9]") -> Column:
     """``form`` with its digits (or characters like ``what``) replaced, in order, by those of ``digits``."""
-    return F.array_join(
-        F.transform(
-            F.split(form, ""),
-            lambda c, at: F.when(
-                c.rlike(what),
-                F.substr(digits, at + 1 - F.length(F.regexp_replace(F.substr(form, F.lit(1), at), what, "")), F.lit(1)),
-            ).otherwise(c),
-        ),
-        "",
-    )
+
+    def filled(d: Column) -> Column:
+        def one(c: Column, at: Column) -> Column:
+            before = at - F.length(F.regexp_replace(F.substr(form, F.lit(1), at), what, ""))
+            return F.when(c.rlike(what), F.substr(d, before + 1, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.split(form, ""), one), "")
+
+    return _bound(digits, filled)
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -159,8 +165,8 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     payload = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permute_text(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card"))
-    check = F.pmod(F.lit(10) - _luhn_sum(payload, 0) % 10, F.lit(10))
-    return F.when(_luhn_sum(digits, 1) % 10 == 0, _refilled(m, F.concat(payload, check.cast("string"))))
+    new = _bound(payload, lambda p: F.concat(p, F.pmod(F.lit(10) - _luhn_sum(p, 0) % 10, F.lit(10)).cast("string")))
+    return F.when(_luhn_sum(digits, 1) % 10 == 0, _refilled(m, new))
 
 
 def _iban_rest(moved: Column) -> Column:
@@ -179,16 +185,18 @@ def _iban_valid(plain: Column) -> Column:
 def _iban(m: Column, key: str) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
-    new = permute_text(account, key, "iban")
-    check = F.lpad((F.lit(98) - _iban_rest(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_iban_valid(plain), _refilled(m, F.concat(country, check, new), "[A-Z0-9]"))
+
+    def checked(new: Column) -> Column:
+        return F.concat(country, F.lpad((F.lit(98) - _iban_rest(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
+
+    return F.when(_iban_valid(plain), _refilled(m, _bound(permute_text(account, key, "iban"), checked), "[A-Z0-9]"))
 
 
 def _phone(m: Column, key: str) -> Column:
     digits = F.substr(_digits(m), F.lit(-10), F.lit(10)).cast("long")
     place = digits - 2_000_000_000
     pair = permute_pair(F.floor(place / 10_000_000), _exchange(digits), (800, 8_000_000), key, "phone")
-    new = F.lpad(((pair["x"] + 200) * 10_000_000 + pair["y"] + 2_000_000).cast("string"), 10, "0")
+    new = _bound(pair, lambda p: F.lpad(((p["x"] + 200) * 10_000_000 + p["y"] + 2_000_000).cast("string"), 10, "0"))
     country = F.when(F.length(_digits(m)) == 11, "1").otherwise("")
     return _refilled(m, F.concat(country, new))
 
@@ -205,7 +213,7 @@ def _intl(m: Column, key: str) -> Column:
 def _ipv4(m: Column, key: str) -> Column:
     part = [F.split(m, r"\.")[k].cast("long") for k in range(4)]
     pair = permute_pair(part[0] * 256 + part[1], part[2] * 256 + part[3], (65536, 65536), key, "ipv4")
-    return F.concat_ws(".", *[n.cast("string") for x in (pair["x"], pair["y"]) for n in (F.floor(x / 256), x % 256)])
+    return _bound(pair, lambda p: F.concat_ws(".", *[n.cast("string") for x in (p["x"], p["y"]) for n in (F.floor(x / 256), x % 256)]))
 
 
 def _ssn_parts(m: Column) -> tuple[Column, ...]:
@@ -220,9 +228,13 @@ def _ssn(m: Column, key: str) -> Column:
     area, group, serial = _ssn_parts(m)
     valid = _ssn_valid(area, group, serial)
     pair = permute_pair(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, (898, 99 * 9999), key, "ssn")
-    new_area = pair["x"] + 1 + F.when(pair["x"] >= 665, 1).otherwise(0)
-    written = [F.lpad(x.cast("string"), n, "0") for x, n in ((new_area, 3), (F.floor(pair["y"] / 9999) + 1, 2), (pair["y"] % 9999 + 1, 4))]
-    return F.when(valid, F.concat_ws("-", *written))
+
+    def written(p: Column) -> Column:
+        new_area = p["x"] + 1 + F.when(p["x"] >= 665, 1).otherwise(0)
+        parts = ((new_area, 3), (F.floor(p["y"] / 9999) + 1, 2), (p["y"] % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+    return F.when(valid, _bound(pair, written))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -232,7 +244,7 @@ def _date(m: Column, key: str) -> Column:
         day = F.try_to_date(m, form)
         at = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
         pair = permute_pair(F.floor(at / CYCLE[1]), at % CYCLE[1], CYCLE, key, "date")
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (pair["x"] * CYCLE[1] + pair["y"]).cast("int"))
+        new = F.date_add(F.lit(FIRST_DAY).cast("date"), _bound(pair, lambda p: p["x"] * CYCLE[1] + p["y"]).cast("int"))
         return F.when(day.isNotNull(), F.date_format(new, form))
 
     slashes = F.coalesce(one("MM/dd/yyyy"), one("dd/MM/yyyy"))
@@ -289,8 +301,8 @@ def _found(m: Column, key: str) -> Column:
     """kind (NULL if not valid) and pseudonym of one match."""
     out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new"))
     for kind in reversed(FORMS):
-        new = _MAKE[kind](m, key)
-        one = F.struct(F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, m).alias("new"))
+        named = F.lit(kind)
+        one = _bound(_MAKE[kind](m, key), lambda v, named=named: F.struct(F.when(v.isNotNull(), named).alias("kind"), F.coalesce(v, m).alias("new")))
         out = F.when(_is(kind, m), one).otherwise(out)
     return out
 
