@@ -11,7 +11,8 @@ Texts are equal when they are identical without the white space ``[\\x20\\x09-\\
 3. Owner tasks hold ranges of hashes, sorted. An owner chains the different texts of one hash, comparing
    bytes, and writes a record for each link of a chain to the file of its bucket.
 
-Rows then look their records up by hash and digest. Of equal texts the row with the most code points stays,
+Rows then look their records up: the directory names the bucket of a hash, and the bucket's records are met by hash and
+digest. Of equal texts the row with the most code points stays,
 then the smallest doc_id (NULL last), then the smallest hash of the original text; of rows alike in all of
 that (repeated rows) exactly one stays. NULL counts as empty. An empty table gives an empty result.
 """
@@ -144,7 +145,7 @@ def _chain(batches):
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
-    """(rows with their hash and digest, index records); both are tables in the shared folder."""
+    """(rows with their hash, digest and bucket, index records); both read tables in the shared folder."""
     spark = docs.sparkSession
     texts = whole_texts(docs, text_key().alias("text_key")).withColumn("norm", normalised(F.col("text"))).withColumn("h", hash_of(F.col("norm")).cast("long"))
     keyed = materialise(
@@ -163,13 +164,17 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_of: Callable[[Co
     owned = entries.repartitionById(tasks, F.col("owner")).sortWithinPartitions("h")
     path = fresh_path(spark, "exact-index")
     owned.mapInArrow(_chain, _RECORD).write.partitionBy("bucket").parquet(path)
-    return keyed, spark.read.schema(_RECORD).parquet(path)
+    depth = len(slots).bit_length() - 1
+    listed = spark.createDataFrame(list(enumerate(slots.tolist())), "slot long, bucket int")  # at most 2 ** SLOT_BITS rows
+    at = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
+    found = keyed.withColumn("slot", at).join(F.broadcast(listed), "slot").drop("slot")
+    return found, spark.read.schema(_RECORD).parquet(path)
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, keep_id, group_size, kept, text_sha256."""
     keyed, index = build_index(docs, capacity, hash_of)
-    found = keyed.join(index.drop("bucket", "link"), ["h", "text_sha256"])
+    found = keyed.join(index.drop("link"), ["bucket", "h", "text_sha256"])
     alike = Window.partitionBy("doc_id", "text_sha256", "text_key").orderBy("points")
     best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key")) & (F.row_number().over(alike) == 1)
     return found.select("doc_id", "text_key", "keep_id", "group_size", best.alias("kept"), "text_sha256")
