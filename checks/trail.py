@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from checks.relations import (
@@ -139,6 +141,27 @@ def retention_kept(spark, sf_dir):
     return trail.retained(audit(spark, sf_dir), F.lit(_AS_OF).cast("timestamp_ntz"), 7)
 
 
+@registered(
+    with_sql(
+        AUDIT_SQL,
+        f"""SELECT seq, CASE WHEN seq % 11 <> 0 AND timestamp < TIMESTAMP '{_AS_OF}' THEN 'archived' ELSE 'kept' END AS at,
+seq % 11 <> 0 AND timestamp >= TIMESTAMP '2024-01-18 20:00:00' AND timestamp < TIMESTAMP '2024-01-22 01:00:00' AS in_span FROM audit""",
+    )
+)
+def audit_trail_by_day(spark, sf_dir):
+    """A trail of day files from a batch and a stream's batch: small files put together, old entries moved to an archive."""
+    entries = audit(spark, sf_dir).withColumn("timestamp", F.when(F.col("seq") % 11 != 0, F.col("timestamp")))
+    kept, gone = (audit_log.AuditTrail.open(spark, fresh_path(spark, name)) for name in ("trail", "archive"))
+    kept.append(entries.filter("seq % 2 = 0"))
+    for _ in range(2):  # the second time nothing happens
+        kept.append(entries.filter("seq % 2 = 1"), "live", 0)
+    kept.compact(1 << 20)
+    span = kept.read_span(datetime(2024, 1, 18, 20), datetime(2024, 1, 22, 1)).select("seq", F.lit(True).alias("in_span"))
+    kept.retain(datetime.fromisoformat(_AS_OF), gone)
+    rows = kept.read().select("seq", F.lit("kept").alias("at")).unionByName(gone.read().select("seq", F.lit("archived").alias("at")))
+    return rows.join(span, "seq", "left").select("seq", "at", F.coalesce("in_span", F.lit(False)).alias("in_span"))
+
+
 @registered(
     with_sql(AUDIT_SQL, f"SELECT {_AUDIT_COLS} FROM audit WHERE timestamp < TIMESTAMP '{_AS_OF}' - INTERVAL 7 DAY")
 )
