@@ -120,7 +120,7 @@ class GovernedSession:
         self._classes = {
             name: self._class(f"org.apache.spark.sql.catalyst.{name}")
             for name in ("plans.logical.LogicalPlan", "expressions.Expression", "expressions.PlanExpression")
-        } | {name: self._class(name) for name in ("scala.collection.Iterable", "scala.Option", "scala.Product")}
+        } | {name: self._class(name) for name in ("scala.collection.Iterable", "scala.Option")}
         self._drop_blocked_functions()
 
     def register(self, *tables: str) -> None:
@@ -237,27 +237,28 @@ class GovernedSession:
         waiting = [df._jdf.queryExecution().analyzed()]
         while waiting:
             at = waiting.pop()
-            if self._is(at, "plans.logical.LogicalPlan"):
+            plan = self._is(at, "plans.logical.LogicalPlan")
+            if plan:
                 kind = at.getClass().getSimpleName().rstrip("$")
                 if kind == "View":
                     self._check_view(at, allowed)
                     continue
                 if not at.children().size() and kind not in DATALESS_LEAVES:
                     raise QueryRefused(f"{kind} is read beside the governed views")
+                if kind == "LocalRelation":
+                    continue  # values of the text itself
             elif self._is(at, "expressions.PlanExpression"):
                 waiting.append(at.plan())
             if self._is(at, "scala.collection.Iterable") or self._is(at, "scala.Option"):
                 parts = at.iterator()
-            elif self._is(at, "scala.Product"):
+            elif plan or self._is(at, "expressions.Expression") or at.getClass().getName().startswith("scala.Tuple"):
                 parts = at.productIterator()
             else:
-                continue
+                continue  # a type, a name, a number: nothing that reads
             while parts.hasNext():
                 part = parts.next()
                 if isinstance(part, JavaObject):
                     waiting.append(part)
-            if self._is(at, "plans.logical.LogicalPlan") or self._is(at, "expressions.Expression"):
-                waiting += _items(at.children())
 
     def _check_view(self, view, allowed: set[str]) -> None:
         """A view is governed if it is this session's own, by name and by what it stands for."""
