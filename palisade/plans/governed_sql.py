@@ -6,6 +6,9 @@ no path, catalog table, global view or computed name gets past the views. In the
 every name is settled, whatever reads data must be one of those views: the walk goes through all that
 a node is made of, subqueries in any place included, and does not depend on the first check.
 
+``NOT IN`` over a subquery is asked of Spark as ``NOT EXISTS`` (see ``_shuffled``): as it stands, Spark would
+gather the whole list in the driver and broadcast it.
+
 Policies and tables are read for every query: a scope that is gone shuts its tables at once, and rows
 that have come are seen. Needs the JVM handle of classic PySpark; with Spark Connect use
 ``governed_table``.
@@ -13,9 +16,11 @@ that have come are seen. Needs the JVM handle of classic PySpark; with Spark Con
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from py4j.java_gateway import JavaObject
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.operators.enforce import (
@@ -80,6 +85,12 @@ BLOCKED_FUNCTIONS = (
     "input_file_block_length",
 )
 
+# Values whose text can stand again in a subquery: columns, and simple sums of them.
+_REPEATABLE = frozenset("UnresolvedAttribute Literal Cast Add Subtract Multiply Divide UnaryMinus".split())
+# What makes a list depend on the order of its rows or on chance.
+_ARBITRARY = frozenset("GlobalLimit LocalLimit Offset Tail Sample".split())
+_IN_LIST = re.compile(r"(?:NOT\s+)?IN\s*\((.*)\)", re.IGNORECASE | re.DOTALL)
+
 
 class QueryRefused(AccessDenied):
     def __init__(self, reason: str):
@@ -158,8 +169,7 @@ class GovernedSession:
         try:
             names = self.check(query)
             self.register(*names)
-            # as a subquery, the text can be nothing but a query
-            result = self.session.sql(f"SELECT * FROM (\n{query}\n) AS governed")
+            result = self._planned(query)
             self.check_lineage(result, names)
         except AccessDenied:
             if self.audit:
@@ -169,6 +179,63 @@ class GovernedSession:
         caps = [self.tables[v].access.max_rows for v in views if self.tables[v].access.max_rows > 0]
         return cap_rows(result, min(caps, default=0))
 
+    def _planned(self, query: str) -> DataFrame:
+        # as a subquery, the text can be nothing but a query
+        whole = "SELECT * FROM (\n{}\n) AS governed"
+        as_written = self.session.sql(whole.format(query))
+        text = self._shuffled(query)
+        if text != query:
+            try:
+                result = self.session.sql(whole.format(text))
+            except AnalysisException:  # a list that cannot be asked twice
+                return as_written
+            if result._jdf.queryExecution().analyzed().deterministic() and result.schema == as_written.schema:
+                return result
+        return as_written
+
+    def _shuffled(self, query: str) -> str:
+        """The query with ``x NOT IN (list)`` among the conditions of a WHERE as an anti join, which is shuffled. A row stays if
+        nothing in the list equals x and nothing in it is NULL; where x itself is NULL, if the list is empty."""
+        if "${" in query:  # Spark replaces variables first, so places in the text would be off
+            return query
+        item = "listed"
+        while item in query.lower():
+            item += "_"
+        while found := max(self._lists(query), default=None):
+            at, to, value, items, infix = found
+            same = f"SELECT 1 FROM (\n{items}\n) AS {item}({item}) WHERE {item}.{item} = {value}"
+            gap = f"SELECT 1 FROM (\n{items}\n) AS {item}({item}) WHERE {item}.{item} IS NULL"
+            kept = f"NOT EXISTS ({same}) AND CASE WHEN ({value}) IS NULL THEN NOT EXISTS (\n{items}\n) ELSE NOT EXISTS ({gap}) END"
+            # where x stands before the replaced words, it is compared to itself
+            query = query[:at] + (f" IS NOT DISTINCT FROM ({value}) AND {kept}" if infix else f"({kept})") + query[to:]
+        return query
+
+    def _lists(self, query: str) -> Iterator[tuple[int, int, str, str, bool]]:
+        """(from, to, value, list, whether the value stands before ``from``) of the lists to replace; an inner list starts last."""
+        for no, test in self._not_in(self.session._jsparkSession.sessionState().sqlParser().parsePlan(query)):
+            values = _items(test.values())
+            if len(values) != 1 or not _made_of(values[0], _REPEATABLE) or _kinds(test.query().plan()) & _ARBITRARY:
+                continue
+            (at, to), (start, end), value = _span(no), _span(test), slice(*_span(values[0]))
+            listed = _IN_LIST.fullmatch(query[start:end])
+            if listed:
+                yield at, to, query[value], listed[1], at > value.start
+
+    def _not_in(self, node) -> Iterator[tuple]:
+        """NOT and IN of every ``NOT IN`` over a subquery that a WHERE demands beside its other conditions."""
+        waiting = [node]
+        while waiting:
+            at = waiting.pop()
+            if self._is(at, "plans.logical.LogicalPlan"):
+                if at.getClass().getSimpleName() == "UnresolvedWith":
+                    waiting += [cte._2() for cte in _items(at.cteRelations())]
+                if at.getClass().getSimpleName() == "Filter":
+                    yield from _demanded(at.condition())
+                waiting += _items(at.expressions())
+            elif self._is(at, "expressions.PlanExpression"):
+                waiting.append(at.plan())
+            waiting += _items(at.children())
+
     def run(self, query: str, action: Callable[[DataFrame], object], name: str = "QUERY") -> dict:
         """Run ``action`` on the query's result and append its record to the audit trail."""
         if not self.audit:
@@ -299,3 +366,29 @@ def _first_line(query: str) -> str:
 
 def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _span(expression) -> tuple[int, int]:
+    """Where the parser found an expression in the text."""
+    origin = expression.origin()
+    return origin.startIndex().get(), origin.stopIndex().get() + 1
+
+
+def _demanded(condition) -> Iterator[tuple]:
+    if _kind(condition) == "And":
+        yield from _demanded(condition.left())
+        yield from _demanded(condition.right())
+    elif _kind(condition) == "Not" and _kind(condition.child()) == "InSubquery":
+        yield condition, condition.child()
+
+
+def _made_of(expression, kinds: frozenset[str]) -> bool:
+    return _kind(expression) in kinds and all(_made_of(c, kinds) for c in _items(expression.children()))
+
+
+def _kinds(plan) -> set[str]:
+    return {_kind(plan)}.union(*map(_kinds, _items(plan.children())))

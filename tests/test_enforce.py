@@ -460,3 +460,29 @@ def test_a_delete_empties_partitions_and_nothing_else(spark, tmp_path):
     assert states(read) == [(3, 5), (4, 7)]
     writes.rewrite_partitions(read(), F.col("id") == 99, change, path, ["p"])  # nothing to do
     assert states(read) == [(3, 5), (4, 7)]
+
+
+@pytest.mark.parametrize("listed", ["1, 5", "1, NULL", "NULL", None])
+def test_not_in_is_not_gathered_in_the_driver(spark, session, listed):
+    """NOT IN over a list of any size is an anti join that shuffles, with SQL's rules for NULLs on either side."""
+    session.session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = f"(VALUES ({listed.replace(', ', '), (')})) v(k)" if listed else "(SELECT 1 AS k) v WHERE k > 1"
+    query = f"""SELECT n FROM (SELECT nullif(n_nationkey, 3) AS n FROM (VALUES 0, 1, 3, 5) t(n_nationkey)) o
+WHERE (n) NOT IN (SELECT CAST(k AS int) FROM {rows} -- the list
+) AND NOT coalesce(n, 0) IN (SELECT 9)"""
+    got = session.sql(query)
+    want = {"1, 5": [0], "1, NULL": [], "NULL": [], None: [None, 0, 1, 5]}[listed]
+    assert sorted((r["n"] for r in got.collect()), key=lambda n: (n is not None, n)) == want
+    plan = plan_of(session.sql("SELECT count(*) FROM orders o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)"))
+    assert "LeftAnti" in plan and "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
+
+
+def test_lists_that_hang_on_order_or_chance_are_asked_once(session):
+    for query in (
+        "SELECT 1 FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region LIMIT 2)",
+        "SELECT 1 FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region) OR n_name = 'x'",
+        "SELECT 1 FROM nation WHERE (SELECT 1) NOT IN (SELECT r_regionkey FROM region)",
+    ):
+        assert session._shuffled(query) == query
+    chance = session.sql("SELECT 1 FROM nation WHERE n_nationkey NOT IN (SELECT CAST(rand() * 9 AS int) FROM region)")
+    assert "EXISTS" not in chance._jdf.queryExecution().analyzed().toString().upper()
