@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -67,54 +68,91 @@ def _peak_rows(agents: list, peaks: list) -> pd.DataFrame:
     return pd.DataFrame({"agent_id": pd.Series(agents, dtype=object), "peak": pd.Series(peaks, dtype="int64")})
 
 
+#: Microseconds of one piece of the waiting steps, and entries that a task takes up before it stores them.
+_HOUR = 3_600_000_000
+_ENTRIES = 1 << 20
+
+
+def _net(t: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Instants in order, each once, and the net step of each; without those that come to nothing."""
+    order = np.argsort(t, kind="stable")
+    t, step = t[order], step[order]
+    first = np.flatnonzero(np.diff(t, prepend=t[:1] - 1))
+    net = np.add.reduceat(step, first) if len(t) else step
+    return t[first][net != 0], net[net != 0]
+
+
 class _Levels(StatefulProcessor):
     """One agent's running level. Steps up to the watermark are folded into ``level``, with the highest one so far; later
-    ones wait in ``steps``, net per instant, as entries that come may still stand before them."""
+    ones wait in ``hours``, net per instant, as entries that come may still stand before them. An hour is read and written as
+    a whole, so state is touched once an hour and ``_ENTRIES`` entries, and memory holds no more than those."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.level = handle.getValueState("level", "level long, peak long, until long")
-        self.steps = handle.getMapState("steps", "t long", "net long")
+        self.hours = handle.getMapState("hours", "hour long", "t binary, net binary")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 (names that Spark calls)
         until = (self.level.get() or (0, 0, -1 << 62))[2]
-        net: dict[int, int] = {}
+        held, n = [], 0
         for batch in rows:
-            for start, end in zip(batch["start"].tolist(), batch["end"].tolist(), strict=True):
-                if start >= until:  # else it is later than what has been folded already
-                    net[start] = net.get(start, 0) + 1
-                    net[end] = net.get(end, 0) - 1
-        waiting = {t[0]: n[0] for t, n in self.steps.iterator()}
-        for t, n in net.items():
-            waiting[t] = waiting.get(t, 0) + n
-        level, peak, waiting = self._folded(waiting, net, timerValues)
-        for t in sorted(waiting):  # as things stand: an entry that comes can only raise it
-            level += waiting[t]
-            peak = max(peak, level)
-        yield _peak_rows([key[0]], [peak])
+            spans = batch[["start", "end"]].to_numpy("int64")
+            held.append(spans[spans[:, 0] >= until])  # else it is later than what has been folded already
+            n += len(held[-1])
+            if n >= _ENTRIES:
+                self._store(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            self._store(np.concatenate(held))
+        yield _peak_rows([key[0]], [self._folded(timerValues)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        self._folded({t[0]: n[0] for t, n in self.steps.iterator()}, {}, timerValues)
+        self._folded(timerValues)
         yield _peak_rows([], [])
 
-    def _folded(self, waiting: dict[int, int], new: dict[int, int], timers) -> tuple[int, int, dict[int, int]]:
-        """Fold what the watermark has passed; keep, and set a timer for, what it has not."""
+    def _waiting(self, hour: int) -> tuple[np.ndarray, np.ndarray]:
+        t, net = self.hours.getValue((hour,))
+        return np.frombuffer(t, "int64"), np.frombuffer(net, "int64")
+
+    def _put(self, hour: int, t: np.ndarray, net: np.ndarray) -> None:
+        if len(t):
+            self.hours.updateValue((hour,), (t.tobytes(), net.tobytes()))
+        else:
+            self.hours.removeKey((hour,))
+
+    def _store(self, spans: np.ndarray) -> None:
+        """Add the steps of new entries to those that wait."""
+        t, net = _net(spans.T.ravel(), np.repeat(np.array([1, -1]), len(spans)))
+        hours, first = np.unique(t // _HOUR, return_index=True)
+        for hour, a, b in zip(hours.tolist(), first.tolist(), [*first[1:].tolist(), len(t)], strict=True):
+            if self.hours.containsKey((hour,)):
+                old = self._waiting(hour)
+                self._put(hour, *_net(np.append(old[0], t[a:b]), np.append(old[1], net[a:b])))
+            else:
+                self._put(hour, t[a:b], net[a:b])
+
+    def _folded(self, timers) -> int:
+        """Fold what the watermark has passed; keep, and set a timer for, what it has not. The highest level as things stand:
+        an entry that comes can only raise it."""
         mark = timers.getCurrentWatermarkInMs() * 1000
         level, peak, until = self.level.get() or (0, 0, -1 << 62)
-        for t in sorted(t for t in waiting if t <= mark):
-            level += waiting.pop(t)
-            peak = max(peak, level)
-            if self.steps.containsKey((t,)):
-                self.steps.removeKey((t,))
+        now, top, last = level, peak, None
+        for hour in sorted(k[0] for k in self.hours.keys()):
+            t, net = self._waiting(hour)
+            levels = now + np.cumsum(net)
+            passed = int(np.searchsorted(t, mark, "right"))
+            if passed:
+                level, peak = int(levels[passed - 1]), max(peak, int(levels[:passed].max()))
+                self._put(hour, t[passed:], net[passed:])
+            if passed < len(t):
+                last = int(t[-1])
+            now, top = int(levels[-1]), max(top, int(levels.max()))
         self.level.update((level, peak, max(until, mark)))
-        for t in new:
-            if t in waiting:
-                self.steps.updateValue((t,), (waiting[t],))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if waiting:
-            self.handle.registerTimer(max(waiting) // 1000 + 1)
-        return level, peak, waiting
+        if last is not None:
+            self.handle.registerTimer(last // 1000 + 1)
+        return top
 
     def close(self) -> None:
         pass

@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from palisade.operators import audit as trail
 from palisade.operators.enforce import check_access, governed_table
 from palisade.plans.outcome import request_outcome
@@ -168,3 +170,78 @@ def test_governed_stream(spark, tables, bundle, sf, tmp_path):
     got = drained(spark, streams.stream_governed(stream, access), tmp_path, "out")
     batch = governed_table(spark, tables, bundle, "steward", "warehouse", "customer").df
     assert sorted(got.collect()) == sorted(batch.collect())
+
+
+def test_peak_state_is_touched_by_the_hour_not_by_the_step(monkeypatch):
+    """Thousands of entries cost a handful of state calls, over two batches and a watermark between; levels as by brute force."""
+    rng = random.Random(3)
+
+    class Value:
+        def __init__(self):
+            self.held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, key):  # noqa: N802
+            Map.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            Map.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            Map.calls += 1
+            del self[key]
+
+        def containsKey(self, key):  # noqa: N802
+            Map.calls += 1
+            return key in self
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+        def getMapState(self, *_):  # noqa: N802
+            return Map()
+
+        def listTimers(self):  # noqa: N802
+            return []
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timer = at
+
+    class Times:
+        mark = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.mark
+
+    monkeypatch.setattr(streams, "_ENTRIES", 1500)
+    levels, times = streams._Levels(), Times()
+    levels.init(Handle())
+    seen = []
+    for batch in range(2):
+        lo = batch * 3 * 3_600_000_000
+        spans = [(lo + rng.randrange(3 * 3600) * 1_000_000, rng.choice([1, 30, 5000]) * 1_000_000) for _ in range(4000)]
+        seen += [(a, a + d) for a, d in spans]
+        frames = [pd.DataFrame({"start": [a for a, _ in part], "end": [a + d for a, d in part]}) for part in (spans[:1000], spans[1000:2500], spans[2500:])]
+        (out,) = levels.handleInputRows(("a",), iter(frames), times)
+        steps = sorted([(t, 1) for t, _ in seen] + [(t, -1) for _, t in seen], key=lambda x: x)  # ends before starts
+        now = peak = 0
+        for _, step in steps:
+            now += step
+            peak = max(peak, now)
+        assert out["peak"].tolist() == [peak]
+        times.mark = (lo + 3 * 3_600_000_000) // 1000
+    assert Map.calls < 120
+    times.mark = 10**9
+    assert all(frame.empty for frame in levels.handleExpiredTimer(("a",), times, None))
+    assert levels.hours == {} and levels.level.get()[:2] == (0, peak)
