@@ -87,6 +87,16 @@ def test_each_request_by_the_policies_of_its_time(spark, case):
         history.PolicyHistory.from_versions(spark, versions[::-1])
 
 
+@pytest.mark.parametrize("listed", [0, 16])
+def test_short_histories_join_as_lists_long_ones_by_ranges(spark, case, monkeypatch, listed):
+    versions, asked, want = case
+    monkeypatch.setattr(history, "LISTED", listed)
+    large = history.PolicyHistory.from_versions(spark, [(t, b.with_tables()) for t, b in versions])
+    got = history.decide_as_of(asked, large)
+    assert judged(got) == want
+    assert ("/asof-" in plan_of(got)) == (not listed)  # only ranges store the requests
+
+
 def test_a_history_grows_by_what_changes(spark, case, tmp_path):
     versions, asked, want = case
     past = history.PolicyHistory.from_versions(spark, versions[:1])
