@@ -102,7 +102,8 @@ def merge_rules(bundle: Bundle) -> DataFrame:
     named = items.filter("table is not null").select(*keys).distinct()
     wide = items.filter("table is null").drop("table")
     copied = named.join(wide, ["agent", "source"]).select(items.columns)
-    return gathered(_once(items.unionByName(copied), keys), keys)
+    # both steps group by the keys, so one shuffle serves them; the items of a key are distinct by now, but for copies
+    return gathered(_once(items.unionByName(copied).repartition(*keys), keys), keys)
 
 
 ANSWER = struct(fields=TEXTS, filters=FILTERS)
@@ -153,18 +154,26 @@ def scope_decision(requests: DataFrame, bundle: Bundle, name: str = "scope") ->
     """
     if not bundle.small and not requests.isStreaming:
         bundle = resolve_scopes(bundle)  # three lookups read it
-        return folded(requests, ["agent", "source", "table"], lambda asked: _scope_of(asked, bundle, name))
-    return _scope_of(requests, bundle, name)
+        # the texts of the reasons are made where the answers meet the requests, so that they need not move
+        found = folded(requests, ["agent", "source", "table"], lambda asked: _found(asked, bundle))
+    else:
+        found = _found(requests, bundle)
+    return found.select(*requests.columns, _told().alias(name))
 
 
-def _scope_of(requests: DataFrame, bundle: Bundle, name: str) -> DataFrame:
+def _found(requests: DataFrame, bundle: Bundle) -> DataFrame:
+    """Add what the lookups hold for each request."""
     agents, entries, named = _scope_lookups(bundle)
     joined = (
         requests.join(bundle.hint(agents.withColumn("_scoped", F.lit(True))), "agent", "left")
         .join(bundle.hint(entries.withColumn("_entry", F.lit(True))), ["agent", "source"], "left")
         .join(bundle.hint(named), ["agent", "source", "table"], "left")
     )
-    found = F.coalesce("_named", "_wide")
+    return joined.select(*requests.columns, "_scoped", "_entry", F.coalesce("_named", "_wide").alias("_answer"))
+
+
+def _told() -> Column:
+    found = F.col("_answer")
     agent, source, table = (F.coalesce(F.col(c), F.lit("null")) for c in ("agent", "source", "table"))
     # The texts of the reasons.
     reason = (
@@ -176,10 +185,9 @@ def _scope_of(requests: DataFrame, bundle: Bundle, name: str) -> DataFrame:
         .when(found.isNull(), F.concat(F.lit("Table "), table, F.lit(" not in scope for agent "), agent))
     )
     permitted = F.col("_scoped").isNotNull() & F.col("_entry").isNotNull() & found.isNotNull()
-    scope = F.struct(
+    return F.struct(
         permitted.alias("permitted"),
         reason.alias("reason"),
         F.when(permitted, found["fields"]).alias("fields"),
         F.when(permitted, found["filters"]).alias("filters"),
     )
-    return joined.select(*requests.columns, scope.alias(name))
