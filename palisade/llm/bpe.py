@@ -24,9 +24,9 @@ from .common import HashTable, ragged, steps, whole_texts
 
 #: Widths of the matrices, in bytes of a piece; and cells of one matrix.
 WIDTHS = (4, 8, 16, 32, 64, 128, 256, 512)
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Distinct stretches of text whose ids a task remembers between steps.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _NONE = np.int32(2**31 - 1)
 
@@ -224,10 +224,10 @@ class _Memory:
         self.place.update(zip(plain + other, range(len(self.place), len(self.place) + len(new)), strict=True))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id and ids (array of int) of every text. The vocabulary is broadcast; it does not grow with the data."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
+_CODED, _BOTH = "doc_id long, ids array<int>", "doc_id long, ids array<int>, decoded binary"
+
 
+def _encoding(shared, pattern: str):
     def task(batches):
         import regex
 
@@ -243,13 +243,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
-    return whole_texts(docs).mapInArrow(task, "doc_id long, ids array<int>")
+    return task
 
 
-def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, ids and the bytes that the ids stand for. NULL ids stand for no bytes."""
-    shared = coded.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
-
+def _decoding(shared):
     def task(batches):
         vocabulary = shared.value
         for batch in batches:
@@ -265,5 +262,27 @@ def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 texts = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, texts], ["doc_id", "ids", "decoded"])
 
+    return task
+
+
+def _shared(docs: DataFrame, ranks: dict[bytes, int]):
+    """The vocabulary is broadcast; it does not grow with the data."""
+    return docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id and ids (array of int) of every text."""
+    return whole_texts(docs).mapInArrow(_encoding(_shared(docs, ranks), pattern), _CODED)
+
+
+def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, ids and the bytes that the ids stand for. NULL ids stand for no bytes."""
     whole = coded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return whole.mapInArrow(task, "doc_id long, ids array<int>, decoded binary")
+    return whole.mapInArrow(_decoding(_shared(coded, ranks)), _BOTH)
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``decode`` of ``encode``, in one Python worker a task: ids go from one to the other without a way through the JVM."""
+    shared = _shared(docs, ranks)
+    encoding, decoding = _encoding(shared, pattern), _decoding(shared)
+    return whole_texts(docs).mapInArrow(lambda batches: decoding(encoding(batches)), _BOTH)

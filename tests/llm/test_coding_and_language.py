@@ -155,3 +155,13 @@ def test_sample_is_bounded(spark):
     drawn = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20, most_bytes=200)
     held = {r.lang: r["count"] for r in drawn.groupBy("lang").count().collect()}
     assert held == {"en": 5, "de": 5}
+
+
+def test_there_and_back_in_one_worker(spark):
+    """Both ways in one Python step, with the rows of the two operators one after the other."""
+    docs = spark.createDataFrame([(1, "plain words, twice twice"), (2, None), (3, ""), (None, "ä😀 x"), (1, "plain words, twice twice")], "doc_id long, text string")
+    both = bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN)
+    apart = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(bytes(r["decoded"]).decode() for r in both.collect()) == ["", "", "plain words, twice twice", "plain words, twice twice", "ä😀 x"]
