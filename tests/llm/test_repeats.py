@@ -96,6 +96,28 @@ def test_texts_of_several_steps(spark):
     assert Counter(tuple(r) for r in repeats.removal_report(docs, crowd=2).collect()) == want
 
 
+def test_planted_passages_at_the_registered_length(spark):
+    """Passages of over 50 words in three documents each: those of 400 bytes or more go, shorter ones and clean documents stay whole."""
+    rng = random.Random(21)
+
+    def prose(n, size):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(size)) for _ in range(n))
+
+    planted = [prose(n, size) for n, size in [(51, 5), (52, 6), (60, 7), (120, 6)]]
+    short, long = [{p for p in planted if (len(p.encode()) >= 400) == whole} for whole in (False, True)]
+    assert len(short) == 2 and len(long) == 2
+    rows, holds = [], {}
+    for p in [*planted * 3, *[""] * 12]:
+        holds[len(rows)] = p
+        rows.append((len(rows), f"{prose(rng.randint(5, 200), 6)}\n{p}\n{prose(rng.randint(5, 200), 6)}"))
+    got = repeats.removal_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == brute(rows, 400)
+    for r in got:
+        p = holds[r.doc_id]
+        assert r.n_bytes == len(rows[r.doc_id][1].encode())  # of the whole text, whatever goes
+        assert r.n_spans == (p in long) and (r.n_removed >= len(p.encode()) if p in long else r.n_removed == 0)
+
+
 def test_texts_do_not_stay_in_the_catalog(spark):
     repeats.removal_report(spark.createDataFrame([(1, "x" * 1000)], "doc_id long, text string")).collect()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts")]
